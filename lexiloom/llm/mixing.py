@@ -98,7 +98,12 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epoch
     offered = offered.join(used.withColumnRenamed("src", "s"), _same("src", "s")).drop("s")
     start = F.struct(F.col("left").alias("left"), F.array().cast("array<long>").alias("rows"))
     step = lambda acc, d: F.when(d["size"] <= acc["left"], F.struct((acc["left"] - d["size"]).alias("left"), F.concat(acc["rows"], F.array(d["row"])).alias("rows"))).otherwise(acc)
-    late = offered.select(F.explode(F.aggregate("docs", start, step)["rows"]).alias("late"))
+    offered = offered.withColumn("got", F.aggregate("docs", start, step))
+    # the document that brings the total nearest to its target, even from above, goes last
+    nearer = F.filter("docs", lambda d: ~F.array_contains(F.col("got.rows"), d["row"]) & (d["size"] < 2 * F.col("got.left")))
+    last = F.array_min(F.transform(nearer, lambda d: F.struct(F.abs(d["size"] - F.col("got.left")).alias("off"), d["k"].alias("k"), d["row"].alias("row"))))
+    taken = F.when(last.isNull(), F.col("got.rows")).otherwise(F.concat(F.col("got.rows"), F.array(last["row"])))
+    late = offered.select(F.explode(taken).alias("late"))
     zone = zone.join(late, zone["row"] == late["late"], "left").withColumn("extra", F.col("fits") | F.col("late").isNotNull())
 
     plain = marked.filter(~in_zone).withColumn("extra", F.coalesce((F.col("size") > 0) & (F.col("slice") < F.col("edge")), F.lit(False)))
