@@ -6,9 +6,10 @@ are neighbours in the table, so a signature is a running minimum over table rows
 Bands propose candidates; every link is confirmed on full shingle sets.
 
 The work per group of copies stays linear: texts with equal sets form a class first; in each bucket
-all classes meet one leader (the class met in most buckets); confirmed links are merged, and only
-bucket members that still lie in different components meet each other, behind a bound on set sizes
-and on a 256-bit sketch of the signature.
+all classes meet one leader (the class met in most buckets); confirmed links are merged. Bucket members
+that still lie in different components, and that have a partner within bounds on set sizes and on
+a 256-bit sketch of the signature, are compared on their full sets in blocks of bounded size; a block
+reports one link at most from a class to each other component, never pairs.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ BANDS, ROWS = 32, 4  # of the first 128 coordinates: a pair at 0.75 is missed wi
 POSITIONS_LOG2 = 20
 #: Sketch bits that may differ: 32 of 256 are expected at 0.75, 56 lie 4.5 deviations above.
 SKETCH_BITS = 56
+#: Shingles on either side of a block of comparisons.
+BLOCK_SHINGLES = 500_000
+#: Document ids up to which they are sent to all executors to pick texts; beyond, texts are shuffled by id.
+BROADCAST_IDS = 1_000_000
 _SIG = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch array<long>"
 _U = np.uint64
 
@@ -109,11 +114,17 @@ def _close(sa: str, sb: str, na: str, nb: str, threshold: int):
     return sizes & (differ <= SKETCH_BITS)
 
 
+def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """id and shingles of the documents in ids(doc_id)."""
+    ids = workspace.materialize(ids.distinct(), "ids")
+    few = ids.count() <= BROADCAST_IDS
+    texts = _rows(docs).filter("doc_id is not null").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    return workspace.materialize(texts.mapInArrow(_full_sets, "id long, shingles array<long>"), "sets")
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     """Of pairs(a, b), those whose full sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = _rows(docs).filter("doc_id is not null").join(ids, "doc_id", "left_semi")
-    sets = workspace.materialize(texts.mapInArrow(_full_sets, "id long, shingles array<long>").distinct(), "sets")
+    sets = _sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))), docs)
     a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -123,6 +134,56 @@ def _confirm(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     return out
 
 
+def block_links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]], threshold: int) -> set[tuple[int, int]]:
+    """Pairs of components with a link between a left and a right (component, shingles) member."""
+    shingles = np.concatenate([s for _, s in right])
+    owner = np.repeat(np.arange(len(right)), [len(s) for _, s in right])
+    order = np.argsort(shingles, kind="stable")
+    shingles, owner = shingles[order], owner[order]
+    size = np.array([len(s) for _, s in right])
+    comp = np.array([c for c, _ in right])
+    out: set[tuple[int, int]] = set()
+    for c, s in left:
+        lo, hi = np.searchsorted(shingles, s, "left"), np.searchsorted(shingles, s, "right")
+        hit = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
+        both = np.bincount(owner[hit], minlength=len(right))
+        near = (100 * both >= threshold * (len(s) + size - both)) & (comp != c)
+        out |= {(c, int(x)) for x in np.unique(comp[near])}
+    return out
+
+
+def _cross_links(open_: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+    """Links(a, b) between components that meet in a bucket: rows of open_ are bucket members."""
+    a = open_.filter("comp != main")
+    other = lambda df: df.select(F.col("key").alias("okey"), F.col("comp").alias("ocomp"), F.col("n").alias("on"), F.col("sketch").alias("osketch"))
+    met = (F.col("key") == F.col("okey")) & (F.col("comp") != F.col("ocomp")) & _close("sketch", "osketch", "n", "on", threshold)
+    columns = ["key", "rep", "comp", "n"]
+    left = a.join(other(open_), met, "left_semi").select(*columns, F.lit(0).alias("side"))
+    right = open_.join(other(a), met, "left_semi").select(*columns, F.lit(1).alias("side"))
+    active = workspace.materialize(left.unionByName(right), "active")
+    blocks = lambda side: F.greatest(F.ceil(F.sum(F.when(F.col("side") == side, F.col("n"))) / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    plan = active.groupBy("key").agg(blocks(0).alias("nl"), blocks(1).alias("nr"))
+    rows = active.join(plan, "key")
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.filter("side = 0").select("key", "rep", "comp", "side", own("nl").alias("i"), every("nr").alias("j"))
+    right = rows.filter("side = 1").select("key", "rep", "comp", "side", every("nl").alias("i"), own("nr").alias("j"))
+    sets = _sets_of(active.select(F.col("rep").alias("doc_id")), docs)
+    rows = left.unionByName(right).join(sets, F.col("rep") == F.col("id")).select("key", "i", "j", "comp", "side", "shingles")
+
+    def compare(table: pa.Table) -> pa.Table:
+        side, comp = table.column("side").to_pylist(), table.column("comp").to_pylist()
+        lists = table.column("shingles").combine_chunks()
+        values, offsets = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).to_numpy())])
+        parts = ([], [])
+        for r, (s, c) in enumerate(zip(side, comp, strict=True)):
+            parts[s].append((c, values[offsets[r] : offsets[r + 1]]))
+        links = sorted(block_links(*parts, threshold)) if all(parts) else []
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+
+    return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs(doc_id, text, ...)``.
 
@@ -155,13 +216,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     by_comp = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
     open_ = by_comp.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("x"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("key", F.col("x.comp").alias("main"))
     left = workspace.materialize(at.join(open_, "key").join(facts, "rep").select("key", "rep", "comp", "main", "n", "sketch"), "open")
-    a = left.filter("comp != main").select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
-    b = left.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"), (F.col("comp") == F.col("main")).alias("in_main"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
-    cross = a.join(b, (a["key"] == b["key"]) & (F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & _close("ka", "kb", "na", "nb", threshold))
-    cross = workspace.materialize(cross.select("a", "b", "ca", "cb").distinct(), "cross")
-    more = _confirm(cross.select("a", "b"), docs, threshold)
-    joined = cross.join(more, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    second = connected_components(joined)
+    second = connected_components(_cross_links(left, docs, threshold))
 
     label = reps.select("h1", "h2", "copies", "rep").join(first.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     label = label.join(second.toDF("comp", "root"), "comp", "left").select("h1", "h2", "rep", "copies", F.coalesce("root", "comp").alias("root"))

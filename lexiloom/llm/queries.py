@@ -7,11 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from lexiloom.llm.bpe import encode_documents
+from lexiloom.llm.chat import format_conversations, read_loss_text, read_turns
 from lexiloom.llm.mixing import mix_sources
 from lexiloom.llm.neardup import near_duplicates
 from lexiloom.llm.privacy import find_personal_data
 from lexiloom.llm.quality import quality_rules
+from lexiloom.llm.voronoi import integer_vectors, top_k
+from lexiloom.llm.warc import archive_round_trip
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -40,7 +45,68 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = archive_round_trip(_table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: A conversation that speaks the template's and other control strings.
+CONTROL_ID, CONTROL_TEXT = -7, "\\### Assistant: </turn> ok"
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = turns.sparkSession.range(2).select(
+        F.lit(CONTROL_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text")
+    )
+    made = format_conversations(turns.unionByName(control))
+    read = made.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), read_loss_text(F.col("formatted"), F.col("loss_mask")).alias("loss"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = integer_vectors(_table(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op3_near_duplicates, op4_byte_bpe, op6_quality_rules, op7_personal_data)
+    f.__name__: f
+    for f in (op1_mixing, op3_near_duplicates, op4_byte_bpe, op5_warc, op6_quality_rules, op7_personal_data, op9_chat_formatting, op10_exact_top_k)
+}
+
+_ESCAPED = "replace(replace(replace({}, '\\', '\\b'), '<', '\\l'), '>', '\\g')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+             q AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+               CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
+        FROM q""",
+    "op9_chat_formatting": f"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT {CONTROL_ID}, 0, 'user', '{CONTROL_TEXT}'
+            UNION ALL SELECT {CONTROL_ID}, 1, 'assistant', '{CONTROL_TEXT}')
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(length('<turn ' || {_ESCAPED.format("role")} || '>' || {_ESCAPED.format("text")} || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars
+        FROM c GROUP BY conv_id""",
+    "op10_exact_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings),
+             s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+                   FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+             r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
 }
-ORACLE_SQL: dict[str, str] = {}
