@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm.bpe import encode_documents
 from lexiloom.llm.chat import format_conversations, read_loss_text, read_turns
+from lexiloom.llm.extraction import extract_main_text
 from lexiloom.llm.mixing import mix_sources
 from lexiloom.llm.neardup import near_duplicates
 from lexiloom.llm.privacy import find_personal_data
 from lexiloom.llm.quality import quality_rules
+from lexiloom.llm.toxicity import toxicity
 from lexiloom.llm.voronoi import integer_vectors, top_k
 from lexiloom.llm.warc import archive_round_trip
 
@@ -29,6 +31,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -50,6 +56,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 #: A conversation that speaks the template's and other control strings.
 CONTROL_ID, CONTROL_TEXT = -7, "\\### Assistant: </turn> ok"
 
@@ -79,7 +89,18 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mixing, op3_near_duplicates, op4_byte_bpe, op5_warc, op6_quality_rules, op7_personal_data, op9_chat_formatting, op10_exact_top_k)
+    for f in (
+        op1_mixing,
+        op2_html_extraction,
+        op3_near_duplicates,
+        op4_byte_bpe,
+        op5_warc,
+        op6_quality_rules,
+        op7_personal_data,
+        op8_toxicity,
+        op9_chat_formatting,
+        op10_exact_top_k,
+    )
 }
 
 _ESCAPED = "replace(replace(replace({}, '\\', '\\b'), '<', '\\l'), '>', '\\g')"
