@@ -223,5 +223,5 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     by_class = label.filter("copies > 1 or root != rep").select("h1", "h2", "root")
     out = sig.select("doc_id", "n_shingles", "h1", "h2").join(by_class, ["h1", "h2"], "left")
     # rows that share a doc_id but not a text bring their components together
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -174,7 +174,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     usable = usable.join(groups, "grp").select("doc_id", "g", "k", *[f"x{i}" for i in range(P)])
     total = sizes.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
     usable = usable.unionByName(everything.select("doc_id", "g", F.lit(total).alias("k"), *[f"x{i}" for i in range(P)]))
-    u = F.col("u") < SEED_ROWS / F.col("k")
+    u = F.col("u") * F.col("k") < SEED_ROWS
     unit = F.pmod(F.xxhash64("doc_id", *[f"x{i}" for i in range(P)]), F.lit(1 << 40)) / float(1 << 40)
     fit = workspace.materialize(usable.withColumn("u", unit).filter(u).groupBy("g").applyInPandas(_start, _FIT), "fit")
     sums = [F.count(F.lit(1)).alias("n")] + [F.sum(f"x{i}").alias(f"s{i}") for i in range(P)]
