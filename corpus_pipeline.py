@@ -8,33 +8,40 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom.llm import workspace
 from lexiloom.llm.bpe import encode_documents
-from lexiloom.llm.mixing import mix_sources
+from lexiloom.llm.mixing import mix_sources, word_count
 from lexiloom.llm.neardup import near_duplicates
 from lexiloom.llm.privacy import find_personal_data
 from lexiloom.llm.quality import quality_rules
 from lexiloom.llm.queries import BPE_RANKS
 
 
+# names of joined columns start with _lx_, so that documents may have columns of any other name
+
+
+def _id():
+    return F.col("doc_id").cast("long")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the rules keep. The verdict belongs to a doc_id and its text."""
-    verdict = quality_rules(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")).distinct()
+    """Rows that the rules keep. The verdict belongs to a doc_id and its text (and its language and source, should rows share both)."""
+    verdict = quality_rules(docs).filter("kept").select(F.col("doc_id").alias("_lx_id"), F.col("text_key").alias("_lx_key")).distinct()
     key = F.xxhash64(F.col("text").cast("string"))
-    return docs.join(verdict, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (key == F.col("kept_key")), "left_semi")
+    return docs.join(verdict, _id().eqNullSafe(F.col("_lx_id")) & (key == F.col("_lx_key")), "left_semi")
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id (any one of rows that share it)."""
+    """One document of each group: the one with the smallest doc_id (any one of rows that share it). Wordless texts and null ids all stay."""
     found = near_duplicates(docs)
-    gone = found.filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    again = found.filter("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("gone_id"))
+    gone = found.filter("not kept").select(F.col("doc_id").alias("_lx_id")).distinct()
+    again = found.filter("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.col("doc_id").alias("_lx_id"))
     again = workspace.materialize(again, "again")
-    left = docs.join(gone.unionByName(again), F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
-    once = docs.join(again, F.col("doc_id").cast("long") == F.col("gone_id"), "left_semi").dropDuplicates(["doc_id"])
+    left = docs.join(gone.unionByName(again), _id() == F.col("_lx_id"), "left_anti")
+    once = docs.join(again, _id() == F.col("_lx_id"), "left_semi").dropDuplicates(["doc_id"])
     return left.unionByName(once)
 
 
@@ -45,26 +52,16 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row as often as the mix takes it; rows that it takes no words from go."""
-    copies = mix_sources(docs).filter("copies > 0").select(F.col("doc_id").alias("mix_id"), "copies", F.col("size").alias("mix_size"))
-    # rows that share a doc_id and a size are told apart by their number
-    numbered = copies.groupBy("mix_id", "mix_size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    once = numbered.filter("rows = 1")
-    more = workspace.materialize(numbered.filter("rows > 1"), "shared_ids")
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("mix_id")) & (size == F.col("mix_size"))
-    repeat = lambda n: F.explode(F.sequence(F.lit(1), n.cast("int"))).alias("copy")
-    out = docs.join(once, same).select(*[docs[c] for c in docs.columns], repeat(F.col("copies"))).drop("copy")
-    # of k such rows that the mix takes n times in all, n // k each and one more of the first n % k
-    k = docs.join(more, same).withColumn("number", F.row_number().over(_among("mix_id", "mix_size")))
-    n = F.floor(F.col("copies") / F.col("rows")) + (F.col("number") <= F.col("copies") % F.col("rows")).cast("long")
-    k = k.withColumn("n", n).filter("n > 0").select(*docs.columns, repeat(F.col("n"))).drop("copy")
-    return out.unionByName(k)
-
-
-def _among(*keys: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys).orderBy("text")
+    taken = mix_sources(docs).filter("copies > 0").groupBy("doc_id", "size").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("rows"))
+    taken = taken.select(F.col("doc_id").alias("_lx_id"), F.col("size").alias("_lx_size"), F.col("n").alias("_lx_n"), F.col("rows").alias("_lx_rows"))
+    once, shared = taken.filter("_lx_rows = 1"), workspace.materialize(taken.filter("_lx_rows > 1"), "shared_ids")
+    same = _id().eqNullSafe(F.col("_lx_id")) & (word_count(F.col("text").cast("string")) == F.col("_lx_size"))
+    repeat = lambda df: df.withColumn("_lx_copy", F.explode(F.sequence(F.lit(1), F.col("_lx_n").cast("int")))).select(*docs.columns)
+    # of k rows with one doc_id and size that are taken n times in all, each is taken n // k times and the first n % k once more
+    order = Window.partitionBy("_lx_id", "_lx_size").orderBy("text")
+    more = docs.join(shared, same).withColumn("_lx_number", F.row_number().over(order))
+    share = F.floor(F.col("_lx_n") / F.col("_lx_rows")) + (F.col("_lx_number") <= F.col("_lx_n") % F.col("_lx_rows")).cast("long")
+    return repeat(docs.join(once, same)).unionByName(repeat(more.withColumn("_lx_n", share).filter("_lx_n > 0")))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
