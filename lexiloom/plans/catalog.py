@@ -11,6 +11,7 @@ from lexiloom.functions import edits as E
 from lexiloom.functions import text as T
 from lexiloom.operators import candidates as C
 from lexiloom.operators import events as V
+from lexiloom.operators import gates as G
 from lexiloom.operators import models as M
 from lexiloom.operators import punctuation as P
 from lexiloom.plans.decisions import decide
@@ -65,9 +66,9 @@ def _distinct_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rare_and_lexicon(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = _docs(spark, sf_dir)
-    rare = S.english_counts(docs).filter("n = 1 and length(word) between 3 and 14").select(F.col("word").alias("token"))
-    return rare, S.lexicon(docs).filter("length(word) between 2 and 15").select("word", "freq", "n")
+    counts = S.english_counts(_docs(spark, sf_dir)).cache()  # read three times below; the vocabulary, not the corpus
+    rare = counts.filter("n = 1 and length(word) between 3 and 14").select(F.col("word").alias("token"))
+    return rare, S.ranked_lexicon(counts).filter("length(word) between 2 and 15").select("word", "freq", "n")
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,6 +227,49 @@ def undominated_sources(spark, sf_dir):
     return C.skyline(_sources(spark, sf_dir)).select("token", "word")
 
 
+_PREFIX = "len(list_filter(range(1, least(length(w), length(p)) + 1), lambda k: w[:k] = p[:k]))"
+_LEAD = "(wf >= 0.90e0 AND wf >= pf + 0.12e0 AND wc <= pc + 0.08e0)"
+_ULTRA = "((wo IN ('MissingCharacter', 'ExtraCharacter') AND wf >= 0.999e0) OR (wo = 'AdjacentTransposition' AND wf >= 0.998e0))"
+_RIVALS = f"""{_BASE}, b AS (SELECT *, cost <= min(cost) OVER (PARTITION BY token) + 0.08 AS inb FROM src),
+    r AS (SELECT token, word, freq, row_number() OVER (PARTITION BY token ORDER BY freq DESC, cost, word) AS k FROM b WHERE inb),
+    u AS (SELECT x.token, x.word AS target FROM r x WHERE x.k = 1 AND NOT EXISTS (SELECT 1 FROM r y WHERE y.token = x.token AND y.k > 1 AND y.freq + 0.12e0 > x.freq)),
+    win AS (SELECT s.token, s.word AS w, s.operation AS wo, s.cost AS wc, s.freq AS wf FROM src s JOIN u ON s.token = u.token AND s.word = u.target),
+    duel AS (SELECT win.*, s.word AS p, s.operation AS po, s.cost AS pc, s.freq AS pf, length(win.w) AS nw, length(s.word) AS np
+        FROM win JOIN src s ON win.token = s.token AND s.word <> win.w AND s.freq >= 0.70e0 AND s.cost <= win.wc + 0.70e0),
+    h AS (SELECT *, {_PREFIX} AS head, len(list_filter(range(1, nw + 1), lambda i: w[i] <> p[i])) AS far, {_LEAD} AS lead, {_ULTRA} AS ultra FROM duel),
+    x AS (SELECT *, right(p, greatest(nw - head, 0)) = w[head + 1:] AS tail, pf + 0.02e0 >= wf OR wf < 0.90e0 AS near FROM h),
+    hit AS (SELECT token, unnest(list_filter([
+        CASE WHEN np > nw AND ((po = 'MissingCharacter' AND wo = 'AdjacentKeySubstitution') OR (NOT lead AND po IN ('MissingCharacter', 'AdjacentTransposition', 'VowelSubstitution'))) THEN 'longer_structural' END,
+        CASE WHEN ((wo = 'ExtraCharacter' AND po IN ('GeneralSubstitution', 'AdjacentKeySubstitution')) OR (wo = 'RepeatedAccidentalCharacter' AND po = 'AdjacentKeySubstitution')) AND np > nw AND NOT ends_with(p, w) THEN 'longer_without_suffix' END,
+        CASE WHEN wo IN ('ExtraCharacter', 'RepeatedAccidentalCharacter') AND po = 'GeneralSubstitution' AND np > nw AND NOT starts_with(p, w) AND NOT ends_with(p, w)
+            AND ((tail AND (head <= 2 OR near)) OR (NOT tail AND np = nw + 1 AND (head <= 1 OR near))) THEN 'internal_insertion' END,
+        CASE WHEN wo = 'AdjacentTransposition' AND wf < 0.9995e0 AND nw = np AND (po = 'VowelSubstitution' OR (po = 'GeneralSubstitution' AND NOT (wf >= 0.96e0 AND pc >= wc + 0.08e0 AND wf - pf >= 0.07e0 AND wf - pf < 0.10e0)
+            AND (pf >= wf OR list_sort(string_split(w, '')) = list_sort(string_split(p, '')) OR (wf >= 0.92e0 AND pf >= 0.75e0)))) THEN 'swapped_peer' END,
+        CASE WHEN wo = 'MissingCharacter' AND NOT ultra AND np = nw - 1 AND po IN ('GeneralSubstitution', 'VowelSubstitution', 'AdjacentKeySubstitution', 'AdjacentTransposition')
+            AND NOT (po = 'GeneralSubstitution' AND wf >= pf + 0.12e0 AND wf >= 0.95e0) THEN 'shorter_peer' END,
+        CASE WHEN NOT lead AND po = 'GeneralSubstitution' AND wo IN ('ExtraCharacter', 'RepeatedAccidentalCharacter') AND np > nw AND starts_with(p, w) THEN 'suffix_extension' END,
+        CASE WHEN NOT lead AND nw = np AND wo = 'MissingCharacter' AND po = 'MissingCharacter' THEN 'same_length_missing' END,
+        CASE WHEN NOT lead AND wo IN ('AdjacentKeySubstitution', 'GeneralSubstitution') AND nw = np AND NOT ultra THEN 'same_length_near_cost' END,
+        CASE WHEN wo = 'VowelSubstitution' AND po = 'GeneralSubstitution' AND nw = np AND ((far = 1 AND NOT ((wf >= 0.95e0 AND wf < 0.99e0) OR (wf >= 0.99e0 AND wf >= pf + 0.12e0))) OR (far = 2 AND wf < 0.98e0 AND head >= nw - 3)) THEN 'vowel_against_general' END,
+        CASE WHEN wo = 'VowelSubstitution' AND po = 'VowelSubstitution' AND nw = np AND w <> p THEN 'vowel_against_vowel' END], lambda z: z IS NOT NULL)) AS rule FROM x)"""
+
+
+def _winners(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sources = _sources(spark, sf_dir).cache()
+    return sources, C.classify_mutations(sources).filter("class = 'Unique'").select("token", "target")
+
+
+@_query(f"{_RIVALS} SELECT token, rule, count(*) AS n FROM hit GROUP BY 1, 2")
+def rival_rules(spark, sf_dir):
+    return G.rival_rules(*_winners(spark, sf_dir))
+
+
+@_query(f"""{_RIVALS} SELECT win.token, w AS target, CASE WHEN (CASE WHEN wo IN ('ExtraCharacter', 'MissingCharacter') THEN wf >= 0.70e0 WHEN wo = 'AdjacentTransposition' THEN TRUE ELSE wf >= 0.65e0 END)
+    AND (win.token NOT IN (SELECT token FROM hit) OR (wo = 'AdjacentTransposition' AND wf >= 0.9995e0)) THEN 'apply' ELSE 'wait' END AS decision FROM win""")
+def guarded_decisions(spark, sf_dir):
+    return G.guarded_decisions(*_winners(spark, sf_dir))
+
+
 @_query(f"WITH {_WORDS}, {_COUNTS}, {_LEX} SELECT c.word AS token, l.word AS word FROM (SELECT * FROM counts WHERE n = 1) c JOIN lex l ON length(l.word) <= 20 AND starts_with(c.word, l.word)")
 def dictionary_prefixes(spark, sf_dir):
     docs = _docs(spark, sf_dir)
@@ -236,7 +280,7 @@ def dictionary_prefixes(spark, sf_dir):
     SELECT doc_id, count(*) AS n, count(l.word) AS known, round(coalesce(avg(l.freq), 0), 6) AS mean_freq FROM x LEFT JOIN lex l ON x.word = l.word GROUP BY 1""")
 def composite_lookup(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    known = C.sized(S.lexicon(docs).select(F.col("word").alias("known"), "freq"))
+    known = C.sized(S.lexicon(docs).select(F.col("word").alias("known"), "freq").cache())
     rows = S.word_rows(docs).join(known, F.lower("word") == F.col("known"), "left")
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count("known").alias("known"), F.round(F.coalesce(F.avg("freq"), F.lit(0.0)), 6).alias("mean_freq"))
 
@@ -415,7 +459,7 @@ _DECIDE = rf"""{_TOKENS}, {_WORDS}, {_COUNTS}, {_LEX}, {_DISTINCT}, m AS (SELECT
 
 @_query(f"WITH {_DECIDE} SELECT CASE WHEN reason = 'unique' THEN 'apply' WHEN reason IN ('ambiguous', 'rare_target') THEN 'wait' ELSE 'no_change' END AS decision, reason, count(*) AS n, sha256(string_agg(token, chr(10) ORDER BY encode(token))) AS fingerprint FROM d GROUP BY ALL")
 def decision_summary(spark, sf_dir):
-    d = decide(_distinct_tokens(spark, sf_dir), S.lexicon(_docs(spark, sf_dir)))
+    d = decide(_distinct_tokens(spark, sf_dir).cache(), S.lexicon(_docs(spark, sf_dir)).cache())
     # one digest over all tokens of a reason is the audit's own definition; its input is the distinct vocabulary
     ordered = F.array_join(F.array_sort(F.collect_list("token")), "\n")
     return d.groupBy("decision", "reason").agg(F.count(F.lit(1)).alias("n"), F.sha2(ordered, 256).alias("fingerprint"))
@@ -423,6 +467,6 @@ def decision_summary(spark, sf_dir):
 
 @_query(f"WITH {_DECIDE} SELECT count(*) AS examined, count(*) FILTER (WHERE reason = 'unique') AS apply, count(*) FILTER (WHERE reason IN ('ambiguous', 'rare_target')) AS wait, count(*) FILTER (WHERE reason IN ('protected', 'known', 'no_source')) AS no_change FROM d")
 def gate_counters(spark, sf_dir):
-    d = decide(_distinct_tokens(spark, sf_dir), S.lexicon(_docs(spark, sf_dir)))
+    d = decide(_distinct_tokens(spark, sf_dir).cache(), S.lexicon(_docs(spark, sf_dir)).cache())
     count = lambda x: F.count_if(F.col("decision") == x).alias(x)
     return d.agg(F.count(F.lit(1)).alias("examined"), count("apply"), count("wait"), count("no_change"))

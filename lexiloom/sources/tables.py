@@ -29,10 +29,14 @@ def english_counts(documents: DataFrame) -> DataFrame:
 
 
 def lexicon(documents: DataFrame, least: int = 5) -> DataFrame:
-    """word, n, rank, freq: words seen ``least`` times, ranked by count, frequency from rank.
+    return ranked_lexicon(english_counts(documents), least)
+
+
+def ranked_lexicon(counts: DataFrame, least: int = 5) -> DataFrame:
+    """word, n, rank, freq: words of ``counts(word, n)`` seen ``least`` times, ranked by count, frequency from rank.
 
     The rank is a running count over histogram bins of n, so only rows of one count are ever ordered together."""
-    words = english_counts(documents).filter(F.col("n") >= least)
+    words = counts.filter(F.col("n") >= least)
     bins = words.groupBy("n").agg(F.count(F.lit(1)).alias("k"))
     above = bins.select("n", (F.sum("k").over(Window.orderBy(F.desc("n"))) - F.col("k")).alias("above"), F.sum("k").over(Window.partitionBy()).alias("total"))
     ranked = words.join(F.broadcast(above), "n").withColumn("rank", F.col("above") + F.row_number().over(Window.partitionBy("n").orderBy("word")))
