@@ -210,13 +210,16 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     fb = facts.toDF("b", "nb", "kb")
     stars = workspace.materialize(stars.join(fa, "a").join(fb, "b").filter(_close("ka", "kb", "na", "nb", threshold)).select("a", "b").distinct(), "stars")
     links = _confirm(stars, docs, threshold)
+    workspace.drop(stars)
     first = workspace.materialize(connected_components(links), "components")
 
     at = members.join(first.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     by_comp = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
     open_ = by_comp.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("x"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("key", F.col("x.comp").alias("main"))
     left = workspace.materialize(at.join(open_, "key").join(facts, "rep").select("key", "rep", "comp", "main", "n", "sketch"), "open")
+    workspace.drop(members)
     second = connected_components(_cross_links(left, docs, threshold))
+    workspace.drop(left)
 
     label = reps.select("h1", "h2", "copies", "rep").join(first.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     label = label.join(second.toDF("comp", "root"), "comp", "left").select("h1", "h2", "rep", "copies", F.coalesce("root", "comp").alias("root"))
