@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import edits as E
 from lexiloom.functions import text as T
+from lexiloom.operators import audits as A
 from lexiloom.operators import candidates as C
 from lexiloom.operators import events as V
 from lexiloom.operators import gates as G
@@ -470,3 +471,58 @@ def gate_counters(spark, sf_dir):
     d = decide(_distinct_tokens(spark, sf_dir).cache(), S.lexicon(_docs(spark, sf_dir)).cache())
     count = lambda x: F.count_if(F.col("decision") == x).alias(x)
     return d.agg(F.count(F.lit(1)).alias("examined"), count("apply"), count("wait"), count("no_change"))
+
+
+# audits
+
+_SPLIT = "CASE WHEN ('0x' || sha256(word)[1:2])::INTEGER % 10 < 8 THEN 'train' WHEN ('0x' || sha256(word)[1:2])::INTEGER % 10 = 8 THEN 'valid' ELSE 'test' END"
+_CLASSES = """b AS (SELECT *, cost <= min(cost) OVER (PARTITION BY token) + 0.08 AS inb FROM src),
+    r AS (SELECT token, word, freq, row_number() OVER (PARTITION BY token ORDER BY freq DESC, cost, word) AS k FROM b WHERE inb),
+    u AS (SELECT x.token, x.word AS target, count(y.word) AS rivals FROM r x LEFT JOIN r y ON x.token = y.token AND y.k > 1 AND y.freq + 0.12e0 > x.freq WHERE x.k = 1 GROUP BY ALL)"""
+
+
+@_query(f"""WITH {_WORDS}, {_COUNTS}, {_LEX}, long AS (SELECT * FROM lex WHERE length(word) BETWEEN 2 AND 15), q AS (SELECT word, n, length(word) AS l, (n + 1) % 3 AS kind, (n * 7 + 1) % length(word) AS p, (n * 7 + 1) % (length(word) - 1) AS i FROM long WHERE length(word) >= 4),
+    m AS (SELECT word, CASE kind WHEN 0 THEN 'delete' WHEN 1 THEN 'swap' ELSE 'repeat' END AS slip,
+        CASE kind WHEN 0 THEN left(word, p) || word[p + 2:] WHEN 1 THEN left(word, i) || word[i + 2] || word[i + 1] || word[i + 3:] ELSE left(word, p + 1) || word[p + 1:] END AS mutation FROM q),
+    rare AS (SELECT DISTINCT mutation AS token FROM m WHERE mutation <> word AND mutation NOT IN (SELECT word FROM long)), {_NEAR}, {_KIND}, {_CLASSES}
+    SELECT slip, CASE WHEN mutation IN (SELECT word FROM long) THEN 'valid_word' WHEN u.token IS NULL THEN 'no_source' WHEN rivals > 0 THEN 'ambiguous' WHEN target = m.word THEN 'recovered' ELSE 'wrong' END AS outcome, count(*) AS n
+    FROM m LEFT JOIN u ON m.mutation = u.token WHERE mutation <> m.word GROUP BY ALL""")
+def slip_recovery(spark, sf_dir):
+    lex = S.lexicon(_docs(spark, sf_dir)).filter("length(word) between 2 and 15").select("word", "freq", "n").cache()
+    return A.recovery(A.seeded_slips(lex.filter("length(word) >= 4")), lex)
+
+
+@_query(f"""{_BASE}, {_CLASSES}, a AS (SELECT token, target AS ta FROM u WHERE rivals = 0), t AS (SELECT token, word AS tb, row_number() OVER (PARTITION BY token ORDER BY cost, freq DESC, word) AS k FROM src),
+    j AS (SELECT ta, tb FROM a FULL JOIN (SELECT * FROM t WHERE k = 1) t ON a.token = t.token)
+    SELECT count(*) AS tokens, count(*) FILTER (WHERE ta = tb) AS agree, count(*) FILTER (WHERE ta <> tb) AS differ, count(*) FILTER (WHERE tb IS NULL) AS only_a, count(*) FILTER (WHERE ta IS NULL) AS only_b FROM j""")
+def provider_comparison(spark, sf_dir):
+    sources = _sources(spark, sf_dir).cache()
+    first = C.top_candidates(sources, 1).select("token", F.col("word").alias("target"))
+    return A.compare_providers(C.classify_mutations(sources).select("token", "target"), first)
+
+
+@_query(f"WITH {_WORDS}, {_COUNTS}, {_LEX}, {_RARE}, {_NEAR} SELECT 'both' AS side, count(*) AS n FROM near")
+def candidate_set_difference(spark, sf_dir):
+    rare, lex = _rare_and_lexicon(spark, sf_dir)
+    return A.set_difference(C.one_edit_pairs(rare, lex), C.generated_pairs(rare, lex), ["token", "word"])
+
+
+@_query(f"""{_RIVALS}, f AS (SELECT win.token, CASE WHEN (CASE WHEN wo IN ('ExtraCharacter', 'MissingCharacter') THEN wf >= 0.70e0 WHEN wo = 'AdjacentTransposition' THEN TRUE ELSE wf >= 0.65e0 END)
+        AND (win.token NOT IN (SELECT token FROM hit) OR (wo = 'AdjacentTransposition' AND wf >= 0.9995e0)) THEN 'apply' ELSE 'wait' END AS second, CASE WHEN wf >= 0.70e0 THEN 'apply' ELSE 'wait' END AS first FROM win)
+    SELECT first, count(*) FILTER (WHERE second = 'apply') AS apply, count(*) FILTER (WHERE second = 'wait') AS wait FROM f GROUP BY 1""")
+def outcome_matrix(spark, sf_dir):
+    sources, winners = _winners(spark, sf_dir)
+    freq = sources.select("token", F.col("word").alias("target"), "freq").join(winners, ["token", "target"])
+    plain = freq.select("token", F.when(F.col("freq") >= 0.70, "apply").otherwise("wait").alias("decision"))
+    return A.outcome_matrix(plain, G.guarded_decisions(sources, winners), ["apply", "wait"])
+
+
+@_query(f"""WITH {_WORDS}, {_COUNTS}, {_LEX}, s AS (SELECT word, {_SPLIT} AS part FROM lex),
+    seen AS (SELECT prefix, count(*) AS c FROM (SELECT unnest(list_transform(range(1, least(length(word), 10) + 1), lambda k: word[:k])) AS prefix FROM s WHERE part = 'train') GROUP BY 1),
+    a AS (SELECT word, unnest(range(4, least(length(word), 10) + 1)) AS k FROM s WHERE part = 'test' AND length(word) >= 4),
+    h AS (SELECT word, k, coalesce(c, 0) AS c FROM a LEFT JOIN seen ON a.word[:k] = prefix),
+    e AS (SELECT least, word, min(k) FILTER (WHERE c >= least) AS length FROM h, (VALUES (1), (2), (4), (8)) v(least) GROUP BY 1, 2)
+    SELECT least::BIGINT AS least, length, count(*) AS n FROM e GROUP BY 1, 2""")
+def early_prefix_audit(spark, sf_dir):
+    lex = S.lexicon(_docs(spark, sf_dir)).withColumn("part", T.hash_split(F.col("word"))).cache()
+    return A.early_prefix_audit(lex.filter("part = 'train'"), lex.filter("part = 'test'"), [1, 2, 4, 8])
