@@ -279,14 +279,14 @@ def test_tagger_adds_a_phone_and_card_that_the_patterns_merge():
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Site</header><nav><ul><li><a href=x>Home</a></li></ul></nav>
 <div class="ad">Buy</div><article><header><h1>Head &amp; line</h1></header><p><b>One
- two<br><p>Three <i>four</i>&#33;</p><form><input>Search</form><aside>More</aside><ul><li>a<li>b</ul></article><div id="comments"><p>I think</p></div><div class="cookie-notice">OK?</div><footer>&copy;</footer></body>"""
+ two<br><p>Three <i>four</i>&#33;</p><form><input>Search</form><aside>More</aside><ul><li>a <span class="share-bar">tweet <span>it</span></span> x<li>b</ul></article><div id="comments"><p>I think</p></div><div class="cookie-notice">OK?</div><footer>&copy;</footer></body>"""
 
 
 def test_extraction(spark):
     rows = [(1, "http://h.example/a", PAGE), (2, None, None), (3, "x", ""), (None, "http://h.example/b", "<p>alone &lt;b&gt;"), (5, "http://h.example/c", "<div><p>text<p>more"), (5, "http://h.example/c", "<div><p>text<p>more")]
     df = spark.createDataFrame([(*r, "t", 1) for r in rows], "page_id long, url string, html string, text string, low int")
     got = [(r.page_id, r.text, r.n_chars) for r in extraction.extract_main_text(df).collect()]
-    want = {1: "Head & line\nOne two\nThree four!\na\nb", 2: "", 3: "", None: "alone <b>", 5: "text\nmore"}
+    want = {1: "Head & line\nOne two\nThree four!\na x\nb", 2: "", 3: "", None: "alone <b>", 5: "text\nmore"}
     assert len(got) == 6 and all(t == want[p] and n == len(t) for p, t, n in got)
     assert extraction.extract_main_text(df.limit(0)).count() == 0
 
