@@ -11,7 +11,7 @@ RU_KEYS = "ёйцукенгшщзхъфывапролджэячсмитьбю./
 # fixed values: names that are never corrected
 TECHNICAL_NAMES = (
     "Cursor", "GitHub", "GitLab", "VSCode", "VS", "Code", "Microsoft", "Windows", "Linux", "Docker", "npm", "Node", "React", "Angular", "Vue", "Python",
-    "JavaScript", "TypeScript", "StackOverflow", "IntelliJ", "JetBrains", "Avalonia", "dotnet", "NuGet", "PowerShell", "SmartInput",
+    "JavaScript", "TypeScript", "StackOverflow", "IntelliJ", "JetBrains", "Avalonia", "dotnet", "NuGet", "PowerShell",
 )
 LETTERS = r"\p{L}+"
 
