@@ -2,25 +2,27 @@
 
 Each class interpolates its discounted bigrams with its discounted words, and those with backoff counts that both
 classes share in proportion to their sizes, so an expression that is rare in both has nearly equal likelihoods.
-A word counts once per text, so one text cannot make it common. Counts are taken over all labelled rows; the model that is sent to executors is bounded by its capacity parameters
-(most frequent entries first; what is left out backs off). A text is judged by its length-normalised log-likelihood
+A word counts once per text, so one text cannot make it common. Counts are taken over all labelled rows and no
+expression is left out of the model: up to ``HEAD_WORDS`` and ``HEAD_BIGRAMS`` of the most frequent are sent to every
+executor, and what is beyond is looked up by a shuffled join. A text is judged by its length-normalised log-likelihood
 ratio, over the whole and over its worst short and long stretch, through a logistic fit on rows that were not counted.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm import workspace
 from lexiloom.llm.textkernel import slices, string_buffers, word_bounds, word_hashes
 
 FOLDS = 5  # fold 0 is held out, the last calibrates, the others are counted
-MAX_WORDS, MAX_BIGRAMS = 200_000, 300_000
+#: Entries that executors hold in memory, at 16 bytes each; the model itself has no such bound.
+HEAD_WORDS, HEAD_BIGRAMS = 1_000_000, 2_000_000
 #: Expressions seen less often in both classes together are rare: only the shared counts speak for them.
 LEAST_COUNT = 5
 CALIBRATION_ROWS = 5000
@@ -31,6 +33,7 @@ SHARED = 10.0
 BROADCAST_LABELS = 1_000_000
 _D = 0.75
 _U = np.uint64
+_ODD = _U(0x9E3779B97F4A7C15)
 _BREAK = np.zeros(256, bool)
 _BREAK[:128] = True
 _BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), ord("_")]] = False
@@ -47,53 +50,121 @@ def _words(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(buf, starts, ends, lower=False), first
 
 
+def _pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return first * _ODD + second
+
+
+def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of keys in a sorted table, -1 where they are not in it."""
+    if not len(table):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return np.where(table[at] == keys, at, -1)
+
+
 @dataclass
-class Model:
-    words: np.ndarray  # sorted hashes; place 0 of the other arrays stands for all unknown words
+class Head:
+    """Log-likelihood ratios of the most frequent words and pairs, by sorted keys."""
+
+    words: np.ndarray
     word_ratio: np.ndarray
-    pairs: np.ndarray  # sorted (first place << 32 | second place)
-    pair_ratio: np.ndarray  # pairs that are not here back off to the ratio of the word
+    pairs: np.ndarray
+    pair_ratio: np.ndarray
+    unknown: float
+
+    def look(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ratio of each word given the one before it in its text; whether the pair (the word) may be beyond the head."""
+        at = _find(self.words, words)
+        out = np.full(len(words), self.unknown)
+        out[at >= 0] = self.word_ratio[at[at >= 0]]
+        inner = np.ones(len(words), bool)
+        inner[first[first < len(words)]] = False
+        second = np.flatnonzero(inner)
+        pair = _find(self.pairs, _pair_keys(words[second - 1], words[second]))
+        held = second[pair >= 0]
+        out[held] = self.pair_ratio[pair[pair >= 0]]
+        inner[held] = False
+        new = at < 0
+        new[held] = False
+        return out, inner, new
+
+
+@dataclass
+class Model:
+    """``tail_words(w, ratio)`` and ``tail_pairs(v, w, ratio)`` hold what the head does not; None if it holds all."""
+
+    head: Head
+    tail_words: DataFrame | None
+    tail_pairs: DataFrame | None
     weights: np.ndarray
     centre: np.ndarray
     spread: np.ndarray
 
-    def places(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(words), np.int64)
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, at + 1, 0)
-
-    def ratios(self, place: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Log-likelihood ratio of each word given the one before it in its text."""
-        out = self.word_ratio[place]
-        if len(place) < 2:
-            return out
-        key = (place[:-1] << 32) | place[1:]
-        given = out[1:]
-        if len(self.pairs):
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            given = np.where(self.pairs[at] == key, self.pair_ratio[at], given)
-        starts = np.zeros(len(place), bool)
-        starts[first[first < len(place)]] = True
-        return np.where(starts, out, np.concatenate([out[:1], given]))
-
-    def features(self, part: pa.RecordBatch) -> np.ndarray:
-        words, first = _words(part)
-        total = np.concatenate([[0.0], np.cumsum(self.ratios(self.places(words), first[:-1]))])
-        out = np.zeros((len(first) - 1, 1 + len(STRETCHES)))
-        for i in range(len(out)):
-            t = total[first[i] : first[i + 1] + 1]
-            n = len(t) - 1
-            if n:
-                out[i, 0] = (t[-1] - t[0]) / n
-                for k, width in enumerate(STRETCHES):
-                    w = min(width, n)
-                    out[i, 1 + k] = (t[w:] - t[:-w]).max() / width
-        return out
-
-    def score(self, x: np.ndarray) -> np.ndarray:
-        z = self.weights[0] + ((x - self.centre) / self.spread) @ self.weights[1:]
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    def score(self, x: Column) -> Column:
+        z = F.lit(float(self.weights[0]))
+        for i, (w, c, s) in enumerate(zip(self.weights[1:], self.centre, self.spread)):
+            z = z + (x[i] - float(c)) / float(s) * float(w)
+        return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
+
+
+def _stretches(ratios: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    total = np.concatenate([[0.0], np.cumsum(ratios)])
+    out = np.zeros((len(first) - 1, 1 + len(STRETCHES)))
+    for i in range(len(out)):
+        t = total[first[i] : first[i + 1] + 1]
+        n = len(t) - 1
+        if n:
+            out[i, 0] = (t[-1] - t[0]) / n
+            for k, width in enumerate(STRETCHES):
+                w = min(width, n)
+                out[i, 1 + k] = (t[w:] - t[:-w]).max() / width
+    return list(out)
+
+
+def _measure(head: Head, names: list[str]):
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                words, first = _words(part)
+                ratios = head.look(words, first[:-1])[0]
+                if "hits" in part.schema.names:
+                    for i, hits in enumerate(part.column("hits").to_pylist()):
+                        for hit in sorted(hits or [], key=lambda h: h["pair"]):  # a pair speaks over its word
+                            ratios[first[i] + hit["pos"]] = hit["ratio"]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(_stretches(ratios, first), pa.list_(pa.float64()))], names=[*names, "x"])
+
+    return run
+
+
+def with_features(rows: DataFrame, model: Model) -> DataFrame:
+    """``rows(..., text)`` without text, with the features ``x`` of the text."""
+    head, others = model.head, [f for f in rows.schema.fields if f.name != "text"]
+    names = [f.name for f in others]
+    if model.tail_pairs is None:
+        return rows.mapInArrow(_measure(head, names), ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in others), "x array<double>"]))
+
+    def beyond(batches):
+        for batch in batches:
+            for part in slices(batch):
+                words, first = _words(part)
+                _, pair, word = head.look(words, first[:-1])
+                at = np.flatnonzero(pair | word)
+                text = np.searchsorted(first, at, side="right") - 1
+                out = [part.column(n).take(pa.array(text)) for n in ("k1", "k2")]
+                signed = words.view(np.int64)
+                before = np.where(pair[at], signed[np.maximum(at - 1, 0)], 0)
+                out += [pa.array(at - first[text]), pa.array(pair[at]), pa.array(word[at]), pa.array(before), pa.array(signed[at])]
+                yield pa.RecordBatch.from_arrays(out, names=["k1", "k2", "pos", "is_pair", "is_new", "v", "w"])
+
+    # equal texts have equal features: each text is measured once, under 96 bits of hashes
+    key = [F.xxhash64(F.coalesce("text", F.lit(""))).alias("k1"), F.hash(F.coalesce("text", F.lit(""))).alias("k2")]
+    texts = workspace.materialize(rows.select(*key, "text").groupBy("k1", "k2").agg(F.min("text").alias("text")), "texts")
+    misses = workspace.materialize(texts.mapInArrow(beyond, "k1 long, k2 int, pos long, is_pair boolean, is_new boolean, v long, w long"), "misses")
+    found = misses.filter("is_pair").join(model.tail_pairs, ["v", "w"]).select("k1", "k2", "pos", F.lit(1).alias("pair"), "ratio")
+    found = found.unionByName(misses.filter("is_new").join(model.tail_words, "w").select("k1", "k2", "pos", F.lit(0).alias("pair"), "ratio"))
+    found = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "pair", "ratio")).alias("hits"))
+    measures = texts.join(found, ["k1", "k2"], "left").select("k1", "k2", "text", "hits").mapInArrow(_measure(head, ["k1", "k2"]), "k1 long, k2 int, x array<double>")
+    return rows.select(*names, *key).join(measures, ["k1", "k2"]).select(*names, "x")
 
 
 def _once(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -105,26 +176,40 @@ def _once(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
     return order[new]
 
 
-def _tally(keys: list[np.ndarray], marks: list[np.ndarray], name: str) -> pa.RecordBatch:
+def _tally(keys: list[np.ndarray], marks: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    """Texts of each class by key; a key is one column of each array."""
     key, mark = np.concatenate(keys), np.concatenate(marks)
-    unique, where = np.unique(key, return_inverse=True)
-    n, t = np.bincount(where, minlength=len(unique)), np.bincount(where, weights=mark, minlength=len(unique)).astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(t), pa.array(n - t)], names=[name, "t", "o"])
-
-
-def _count_words(batches):
-    for batch in batches:
-        toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
-        at, keys, marks = 0, [], []
-        for part in slices(batch):
-            words, first = _words(part)
-            doc = np.repeat(np.arange(at, at + part.num_rows), np.diff(first))
-            once = _once(doc, words)
-            keys.append(words[once])
-            marks.append(toxic[doc[once]])
-            at += part.num_rows
-        if keys:
-            yield _tally(keys, marks, "w")
+    order = np.lexsort(key.T)
+    key, mark = key[order], mark[order].astype(np.int64)
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]).any(axis=1)
+    at = np.flatnonzero(new)
+    n = np.diff(np.append(at, len(key)))
+    t = np.add.reduceat(mark, at) if len(at) else np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([*(pa.array(c) for c in np.ascontiguousarray(key[at].T).view(np.int64)), pa.array(t), pa.array(n - t)], names=[*names, "t", "o"])
+
+
+def _count(of_pairs: bool):
+    def run(batches):
+        for batch in batches:
+            toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
+            at, keys, marks = 0, [], []
+            for part in slices(batch):
+                words, first = _words(part)
+                doc = np.repeat(np.arange(at, at + part.num_rows), np.diff(first))
+                at += part.num_rows
+                if of_pairs:
+                    inner = np.flatnonzero(doc[1:] == doc[:-1])
+                    once = inner[_once(doc[inner], _pair_keys(words[inner], words[inner + 1]))]
+                    keys.append(np.stack([words[once], words[once + 1]], axis=1))
+                else:
+                    once = _once(doc, words)
+                    keys.append(words[once][:, None])
+                marks.append(toxic[doc[once]])
+            if keys:
+                yield _tally(keys, marks, ["v", "w"] if of_pairs else ["w"])
+
+    return run
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> np.ndarray:
@@ -142,96 +227,70 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Counts over all labelled rows of the counting folds, reduced to a bounded model, then calibrated."""
+    """Counts over all labelled rows of the counting folds, turned into log-likelihood ratios, then calibrated."""
     spark = docs.sparkSession
     workspace.ship(spark)
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("lid")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     marks = workspace.materialize(marks.withColumn("fold", fold(F.col("lid"))).filter("fold != 0"), "labels")
-    few = marks.count() <= BROADCAST_LABELS
-    small = F.broadcast if few else (lambda df: df)
+    small = F.broadcast if marks.count() <= BROADCAST_LABELS else (lambda df: df)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with_label = lambda m: rows.join(small(m), F.col("doc_id") == F.col("lid")).select("doc_id", "text", "toxic")
     counted = with_label(marks.filter(F.col("fold") != FOLDS - 1))
 
-    table = counted.mapInArrow(_count_words, "w long, t long, o long").groupBy("w").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
-    table = workspace.materialize(table, "words")
-    n_toxic, n_other = (int(x or 0) for x in table.agg(F.sum("t"), F.sum("o")).first())
-    kept = table.filter(F.col("t") + F.col("o") >= LEAST_COUNT).orderBy(F.desc(F.col("t") + F.col("o")), "w").limit(MAX_WORDS).toPandas()
-    hashes = kept["w"].to_numpy(np.int64).view(_U)
-    order = np.argsort(hashes)
-    hashes = hashes[order]
-    class_count = np.zeros((2, len(hashes) + 1))
-    class_count[0, 1:], class_count[1, 1:] = kept["t"].to_numpy()[order], kept["o"].to_numpy()[order]
-    class_count[:, 0] = [n_toxic - class_count[0].sum(), n_other - class_count[1].sum()]
-    blank = Model(hashes, np.zeros(len(hashes) + 1), np.zeros(0, np.int64), np.zeros(0), np.zeros(2 + len(STRETCHES)), np.zeros(1 + len(STRETCHES)), np.ones(1 + len(STRETCHES)))
-
-    def count_pairs(batches):
-        for batch in batches:
-            toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
-            at, keys, marks = 0, [], []
-            for part in slices(batch):
-                words, first = _words(part)
-                place = blank.places(words)
-                doc = np.repeat(np.arange(at, at + part.num_rows), np.diff(first))
-                at += part.num_rows
-                inner = np.flatnonzero(doc[1:] == doc[:-1])
-                key = (place[inner] << 32) | place[inner + 1]
-                once = _once(doc[inner], key)
-                keys.append(key[once])
-                marks.append(toxic[doc[inner][once]])
-            if keys:
-                yield _tally(keys, marks, "k")
-
-    pairs = counted.mapInArrow(count_pairs, "k long, t long, o long").groupBy("k").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
-    pairs = workspace.materialize(pairs, "pairs")
-    second = F.col("k").bitwiseAND(F.lit((1 << 32) - 1))
-    follow = pairs.groupBy(second.cast("int").alias("w")).agg(F.count(F.lit(1)).alias("n")).toPandas()  # one row per known word
-    often = pairs.filter((F.col("t") + F.col("o") >= LEAST_COUNT) & (second != 0) & (F.shiftright("k", 32) != 0))
-    often = often.orderBy(F.desc(F.col("t") + F.col("o")), "k").limit(MAX_BIGRAMS).orderBy("k").toPandas()
-    context = pairs.groupBy(F.shiftright("k", 32).cast("int").alias("v")).agg(F.sum("t").alias("t"), F.sum("o").alias("o")).toPandas()
-
-    size = len(hashes) + 1
-    left = np.zeros(size)
-    left[follow["w"].to_numpy()] = follow["n"].to_numpy()
-    shared = SHARED + np.log1p(left)
-    totals = np.maximum(class_count.sum(axis=1), 1)
-    part_of = totals / totals.sum()
-    discounted = np.maximum(class_count - _D, 0)
-    discounted[:, 0] = class_count[:, 0]  # unknown words stand together
-    word = discounted + part_of[:, None] * shared
-    word /= word.sum(axis=1, keepdims=True)
-    lean = word / (part_of[:, None] * word).sum(axis=0)  # class likelihood over that of both
-
-    key = often["k"].to_numpy(np.int64)
-    v, w = key >> 32, key & ((1 << 32) - 1)
-    seen = np.zeros((2, size))
-    for c, name in enumerate(("t", "o")):
-        seen[c, context["v"].to_numpy()] = context[name].to_numpy()
-    own = (seen + SHARED * part_of[:, None]) / (seen.sum(axis=0) + SHARED)  # each class's part in a context
-    pair = np.stack([np.maximum(often[name].to_numpy(float) - _D, 0) for name in ("t", "o")])
-    pair = (pair + SHARED * own[:, v] * lean[:, w]) / own[:, v]
-    both = n_toxic > 0 and n_other > 0
-    ratio = (lambda a: np.log(a[0]) - np.log(a[1])) if both else (lambda a: np.zeros(a.shape[1]))
-    model = Model(hashes, ratio(word), key, ratio(pair), blank.weights, blank.centre, blank.spread)
+    totals = [F.sum("t").alias("t"), F.sum("o").alias("o")]
+    words = workspace.materialize(counted.mapInArrow(_count(False), "w long, t long, o long").groupBy("w").agg(*totals), "words")
+    pairs = workspace.materialize(counted.mapInArrow(_count(True), "v long, w long, t long, o long").groupBy("v", "w").agg(*totals), "pairs")
+    frequent = F.col("t") + F.col("o") >= LEAST_COUNT
+    left = pairs.groupBy("w").agg(F.count(F.lit(1)).alias("left"))
+    words = words.join(left, "w", "left").select("w", "t", "o", F.coalesce("left", F.lit(0)).alias("left"))
+    rare = words.filter(~frequent).agg(*totals, F.sum("left").alias("left")).first()
+    known = workspace.materialize(words.filter(frequent).withColumn("shared", SHARED + F.log1p("left")), "known_words")
+    less = lambda n: F.greatest(n - _D, F.lit(0.0))
+    sums = known.agg(*totals, F.sum(less(F.col("t"))).alias("dt"), F.sum(less(F.col("o"))).alias("do"), F.sum("shared").alias("shared")).first()
+    # unknown words stand together
+    unknown = np.array([rare["t"] or 0, rare["o"] or 0], float)
+    unknown_shared = SHARED + np.log1p(rare["left"] or 0)
+    n = unknown + [sums["t"] or 0, sums["o"] or 0]
+    both = n.min() > 0
+    part_of = np.maximum(n, 1) / np.maximum(n, 1).sum()
+    mass = unknown + [sums["dt"] or 0, sums["do"] or 0] + part_of * (unknown_shared + (sums["shared"] or 0))
+    chance = [(less(F.col(c)) + float(part_of[i]) * F.col("shared")) / float(mass[i]) for i, c in enumerate("to")]
+    known = known.select("w", (F.col("t") + F.col("o")).alias("n"), *(p.alias(f"p{c}") for p, c in zip(chance, "to")))
+    ratio = lambda a, b: F.round(F.log(a) - F.log(b), 12) if both else F.lit(0.0)
+    word_table = workspace.materialize(known.select("w", "n", ratio(F.col("pt"), F.col("po")).alias("ratio")), "word_ratios")
+
+    # a class's pairs after v, in its part of all texts with v, against its word over that of both classes
+    context = pairs.groupBy("v").agg(F.sum("t").alias("vt"), F.sum("o").alias("vo"))
+    often = pairs.filter(frequent).join(context, "v").join(known.drop("n"), "w")
+    lean = float(part_of[0]) * F.col("pt") + float(part_of[1]) * F.col("po")
+    own = [(F.col(f"v{c}") + SHARED * float(part_of[i])) / (F.col("vt") + F.col("vo") + SHARED) for i, c in enumerate("to")]
+    given = [less(F.col(c)) / own[i] + SHARED * F.col(f"p{c}") / lean for i, c in enumerate("to")]
+    pair_table = workspace.materialize(often.select("v", "w", (F.col("t") + F.col("o")).alias("n"), ratio(*given).alias("ratio")), "pair_ratios")
+
+    all_held = word_table.count() <= HEAD_WORDS and pair_table.count() <= HEAD_BIGRAMS
+    held_words = word_table.orderBy(F.desc("n"), "w").limit(HEAD_WORDS).select("w", "ratio")
+    held_pairs = pair_table.orderBy(F.desc("n"), "v", "w").limit(HEAD_BIGRAMS).select("v", "w", "ratio")
+    if not all_held:
+        held_words, held_pairs = workspace.materialize(held_words, "head_words"), workspace.materialize(held_pairs, "head_pairs")
+    some, some_pairs = held_words.toPandas(), held_pairs.toPandas()
+    unsigned = lambda c: c.to_numpy(np.int64).view(_U)
+    key, pair_key = unsigned(some["w"]), _pair_keys(unsigned(some_pairs["v"]), unsigned(some_pairs["w"]))
+    order, pair_order = np.argsort(key), np.argsort(pair_key)
+    whole = (unknown + part_of * unknown_shared) / mass
+    head = Head(key[order], some["ratio"].to_numpy(float)[order], pair_key[pair_order], some_pairs["ratio"].to_numpy(float)[pair_order], float(np.log(whole[0] / whole[1])) if both else 0.0)
+    tails = (None, None) if all_held else (word_table.join(held_words, "w", "left_anti").drop("n"), pair_table.join(held_pairs, ["v", "w"], "left_anti").drop("n"))
+    model = Model(head, *tails, np.zeros(2 + len(STRETCHES)), np.zeros(1 + len(STRETCHES)), np.ones(1 + len(STRETCHES)))
 
     held = marks.filter(F.col("fold") == FOLDS - 1).orderBy(F.xxhash64("lid"), "lid").limit(CALIBRATION_ROWS)
 
-    def measure(batches):
-        for batch in batches:
-            for part in slices(batch):
-                x = model.features(part)
-                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(list(x), pa.list_(pa.float64()))], names=["toxic", "x"])
-
-    sample = with_label(workspace.materialize(held, "calibration")).mapInArrow(measure, "toxic int, x array<double>").orderBy("x", "toxic").toPandas()
+    sample = with_features(with_label(workspace.materialize(held, "calibration")).select("toxic", "text"), model).orderBy("x", "toxic").toPandas()
     base = marks.agg(F.avg("toxic")).first()[0] or 0.0
     if both and sample["toxic"].nunique() == 2:
         x, y = np.stack(sample["x"].to_list()), sample["toxic"].to_numpy(float)
-        model.centre, model.spread = x.mean(axis=0), x.std(axis=0) + 1e-9
-        model.weights = _logistic((x - model.centre) / model.spread, y)
-    else:
-        share = min(max(base, 1e-3), 1 - 1e-3)
-        model.weights = np.array([np.log(share / (1 - share)), *([1.0] * (1 + len(STRETCHES)))])
-    return model
+        centre, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+        return replace(model, weights=_logistic((x - centre) / spread, y), centre=centre, spread=spread)
+    share = min(max(base, 1e-3), 1 - 1e-3)
+    return replace(model, weights=np.array([np.log(share / (1 - share)), *([1.0] * (1 + len(STRETCHES)))]))
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -242,13 +301,8 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """
     workspace.ship(docs.sparkSession)
 
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.score(model.features(part)))], names=["doc_id", "score"])
-
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = rows.mapInArrow(run, "doc_id long, score double")
+    scored = with_features(rows, model).select("doc_id", model.score(F.col("x")).alias("score"))
     held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -338,6 +338,19 @@ def test_archive_round_trip(spark):
 # toxicity
 
 
+def test_toxicity_beyond_the_head_scores_alike(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-2, ""), (None, "x y")], "doc_id long, text string"))
+    rows = lambda: sorted(((r.doc_id is None, r.doc_id, r.score) for r in toxicity.toxicity(docs, labels).collect()), key=str)
+    whole = rows()
+    monkeypatch.setattr(toxicity, "HEAD_WORDS", 40)
+    monkeypatch.setattr(toxicity, "HEAD_BIGRAMS", 25)
+    split = rows()
+    assert [r[:2] for r in whole] == [r[:2] for r in split]
+    assert max(abs(a[2] - b[2]) for a, b in zip(whole, split)) < 1e-6
+    assert len({round(r[2], 6) for r in whole}) > 100
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(6)
     rows, labels = [], []
