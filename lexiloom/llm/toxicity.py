@@ -267,17 +267,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     given = [less(F.col(c)) / own[i] + SHARED * F.col(f"p{c}") / lean for i, c in enumerate("to")]
     pair_table = workspace.materialize(often.select("v", "w", (F.col("t") + F.col("o")).alias("n"), ratio(*given).alias("ratio")), "pair_ratios")
 
+    workspace.drop(pairs)
     all_held = word_table.count() <= HEAD_WORDS and pair_table.count() <= HEAD_BIGRAMS
-    held_words = word_table.orderBy(F.desc("n"), "w").limit(HEAD_WORDS).select("w", "ratio")
-    held_pairs = pair_table.orderBy(F.desc("n"), "v", "w").limit(HEAD_BIGRAMS).select("v", "w", "ratio")
+    held_words, held_pairs = word_table, pair_table
     if not all_held:
-        held_words, held_pairs = workspace.materialize(held_words, "head_words"), workspace.materialize(held_pairs, "head_pairs")
-    some, some_pairs = held_words.toPandas(), held_pairs.toPandas()
-    unsigned = lambda c: c.to_numpy(np.int64).view(_U)
+        held_words = workspace.materialize(word_table.orderBy(F.desc("n"), "w").limit(HEAD_WORDS), "head_words")
+        held_pairs = workspace.materialize(pair_table.orderBy(F.desc("n"), "v", "w").limit(HEAD_BIGRAMS), "head_pairs")
+    some, some_pairs = held_words.select("w", "ratio").toArrow(), held_pairs.select("v", "w", "ratio").toArrow()
+    unsigned = lambda c: c.to_numpy().view(_U)
     key, pair_key = unsigned(some["w"]), _pair_keys(unsigned(some_pairs["v"]), unsigned(some_pairs["w"]))
     order, pair_order = np.argsort(key), np.argsort(pair_key)
     whole = (unknown + part_of * unknown_shared) / mass
-    head = Head(key[order], some["ratio"].to_numpy(float)[order], pair_key[pair_order], some_pairs["ratio"].to_numpy(float)[pair_order], float(np.log(whole[0] / whole[1])) if both else 0.0)
+    head = Head(key[order], some["ratio"].to_numpy()[order], pair_key[pair_order], some_pairs["ratio"].to_numpy()[pair_order], float(np.log(whole[0] / whole[1])) if both else 0.0)
     tails = (None, None) if all_held else (word_table.join(held_words, "w", "left_anti").drop("n"), pair_table.join(held_pairs, ["v", "w"], "left_anti").drop("n"))
     model = Model(head, *tails, np.zeros(2 + len(STRETCHES)), np.zeros(1 + len(STRETCHES)), np.ones(1 + len(STRETCHES)))
 
