@@ -53,3 +53,11 @@ def character_trigrams(lexicon: DataFrame, letters: int = 33, alpha: float = 0.1
     uni = (F.col("nc") + alpha) / (F.col("tt") + letters * alpha)
     bi = (F.col("nb") + beta * uni) / (F.col("tb") + beta)
     return tri.select("a", "b", "c", F.log((F.col("n") + beta * bi) / (F.col("ta") + beta)).alias("logp"))
+
+
+def mean_log_likelihood(words: DataFrame, trigrams: DataFrame, unseen: float = -8.0) -> DataFrame:
+    """word, mean_logp, n over the trigrams of each of ``words(word)``; ``unseen`` stands for trigrams that the model does not have."""
+    padded = F.concat(F.lit(START * 2), F.col("word"))
+    rows = words.filter("word != ''").select("word", F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: padded.substr(i, F.lit(3)))).alias("t"))
+    model = trigrams.select(F.concat("a", "b", "c").alias("t"), "logp")
+    return rows.join(model, "t", "left").groupBy("word").agg(F.avg(F.coalesce("logp", F.lit(unseen))).alias("mean_logp"), F.count(F.lit(1)).alias("n"))

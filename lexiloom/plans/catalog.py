@@ -15,6 +15,8 @@ from lexiloom.operators import events as V
 from lexiloom.operators import gates as G
 from lexiloom.operators import models as M
 from lexiloom.operators import punctuation as P
+from lexiloom.operators import sessions as N
+from lexiloom.operators import spelling as L
 from lexiloom.plans.decisions import decide
 from lexiloom.sources import tables as S
 from lexiloom.streaming.tokens import as_input, completed_tokens
@@ -437,6 +439,70 @@ def closed_up_text(spark, sf_dir):
     return _turns(spark, sf_dir).select("id", P.close_up(F.col("text")).alias("text"))
 
 
+# farther candidates and sessions
+
+_FAR = """far AS (SELECT token, word, freq, damerau_levenshtein(token, word)::BIGINT AS distance FROM rare JOIN long ON abs(length(token) - length(word)) <= 2 AND token <> word AND damerau_levenshtein(token, word) <= 2),
+    nearest AS (SELECT * FROM far QUALIFY distance = min(distance) OVER (PARTITION BY token)),
+    cand AS (SELECT *, count(*) OVER (PARTITION BY token) AS n, row_number() OVER (PARTITION BY token ORDER BY freq DESC, word) AS rank FROM nearest),
+    scored AS (SELECT *, 0.76e0 + 0.12e0 * freq - CASE WHEN n > 1 THEN 0.08e0 ELSE 0 END - 0.10e0 * (distance - 1) AS score FROM cand WHERE rank <= 16)"""
+
+
+def _scored(rare: DataFrame, lex: DataFrame) -> DataFrame:
+    found = L.two_edit_candidates(rare, lex)
+    return found.withColumn("score", L.external_score(F.col("distance"), F.col("freq"), F.col("n")))
+
+
+@_query(f"WITH {_WORDS}, {_COUNTS}, {_LEX}, {_RARE}, {_FAR} SELECT token, word, distance, rank, n, round(score, 9) AS score FROM scored")
+def two_edit_candidates(spark, sf_dir):
+    return _scored(*_rare_and_lexicon(spark, sf_dir)).select("token", "word", "distance", "rank", "n", F.round("score", 9).alias("score"))
+
+
+@_query(f"""WITH {_WORDS}, {_COUNTS}, {_LEX}, {_RARE}, {_FAR}, o AS (
+        SELECT token, 'spelling' AS kind, word, score + 0.06e0 AS score FROM scored WHERE rank <= 2
+        UNION ALL SELECT translate(token, '{_EN}', '{_RU}'), 'combined', word, score + 0.04e0 FROM scored WHERE rank <= 2
+        UNION ALL SELECT translate(word, '{_EN}', '{_RU}'), 'layout', word, 0.86e0 FROM long WHERE freq >= 0.55e0),
+    r AS (SELECT *, row_number() OVER x AS k, lead(score) OVER x AS second FROM o WINDOW x AS (PARTITION BY token ORDER BY score DESC, kind, word))
+    SELECT token, kind, word, CASE WHEN second >= 0.45e0 AND round(score - second, 9) <= 0.05e0 THEN 'wait' WHEN score >= 0.70e0 THEN 'apply' WHEN score >= 0.45e0 THEN 'wait' ELSE 'no_change' END AS decision FROM r WHERE k = 1""")
+def joint_decisions(spark, sf_dir):
+    rare, lex = _rare_and_lexicon(spark, sf_dir)
+    best = _scored(rare, lex).filter("rank <= 2")
+    spelling = best.select("token", F.lit("spelling").alias("kind"), "word", (F.col("score") + 0.06).alias("score"))
+    combined = best.select(T.to_russian_layout(F.col("token")).alias("token"), F.lit("combined").alias("kind"), "word", (F.col("score") + 0.04).alias("score"))
+    layout = lex.filter("freq >= 0.55").select(T.to_russian_layout(F.col("word")).alias("token"), F.lit("layout").alias("kind"), "word", F.lit(0.86).alias("score"))
+    return L.joint_decisions(spelling.unionByName(combined).unionByName(layout))
+
+
+@_query(f"""WITH {_WORDS}, {_COUNTS}, {_LEX}, z AS (SELECT word, freq, ('0x' || sha256(word)[1:2])::INTEGER % 10 AS b FROM lex),
+    r AS (SELECT freq, unnest(list_transform(range(1, length(word) + 1), lambda i: ('^^' || word)[i:i + 2])) AS t FROM z WHERE b < 8),
+    g AS (SELECT t[1] AS a, t[2] AS b, t[3] AS c, sum(freq * freq) AS n FROM r GROUP BY ALL),
+    s AS (SELECT *, sum(n) OVER (PARTITION BY b, c) AS nb, sum(n) OVER (PARTITION BY b) AS tb, sum(n) OVER (PARTITION BY c) AS nc, sum(n) OVER () AS tt, sum(n) OVER (PARTITION BY a, b) AS ta FROM g),
+    p AS (SELECT a || b || c AS t, ln((n + 2 * ((nb + 2 * ((nc + 0.1) / (tt + 3.3))) / (tb + 2))) / (ta + 2)) AS logp FROM s),
+    x AS (SELECT word, unnest(list_transform(range(1, length(word) + 1), lambda i: ('^^' || word)[i:i + 2])) AS t FROM z WHERE b = 9)
+    SELECT word, round(avg(coalesce(logp, -8.0)), 6) AS mean_logp, count(*) AS n FROM x LEFT JOIN p USING (t) GROUP BY word""")
+def word_likelihoods(spark, sf_dir):
+    lex = S.lexicon(_docs(spark, sf_dir)).withColumn("part", T.hash_split(F.col("word"))).cache()
+    model = M.character_trigrams(lex.filter("part = 'train'").select("word", (F.col("freq") * F.col("freq")).alias("weight")))
+    return M.mean_log_likelihood(lex.filter("part = 'test'").select("word"), model).withColumn("mean_logp", F.round("mean_logp", 6))
+
+
+@_query(rf"""WITH t AS (SELECT conv_id * 1000 + turn AS doc_id, regexp_extract_all(text, '\p{{L}}+') AS ws FROM conversations),
+    w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM t),
+    l AS (SELECT doc_id, pos, list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS last FROM w),
+    f AS (SELECT *, list_max(list_filter(range(1, len(last) + 1), lambda n: length(array_to_string(last[len(last) - n + 1:], ' ')) <= 40)) AS n FROM l)
+    SELECT doc_id, pos, coalesce(array_to_string(last[len(last) - n + 1:], ' '), '') AS context FROM f""")
+def prediction_contexts(spark, sf_dir):
+    words = _turns(spark, sf_dir).select(F.col("id").alias("doc_id"), F.posexplode(T.words(F.col("text"))).alias("pos", "word")).withColumn("pos", F.col("pos").cast("long"))
+    return N.prediction_contexts(words, chars=40)
+
+
+@_query("""WITH e AS (SELECT event_id, user_id, ts, CASE event_id % 5 WHEN 0 THEN 'Correction' WHEN 1 THEN 'Undo' ELSE 'Other' END AS kind FROM events),
+    n AS (SELECT *, lead(kind) OVER x AS k2, lead(event_id) OVER x AS undo_id, (lead(epoch_us(ts)) OVER x - epoch_us(ts)) / 1000 AS age_ms FROM e WINDOW x AS (PARTITION BY user_id ORDER BY ts, event_id))
+    SELECT event_id, undo_id, age_ms FROM n WHERE kind = 'Correction' AND k2 = 'Undo' AND age_ms <= 7200000""")
+def undone_corrections(spark, sf_dir):
+    kind = F.when(F.col("event_id") % 5 == 0, "Correction").when(F.col("event_id") % 5 == 1, "Undo").otherwise("Other")
+    return N.undone(S.read(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").alias("key"), kind.alias("kind")), 7_200_000)
+
+
 # sets, audits and decisions
 
 
@@ -458,12 +524,12 @@ _DECIDE = rf"""{_TOKENS}, {_WORDS}, {_COUNTS}, {_LEX}, {_DISTINCT}, m AS (SELECT
     d AS (SELECT m.token, CASE WHEN protected THEN 'protected' WHEN m.low IN (SELECT word FROM lex) THEN 'known' WHEN u.low IS NULL THEN 'no_source' WHEN rivals > 0 THEN 'ambiguous' WHEN f >= 0.70 THEN 'unique' ELSE 'rare_target' END AS reason FROM m LEFT JOIN u ON m.low = u.low)"""
 
 
-@_query(f"WITH {_DECIDE} SELECT CASE WHEN reason = 'unique' THEN 'apply' WHEN reason IN ('ambiguous', 'rare_target') THEN 'wait' ELSE 'no_change' END AS decision, reason, count(*) AS n, sha256(string_agg(token, chr(10) ORDER BY encode(token))) AS fingerprint FROM d GROUP BY ALL")
+@_query(f"WITH {_DECIDE} SELECT CASE WHEN reason = 'unique' THEN 'apply' WHEN reason IN ('ambiguous', 'rare_target') THEN 'wait' ELSE 'no_change' END AS decision, reason, count(*) AS n, sum(('0x' || sha256(token)[1:12])::BIGINT)::VARCHAR AS fingerprint FROM d GROUP BY ALL")
 def decision_summary(spark, sf_dir):
     d = decide(_distinct_tokens(spark, sf_dir).cache(), S.lexicon(_docs(spark, sf_dir)).cache())
-    # one digest over all tokens of a reason is the audit's own definition; its input is the distinct vocabulary
-    ordered = F.array_join(F.array_sort(F.collect_list("token")), "\n")
-    return d.groupBy("decision", "reason").agg(F.count(F.lit(1)).alias("n"), F.sha2(ordered, 256).alias("fingerprint"))
+    # a sum of digests does not depend on the order of rows and is added up before the shuffle
+    each = F.conv(F.substring(F.sha2("token", 256), 1, 12), 16, 10).cast("decimal(20,0)")
+    return d.groupBy("decision", "reason").agg(F.count(F.lit(1)).alias("n"), F.sum(each).cast("string").alias("fingerprint"))
 
 
 @_query(f"WITH {_DECIDE} SELECT count(*) AS examined, count(*) FILTER (WHERE reason = 'unique') AS apply, count(*) FILTER (WHERE reason IN ('ambiguous', 'rare_target')) AS wait, count(*) FILTER (WHERE reason IN ('protected', 'known', 'no_source')) AS no_change FROM d")

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lexiloom.functions import edits as E
+from lexiloom.functions import plugins as X
 from lexiloom.functions import text as T
 from lexiloom.operators import candidates as C
 from lexiloom.operators import punctuation as P
+from lexiloom.operators import sessions as N
+from lexiloom.operators import spelling as L
 from lexiloom.plans import catalog
 from lexiloom.plans.decisions import decide
 from lexiloom.sources import tables as S
@@ -69,6 +72,32 @@ def test_decisions(spark):
     assert got["rre"] == ("wait", None, "rare_target")
 
 
+def test_joint_decisions(spark):
+    rows = [("a", "spelling", "x", 0.9), ("a", "layout", "y", 0.86), ("b", "layout", "y", 0.9), ("b", "spelling", "x", 0.5), ("c", "spelling", "x", 0.5), ("d", "spelling", "x", 0.4), ("e", "spelling", "x", 0.74), ("e", "layout", "y", 0.44)]
+    got = {r.token: (r.word, r.decision) for r in L.joint_decisions(spark.createDataFrame(rows, "token string, kind string, word string, score double")).collect()}
+    assert got == {"a": ("x", "wait"), "b": ("y", "apply"), "c": ("x", "wait"), "d": ("x", "no_change"), "e": ("x", "apply")}
+
+
+def test_near_distance(spark):
+    pairs = [("ca", "abc", 2), ("abc", "ca", 2), ("teh", "the", 1), ("abcd", "badc", 2), ("kitten", "sitten", 1), ("ab", "", 2), ("abcdef", "fedcba", 6)]
+    got = spark.createDataFrame(pairs, "a string, b string, d int").select("d", L.near_distance(F.col("a"), F.col("b")).alias("n")).collect()
+    assert all(r.n == r.d if r.d <= 2 else r.n > 2 for r in got)
+
+
+def test_suppressed_corrections(spark):
+    done = spark.createDataFrame([("s", "a", "b"), ("s", "c", "d")], "kind string, candidate string, replacement string")
+    said = spark.createDataFrame([("s", "a", "b", 1), ("s", "a", "b", 1), ("s", "c", "d", 1)], "kind string, candidate string, replacement string, undo_count int")
+    assert [r.candidate for r in N.suppress_rejected(done, said).collect()] == ["c"]
+
+
+def test_plugins(spark):
+    rows = spark.createDataFrame([("abc",), ("de",)], "token string")
+    assert {r.token: (r.score, r.outcome) for r in X.score_with(rows, lambda f: f["token"].str.len()).collect()} == {"abc": (3.0, "Scored"), "de": (2.0, "Scored")}
+    assert {(r.score, r.outcome) for r in X.score_with(rows, lambda f: f["none"]).collect()} == {(None, "Failed")}
+    got = X.provide(rows, lambda t: [(t[:k], k) for k in range(1, len(t))], "word string, size long").collect()
+    assert sorted(map(tuple, got)) == [("abc", "a", 1), ("abc", "ab", 2), ("de", "d", 1)]
+
+
 def test_punctuation(spark):
     texts = spark.createDataFrame([(1, "how are you"), (2, "it rained but we went"), (3, "")], "id long, text string")
     chosen = P.select_proposals(P.proposals(texts))
