@@ -176,9 +176,8 @@ def _once(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
     return order[new]
 
 
-def _tally(keys: list[np.ndarray], marks: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
-    """Texts of each class by key; a key is one column of each array."""
-    key, mark = np.concatenate(keys), np.concatenate(marks)
+def _tally(key: np.ndarray, mark: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    """Texts of each class by key; a key is one row."""
     order = np.lexsort(key.T)
     key, mark = key[order], mark[order].astype(np.int64)
     new = np.ones(len(key), bool)
@@ -192,22 +191,17 @@ def _tally(keys: list[np.ndarray], marks: list[np.ndarray], names: list[str]) ->
 def _count(of_pairs: bool):
     def run(batches):
         for batch in batches:
-            toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
-            at, keys, marks = 0, [], []
             for part in slices(batch):
+                toxic = part.column("toxic").to_numpy(zero_copy_only=False)
                 words, first = _words(part)
-                doc = np.repeat(np.arange(at, at + part.num_rows), np.diff(first))
-                at += part.num_rows
+                doc = np.repeat(np.arange(part.num_rows), np.diff(first))
                 if of_pairs:
                     inner = np.flatnonzero(doc[1:] == doc[:-1])
                     once = inner[_once(doc[inner], _pair_keys(words[inner], words[inner + 1]))]
-                    keys.append(np.stack([words[once], words[once + 1]], axis=1))
+                    yield _tally(np.stack([words[once], words[once + 1]], axis=1), toxic[doc[once]], ["v", "w"])
                 else:
                     once = _once(doc, words)
-                    keys.append(words[once][:, None])
-                marks.append(toxic[doc[once]])
-            if keys:
-                yield _tally(keys, marks, ["v", "w"] if of_pairs else ["w"])
+                    yield _tally(words[once][:, None], toxic[doc[once]], ["w"])
 
     return run
 
