@@ -162,3 +162,32 @@ def layout_score(original: Column, candidate: Column, p_original: Column, p_cand
         .when(gain <= 0.05, clip(gain, 0.0, 0.25))
         .otherwise(clip(raw * by_length, 0.0, 0.95))
     )
+
+
+def unknown_name_score(typed: Column, candidate: Column, p_typed: Column, p_candidate: Column) -> Column:
+    """Score, from 0.73 to 0.88, of a Latin name that no lexicon has, read from Cyrillic keys; null if it is not likely enough."""
+    n, gain = F.length(candidate), p_candidate - p_typed
+    clip = lambda x, hi: F.greatest(F.lit(0.0), F.least(F.lit(hi), x))
+    short = n <= 4
+    other_keys = (F.length(typed) == n) & ~F.exists(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: typed.substr(i, F.lit(1)) == candidate.substr(i, F.lit(1)))
+    shaped = typed.rlike("^[А-яЁё]{3,20}$") & candidate.rlike("^[A-Za-z]{3,20}$") & candidate.rlike("[aeiouAEIOU]")
+    pronounceable = ~candidate.rlike("[^aeiouyAEIOUY]{4}") & (short | ~candidate.rlike("[^aeiouyAEIOUY]{3}"))
+    long_enough_gain = (gain >= 0.18) & ((p_typed < 0.55) | (gain >= 0.25))
+    gains = F.when(short, other_keys | (gain >= 0.12)).otherwise(long_enough_gain)
+    better = (short & other_keys) | ((p_candidate >= 0.80) & (gain >= 0.12)) | ((p_typed < 0.50) & (p_candidate >= 0.78)) | (gain >= 0.22)
+    raw = 0.70 + clip(p_candidate - 0.60, 0.22) * 0.45 + clip(1 - p_typed, 0.45) * 0.18 + clip(gain, 0.35) * 0.22
+    raw = raw + F.when(other_keys & (F.length(typed) <= 4), 0.04).otherwise(0.0) + F.when(F.length(typed).between(3, 4), 0.03).otherwise(0.0)
+    ok = shaped & pronounceable & (p_candidate >= F.when(short, 0.70).otherwise(0.78)) & gains & better
+    return F.when(ok, F.greatest(F.lit(0.73), F.least(F.lit(0.88), raw)))
+
+
+def yo_variants(word: Column) -> Column:
+    """The word with all, and with each single one, of its е as ё, and the other way; empty if it has neither or is null."""
+    swap = lambda olds, news: F.filter(
+        F.concat(
+            F.array(F.translate(word, olds, news)),
+            F.transform(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), lambda i: F.concat(word.substr(F.lit(1), i - 1), F.translate(word.substr(i, F.lit(1)), olds, news), word.substr(i + 1, F.length(word)))),
+        ),
+        lambda v: v != word,
+    )
+    return F.array_distinct(F.concat(swap("еЕ", "ёЁ"), swap("ёЁ", "еЕ")))

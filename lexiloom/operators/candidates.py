@@ -77,3 +77,13 @@ def dictionary_prefixes(tokens: DataFrame, lexicon: DataFrame, longest: int = 20
     lengths = F.sequence(F.lit(1), F.least(F.length("token"), F.lit(longest)))
     cut = tokens.filter("token != ''").select("token", F.explode(F.transform(lengths, lambda n: F.col("token").substr(F.lit(1), n))).alias("word"))
     return cut.join(sized(lexicon.select("word")), "word").select("token", "word")
+
+
+def dictionary_substrings(tokens: DataFrame, lexicon: DataFrame, longest: int = 20, backward: bool = False) -> DataFrame:
+    """token, start, word: every lexicon word of up to ``longest`` letters at every place of a token; places count from the
+    end, and words are read backward, if ``backward``. Repeated words give repeated rows."""
+    read = F.reverse("token") if backward else F.col("token")
+    t = tokens.filter("token != ''").select("token", F.explode(F.sequence(F.lit(1), F.length("token"))).alias("start"), read.alias("read"))
+    ends = F.sequence(F.lit(1), F.least(F.length("read") - F.col("start") + 1, F.lit(longest)))
+    cut = t.select("token", "start", F.explode(F.transform(ends, lambda n: F.col("read").substr(F.col("start"), n))).alias("word"))
+    return cut.join(sized(lexicon.select("word")), "word").select("token", "start", "word")

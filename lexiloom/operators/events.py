@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.functions import text as T
+from lexiloom.operators.candidates import sized
+
 _ORDER = ("ts", "event_id")
 
 
@@ -33,9 +36,9 @@ def double_taps(events: DataFrame, gap_ms: int) -> DataFrame:
     return events.withColumn("gap_ms", gap).filter(F.col("gap_ms") <= gap_ms).select("event_id", "gap_ms")
 
 
-def language_votes(tokens: DataFrame, script: Column, frame: int = 8) -> DataFrame:
-    """doc_id, pos, en, ru, dominant over the last ``frame`` tokens: a lead of two, or a majority of three."""
-    over = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(1 - frame, 0)
+def language_votes(tokens: DataFrame, script: Column, frame: int = 8, before: bool = False) -> DataFrame:
+    """doc_id, pos, en, ru, dominant over the last ``frame`` tokens (those before a token, if ``before``): a lead of two, or a majority of three."""
+    over = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(1 - frame - before, -int(before))
     t = tokens.withColumn("s", script)
     t = t.withColumn("en", F.count_if(F.col("s") == "Latin").over(over)).withColumn("ru", F.count_if(F.col("s") == "Cyrillic").over(over))
     en, ru = F.col("en"), F.col("ru")
@@ -45,7 +48,7 @@ def language_votes(tokens: DataFrame, script: Column, frame: int = 8) -> DataFra
 
 def safety_state(context: DataFrame, excluded: DataFrame) -> DataFrame:
     """id, state: the first rule that fits. excluded(app) are compared without case or outer blanks."""
-    names = F.broadcast(excluded.limit(10_000).select(F.lower(F.trim("app")).alias("x")).distinct())  # a settings list
+    names = sized(excluded.select(F.lower(F.trim("app")).alias("x")).distinct())
     c = context.join(names, F.lower(F.trim("app")) == F.col("x"), "left")
     state = (
         F.when(~F.col("enabled"), "Disabled").when(F.col("paused"), "Paused").when(F.col("secure") == "yes", "SecureInput").when(F.col("secure") == "unknown", "UnknownContext")
@@ -80,3 +83,30 @@ def match_snippets(requests: DataFrame, snippets: DataFrame) -> DataFrame:
     score = F.when(F.col("slang").isNotNull(), 2).otherwise(0) + F.when(F.size("apps_on") > 0, 1).otherwise(0)
     best = F.min(F.struct((-score).alias("score"), "trigger", "id"))
     return r.join(s, "k").filter(fits).groupBy("req_id").agg(best["id"].alias("id"))
+
+
+def context_layout(tokens: DataFrame, lexicon: DataFrame, boost: float = 0.12) -> DataFrame:
+    """doc_id, pos, candidate, confidence: Cyrillic tokens of ``tokens(doc_id, pos, token)`` that are words of ``lexicon(word, freq)``
+    on the other layout, where the tokens before them speak for English."""
+    votes = language_votes(tokens, T.script(F.col("token")), before=True)
+    asked = votes.filter("dominant = 'en' or (en >= 1 and ru = 0)").select("doc_id", "pos")
+    typed = tokens.filter(T.script(F.col("token")) == "Cyrillic").withColumn("candidate", T.to_english_layout(F.col("token")))
+    found = typed.join(sized(lexicon.select(F.col("word").alias("key"), "freq")), F.lower("candidate") == F.col("key"))
+    confidence = F.greatest(F.lit(0.0), F.least(F.lit(0.97), 0.78 + F.col("freq") * 0.18 + boost))
+    return found.join(asked, ["doc_id", "pos"]).select("doc_id", "pos", "candidate", confidence.alias("confidence"))
+
+
+def duplicate_snippets(snippets: DataFrame) -> DataFrame:
+    """id, first_id of snippets that repeat an earlier one: the same trigger without case, language, case rule, and application
+    lists without case and order."""
+    apps = lambda c: F.array_sort(F.transform(c, F.lower))
+    key = [F.lower(F.trim("trigger")).alias("t"), F.coalesce("slang", F.lit("")).alias("l"), F.col("case_sensitive").alias("c"), apps("apps_on").alias("on"), apps("apps_off").alias("off")]
+    keyed = snippets.select("id", *key)
+    first = keyed.groupBy("t", "l", "c", "on", "off").agg(F.min("id").alias("first_id"))
+    return keyed.join(first, ["t", "l", "c", "on", "off"]).filter("id <> first_id").select("id", "first_id")
+
+
+def valid_entries(rows: DataFrame, longest: int = 256) -> DataFrame:
+    """Rows of (word, freq, ...) with a word that is not blank, not too long and free of control characters, and a frequency in [0, 1] or none."""
+    w = F.trim("word")
+    return rows.filter((w != "") & (F.length(w) <= longest) & ~w.rlike(r"\p{Cntrl}") & (F.col("freq").isNull() | F.col("freq").between(0, 1)))

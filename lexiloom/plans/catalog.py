@@ -19,6 +19,7 @@ from lexiloom.operators import sessions as N
 from lexiloom.operators import spelling as L
 from lexiloom.plans.decisions import decide
 from lexiloom.sources import tables as S
+from lexiloom.streaming import buffers as B
 from lexiloom.streaming.tokens import as_input, completed_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -592,3 +593,114 @@ def outcome_matrix(spark, sf_dir):
 def early_prefix_audit(spark, sf_dir):
     lex = S.lexicon(_docs(spark, sf_dir)).withColumn("part", T.hash_split(F.col("word"))).cache()
     return A.early_prefix_audit(lex.filter("part = 'train'"), lex.filter("part = 'test'"), [1, 2, 4, 8])
+
+
+# input buffers, names and sentence context
+
+_KEYS = "ab/@#;., "
+_PRESSED = f"""i AS (SELECT event_id, ts, user_id AS key, CASE WHEN event_id % 5 = 0 THEN 'Boundary' WHEN event_id % 23 = 0 THEN 'Reset' WHEN event_id % 7 = 0 THEN 'Backspace' ELSE 'Character' END AS kind,
+    substr('{_KEYS}', (event_id * 31 % {len(_KEYS)} + 1)::INT, 1) AS ch FROM events),
+    x AS (SELECT *, CASE kind WHEN 'Character' THEN ch WHEN 'Boundary' THEN '!' WHEN 'Backspace' THEN '<' ELSE '?' END AS code FROM i)"""
+
+
+def _pressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    kind = F.when(e % 5 == 0, "Boundary").when(e % 23 == 0, "Reset").when(e % 7 == 0, "Backspace").otherwise("Character")
+    ch = F.substring(F.lit(_KEYS), (e * 31 % len(_KEYS) + 1).cast("int"), F.lit(1))
+    return S.read(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").alias("key"), kind.alias("kind"), ch.alias("ch"))
+
+
+@_query(f"""WITH {_PRESSED}, h AS (SELECT *, list(code) OVER (PARTITION BY key ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM x)
+    SELECT key, event_id, trigger FROM (SELECT key, event_id, list_reduce(list_prepend('', coalesce(past, [])), lambda s, c: CASE WHEN c = '<' THEN left(s, greatest(length(s) - 1, 0)) WHEN c IN ('!', '?', ' ') OR length(s) >= 4 THEN '' ELSE s || c END) AS trigger
+        FROM h WHERE kind = 'Boundary') WHERE trigger <> ''""")
+def trigger_buffers(spark, sf_dir):
+    return B.over_table(_pressed(spark, sf_dir), B.TriggerBuffer, longest=4)
+
+
+@_query(f"""WITH {_PRESSED}, h AS (SELECT *, list(code) OVER (PARTITION BY key ORDER BY ts, event_id) AS past FROM x),
+    f AS (SELECT key, event_id, list_reduce(list_prepend('0|', past), lambda s, c: CASE
+        WHEN c = '<' AND s[-1:] = '|' THEN s
+        WHEN c = '<' THEN (split_part(s, '|', 1)::INT + 1)::VARCHAR || '|' || left(split_part(s, '|', 2), length(split_part(s, '|', 2)) - 1)
+        WHEN c = '?' THEN (split_part(s, '|', 1)::INT + 1)::VARCHAR || '|'
+        ELSE (split_part(s, '|', 1)::INT + 1)::VARCHAR || '|' || right(split_part(s, '|', 2) || CASE c WHEN '!' THEN ' ' ELSE c END, 12) END) AS s FROM h WHERE kind = 'Boundary')
+    SELECT key, event_id, split_part(s, '|', 2) AS context, split_part(s, '|', 1)::BIGINT AS version FROM f""")
+def text_contexts(spark, sf_dir):
+    return B.over_table(_pressed(spark, sf_dir), B.TextContext, longest=12)
+
+
+_TTL = 30 * 86_400_000
+
+
+@_query(f"""WITH k AS (SELECT event_id, user_id AS key, ts, CASE WHEN event_id % 8 = 0 THEN 'Correction' WHEN event_id * 31 % 9 < 4 THEN 'Backspace' ELSE 'Character' END AS kind, event_id * 17 % 2 AS b FROM events),
+    c AS (SELECT *, CASE b WHEN 0 THEN 'a' ELSE 'b' END AS ch FROM k),
+    n AS (SELECT *, lead(kind, 1) OVER o || lead(kind, 2) OVER o || lead(kind, 3) OVER o || lead(kind, 4) OVER o AS kinds, lead(ch, 3) OVER o || lead(ch, 4) OVER o AS typed, lead(event_id, 4) OVER o AS last, lead(ts, 4) OVER o AS upto
+        FROM c WINDOW o AS (PARTITION BY key ORDER BY ts, event_id))
+    SELECT key, last AS event_id, event_id AS correction_id, typed AS candidate, 'xy' AS replacement FROM n
+    WHERE kind = 'Correction' AND kinds = 'BackspaceBackspaceCharacterCharacter' AND typed = CASE WHEN event_id % 16 = 0 THEN 'ab' ELSE 'ba' END AND epoch_ms(upto) < epoch_ms(ts) + {_TTL}""")
+def rejected_corrections(spark, sf_dir):
+    e = F.col("event_id")
+    kind = F.when(e % 8 == 0, "Correction").when(e * 31 % 9 < 4, "Backspace").otherwise("Character")
+    ch = F.when(e * 17 % 2 == 0, "a").otherwise("b")
+    rows = S.read(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").alias("key"), kind.alias("kind"), ch.alias("ch"), F.when(e % 16 == 0, "ab").otherwise("ba").alias("original"), F.lit("xy").alias("replacement"))
+    return B.over_table(B.watched(rows), B.RejectionTracker, ttl_ms=_TTL)
+
+
+@_query(f"""WITH {_WORDS}, {_COUNTS}, {_LEX}, t AS (SELECT word AS token, reverse(word) AS read FROM counts WHERE n = 1), s AS (SELECT *, unnest(range(1, length(token) + 1)) AS start FROM t),
+    x AS (SELECT token, start, unnest(list_transform(range(start, least(length(token), start + 19) + 1), lambda e: token[start:e])) AS word FROM s),
+    y AS (SELECT token, start, unnest(list_transform(range(start, least(length(token), start + 19) + 1), lambda e: read[start:e])) AS word FROM s),
+    a AS (SELECT 'forward' AS direction, token, word FROM x UNION ALL SELECT 'backward', token, word FROM y)
+    SELECT direction, token, count(*) AS hits, count(DISTINCT word) AS words FROM a JOIN lex USING (word) GROUP BY 1, 2""")
+def dictionary_substrings(spark, sf_dir):
+    counts = S.english_counts(_docs(spark, sf_dir)).cache()
+    rare, lex = counts.filter("n = 1").select(F.col("word").alias("token")), S.ranked_lexicon(counts).cache()
+    both = C.dictionary_substrings(rare, lex).withColumn("direction", F.lit("forward")).unionByName(C.dictionary_substrings(rare, lex, backward=True).withColumn("direction", F.lit("backward")))
+    return both.groupBy("direction", "token").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("word").alias("words"))
+
+
+_GAINS = ORACLE_SQL["layout_scores"].split("SELECT word, typed, round(")[0].replace("FROM lex)", "FROM counts WHERE n < 5)", 1)
+
+
+@_query(rf"""{_GAINS}, z AS (SELECT *, c - o AS gain, length(word) AS m, len(list_filter(range(1, length(word) + 1), lambda i: word[i] = typed[i])) = 0 AS other FROM o WHERE regexp_full_match(typed, '[А-яЁё]+')
+        AND length(word) BETWEEN 3 AND 20 AND regexp_matches(word, '[aeiou]') AND NOT regexp_matches(word, '[^aeiouy]{{4}}') AND (length(word) <= 4 OR NOT regexp_matches(word, '[^aeiouy]{{3}}'))),
+    y AS (SELECT * FROM z WHERE c >= CASE WHEN m <= 4 THEN 0.70e0 ELSE 0.78e0 END AND CASE WHEN m <= 4 THEN other OR gain >= 0.12e0 ELSE gain >= 0.18e0 AND (o < 0.55e0 OR gain >= 0.25e0) END
+        AND (m <= 4 AND other OR c >= 0.80e0 AND gain >= 0.12e0 OR o < 0.50e0 AND c >= 0.78e0 OR gain >= 0.22e0))
+    SELECT word, typed, round(greatest(0.73e0, least(0.88e0, 0.70e0 + greatest(0, least(0.22e0, c - 0.60e0)) * 0.45e0 + greatest(0, least(0.45e0, 1 - o)) * 0.18e0 + greatest(0, least(0.35e0, gain)) * 0.22e0
+        + CASE WHEN other AND m <= 4 THEN 0.04e0 ELSE 0 END + CASE WHEN m <= 4 THEN 0.03e0 ELSE 0 END)), 6) AS score FROM y""")
+def unknown_names(spark, sf_dir):
+    names = S.english_counts(_docs(spark, sf_dir)).filter("n < 5").select("word", T.to_russian_layout(F.col("word")).alias("typed"))
+    score = T.unknown_name_score(F.col("typed"), F.col("word"), T.russian_plausibility(F.col("typed")), T.english_plausibility(F.col("word")))
+    return names.withColumn("score", F.round(score, 6)).filter("score is not null")
+
+
+@_query(rf"""WITH {_TOKENS}, {_WORDS}, {_COUNTS}, {_LEX}, k AS (SELECT doc_id, pos, CASE WHEN pos % 10 = 3 THEN translate(token, '{_EN}', '{_RU}') ELSE token END AS token FROM tok),
+    v AS (SELECT *, coalesce(sum(regexp_full_match(token, '[A-Za-z]+')::INT) OVER o, 0) AS en, coalesce(sum(regexp_full_match(token, '[А-яЁё]+')::INT) OVER o, 0) AS ru FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)),
+    d AS (SELECT *, translate(token, '{_RU}', '{_EN}') AS candidate, CASE WHEN ru >= greatest(en + 2, 2) THEN 'ru' WHEN en >= greatest(ru + 2, 2) THEN 'en' WHEN ru > en AND ru >= 3 THEN 'ru' WHEN en > ru AND en >= 3 THEN 'en' END AS dominant FROM v)
+    SELECT doc_id, pos::BIGINT AS pos, candidate, round(greatest(0, least(0.97e0, 0.78e0 + freq * 0.18e0 + 0.12e0)), 6) AS confidence FROM d JOIN lex ON lower(candidate) = word
+    WHERE regexp_full_match(token, '[А-яЁё]+') AND (dominant = 'en' OR (en >= 1 AND ru = 0))""")
+def context_layout(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    token = F.when(F.col("pos") % 10 == 3, T.to_russian_layout(F.col("token"))).otherwise(F.col("token"))
+    found = V.context_layout(S.token_rows(docs).withColumn("token", token), S.lexicon(docs).cache())
+    return found.select("doc_id", F.col("pos").cast("long").alias("pos"), "candidate", F.round("confidence", 6).alias("confidence"))
+
+
+@_query("""WITH s AS (SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE ' ' || event_type END AS trigger, CASE event_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'ru' END AS slang, event_id % 4 = 0 AS cs,
+        CASE WHEN event_id % 7 < 3 THEN ['B' || user_id, 'a'] ELSE ['A', 'b' || user_id] END AS apps FROM events),
+    k AS (SELECT id, min(id) OVER (PARTITION BY lower(trim(trigger)), slang, cs, list_sort(list_transform(apps, lambda a: lower(a)))) AS first_id FROM s)
+    SELECT id, first_id FROM k WHERE id <> first_id""")
+def duplicate_snippets(spark, sf_dir):
+    e, user = F.col("event_id"), F.col("user_id").cast("string")
+    apps = F.when(e % 7 < 3, F.array(F.concat(F.lit("B"), user), F.lit("a"))).otherwise(F.array(F.lit("A"), F.concat(F.lit("b"), user)))
+    trigger = F.when(e % 2 == 0, F.upper("event_type")).otherwise(F.concat(F.lit(" "), F.col("event_type")))
+    lang = F.when(e % 3 == 0, "en").when(e % 3 == 1, "ru")
+    rows = S.read(spark, sf_dir, "events").select(e.alias("id"), trigger.alias("trigger"), lang.alias("slang"), (e % 4 == 0).alias("case_sensitive"), apps.alias("apps_on"), F.array().cast("array<string>").alias("apps_off"))
+    return V.duplicate_snippets(rows)
+
+
+@_query(f"""WITH {_WORDS}, {_COUNTS}, {_LEX}, t AS (SELECT word, translate(word, '{_EN}', '{_RU}') AS typed FROM lex),
+    p AS (SELECT word, typed, unnest(range(0, length(typed) + 1)) AS i FROM t),
+    v AS (SELECT word, typed, CASE i WHEN 0 THEN translate(typed, 'еЕ', 'ёЁ') ELSE typed[:i - 1] || translate(typed[i], 'еЕ', 'ёЁ') || typed[i + 1:] END AS variant FROM p
+        UNION SELECT word, typed, CASE i WHEN 0 THEN translate(typed, 'ёЁ', 'еЕ') ELSE typed[:i - 1] || translate(typed[i], 'ёЁ', 'еЕ') || typed[i + 1:] END FROM p)
+    SELECT word, variant FROM v WHERE variant <> typed""")
+def yo_variants(spark, sf_dir):
+    return S.lexicon(_docs(spark, sf_dir)).select("word", F.explode(T.yo_variants(T.to_russian_layout(F.col("word")))).alias("variant"))

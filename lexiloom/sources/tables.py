@@ -50,10 +50,10 @@ def read_ranked_words(spark: SparkSession, path: str, sep: str = " ", header: bo
     if header:
         lines = lines.filter("pos > 0")
     ranked = lines.select(T.lookup_key(F.substring_index("line", sep, 1)).alias("word"), (F.col("pos") + (0 if header else 1)).alias("rank"))
-    total = ranked.agg(F.max("rank").alias("total"))
+    total = F.lit(ranked.agg(F.max("rank")).first()[0])
     clean = ranked.filter(F.col("word").rlike("^[a-zа-яё]+$") & ~F.col("word").isin(*(noise or [""])))
     first = clean.groupBy("word").agg(F.min("rank").alias("rank"))
-    return first.crossJoin(F.broadcast(total)).select("word", "rank", T.rank_frequency(F.col("rank"), F.col("total")).alias("freq"))  # one row
+    return first.select("word", "rank", T.rank_frequency(F.col("rank"), total).alias("freq"))
 
 
 def read_dic(spark: SparkSession, path: str) -> DataFrame:

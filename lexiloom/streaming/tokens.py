@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lexiloom.sources.shared import ship
+
 LONGEST = 48
 
 
@@ -58,4 +60,5 @@ def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
 
 def stream_tokens(inputs: DataFrame) -> DataFrame:
     """completed_tokens over a stream of input rows; the state of a key is its unfinished token."""
+    ship(inputs.sparkSession)
     return inputs.groupBy("key").applyInPandasWithState(_advance, "key long, event_id long, token string", "token string", "append", GroupStateTimeout.NoTimeout)

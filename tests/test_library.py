@@ -17,7 +17,9 @@ from lexiloom.operators import sessions as N
 from lexiloom.operators import spelling as L
 from lexiloom.plans import catalog
 from lexiloom.plans.decisions import decide
+from lexiloom.operators import events as V
 from lexiloom.sources import tables as S
+from lexiloom.streaming import buffers as B
 from lexiloom.streaming.tokens import as_input, completed_tokens, stream_tokens
 
 SF = "/root/testdata/sf0.001"
@@ -132,6 +134,63 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == sorted(map(tuple, completed_tokens(inputs).select("key", "event_id", "token").collect())) and got
 
 
+MACHINES = [(B.TriggerBuffer, {"longest": 4}), (B.TextContext, {"longest": 12}), (B.RejectionTracker, {"ttl_ms": 10**12})]
+
+
+@pytest.mark.parametrize("machine, options", MACHINES, ids=lambda x: getattr(x, "__name__", ""))
+def test_buffer_streams_equal_tables(spark, tmp_path, machine, options):
+    e = F.col("event_id")
+    kind = F.when(e % 8 == 0, "Correction").when(e * 31 % 9 < 4, "Backspace").when(e % 17 == 0, "Boundary").otherwise("Character")
+    if machine is not B.RejectionTracker:
+        kind = F.when(kind == "Correction", "Boundary").otherwise(kind)
+    events = S.read(spark, SF, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    inputs = events.select("event_id", "ts", F.col("user_id").alias("key"), kind.alias("kind"), F.when(e * 17 % 2 == 0, "a").otherwise("b").alias("ch"), F.lit("ab").alias("original"), F.lit("xy").alias("replacement"))
+    inputs = B.watched(inputs)
+    # two micro-batches, the first before the second in time
+    half = events.agg(F.percentile_approx(F.col("ts").cast("double"), 0.5)).first()[0]
+    early = F.col("ts").cast("double") <= half
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(inputs.schema).parquet(str(tmp_path / "in"))
+    name = f"out_{machine.__name__}"
+    q = B.over_stream(stream, machine, **options).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    for part in (inputs.filter(early), inputs.filter(~early)):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q.processAllAvailable()
+    q.stop()
+    got = sorted(map(tuple, spark.table(name).collect()))
+    assert got == sorted(map(tuple, B.over_table(inputs, machine, **options).collect())) and (got or machine is B.RejectionTracker)
+
+
+def _press(spark, keys, **more):
+    """Keys of one person: < is backspace, ! a boundary, ? a reset, C a correction of ``ab`` to ``xyz``."""
+    kinds = {"<": "Backspace", "!": "Boundary", "?": "Reset", "C": "Correction"}
+    rows = [(i, i * 1000, 1, kinds.get(k, "Character"), k, "ab", "xyz") for i, k in enumerate(keys)]
+    d = spark.createDataFrame(rows, "event_id long, ms long, key long, kind string, ch string, original string, replacement string")
+    return B.watched(d.withColumn("ts", F.timestamp_millis("ms")))
+
+
+def test_buffers(spark):
+    triggers = lambda keys: [r.trigger for r in B.over_table(_press(spark, keys), B.TriggerBuffer, longest=3).sort("event_id").collect()]
+    assert triggers("/a!") == ["/a"] and triggers("ab<c!!d!") == ["ac", "d"] and triggers("a b!") == ["b"] and triggers("abcde!") == ["e"] and triggers("a?b!<<c!") == ["b", "c"]
+    context = B.over_table(_press(spark, "<ab!cd<!"), B.TextContext, longest=4).sort("event_id").collect()
+    assert [(r.context, r.version) for r in context] == [("ab ", 3), ("b c ", 7)]
+    rejected = lambda keys, **k: [(r.correction_id, r.event_id) for r in B.over_table(_press(spark, keys), B.RejectionTracker, **k).collect()]
+    assert rejected("C<<<ab") == [(0, 5)] and rejected("CC<<<ab") == [(1, 6)]
+    assert not rejected("C<<ab") and not rejected("C<<<b") and not rejected("C<<<a<b") and not rejected("C<<<a!b") and not rejected("C<<<ab", ttl_ms=5000)
+    assert B.over_table(_press(spark, "a!").limit(0), B.TextContext).count() == 0
+
+
+def test_names_and_entries(spark):
+    assert sorted(one(spark, [("еже",)], "w string", F.explode(T.yo_variants(F.col("w"))))) == sorted(["ёжё", "ёже", "ежё"])
+    assert one(spark, [("кот",), ("",), (None,)], "w string", F.size(T.yo_variants(F.col("w")))) == [0, 0, 0]
+    rows = [("ok", 0.5), ("ok", None), (" ", 0.5), (None, 0.5), ("a\x01b", 0.5), ("x" * 257, 0.5), ("x", 1.5)]
+    assert V.valid_entries(spark.createDataFrame(rows, "word string, freq double")).count() == 2
+    found = C.dictionary_substrings(spark.createDataFrame([("abab",)], "token string"), spark.createDataFrame([("ab",), ("b",)], "word string"))
+    assert sorted((r.start, r.word) for r in found.collect()) == [(1, "ab"), (2, "b"), (3, "ab"), (4, "b")]
+    back = C.dictionary_substrings(spark.createDataFrame([("abc",)], "token string"), spark.createDataFrame([("cb",)], "word string"), backward=True)
+    assert [(r.start, r.word) for r in back.collect()] == [(1, "cb")]
+
+
 def _canon(rows):
     return sorted(repr([round(v, 6) if isinstance(v, float) else v for v in r]) for r in rows)
 
