@@ -1,31 +1,14 @@
-"""Shared intermediate storage and shipping of this package to Python workers."""
+"""Intermediate tables in the cluster's shared folder."""
 
 from __future__ import annotations
 
-import atexit
-import io
-import os
-import shutil
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_PACKAGE = Path(__file__).resolve().parents[1]
-_shipped: set[str] = set()
+from lexiloom.sources.shared import base_dir, ship
 
-
-def base_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        local = tempfile.mkdtemp(prefix="lexiloom-")
-        atexit.register(shutil.rmtree, local, ignore_errors=True)
-        base = f"file://{local}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+__all__ = ["base_dir", "drop", "materialize", "new_path", "ship"]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -49,19 +32,3 @@ def drop(df: DataFrame) -> None:
         if "/lexiloom-" in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
-
-
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever they run."""
-    sc = spark.sparkContext
-    home = str(_PACKAGE.parent)
-    if sc.applicationId in _shipped or home in os.environ.get("PYTHONPATH", "").split(os.pathsep):
-        return
-    _shipped.add(sc.applicationId)
-    target = Path(tempfile.mkdtemp(prefix="lexiloom-ship-")) / f"{_PACKAGE.name}.zip"
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w") as z:
-        for p in sorted(_PACKAGE.rglob("*.py")):
-            z.write(p, p.relative_to(_PACKAGE.parent))
-    target.write_bytes(buffer.getvalue())
-    sc.addPyFile(str(target))
