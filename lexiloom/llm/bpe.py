@@ -41,35 +41,29 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         return [ranks[piece]]
     size = 1 << (n - 1).bit_length()
     tree = [_NONE] * (2 * size)  # rank * size + place: the least value is the leftmost least rank
-    tokens = [piece[i : i + 1] for i in range(n)]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    get, mask = ranks.get, size - 1
     for i in range(n - 1):
-        r = ranks.get(piece[i : i + 2])
+        r = get(piece[i : i + 2])
         if r is not None:
             tree[size + i] = r * size + i
     for i in range(size - 1, 0, -1):
         a, b = tree[2 * i], tree[2 * i + 1]
         tree[i] = a if a < b else b
 
-    get, mask = ranks.get, size - 1
     while (top := tree[1]) != _NONE:
         i = top & mask
         j = after[i]
-        k = after[j]
-        tokens[i] += tokens[j]
-        tokens[j] = b""
-        after[i] = k
-        changed = [(j, _NONE)]
+        k = after[i] = after[j]
+        r = None
         if k < n:
             before[k] = i
-            r = get(tokens[i] + tokens[k])
-            changed.append((i, _NONE if r is None else r * size + i))
-        else:
-            changed.append((i, _NONE))
+            r = get(piece[i : after[k]])
+        changed = (j, _NONE), (i, _NONE if r is None else r * size + i)
         h = before[i]
         if h >= 0:
-            r = get(tokens[h] + tokens[i])
-            changed.append((h, _NONE if r is None else r * size + h))
+            r = get(piece[h:k])
+            changed += ((h, _NONE if r is None else r * size + h),)
         for leaf, value in changed:
             at = leaf + size
             if tree[at] == value:
@@ -83,7 +77,11 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
                 if tree[at] == value:
                     break
                 tree[at] = value
-    return [ranks[t] for t in tokens if t]
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[piece[i : after[i]]])
+        i = after[i]
+    return out
 
 
 def _pack(ids: list[int]) -> bytes:
