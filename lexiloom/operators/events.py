@@ -110,3 +110,15 @@ def valid_entries(rows: DataFrame, longest: int = 256) -> DataFrame:
     """Rows of (word, freq, ...) with a word that is not blank, not too long and free of control characters, and a frequency in [0, 1] or none."""
     w = F.trim("word")
     return rows.filter((w != "") & (F.length(w) <= longest) & ~w.rlike(r"\p{Cntrl}") & (F.col("freq").isNull() | F.col("freq").between(0, 1)))
+
+
+def process_names(lists: DataFrame, longest: int = 64) -> DataFrame:
+    """id, names, n_errors of ``lists(id, text)``: entries between commas, semicolons and line ends, without blanks around and .exe;
+    the first spelling of each valid name stays, names that are no plain process names are errors. Null texts have none of either."""
+    entries = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), r"[,;\n\r]"), lambda x: F.trim(x)), lambda x: x != "")
+    bare = F.transform(entries, lambda x: F.regexp_replace(x, r"(?i)\.exe$", ""))
+    rows = lists.select("id", bare.alias("bare"))
+    ok = F.filter("bare", lambda x: x.rlike(f"^[A-Za-z0-9._-]{{1,{longest}}}$"))
+    rows = rows.withColumn("ok", ok).withColumn("low", F.transform("ok", F.lower))
+    first = F.filter("ok", lambda x, i: F.array_position("low", F.lower(x)) == i + 1)
+    return rows.select("id", first.alias("names"), (F.size("bare") - F.size("ok")).alias("n_errors"))

@@ -704,3 +704,22 @@ def duplicate_snippets(spark, sf_dir):
     SELECT word, variant FROM v WHERE variant <> typed""")
 def yo_variants(spark, sf_dir):
     return S.lexicon(_docs(spark, sf_dir)).select("word", F.explode(T.yo_variants(T.to_russian_layout(F.col("word")))).alias("variant"))
+
+
+@_query(r"""WITH t AS (SELECT event_id AS id, event_type || '.exe;' || upper(event_type) || ', a b' || chr(10) || ' x' || (event_id % 3) || '.EXE ,,c:\' || user_id AS text FROM events),
+    b AS (SELECT id, list_transform(list_filter(list_transform(regexp_split_to_array(text, '[,;\n\r]'), lambda x: trim(x)), lambda x: x <> ''), lambda x: regexp_replace(x, '\.exe$', '', 'i')) AS bare FROM t),
+    k AS (SELECT id, bare, list_filter(bare, lambda x: regexp_full_match(x, '[A-Za-z0-9._-]{1,64}')) AS ok FROM b)
+    SELECT id, array_to_string(list_filter(ok, lambda x, i: list_position(list_transform(ok, lambda y: lower(y)), lower(x)) = i), '|') AS names, (len(bare) - len(ok))::INTEGER AS n_errors FROM k""")
+def process_names(spark, sf_dir):
+    e, kind = F.col("event_id"), F.col("event_type")
+    text = F.concat(kind, F.lit(".exe;"), F.upper(kind), F.lit(", a b\n x"), (e % 3).cast("string"), F.lit(".EXE ,,c:\\"), F.col("user_id").cast("string"))
+    found = V.process_names(S.read(spark, sf_dir, "events").select(e.alias("id"), text.alias("text")))
+    return found.withColumn("names", F.array_join("names", "|"))
+
+
+@_query(rf"""WITH {_TOKENS}, r AS (SELECT token AS word, CASE pos % 4 WHEN 0 THEN NULL ELSE (pos % 4 - 1) * 0.75e0 END AS freq FROM tok), k AS (SELECT * FROM r WHERE freq IS NULL OR freq BETWEEN 0 AND 1)
+    SELECT freq, count(*) AS n FROM k WHERE length(trim(word)) BETWEEN 1 AND 256 AND NOT regexp_matches(trim(word), '[\x00-\x1F\x7F]') GROUP BY 1""")
+def valid_entries(spark, sf_dir):
+    pos = F.col("pos") % 4
+    rows = S.token_rows(_docs(spark, sf_dir)).select(F.col("token").alias("word"), F.when(pos == 0, F.lit(None)).otherwise((pos - 1) * F.lit(0.75)).cast("double").alias("freq"))
+    return V.valid_entries(rows).groupBy("freq").agg(F.count(F.lit(1)).alias("n"))
