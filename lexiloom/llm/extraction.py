@@ -3,7 +3,8 @@
 The pages of a host are merged: a node of the merged tree is a path of block elements with their classes and ids. A node's
 presentations are the sequences of block children that pages have there, its contents the texts below it. Its importance combines
 the entropy of its presentations (varied layout is content) with one minus the mean normalised entropy of its contents over
-pages (text that most pages repeat is furniture). Branches of low importance are cut from every page of the host.
+pages (text that most pages repeat is furniture). Beside an article or main element it is halved. Branches of low importance
+are cut from every page of the host, inside article and main as well; only a branch with most of a page's text is not.
 What a single page already shows by its elements and class names (menus, forms, adverts, ...) has no importance on any host.
 
 Counts are additive over pages, so a host of any size is only ever summed.
@@ -26,6 +27,8 @@ from lexiloom.llm import workspace
 
 #: Importance below which a branch is cut, pages that must show it first, and the weight of contents against layout.
 LOW, LEAST_PAGES, GAMMA = 0.3, 4, 0.9
+#: Weight of the importance of what stands beside the article or main elements of its page.
+BESIDE = 0.5
 #: Low branches over all hosts up to which they are sent to all executors.
 BROADCAST_BRANCHES = 200_000
 
@@ -72,12 +75,13 @@ class _Element:
 
 
 class Page:
-    """Blocks and elements of one page. blocks: (text, path of its element, paths above it, dropped, inside content)."""
+    """Blocks and elements of one page. blocks: (text, paths of its element and of those above it, dropped)."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, tuple[int, ...], bool, bool]] = []
+        self.blocks: list[tuple[str, tuple[int, ...], bool]] = []
         self.styles: list[tuple[int, int]] = []
         self.has_content = False
+        self._holding: set[int] = set()  # paths of content elements, and of those inside and above them
         self._words: list[str] = []
         self._mute = ("", 0)  # an inline element that is furniture, and how often it is nested in itself
         self._stack = [_Element("", 0, False, False)]
@@ -104,7 +108,7 @@ class Page:
             self._words = []
             if text:
                 top = self._stack[-1]
-                self.blocks.append((text, tuple(e.path for e in self._stack[1:]), top.dropped, top.content))
+                self.blocks.append((text, tuple(e.path for e in self._stack[1:]), top.dropped))
 
     def _pop(self) -> None:
         self._flush()
@@ -112,6 +116,10 @@ class Page:
         shape = [c for i, c in enumerate(e.children) if not i or c != e.children[i - 1]]
         self.styles.append((e.path, _hash(",".join(map(str, shape)))))
 
+    def beside(self, path: int) -> bool:
+        """The page has article or main elements, and none is at, above or below the path."""
+        return self.has_content and path not in self._holding
+
     @staticmethod
     def _names(attrs: str) -> str:
         return " ".join(x for a in _ATTR.findall(attrs) for x in a[1:] if x)
@@ -158,15 +166,18 @@ class Page:
         content = top.content or tag in _CONTENT or (tag == "div" and re.search(r"role\s*=\s*[\"']?main\b", attrs, re.I) is not None)
         furniture = tag in _DROPPED or (tag == "header" and not top.content) or (tag not in ("html", "body", "article", "main") and bool(names) and _FURNITURE.search(names) is not None)
         e = _Element(tag, _hash(f"{top.path} {tag} {names}"), top.dropped or furniture, content)
-        self.has_content |= content and not e.dropped
+        if content:
+            self.has_content |= not e.dropped
+            self._holding.update(x.path for x in self._stack)
+            self._holding.add(e.path)
         top.children.append(_hash(f"{tag} {names}"))
         self._stack.append(e)
 
 
 def main_text(page: Page, low: frozenset[int] = frozenset()) -> str:
-    """The blocks that no cut branch holds: those inside article or main elements, if the page has any."""
-    kept = [(text, path) for text, path, dropped, content in page.blocks if not dropped and (content or not page.has_content)]
-    if not page.has_content and low:
+    """The blocks that no cut branch holds."""
+    kept = [(text, path) for text, path, dropped in page.blocks if not dropped]
+    if low:
         # a branch with most of a page's text is its content, however often the host repeats it
         size = Counter()
         for text, path in kept:
@@ -179,15 +190,15 @@ def main_text(page: Page, low: frozenset[int] = frozenset()) -> str:
 
 
 def page_counts(page: Page) -> Iterator[tuple[int, int, int, int]]:
-    """(kind, path, feature, times): 0 the page shows the path, 1 a presentation, 2 a text below the path."""
+    """(kind, path, feature, times): 0 the page shows the path (feature 1: beside its content), 1 a presentation, 2 a text below the path."""
     for path in {p for p, _ in page.styles}:
-        yield 0, path, 0, 1
+        yield 0, path, int(page.beside(path)), 1
     for (path, shape), n in Counter(page.styles).items():
         yield 1, path, shape, n
     texts = Counter()
-    for text, path, _, content in page.blocks:
+    for text, path, _ in page.blocks:
         h = _hash(text)
-        for p in path[-1:] if content else path:
+        for p in path:
             texts[p, h] += 1
     for (path, h), n in texts.items():
         yield 2, path, h, n
@@ -220,6 +231,7 @@ def site_style_tree(pages: DataFrame) -> DataFrame:
     is_kind = lambda k: F.col("kind") == k
     node = counts.groupBy("host", "path").agg(
         F.sum(F.when(is_kind(0), F.col("c"))).alias("pages"),
+        F.sum(F.when(is_kind(0), F.col("c") * F.col("feature"))).alias("beside"),
         F.sum(F.when(is_kind(1), F.col("c"))).alias("shown"),
         F.sum(F.when(is_kind(1), F.col("c") * F.log("c"))).alias("shown_log"),
         F.sum(F.when(is_kind(2), spread)).alias("spread"),
@@ -228,7 +240,8 @@ def site_style_tree(pages: DataFrame) -> DataFrame:
     one = F.col("pages") < 2
     layout = F.when(one, 1.0).otherwise(F.least(F.lit(1.0), (F.log("shown") - F.col("shown_log") / F.col("shown")) / F.log("pages")))
     content = F.when(one | (F.col("texts") == 0), 1.0).otherwise(1 - F.least(F.lit(1.0), F.col("spread") / F.col("texts") / F.log("pages")))
-    return node.select("host", "path", F.col("pages").cast("long").alias("pages"), ((1 - GAMMA) * layout + GAMMA * content).alias("importance"))
+    weight = 1 - (1 - BESIDE) * F.col("beside") / F.col("pages")
+    return node.select("host", "path", F.col("pages").cast("long").alias("pages"), (weight * ((1 - GAMMA) * layout + GAMMA * content)).alias("importance"))
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

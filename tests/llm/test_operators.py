@@ -299,6 +299,16 @@ def test_style_tree_cuts_what_a_site_repeats(spark):
         assert r.text == "\n".join(re.findall(r"<p>([^<]*)</p>", pages[r.page_id][2].split("x2>")[1]))
 
 
+def test_style_tree_cuts_inside_article_and_keeps_what_varies_beside_it(spark):
+    rng = random.Random(6)
+    own = [[prose(30, rng) for _ in range(3)] for _ in range(12)]
+    pages = [(i, "http://a.example/", f"<body><article><p>{a}</p><div class=x3><p>Join our club</p></div><p>{b}</p></article><div class=x4><p>{c}</p></div><div class=x5><p>Open on Mondays</p></div></body>") for i, (a, b, c) in enumerate(own)]
+    # most of a page's text stays, though all pages share it
+    pages += [(100 + i, "http://same.example/", f"<body><article><div><p>{own[0][0]}</p></div></article></body>") for i in range(5)]
+    got = {r.page_id: r.text for r in extraction.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: "\n".join(x) for i, x in enumerate(own)} | {100 + i: own[0][0] for i in range(5)}
+
+
 @pytest.mark.parametrize("url,host", [("http://User@A.example:8/x", "a.example"), ("//b.example", "b.example"), (None, ""), ("/x", "")])
 def test_host(url, host):
     assert extraction.host_of(url) == host
