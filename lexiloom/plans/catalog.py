@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,14 +70,14 @@ def _distinct_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.token_rows(_docs(spark, sf_dir)).select("token").distinct()
 
 
-def _rare_and_lexicon(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _rare_and_lexicon(spark: SparkSession, sf_dir: str, seen: int) -> tuple[DataFrame, DataFrame]:
     counts = S.english_counts(_docs(spark, sf_dir)).cache()  # read three times below; the vocabulary, not the corpus
-    rare = counts.filter("n = 1 and length(word) between 3 and 14").select(F.col("word").alias("token"))
+    rare = counts.filter((F.col("n") <= seen) & F.length("word").between(3, 14)).select(F.col("word").alias("token"))
     return rare, S.ranked_lexicon(counts).filter("length(word) between 2 and 15").select("word", "freq", "n")
 
 
-def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rare, lex = _rare_and_lexicon(spark, sf_dir)
+def _sources(spark: SparkSession, sf_dir: str, seen: int) -> DataFrame:
+    rare, lex = _rare_and_lexicon(spark, sf_dir, seen)
     return C.mutation_sources(C.one_edit_pairs(rare, lex), lex)
 
 
@@ -196,24 +197,24 @@ def neighbour_counts(spark, sf_dir):
 
 
 @_query(f"WITH {_WORDS}, {_COUNTS}, {_LEX}, {_RARE}, {_NEAR} SELECT token, word FROM near")
-def one_edit_join(spark, sf_dir):
-    rare, lex = _rare_and_lexicon(spark, sf_dir)
+def one_edit_join(spark, sf_dir, seen=1):
+    rare, lex = _rare_and_lexicon(spark, sf_dir, seen)
     return C.one_edit_pairs(rare, lex)
 
 
 @_query(f"{_BASE} SELECT token, word, operation, cost, round(freq, 9) AS freq FROM src")
-def mutation_sources(spark, sf_dir):
-    return _sources(spark, sf_dir).withColumn("freq", F.round("freq", 9))
+def mutation_sources(spark, sf_dir, seen=1):
+    return _sources(spark, sf_dir, seen).withColumn("freq", F.round("freq", 9))
 
 
 @_query(f"{_BASE} SELECT operation, count(*) AS n, count(DISTINCT token) AS tokens FROM src GROUP BY 1")
-def edit_classes(spark, sf_dir):
-    return _sources(spark, sf_dir).groupBy("operation").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("token").alias("tokens"))
+def edit_classes(spark, sf_dir, seen=1):
+    return _sources(spark, sf_dir, seen).groupBy("operation").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("token").alias("tokens"))
 
 
 @_query(f"{_BASE} SELECT token, rank, word FROM (SELECT token, word, row_number() OVER (PARTITION BY token ORDER BY cost, freq DESC, word) AS rank FROM src) WHERE rank <= 16")
-def top_candidates(spark, sf_dir):
-    return C.top_candidates(_sources(spark, sf_dir), 16).select("token", "rank", "word")
+def top_candidates(spark, sf_dir, seen=1):
+    return C.top_candidates(_sources(spark, sf_dir, seen), 16).select("token", "rank", "word")
 
 
 @_query(f"""{_BASE}, b AS (SELECT *, cost <= min(cost) OVER (PARTITION BY token) + 0.08 AS inb FROM src),
@@ -221,14 +222,14 @@ def top_candidates(spark, sf_dir):
     r AS (SELECT token, word, freq, row_number() OVER (PARTITION BY token ORDER BY freq DESC, cost, word) AS k FROM b WHERE inb),
     u AS (SELECT x.token, x.word, count(y.word) AS rivals FROM r x LEFT JOIN r y ON x.token = y.token AND y.k > 1 AND y.freq + 0.12 > x.freq WHERE x.k = 1 GROUP BY ALL)
     SELECT z.token, n_sources, n_band, CASE WHEN rivals = 0 THEN 'Unique' ELSE 'Ambiguous' END AS class, CASE WHEN rivals = 0 THEN u.word END AS target FROM z JOIN u ON z.token = u.token""")
-def mutation_classes(spark, sf_dir):
-    return C.classify_mutations(_sources(spark, sf_dir))
+def mutation_classes(spark, sf_dir, seen=1):
+    return C.classify_mutations(_sources(spark, sf_dir, seen))
 
 
 @_query(f"""{_BASE} SELECT token, word FROM src s WHERE NOT EXISTS (SELECT 1 FROM src o WHERE o.token = s.token AND o.word <> s.word
     AND (o.cost + 0.08 < s.cost OR (o.cost <= s.cost + 0.01 AND o.freq >= s.freq + 0.12)))""")
-def undominated_sources(spark, sf_dir):
-    return C.skyline(_sources(spark, sf_dir)).select("token", "word")
+def undominated_sources(spark, sf_dir, seen=1):
+    return C.skyline(_sources(spark, sf_dir, seen)).select("token", "word")
 
 
 _PREFIX = "len(list_filter(range(1, least(length(w), length(p)) + 1), lambda k: w[:k] = p[:k]))"
@@ -258,26 +259,26 @@ _RIVALS = f"""{_BASE}, b AS (SELECT *, cost <= min(cost) OVER (PARTITION BY toke
         CASE WHEN wo = 'VowelSubstitution' AND po = 'VowelSubstitution' AND nw = np AND w <> p THEN 'vowel_against_vowel' END], lambda z: z IS NOT NULL)) AS rule FROM x)"""
 
 
-def _winners(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    sources = _sources(spark, sf_dir).cache()
+def _winners(spark: SparkSession, sf_dir: str, seen: int) -> tuple[DataFrame, DataFrame]:
+    sources = _sources(spark, sf_dir, seen).cache()
     return sources, C.classify_mutations(sources).filter("class = 'Unique'").select("token", "target")
 
 
 @_query(f"{_RIVALS} SELECT token, rule, count(*) AS n FROM hit GROUP BY 1, 2")
-def rival_rules(spark, sf_dir):
-    return G.rival_rules(*_winners(spark, sf_dir))
+def rival_rules(spark, sf_dir, seen=1):
+    return G.rival_rules(*_winners(spark, sf_dir, seen))
 
 
 @_query(f"""{_RIVALS} SELECT win.token, w AS target, CASE WHEN (CASE WHEN wo IN ('ExtraCharacter', 'MissingCharacter') THEN wf >= 0.70e0 WHEN wo = 'AdjacentTransposition' THEN TRUE ELSE wf >= 0.65e0 END)
     AND (win.token NOT IN (SELECT token FROM hit) OR (wo = 'AdjacentTransposition' AND wf >= 0.9995e0)) THEN 'apply' ELSE 'wait' END AS decision FROM win""")
-def guarded_decisions(spark, sf_dir):
-    return G.guarded_decisions(*_winners(spark, sf_dir))
+def guarded_decisions(spark, sf_dir, seen=1):
+    return G.guarded_decisions(*_winners(spark, sf_dir, seen))
 
 
 @_query(f"WITH {_WORDS}, {_COUNTS}, {_LEX} SELECT c.word AS token, l.word AS word FROM (SELECT * FROM counts WHERE n = 1) c JOIN lex l ON length(l.word) <= 20 AND starts_with(c.word, l.word)")
-def dictionary_prefixes(spark, sf_dir):
+def dictionary_prefixes(spark, sf_dir, seen=1):
     docs = _docs(spark, sf_dir)
-    return C.dictionary_prefixes(S.english_counts(docs).filter("n = 1").select(F.col("word").alias("token")), S.lexicon(docs))
+    return C.dictionary_prefixes(S.english_counts(docs).filter(F.col("n") <= seen).select(F.col("word").alias("token")), S.lexicon(docs))
 
 
 @_query(rf"""WITH {_WORDS}, {_COUNTS}, {_LEX}, x AS (SELECT doc_id, lower(word) AS word FROM w)
@@ -454,8 +455,8 @@ def _scored(rare: DataFrame, lex: DataFrame) -> DataFrame:
 
 
 @_query(f"WITH {_WORDS}, {_COUNTS}, {_LEX}, {_RARE}, {_FAR} SELECT token, word, distance, rank, n, round(score, 9) AS score FROM scored")
-def two_edit_candidates(spark, sf_dir):
-    return _scored(*_rare_and_lexicon(spark, sf_dir)).select("token", "word", "distance", "rank", "n", F.round("score", 9).alias("score"))
+def two_edit_candidates(spark, sf_dir, seen=1):
+    return _scored(*_rare_and_lexicon(spark, sf_dir, seen)).select("token", "word", "distance", "rank", "n", F.round("score", 9).alias("score"))
 
 
 @_query(f"""WITH {_WORDS}, {_COUNTS}, {_LEX}, {_RARE}, {_FAR}, o AS (
@@ -464,8 +465,8 @@ def two_edit_candidates(spark, sf_dir):
         UNION ALL SELECT translate(word, '{_EN}', '{_RU}'), 'layout', word, 0.86e0 FROM long WHERE freq >= 0.55e0),
     r AS (SELECT *, row_number() OVER x AS k, lead(score) OVER x AS second FROM o WINDOW x AS (PARTITION BY token ORDER BY score DESC, kind, word))
     SELECT token, kind, word, CASE WHEN second >= 0.45e0 AND round(score - second, 9) <= 0.05e0 THEN 'wait' WHEN score >= 0.70e0 THEN 'apply' WHEN score >= 0.45e0 THEN 'wait' ELSE 'no_change' END AS decision FROM r WHERE k = 1""")
-def joint_decisions(spark, sf_dir):
-    rare, lex = _rare_and_lexicon(spark, sf_dir)
+def joint_decisions(spark, sf_dir, seen=1):
+    rare, lex = _rare_and_lexicon(spark, sf_dir, seen)
     best = _scored(rare, lex).filter("rank <= 2")
     spelling = best.select("token", F.lit("spelling").alias("kind"), "word", (F.col("score") + 0.06).alias("score"))
     combined = best.select(T.to_russian_layout(F.col("token")).alias("token"), F.lit("combined").alias("kind"), "word", (F.col("score") + 0.04).alias("score"))
@@ -562,23 +563,23 @@ def slip_recovery(spark, sf_dir):
 @_query(f"""{_BASE}, {_CLASSES}, a AS (SELECT token, target AS ta FROM u WHERE rivals = 0), t AS (SELECT token, word AS tb, row_number() OVER (PARTITION BY token ORDER BY cost, freq DESC, word) AS k FROM src),
     j AS (SELECT ta, tb FROM a FULL JOIN (SELECT * FROM t WHERE k = 1) t ON a.token = t.token)
     SELECT count(*) AS tokens, count(*) FILTER (WHERE ta = tb) AS agree, count(*) FILTER (WHERE ta <> tb) AS differ, count(*) FILTER (WHERE tb IS NULL) AS only_a, count(*) FILTER (WHERE ta IS NULL) AS only_b FROM j""")
-def provider_comparison(spark, sf_dir):
-    sources = _sources(spark, sf_dir).cache()
+def provider_comparison(spark, sf_dir, seen=1):
+    sources = _sources(spark, sf_dir, seen).cache()
     first = C.top_candidates(sources, 1).select("token", F.col("word").alias("target"))
     return A.compare_providers(C.classify_mutations(sources).select("token", "target"), first)
 
 
 @_query(f"WITH {_WORDS}, {_COUNTS}, {_LEX}, {_RARE}, {_NEAR} SELECT 'both' AS side, count(*) AS n FROM near")
-def candidate_set_difference(spark, sf_dir):
-    rare, lex = _rare_and_lexicon(spark, sf_dir)
+def candidate_set_difference(spark, sf_dir, seen=1):
+    rare, lex = _rare_and_lexicon(spark, sf_dir, seen)
     return A.set_difference(C.one_edit_pairs(rare, lex), C.generated_pairs(rare, lex), ["token", "word"])
 
 
 @_query(f"""{_RIVALS}, f AS (SELECT win.token, CASE WHEN (CASE WHEN wo IN ('ExtraCharacter', 'MissingCharacter') THEN wf >= 0.70e0 WHEN wo = 'AdjacentTransposition' THEN TRUE ELSE wf >= 0.65e0 END)
         AND (win.token NOT IN (SELECT token FROM hit) OR (wo = 'AdjacentTransposition' AND wf >= 0.9995e0)) THEN 'apply' ELSE 'wait' END AS second, CASE WHEN wf >= 0.70e0 THEN 'apply' ELSE 'wait' END AS first FROM win)
     SELECT first, count(*) FILTER (WHERE second = 'apply') AS apply, count(*) FILTER (WHERE second = 'wait') AS wait FROM f GROUP BY 1""")
-def outcome_matrix(spark, sf_dir):
-    sources, winners = _winners(spark, sf_dir)
+def outcome_matrix(spark, sf_dir, seen=1):
+    sources, winners = _winners(spark, sf_dir, seen)
     freq = sources.select("token", F.col("word").alias("target"), "freq").join(winners, ["token", "target"])
     plain = freq.select("token", F.when(F.col("freq") >= 0.70, "apply").otherwise("wait").alias("decision"))
     return A.outcome_matrix(plain, G.guarded_decisions(sources, winners), ["apply", "wait"])
@@ -650,9 +651,9 @@ def rejected_corrections(spark, sf_dir):
     y AS (SELECT token, start, unnest(list_transform(range(start, least(length(token), start + 19) + 1), lambda e: read[start:e])) AS word FROM s),
     a AS (SELECT 'forward' AS direction, token, word FROM x UNION ALL SELECT 'backward', token, word FROM y)
     SELECT direction, token, count(*) AS hits, count(DISTINCT word) AS words FROM a JOIN lex USING (word) GROUP BY 1, 2""")
-def dictionary_substrings(spark, sf_dir):
+def dictionary_substrings(spark, sf_dir, seen=1):
     counts = S.english_counts(_docs(spark, sf_dir)).cache()
-    rare, lex = counts.filter("n = 1").select(F.col("word").alias("token")), S.ranked_lexicon(counts).cache()
+    rare, lex = counts.filter(F.col("n") <= seen).select(F.col("word").alias("token")), S.ranked_lexicon(counts).cache()
     both = C.dictionary_substrings(rare, lex).withColumn("direction", F.lit("forward")).unionByName(C.dictionary_substrings(rare, lex, backward=True).withColumn("direction", F.lit("backward")))
     return both.groupBy("direction", "token").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("word").alias("words"))
 
@@ -723,3 +724,14 @@ def valid_entries(spark, sf_dir):
     pos = F.col("pos") % 4
     rows = S.token_rows(_docs(spark, sf_dir)).select(F.col("token").alias("word"), F.when(pos == 0, F.lit(None)).otherwise((pos - 1) * F.lit(0.75)).cast("double").alias("freq"))
     return V.valid_entries(rows).groupBy("freq").agg(F.count(F.lit(1)).alias("n"))
+
+
+# whole token sides
+
+#: These take as tokens the words seen once, and so does their SQL. Under their name with _all they take every word that is
+#: too rare for the lexicon (seen fewer than five times).
+SEEN_ONCE = (
+    "one_edit_join mutation_sources edit_classes top_candidates mutation_classes undominated_sources rival_rules guarded_decisions provider_comparison outcome_matrix "
+    "candidate_set_difference two_edit_candidates joint_decisions dictionary_prefixes dictionary_substrings"
+).split()
+QUERIES |= {f"{name}_all": partial(QUERIES[name], seen=4) for name in SEEN_ONCE}

@@ -212,6 +212,26 @@ def test_query_matches_its_sql(spark, duck, name):
     assert _canon(df.select(*columns).collect()) == _canon(want)
 
 
+def test_all_tokens_outside_the_lexicon(spark, tmp_path):
+    seen = {"hello": 6, "help": 5, "hallo": 4, "helo": 3, "hellp": 2, "hepl": 1, "helloworld": 2}
+    rows = [(1, " ".join(w for w, n in seen.items() for _ in range(n)), "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def near(w):
+        cuts = [(w[:i], w[i:]) for i in range(len(w) + 1)]
+        return {a + b[1:] for a, b in cuts} | {a + c + b[k:] for a, b in cuts for c in letters for k in (0, 1)} | {a + b[1] + b[0] + b[2:] for a, b in cuts if len(b) > 1}
+
+    run = lambda name: {tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
+    words = {w for w, n in seen.items() if n >= 5}
+    tokens = seen.keys() - words
+    assert run("one_edit_join_all") == {(t, w) for t in tokens for w in near(t) & words - {t}}
+    assert run("dictionary_prefixes_all") == {(t, w) for t in tokens for w in words if t.startswith(w)}
+    hits = lambda t: sum(t[i:].startswith(w) for i in range(len(t)) for w in words)
+    assert {(t, n) for d, t, n, _ in run("dictionary_substrings_all") if d == "forward"} == {(t, hits(t)) for t in tokens if hits(t)}
+    assert all(f"{name}_all" in catalog.QUERIES for name in catalog.SEEN_ONCE)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
