@@ -59,6 +59,55 @@ def classify_mutations(sources: DataFrame, band: float = 0.08) -> DataFrame:
     return found.select("token", "n_sources", "n_band", F.when(unique, "Unique").otherwise("Ambiguous").alias("class"), F.when(unique, F.col("best.word")).alias("target"))
 
 
+def clear_winner(champion: Column, challenger: Column) -> Column:
+    """The full dominance test of two sources (word, cost, freq, operation), as surveyed: the first rule that fits decides."""
+    a, b = champion, challenger
+    length = lambda s: s["operation"].isin("MissingCharacter", "ExtraCharacter") & (s["freq"] >= 0.999)
+    beside = lambda s: s["operation"] == "AdjacentKeySubstitution"
+    far_ahead = lambda x, y: (x["freq"] >= 0.995) & (x["freq"] >= y["freq"] + 0.004)
+    cheaper = F.when(a["cost"] + 0.01 < b["cost"], a["operation"]).when(b["cost"] + 0.01 < a["cost"], b["operation"])
+    judged = F.when(a["operation"] == b["operation"], a["operation"]).otherwise(F.coalesce(cheaper, F.when(a["freq"] >= b["freq"], a["operation"]).otherwise(b["operation"])))
+    return (
+        F.when(length(a) & beside(b) & (a["freq"] + 0.0001 >= b["freq"]), True)
+        .when(length(b) & beside(a) & (b["freq"] + 0.0001 >= a["freq"]), False)
+        .when(a["cost"] + 0.01 < b["cost"], ~far_ahead(b, a))
+        .when(a["cost"] > b["cost"] + 0.08, far_ahead(a, b))
+        .when(
+            judged.isin("VowelSubstitution", "GeneralSubstitution", "AdjacentKeySubstitution"),
+            ((a["freq"] >= 0.995) & (b["freq"] <= a["freq"] - 0.004)) | ((a["freq"] >= 0.90) & (a["freq"] >= b["freq"] + 0.12)),
+        )
+        .otherwise((a["freq"] >= b["freq"] + 0.12) | (a["freq"] >= 0.995))
+    )
+
+
+def apply_bands(sources: DataFrame) -> DataFrame:
+    """The sources with in_band: in the credible band (cost up to 0.35 above the token's least, freq from 0.50), or in the minimum band
+    (up to 0.08 above, and up to 0.20 for words of freq from 0.995)."""
+    over = lambda by: F.col("cost") <= F.min("cost").over(Window.partitionBy("token")) + by
+    return sources.withColumn("in_band", (over(0.35) & (F.col("freq") >= 0.50)) | over(0.08) | (over(0.20) & (F.col("freq") >= 0.995)))
+
+
+def _unbeaten(band: str) -> Column:
+    return F.filter(band, lambda s: ~F.exists(band, lambda o: (o["word"] != s["word"]) & clear_winner(o, s)))
+
+
+def classify_bands(sources: DataFrame) -> DataFrame:
+    """token, n_sources, n_band, class, target, as ``classify_mutations`` but by the whole apply band and the full dominance test: the
+    target is the one source of the band that no other beats, if it beats every other. The array of a token is bounded by its
+    one-edit neighbours."""
+    kept = F.collect_list(F.when(F.col("in_band"), F.struct("word", "cost", "freq", "operation")))
+    found = apply_bands(sources).groupBy("token").agg(F.count(F.lit(1)).alias("n_sources"), F.count_if("in_band").alias("n_band"), kept.alias("band"))
+    found = found.withColumn("unbeaten", _unbeaten("band")).withColumn("best", F.get("unbeaten", F.lit(0)))
+    unique = (F.size("unbeaten") == 1) & F.forall("band", lambda s: (s["word"] == F.col("best.word")) | clear_winner(F.col("best"), s))
+    return found.select("token", "n_sources", "n_band", F.when(unique, "Unique").otherwise("Ambiguous").alias("class"), F.when(unique, F.col("best.word")).alias("target"))
+
+
+def unbeaten_sources(sources: DataFrame) -> DataFrame:
+    """token, word of the sources of each token's apply band that no other one there beats by the full dominance test."""
+    band = apply_bands(sources).filter("in_band").groupBy("token").agg(F.collect_list(F.struct("word", "cost", "freq", "operation")).alias("band"))
+    return band.select("token", F.explode(_unbeaten("band")).alias("s")).select("token", "s.word")
+
+
 def top_candidates(sources: DataFrame, k: int) -> DataFrame:
     """The k cheapest sources of each token: cost, then frequency down, then word."""
     order = Window.partitionBy("token").orderBy("cost", F.desc("freq"), "word")

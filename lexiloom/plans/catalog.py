@@ -222,8 +222,8 @@ def top_candidates(spark, sf_dir, seen=1):
     r AS (SELECT token, word, freq, row_number() OVER (PARTITION BY token ORDER BY freq DESC, cost, word) AS k FROM b WHERE inb),
     u AS (SELECT x.token, x.word, count(y.word) AS rivals FROM r x LEFT JOIN r y ON x.token = y.token AND y.k > 1 AND y.freq + 0.12 > x.freq WHERE x.k = 1 GROUP BY ALL)
     SELECT z.token, n_sources, n_band, CASE WHEN rivals = 0 THEN 'Unique' ELSE 'Ambiguous' END AS class, CASE WHEN rivals = 0 THEN u.word END AS target FROM z JOIN u ON z.token = u.token""")
-def mutation_classes(spark, sf_dir, seen=1):
-    return C.classify_mutations(_sources(spark, sf_dir, seen))
+def mutation_classes(spark, sf_dir, seen=1, classify=C.classify_mutations):
+    return classify(_sources(spark, sf_dir, seen))
 
 
 @_query(f"""{_BASE} SELECT token, word FROM src s WHERE NOT EXISTS (SELECT 1 FROM src o WHERE o.token = s.token AND o.word <> s.word
@@ -259,20 +259,20 @@ _RIVALS = f"""{_BASE}, b AS (SELECT *, cost <= min(cost) OVER (PARTITION BY toke
         CASE WHEN wo = 'VowelSubstitution' AND po = 'VowelSubstitution' AND nw = np AND w <> p THEN 'vowel_against_vowel' END], lambda z: z IS NOT NULL)) AS rule FROM x)"""
 
 
-def _winners(spark: SparkSession, sf_dir: str, seen: int) -> tuple[DataFrame, DataFrame]:
+def _winners(spark: SparkSession, sf_dir: str, seen: int, classify) -> tuple[DataFrame, DataFrame]:
     sources = _sources(spark, sf_dir, seen).cache()
-    return sources, C.classify_mutations(sources).filter("class = 'Unique'").select("token", "target")
+    return sources, classify(sources).filter("class = 'Unique'").select("token", "target")
 
 
 @_query(f"{_RIVALS} SELECT token, rule, count(*) AS n FROM hit GROUP BY 1, 2")
-def rival_rules(spark, sf_dir, seen=1):
-    return G.rival_rules(*_winners(spark, sf_dir, seen))
+def rival_rules(spark, sf_dir, seen=1, classify=C.classify_mutations):
+    return G.rival_rules(*_winners(spark, sf_dir, seen, classify))
 
 
 @_query(f"""{_RIVALS} SELECT win.token, w AS target, CASE WHEN (CASE WHEN wo IN ('ExtraCharacter', 'MissingCharacter') THEN wf >= 0.70e0 WHEN wo = 'AdjacentTransposition' THEN TRUE ELSE wf >= 0.65e0 END)
     AND (win.token NOT IN (SELECT token FROM hit) OR (wo = 'AdjacentTransposition' AND wf >= 0.9995e0)) THEN 'apply' ELSE 'wait' END AS decision FROM win""")
-def guarded_decisions(spark, sf_dir, seen=1):
-    return G.guarded_decisions(*_winners(spark, sf_dir, seen))
+def guarded_decisions(spark, sf_dir, seen=1, classify=C.classify_mutations):
+    return G.guarded_decisions(*_winners(spark, sf_dir, seen, classify))
 
 
 @_query(f"WITH {_WORDS}, {_COUNTS}, {_LEX} SELECT c.word AS token, l.word AS word FROM (SELECT * FROM counts WHERE n = 1) c JOIN lex l ON length(l.word) <= 20 AND starts_with(c.word, l.word)")
@@ -527,16 +527,16 @@ _DECIDE = rf"""{_TOKENS}, {_WORDS}, {_COUNTS}, {_LEX}, {_DISTINCT}, m AS (SELECT
 
 
 @_query(f"WITH {_DECIDE} SELECT CASE WHEN reason = 'unique' THEN 'apply' WHEN reason IN ('ambiguous', 'rare_target') THEN 'wait' ELSE 'no_change' END AS decision, reason, count(*) AS n, sum(('0x' || sha256(token)[1:12])::BIGINT)::VARCHAR AS fingerprint FROM d GROUP BY ALL")
-def decision_summary(spark, sf_dir):
-    d = decide(_distinct_tokens(spark, sf_dir).cache(), S.lexicon(_docs(spark, sf_dir)).cache())
+def decision_summary(spark, sf_dir, classify=C.classify_mutations):
+    d = decide(_distinct_tokens(spark, sf_dir).cache(), S.lexicon(_docs(spark, sf_dir)).cache(), classify=classify)
     # a sum of digests does not depend on the order of rows and is added up before the shuffle
     each = F.conv(F.substring(F.sha2("token", 256), 1, 12), 16, 10).cast("decimal(20,0)")
     return d.groupBy("decision", "reason").agg(F.count(F.lit(1)).alias("n"), F.sum(each).cast("string").alias("fingerprint"))
 
 
 @_query(f"WITH {_DECIDE} SELECT count(*) AS examined, count(*) FILTER (WHERE reason = 'unique') AS apply, count(*) FILTER (WHERE reason IN ('ambiguous', 'rare_target')) AS wait, count(*) FILTER (WHERE reason IN ('protected', 'known', 'no_source')) AS no_change FROM d")
-def gate_counters(spark, sf_dir):
-    d = decide(_distinct_tokens(spark, sf_dir).cache(), S.lexicon(_docs(spark, sf_dir)).cache())
+def gate_counters(spark, sf_dir, classify=C.classify_mutations):
+    d = decide(_distinct_tokens(spark, sf_dir).cache(), S.lexicon(_docs(spark, sf_dir)).cache(), classify=classify)
     count = lambda x: F.count_if(F.col("decision") == x).alias(x)
     return d.agg(F.count(F.lit(1)).alias("examined"), count("apply"), count("wait"), count("no_change"))
 
@@ -555,18 +555,18 @@ _CLASSES = """b AS (SELECT *, cost <= min(cost) OVER (PARTITION BY token) + 0.08
     rare AS (SELECT DISTINCT mutation AS token FROM m WHERE mutation <> word AND mutation NOT IN (SELECT word FROM long)), {_NEAR}, {_KIND}, {_CLASSES}
     SELECT slip, CASE WHEN mutation IN (SELECT word FROM long) THEN 'valid_word' WHEN u.token IS NULL THEN 'no_source' WHEN rivals > 0 THEN 'ambiguous' WHEN target = m.word THEN 'recovered' ELSE 'wrong' END AS outcome, count(*) AS n
     FROM m LEFT JOIN u ON m.mutation = u.token WHERE mutation <> m.word GROUP BY ALL""")
-def slip_recovery(spark, sf_dir):
+def slip_recovery(spark, sf_dir, classify=C.classify_mutations):
     lex = S.lexicon(_docs(spark, sf_dir)).filter("length(word) between 2 and 15").select("word", "freq", "n").cache()
-    return A.recovery(A.seeded_slips(lex.filter("length(word) >= 4")), lex)
+    return A.recovery(A.seeded_slips(lex.filter("length(word) >= 4")), lex, classify)
 
 
 @_query(f"""{_BASE}, {_CLASSES}, a AS (SELECT token, target AS ta FROM u WHERE rivals = 0), t AS (SELECT token, word AS tb, row_number() OVER (PARTITION BY token ORDER BY cost, freq DESC, word) AS k FROM src),
     j AS (SELECT ta, tb FROM a FULL JOIN (SELECT * FROM t WHERE k = 1) t ON a.token = t.token)
     SELECT count(*) AS tokens, count(*) FILTER (WHERE ta = tb) AS agree, count(*) FILTER (WHERE ta <> tb) AS differ, count(*) FILTER (WHERE tb IS NULL) AS only_a, count(*) FILTER (WHERE ta IS NULL) AS only_b FROM j""")
-def provider_comparison(spark, sf_dir, seen=1):
+def provider_comparison(spark, sf_dir, seen=1, classify=C.classify_mutations):
     sources = _sources(spark, sf_dir, seen).cache()
     first = C.top_candidates(sources, 1).select("token", F.col("word").alias("target"))
-    return A.compare_providers(C.classify_mutations(sources).select("token", "target"), first)
+    return A.compare_providers(classify(sources).select("token", "target"), first)
 
 
 @_query(f"WITH {_WORDS}, {_COUNTS}, {_LEX}, {_RARE}, {_NEAR} SELECT 'both' AS side, count(*) AS n FROM near")
@@ -578,8 +578,8 @@ def candidate_set_difference(spark, sf_dir, seen=1):
 @_query(f"""{_RIVALS}, f AS (SELECT win.token, CASE WHEN (CASE WHEN wo IN ('ExtraCharacter', 'MissingCharacter') THEN wf >= 0.70e0 WHEN wo = 'AdjacentTransposition' THEN TRUE ELSE wf >= 0.65e0 END)
         AND (win.token NOT IN (SELECT token FROM hit) OR (wo = 'AdjacentTransposition' AND wf >= 0.9995e0)) THEN 'apply' ELSE 'wait' END AS second, CASE WHEN wf >= 0.70e0 THEN 'apply' ELSE 'wait' END AS first FROM win)
     SELECT first, count(*) FILTER (WHERE second = 'apply') AS apply, count(*) FILTER (WHERE second = 'wait') AS wait FROM f GROUP BY 1""")
-def outcome_matrix(spark, sf_dir, seen=1):
-    sources, winners = _winners(spark, sf_dir, seen)
+def outcome_matrix(spark, sf_dir, seen=1, classify=C.classify_mutations):
+    sources, winners = _winners(spark, sf_dir, seen, classify)
     freq = sources.select("token", F.col("word").alias("target"), "freq").join(winners, ["token", "target"])
     plain = freq.select("token", F.when(F.col("freq") >= 0.70, "apply").otherwise("wait").alias("decision"))
     return A.outcome_matrix(plain, G.guarded_decisions(sources, winners), ["apply", "wait"])
@@ -735,3 +735,16 @@ SEEN_ONCE = (
     "candidate_set_difference two_edit_candidates joint_decisions dictionary_prefixes dictionary_substrings"
 ).split()
 QUERIES |= {f"{name}_all": partial(QUERIES[name], seen=4) for name in SEEN_ONCE}
+
+
+# whole bands
+
+
+def undominated_sources_full(spark, sf_dir):
+    return C.unbeaten_sources(_sources(spark, sf_dir, 4))
+
+
+#: With the ending _full these classify by the whole apply band and the full dominance test, over all words outside the lexicon.
+QUERIES |= {f"{name}_full": partial(QUERIES[name], seen=4, classify=C.classify_bands) for name in ("mutation_classes", "rival_rules", "guarded_decisions", "provider_comparison", "outcome_matrix")}
+QUERIES |= {f"{name}_full": partial(QUERIES[name], classify=C.classify_bands) for name in ("decision_summary", "gate_counters", "slip_recovery")}
+QUERIES["undominated_sources_full"] = undominated_sources_full

@@ -9,7 +9,7 @@ from lexiloom.functions import text as T
 from lexiloom.operators import candidates as C
 
 
-def decide(tokens: DataFrame, lexicon: DataFrame, apply_at: float = 0.70) -> DataFrame:
+def decide(tokens: DataFrame, lexicon: DataFrame, apply_at: float = 0.70, classify=C.classify_mutations) -> DataFrame:
     """token, decision, kind, replacement, reason for distinct ``tokens(token)``.
 
     In order: protected tokens and known words stay; a unique one-edit target that is frequent enough is applied; several
@@ -19,7 +19,7 @@ def decide(tokens: DataFrame, lexicon: DataFrame, apply_at: float = 0.70) -> Dat
     low = tokens.withColumn("low", F.lower("token"))
     marked = low.join(C.sized(known), F.col("low") == F.col("known"), "left").withColumn("protected", T.is_protected(F.col("token")))
     open_ = marked.filter("not protected and known is null and length(token) between 3 and 14").select(F.col("low").alias("token")).distinct()
-    found = C.classify_mutations(C.mutation_sources(C.one_edit_pairs(open_, lexicon), lexicon))
+    found = classify(C.mutation_sources(C.one_edit_pairs(open_, lexicon), lexicon))
     found = found.join(C.sized(lexicon.select(F.col("word").alias("target"), F.col("freq").alias("f"))), "target", "left")
     out = marked.join(found.withColumnRenamed("token", "low"), "low", "left")
     decision = (

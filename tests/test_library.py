@@ -2,6 +2,7 @@
 
 import glob
 import os
+import random
 
 import duckdb
 import pytest
@@ -232,6 +233,41 @@ def test_all_tokens_outside_the_lexicon(spark, tmp_path):
     assert all(f"{name}_all" in catalog.QUERIES for name in catalog.SEEN_ONCE)
 
 
+def plain_beats(a, b):
+    (_, ac, af, ao), (_, bc, bf, bo) = a, b
+    length, beside = ("MissingCharacter", "ExtraCharacter"), "AdjacentKeySubstitution"
+    if ao in length and af >= 0.999 and bo == beside and af + 0.0001 >= bf:
+        return True
+    if bo in length and bf >= 0.999 and ao == beside and bf + 0.0001 >= af:
+        return False
+    if ac + 0.01 < bc:
+        return not (bf >= 0.995 and bf >= af + 0.004)
+    if ac > bc + 0.08:
+        return af >= 0.995 and af >= bf + 0.004
+    op = ao if ao == bo or ac + 0.01 < bc else bo if bc + 0.01 < ac else ao if af >= bf else bo
+    if op in ("VowelSubstitution", "GeneralSubstitution", beside):
+        return (af >= 0.995 and bf <= af - 0.004) or (af >= 0.90 and af >= bf + 0.12)
+    return af >= bf + 0.12 or af >= 0.995
+
+
+def test_full_bands_and_dominance(spark):
+    rng = random.Random(4)
+    freqs = [0.4, 0.55, 0.8, 0.9, 0.93, 0.989, 0.995, 0.9985, 0.9991, 1.0]
+    made = {f"t{t}": [(f"w{i}", E.COSTS[op], rng.choice(freqs), op) for i in range(rng.randint(1, 4)) for op in [rng.choice(list(E.COSTS))]] for t in range(400)}
+    made["wide"] = [("near", 0.75, 0.96, "AdjacentTransposition"), ("wide", 1.0, 0.999, "MissingCharacter")]  # the second is beyond 0.08
+    want, alone = {}, set()
+    for token, rows in made.items():
+        least = min(c for _, c, _, _ in rows)
+        band = [r for r in rows if (r[1] <= least + 0.35 and r[2] >= 0.50) or r[1] <= least + 0.08 or (r[1] <= least + 0.20 and r[2] >= 0.995)]
+        free = [r for r in band if not any(plain_beats(o, r) for o in band if o != r)]
+        sure = len(free) == 1 and all(o == free[0] or plain_beats(free[0], o) for o in band)
+        want[token] = (len(rows), len(band), "Unique" if sure else "Ambiguous", free[0][0] if sure else None)
+        alone |= {(token, r[0]) for r in free}
+    df = spark.createDataFrame([(t, *r) for t, rows in made.items() for r in rows], "token string, word string, cost double, freq double, operation string")
+    assert {r[0]: tuple(r[1:]) for r in C.classify_bands(df).collect()} == want and want["wide"][3] == "wide"
+    assert {tuple(r) for r in C.unbeaten_sources(df).collect()} == alone
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
