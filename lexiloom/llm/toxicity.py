@@ -1,11 +1,20 @@
 """Toxicity by class-conditional Kneser-Ney bigram models.
 
-Each class interpolates its discounted bigrams with its discounted words, and those with backoff counts that both
-classes share in proportion to their sizes, so an expression that is rare in both has nearly equal likelihoods.
-A word counts once per text, so one text cannot make it common. Counts are taken over all labelled rows and no
-expression is left out of the model: up to ``HEAD_WORDS`` and ``HEAD_BIGRAMS`` of the most frequent are sent to every
-executor, and what is beyond is looked up by a shuffled join. A text is judged by its length-normalised log-likelihood
-ratio, over the whole and over its worst short and long stretch, through a logistic fit on rows that were not counted.
+A class's probability of a word after another is its discounted bigram count, and what the discount takes is given back
+through a lower order: the counts that both classes share, tilted towards the words that the class prefers.
+
+    P_c(w|v) = [n_c(v w) - D]+ / n_c(v) + g_c(v) S(w|v) r_c(w) / Z_c(v)      g_c(v): the discounted share of v's counts
+    S(w|v)   = [n(v w) - D0]+ / n(v) + g(v) S(w)                             counts of both classes together
+    S(w)     = [L(w) - D0]+ / L + (discounted share of L) / (V + 1)          L: distinct left neighbours; one place is unknown
+    r_c(w)   = P_c(w) / S(w),  P_c(w) = [L_c(w) - D]+ / L_c + (discounted share of L_c) S(w)
+    Z_c(v)   = sum of S(w|v) r_c(w) over w
+
+so each P_c(.|v) sums to 1 over the vocabulary and the unknown word. A pair counts once per text (one text cannot make it
+common), and every text's first word follows a mark. All pairs of all labelled rows enter the counts: a pair seen
+once is in the sums of its two words, which are kept for every word, so only pairs seen again need rows of their own. A pair that
+neither class has over D times has the ratio of its words, by the formula itself; the same holds for words and contexts.
+A text is judged by its length-normalised log-likelihood ratio, over the whole and over its worst short and long
+stretch, through a logistic fit on rows that were not counted.
 """
 
 from __future__ import annotations
@@ -22,16 +31,15 @@ from lexiloom.llm.textkernel import slices, string_buffers, word_bounds, word_ha
 
 FOLDS = 5  # fold 0 is held out, the last calibrates, the others are counted
 #: Entries that executors hold in memory, at 16 bytes each; the model itself has no such bound.
-HEAD_WORDS, HEAD_BIGRAMS = 1_000_000, 2_000_000
-#: Expressions seen less often in both classes together are rare: only the shared counts speak for them.
-LEAST_COUNT = 5
+HEAD_WORDS, HEAD_PAIRS = 1_000_000, 2_000_000
 CALIBRATION_ROWS = 5000
 STRETCHES = (1, 6, 30)
-#: Shared backoff counts of a word (with the log of its distinct left neighbours), and of a pair.
-SHARED = 10.0
 #: Labels up to which they are sent to all executors to pick texts; beyond, texts are shuffled by id.
 BROADCAST_LABELS = 1_000_000
-_D = 0.75
+#: Discounts of a class's own counts and of the shared ones.
+D, D0 = 2, 1
+#: The mark before a text's first word.
+START = 0x5EED
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
 _BREAK = np.zeros(256, bool)
@@ -62,40 +70,59 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
+def _before(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The word before each word; the mark before the first of each text."""
+    out = np.empty_like(words)
+    out[1:] = words[:-1]
+    out[first[first < len(words)]] = START
+    return out
+
+
+@dataclass
+class Table:
+    """Log ratios by sorted keys."""
+
+    keys: np.ndarray
+    ratio: np.ndarray
+
+    @staticmethod
+    def of(keys: np.ndarray, ratio: np.ndarray) -> Table:
+        order = np.argsort(keys)
+        return Table(keys[order], ratio[order])
+
+    def look(self, keys: np.ndarray, other: float) -> tuple[np.ndarray, np.ndarray]:
+        """Ratios, and whether each key is in the table."""
+        at = _find(self.keys, keys)
+        out = np.full(len(keys), other)
+        out[at >= 0] = self.ratio[at[at >= 0]]
+        return out, at >= 0
+
+
 @dataclass
 class Head:
-    """Log-likelihood ratios of the most frequent words and pairs, by sorted keys."""
+    """Ratios that executors hold: of words, of contexts, and of pairs, which speak over both."""
 
-    words: np.ndarray
-    word_ratio: np.ndarray
-    pairs: np.ndarray
-    pair_ratio: np.ndarray
+    words: Table
+    contexts: Table
+    pairs: Table
     unknown: float
 
-    def look(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ratio of each word given the one before it in its text; whether the pair (the word) may be beyond the head."""
-        at = _find(self.words, words)
-        out = np.full(len(words), self.unknown)
-        out[at >= 0] = self.word_ratio[at[at >= 0]]
-        inner = np.ones(len(words), bool)
-        inner[first[first < len(words)]] = False
-        second = np.flatnonzero(inner)
-        pair = _find(self.pairs, _pair_keys(words[second - 1], words[second]))
-        held = second[pair >= 0]
-        out[held] = self.pair_ratio[pair[pair >= 0]]
-        inner[held] = False
-        new = at < 0
-        new[held] = False
-        return out, inner, new
+    def look(self, words: np.ndarray, first: np.ndarray):
+        """Per place: the ratios of word, context and pair, and whether each is held."""
+        v = _before(words, first)
+        return self.words.look(words, self.unknown), self.contexts.look(v, 0.0), self.pairs.look(_pair_keys(v, words), 0.0)
+
+
+def _place_ratios(word, context, pair) -> np.ndarray:
+    return np.where(pair[1], pair[0], word[0] + context[0])
 
 
 @dataclass
 class Model:
-    """``tail_words(w, ratio)`` and ``tail_pairs(v, w, ratio)`` hold what the head does not; None if it holds all."""
+    """``tails`` hold what the head does not: (k, ratio) of words and of contexts, (v, w, ratio) of pairs; None if the head holds all."""
 
     head: Head
-    tail_words: DataFrame | None
-    tail_pairs: DataFrame | None
+    tails: tuple[DataFrame, DataFrame, DataFrame] | None
     weights: np.ndarray
     centre: np.ndarray
     spread: np.ndarray
@@ -126,12 +153,14 @@ def _measure(head: Head, names: list[str]):
         for batch in batches:
             for part in slices(batch):
                 words, first = _words(part)
-                ratios = head.look(words, first[:-1])[0]
+                parts = head.look(words, first[:-1])
                 if "hits" in part.schema.names:
                     for i, hits in enumerate(part.column("hits").to_pylist()):
-                        for hit in sorted(hits or [], key=lambda h: h["pair"]):  # a pair speaks over its word
-                            ratios[first[i] + hit["pos"]] = hit["ratio"]
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(_stretches(ratios, first), pa.list_(pa.float64()))], names=[*names, "x"])
+                        for hit in hits or []:
+                            ratio, held = parts[hit["kind"]]
+                            ratio[first[i] + hit["pos"]], held[first[i] + hit["pos"]] = hit["ratio"], True
+                x = _stretches(_place_ratios(*parts), first)
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(x, pa.list_(pa.float64()))], names=[*names, "x"])
 
     return run
 
@@ -140,29 +169,30 @@ def with_features(rows: DataFrame, model: Model) -> DataFrame:
     """``rows(..., text)`` without text, with the features ``x`` of the text."""
     head, others = model.head, [f for f in rows.schema.fields if f.name != "text"]
     names = [f.name for f in others]
-    if model.tail_pairs is None:
+    if model.tails is None:
         return rows.mapInArrow(_measure(head, names), ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in others), "x array<double>"]))
 
     def beyond(batches):
         for batch in batches:
             for part in slices(batch):
                 words, first = _words(part)
-                _, pair, word = head.look(words, first[:-1])
-                at = np.flatnonzero(pair | word)
+                before, held = _before(words, first[:-1]), [h for _, h in head.look(words, first[:-1])]
+                at = np.flatnonzero(~held[2])
                 text = np.searchsorted(first, at, side="right") - 1
                 out = [part.column(n).take(pa.array(text)) for n in ("k1", "k2")]
-                signed = words.view(np.int64)
-                before = np.where(pair[at], signed[np.maximum(at - 1, 0)], 0)
-                out += [pa.array(at - first[text]), pa.array(pair[at]), pa.array(word[at]), pa.array(before), pa.array(signed[at])]
-                yield pa.RecordBatch.from_arrays(out, names=["k1", "k2", "pos", "is_pair", "is_new", "v", "w"])
+                out += [pa.array(at - first[text]), pa.array(~held[0][at]), pa.array(~held[1][at]), pa.array(before.view(np.int64)[at]), pa.array(words.view(np.int64)[at])]
+                yield pa.RecordBatch.from_arrays(out, names=["k1", "k2", "pos", "new_word", "new_context", "v", "w"])
 
     # equal texts have equal features: each text is measured once, under 96 bits of hashes
     key = [F.xxhash64(F.coalesce("text", F.lit(""))).alias("k1"), F.hash(F.coalesce("text", F.lit(""))).alias("k2")]
     texts = workspace.materialize(rows.select(*key, "text").groupBy("k1", "k2").agg(F.min("text").alias("text")), "texts")
-    misses = workspace.materialize(texts.mapInArrow(beyond, "k1 long, k2 int, pos long, is_pair boolean, is_new boolean, v long, w long"), "misses")
-    found = misses.filter("is_pair").join(model.tail_pairs, ["v", "w"]).select("k1", "k2", "pos", F.lit(1).alias("pair"), "ratio")
-    found = found.unionByName(misses.filter("is_new").join(model.tail_words, "w").select("k1", "k2", "pos", F.lit(0).alias("pair"), "ratio"))
-    found = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "pair", "ratio")).alias("hits"))
+    misses = workspace.materialize(texts.mapInArrow(beyond, "k1 long, k2 int, pos long, new_word boolean, new_context boolean, v long, w long"), "misses")
+    words, contexts, pairs = model.tails
+    hit = lambda kind: ("k1", "k2", "pos", F.lit(kind).alias("kind"), "ratio")
+    found = misses.join(pairs, ["v", "w"]).select(*hit(2))
+    found = found.unionByName(misses.filter("new_word").join(words, F.col("w") == F.col("k")).select(*hit(0)))
+    found = found.unionByName(misses.filter("new_context").join(contexts, F.col("v") == F.col("k")).select(*hit(1)))
+    found = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "kind", "ratio")).alias("hits"))
     measures = texts.join(found, ["k1", "k2"], "left").select("k1", "k2", "text", "hits").mapInArrow(_measure(head, ["k1", "k2"]), "k1 long, k2 int, x array<double>")
     return rows.select(*names, *key).join(measures, ["k1", "k2"]).select(*names, "x")
 
@@ -176,34 +206,87 @@ def _once(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
     return order[new]
 
 
-def _tally(key: np.ndarray, mark: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    """Texts of each class by key; a key is one row."""
+def _sums(key: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows of key, and how often each class has them."""
     order = np.lexsort(key.T)
-    key, mark = key[order], mark[order].astype(np.int64)
+    key, toxic = key[order], toxic[order].astype(np.int64)
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]).any(axis=1)
     at = np.flatnonzero(new)
     n = np.diff(np.append(at, len(key)))
-    t = np.add.reduceat(mark, at) if len(at) else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([*(pa.array(c) for c in np.ascontiguousarray(key[at].T).view(np.int64)), pa.array(t), pa.array(n - t)], names=[*names, "t", "o"])
-
-
-def _count(of_pairs: bool):
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch):
-                toxic = part.column("toxic").to_numpy(zero_copy_only=False)
-                words, first = _words(part)
-                doc = np.repeat(np.arange(part.num_rows), np.diff(first))
-                if of_pairs:
-                    inner = np.flatnonzero(doc[1:] == doc[:-1])
-                    once = inner[_once(doc[inner], _pair_keys(words[inner], words[inner + 1]))]
-                    yield _tally(np.stack([words[once], words[once + 1]], axis=1), toxic[doc[once]], ["v", "w"])
-                else:
-                    once = _once(doc, words)
-                    yield _tally(words[once][:, None], toxic[doc[once]], ["w"])
-
-    return run
+    t = np.add.reduceat(toxic, at) if len(at) else np.zeros(0, np.int64)
+    return key[at].view(np.int64), t, n - t
+
+
+#: Kinds of counts: a pair (v, w); a word as the second of pairs, and as the first.
+PAIR, SECOND, FIRST = 0, 1, 2
+
+
+def _count(batches):
+    """Texts of each class with a pair, and the sums of these over the pairs of a word."""
+    for batch in batches:
+        for part in slices(batch):
+            toxic = part.column("toxic").to_numpy(zero_copy_only=False)
+            words, first = _words(part)
+            doc = np.repeat(np.arange(part.num_rows), np.diff(first))
+            before = _before(words, first[:-1])
+            once = _once(doc, _pair_keys(before, words))
+            v, w, mark = before[once], words[once], toxic[doc[once]]
+            zero = np.zeros(len(once), _U)
+            for kind, key in ((PAIR, (v, w)), (SECOND, (zero, w)), (FIRST, (v, zero))):
+                k, t, o = _sums(np.stack(key, axis=1), mark)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), *(pa.array(np.ascontiguousarray(k[:, i])) for i in (0, 1)), pa.array(t), pa.array(o)], names=["kind", "v", "w", "t", "o"])
+
+
+def kneser_ney(counted: DataFrame) -> tuple[tuple[DataFrame, DataFrame, DataFrame], float, bool]:
+    """From ``counted(text, toxic)``: ratio tables of words and contexts (k, n, ratio) and of pairs (v, w, n, ratio), the ratio
+    of a word that is in no table, and whether both classes were seen (if not, all ratios are 0). A context in no table has
+    ratio 0, a pair in no table the sum of its word's and its context's ratios."""
+    counts = counted.mapInArrow(_count, "kind byte, v long, w long, t long, o long").groupBy("kind", "v", "w").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    counts = workspace.materialize(counts.filter((F.col("kind") != PAIR) | (F.col("t") + F.col("o") > 1)), "counts")
+    more = lambda c, d: F.greatest(c - d, F.lit(0))
+    t, o, n = F.col("t"), F.col("o"), F.col("t") + F.col("o")
+    again = counts.filter(F.col("kind") == PAIR).select("v", "w", "t", "o")
+    columns = ["st", "so", "ft", "fo", "ct", "co", "c", "dt", "do", "ds"]
+    entry = lambda df, key, **own: df.select(key.alias("k"), *[(own.get(c) if c in own else F.lit(0)).cast("long").alias(c) for c in columns])
+    facts = entry(counts.filter(F.col("kind") == SECOND), F.col("w"), st=t, so=o)
+    facts = facts.unionByName(entry(counts.filter(F.col("kind") == FIRST), F.col("v"), ft=t, fo=o))
+    # a word has as many left neighbours as pairs, less the repetitions of each
+    facts = facts.unionByName(entry(again, F.col("w"), ct=more(t, 1), co=more(o, 1), c=more(n, 1)))
+    facts = facts.unionByName(entry(again, F.col("v"), dt=more(t, D), do=more(o, D), ds=more(n, D0)))
+    facts = facts.groupBy("k").agg(*[F.sum(c).alias(c) for c in columns])
+    facts = facts.withColumns({"lt": F.col("st") - F.col("ct"), "lo": F.col("so") - F.col("co"), "l": F.col("st") + F.col("so") - F.col("c")})
+    facts = workspace.materialize(facts, "facts")
+
+    cut = lambda c, d: F.sum(F.least(F.col(c), F.lit(d)))
+    total = facts.agg(F.sum("lt").alias("lt"), F.sum("lo").alias("lo"), F.sum("l").alias("l"), cut("lt", D).alias("ct"), cut("lo", D).alias("co"), cut("l", D0).alias("c"), F.count_if(F.col("l") > 0).alias("kinds")).first()
+    both = bool(total["lt"] and total["lo"])
+    g = {c: total["c" + c] / max(total["l" + c] or 0, 1) if both else 1.0 for c in "to"}
+    whole = max(total["l"] or 0, 1)
+    shared = more(F.col("l"), D0) / float(whole) + (total["c"] or 0) / whole / (total["kinds"] + 1)
+    tilt = lambda c: more(F.col("l" + c), D) / float(max(total["l" + c] or 0, 1)) / shared + float(g[c])
+    ratio = lambda a, b: F.round(F.log(a) - F.log(b), 9) if both else F.lit(0.0)
+    words = facts.filter("l > 0").select("k", F.col("l").alias("n"), shared.alias("s"), tilt("t").alias("rt"), tilt("o").alias("ro"), "lt", "lo")
+    words = workspace.materialize(words, "words")
+    word_table = words.filter(F.greatest("lt", "lo") > D).select("k", "n", ratio(F.col("rt"), F.col("ro")).alias("ratio"))
+
+    tilted = workspace.materialize(again.join(words.select(F.col("k").alias("w"), "s", "rt", "ro"), "w"), "tilted")
+    z = tilted.groupBy("v").agg(*[F.sum((n - D0) * (F.col("r" + c) - 1)).alias("z" + c) for c in "to"])
+    contexts = z.join(facts.select(F.col("k").alias("v"), "ft", "fo", "dt", "do", "ds"), "v")
+    f = F.col("ft") + F.col("fo")
+    own = {c: 1 - F.col("d" + c) / F.greatest(F.col("f" + c), F.lit(1)) for c in "to"}
+    contexts = contexts.select("v", f.alias("f"), "ft", "fo", *[(own[c] / (1 + F.col("z" + c) / f)).alias("g" + c) for c in "to"], (1 - F.col("ds") / f).alias("g"))
+    contexts = workspace.materialize(contexts, "contexts")
+    context_table = contexts.select(F.col("v").alias("k"), F.col("f").alias("n"), ratio(F.col("gt"), F.col("go")).alias("ratio"))
+
+    strong = tilted.filter(F.greatest("t", "o") > D).join(contexts, "v")
+    pooled = (n - D0) / F.col("f") + F.col("g") * F.col("s")
+    given = [more(F.col(c), D) / F.greatest(F.col("f" + c), F.lit(1)) + F.col("g" + c) * pooled * F.col("r" + c) for c in "to"]
+    pair_table = strong.select("v", "w", n.alias("n"), ratio(*given).alias("ratio"))
+    tables = tuple(workspace.materialize(x, name) for x, name in ((word_table, "word_ratios"), (context_table, "context_ratios"), (pair_table, "pair_ratios")))
+    for used in (counts, facts, words, tilted, contexts):
+        workspace.drop(used)
+    return tables, round(float(np.log(g["t"] / g["o"])), 9) if both else 0.0, both
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> np.ndarray:
@@ -231,50 +314,21 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     with_label = lambda m: rows.join(small(m), F.col("doc_id") == F.col("lid")).select("doc_id", "text", "toxic")
     counted = with_label(marks.filter(F.col("fold") != FOLDS - 1))
 
-    totals = [F.sum("t").alias("t"), F.sum("o").alias("o")]
-    words = workspace.materialize(counted.mapInArrow(_count(False), "w long, t long, o long").groupBy("w").agg(*totals), "words")
-    pairs = workspace.materialize(counted.mapInArrow(_count(True), "v long, w long, t long, o long").groupBy("v", "w").agg(*totals), "pairs")
-    frequent = F.col("t") + F.col("o") >= LEAST_COUNT
-    left = pairs.groupBy("w").agg(F.count(F.lit(1)).alias("left"))
-    words = words.join(left, "w", "left").select("w", "t", "o", F.coalesce("left", F.lit(0)).alias("left"))
-    rare = words.filter(~frequent).agg(*totals, F.sum("left").alias("left")).first()
-    known = workspace.materialize(words.filter(frequent).withColumn("shared", SHARED + F.log1p("left")), "known_words")
-    less = lambda n: F.greatest(n - _D, F.lit(0.0))
-    sums = known.agg(*totals, F.sum(less(F.col("t"))).alias("dt"), F.sum(less(F.col("o"))).alias("do"), F.sum("shared").alias("shared")).first()
-    # unknown words stand together
-    unknown = np.array([rare["t"] or 0, rare["o"] or 0], float)
-    unknown_shared = SHARED + np.log1p(rare["left"] or 0)
-    n = unknown + [sums["t"] or 0, sums["o"] or 0]
-    both = n.min() > 0
-    part_of = np.maximum(n, 1) / np.maximum(n, 1).sum()
-    mass = unknown + [sums["dt"] or 0, sums["do"] or 0] + part_of * (unknown_shared + (sums["shared"] or 0))
-    chance = [(less(F.col(c)) + float(part_of[i]) * F.col("shared")) / float(mass[i]) for i, c in enumerate("to")]
-    known = known.select("w", (F.col("t") + F.col("o")).alias("n"), *(p.alias(f"p{c}") for p, c in zip(chance, "to")))
-    ratio = lambda a, b: F.round(F.log(a) - F.log(b), 12) if both else F.lit(0.0)
-    word_table = workspace.materialize(known.select("w", "n", ratio(F.col("pt"), F.col("po")).alias("ratio")), "word_ratios")
-
-    # a class's pairs after v, in its part of all texts with v, against its word over that of both classes
-    context = pairs.groupBy("v").agg(F.sum("t").alias("vt"), F.sum("o").alias("vo"))
-    often = pairs.filter(frequent).join(context, "v").join(known.drop("n"), "w")
-    lean = float(part_of[0]) * F.col("pt") + float(part_of[1]) * F.col("po")
-    own = [(F.col(f"v{c}") + SHARED * float(part_of[i])) / (F.col("vt") + F.col("vo") + SHARED) for i, c in enumerate("to")]
-    given = [less(F.col(c)) / own[i] + SHARED * F.col(f"p{c}") / lean for i, c in enumerate("to")]
-    pair_table = workspace.materialize(often.select("v", "w", (F.col("t") + F.col("o")).alias("n"), ratio(*given).alias("ratio")), "pair_ratios")
-
-    workspace.drop(pairs)
-    all_held = word_table.count() <= HEAD_WORDS and pair_table.count() <= HEAD_BIGRAMS
-    held_words, held_pairs = word_table, pair_table
-    if not all_held:
-        held_words = workspace.materialize(word_table.orderBy(F.desc("n"), "w").limit(HEAD_WORDS), "head_words")
-        held_pairs = workspace.materialize(pair_table.orderBy(F.desc("n"), "v", "w").limit(HEAD_BIGRAMS), "head_pairs")
-    some, some_pairs = held_words.select("w", "ratio").toArrow(), held_pairs.select("v", "w", "ratio").toArrow()
+    tables, unknown, both = kneser_ney(counted.select("text", "toxic"))
+    bounds = (HEAD_WORDS, HEAD_WORDS, HEAD_PAIRS)
+    keys = (["k"], ["k"], ["v", "w"])
     unsigned = lambda c: c.to_numpy().view(_U)
-    key, pair_key = unsigned(some["w"]), _pair_keys(unsigned(some_pairs["v"]), unsigned(some_pairs["w"]))
-    order, pair_order = np.argsort(key), np.argsort(pair_key)
-    whole = (unknown + part_of * unknown_shared) / mass
-    head = Head(key[order], some["ratio"].to_numpy()[order], pair_key[pair_order], some_pairs["ratio"].to_numpy()[pair_order], float(np.log(whole[0] / whole[1])) if both else 0.0)
-    tails = (None, None) if all_held else (word_table.join(held_words, "w", "left_anti").drop("n"), pair_table.join(held_pairs, ["v", "w"], "left_anti").drop("n"))
-    model = Model(head, *tails, np.zeros(2 + len(STRETCHES)), np.zeros(1 + len(STRETCHES)), np.ones(1 + len(STRETCHES)))
+    held, tails, all_held = [], [], True
+    for table, key, bound in zip(tables, keys, bounds, strict=True):
+        part = table
+        if table.count() > bound:
+            all_held = False
+            part = workspace.materialize(table.orderBy(F.desc("n"), *key).limit(bound), "head")
+        rows_held = part.select(*key, "ratio").toArrow()
+        held.append(Table.of(unsigned(rows_held["k"]) if key == ["k"] else _pair_keys(unsigned(rows_held["v"]), unsigned(rows_held["w"])), rows_held["ratio"].to_numpy()))
+        tails.append(table.join(part, key, "left_anti").select(*key, "ratio"))
+    head = Head(*held, unknown)
+    model = Model(head, None if all_held else tuple(tails), np.zeros(2 + len(STRETCHES)), np.zeros(1 + len(STRETCHES)), np.ones(1 + len(STRETCHES)))
 
     held = marks.filter(F.col("fold") == FOLDS - 1).orderBy(F.xxhash64("lid"), "lid").limit(CALIBRATION_ROWS)
 

@@ -348,13 +348,77 @@ def test_archive_round_trip(spark):
 # toxicity
 
 
+def plain_kneser_ney(rows):
+    """P(w | v) of each class over the vocabulary and None, the unknown word, from (text, toxic) rows."""
+    pairs, start = {0: {}, 1: {}}, object()
+    for text, toxic in rows:
+        words = [start, *re.findall(r"\w+", text.lower())]
+        for p in set(itertools.pairwise(words)):
+            pairs[toxic][p] = pairs[toxic].get(p, 0) + 1
+    both = {p: pairs[0].get(p, 0) + pairs[1].get(p, 0) for p in {**pairs[0], **pairs[1]}}
+    vocabulary = sorted({w for _, w in both})
+
+    def lower(of, cut):
+        left = {}
+        for _, w in of:
+            left[w] = left.get(w, 0) + 1
+        whole = sum(left.values())
+        return (lambda w: max(left.get(w, 0) - cut, 0) / whole), sum(min(n, cut) for n in left.values()) / whole
+
+    def upper(of, cut):
+        after = {}
+        for (v, _), n in of.items():
+            after.setdefault(v, []).append(n)
+        own = lambda v, w: max(of.get((v, w), 0) - cut, 0) / sum(after[v]) if v in after else 0
+        return own, (lambda v: sum(min(n, cut) for n in after[v]) / sum(after[v]) if v in after else 1)
+
+    base, base_left = lower(both, toxicity.D0)
+    s = lambda w: base(w) + base_left / (len(vocabulary) + 1)
+    mid, mid_left = upper(both, toxicity.D0)
+    s2 = lambda v, w: mid(v, w) + mid_left(v) * s(w)
+
+    def of_class(c):
+        low, low_left = lower(pairs[c], toxicity.D)
+        tilt = lambda w: (low(w) + low_left * s(w)) / s(w)
+        own, left = upper(pairs[c], toxicity.D)
+
+        def p(v):
+            tilted = {w: s2(v, w) * tilt(w) for w in [*vocabulary, None]}
+            z = sum(tilted.values())
+            return {w: own(v, w) + left(v) * x / z for w, x in tilted.items()}
+
+        return p
+
+    return of_class(0), of_class(1), start
+
+
+def test_kneser_ney_matches_a_plain_one_that_sums_to_one(spark):
+    rng = random.Random(12)
+    few = VOCAB[:25]
+    text = lambda toxic: " ".join(rng.choice(few[:6]) if rng.random() < 0.5 else "zorg" if toxic and rng.random() < 0.2 else rng.choice(few) for _ in range(rng.randint(1, 14)))
+    rows = [(text(t), t) for t in [1] * 60 + [0] * 240]
+    ordinary, toxic, start = plain_kneser_ney(rows)
+    tables, unknown, both = toxicity.kneser_ney(spark.createDataFrame(rows, "text string, toxic int"))
+    assert both
+    words, contexts, pairs = ({tuple(r)[:-2]: r.ratio for r in t.collect()} for t in tables)
+    hashed = lambda w: toxicity.START if w is start else int(toxicity._words(toxicity.pa.RecordBatch.from_arrays([toxicity.pa.array([w])], names=["text"]))[0].view(np.int64)[0])
+    keys = {w: hashed(w) for w in [start, *few, "zorg"]}
+    assert pairs and contexts and words
+    for v in [start, "zorg", *few[:12], "never"]:
+        o, t = ordinary(v), toxic(v)
+        assert sum(o.values()) == pytest.approx(1) and sum(t.values()) == pytest.approx(1)
+        for w in o:
+            apart = words.get((keys.get(w),), unknown) + contexts.get((keys.get(v),), 0.0)
+            assert pairs.get((keys.get(v), keys.get(w)), apart) == pytest.approx(np.log(t[w] / o[w]), abs=1e-6)
+
+
 def test_toxicity_beyond_the_head_scores_alike(spark, monkeypatch):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-2, ""), (None, "x y")], "doc_id long, text string"))
     rows = lambda: sorted(((r.doc_id is None, r.doc_id, r.score) for r in toxicity.toxicity(docs, labels).collect()), key=str)
     whole = rows()
     monkeypatch.setattr(toxicity, "HEAD_WORDS", 40)
-    monkeypatch.setattr(toxicity, "HEAD_BIGRAMS", 25)
+    monkeypatch.setattr(toxicity, "HEAD_PAIRS", 25)
     split = rows()
     assert [r[:2] for r in whole] == [r[:2] for r in split]
     assert max(abs(a[2] - b[2]) for a, b in zip(whole, split)) < 1e-6
