@@ -309,6 +309,64 @@ def test_style_tree_cuts_inside_article_and_keeps_what_varies_beside_it(spark):
     assert got == {i: "\n".join(x) for i, x in enumerate(own)} | {100 + i: own[0][0] for i in range(5)}
 
 
+@pytest.mark.parametrize(
+    "source,text",
+    [
+        ('<div class="content no-sidebar"><article><p>story text</p></article></div>', "story text"),
+        ('<article><p>one</p><div data-id="related" data-class="ad"><p>two</p></div></article>', "one\ntwo"),
+        ('<article><p>a <span class="share">Share<br>on social</span> b</p></article>', "a b"),
+        ("<article><p>tease</p></article><div><p>" + "long story " * 20 + "end</p></div>", "tease\n" + "long story " * 20 + "end"),
+        ('<article><div class="article-header"><h1>Title</h1></div><p>body</p></article>', "Title\nbody"),
+        ('<article><p>the story</p></article><article class="comment"><p>I think</p></article>', "the story"),
+        ("<main><article><p>story</p></article><section id=comments><p>" + "blah " * 50 + "</p></section></main>", "story"),
+        ("<article><p>x<span class=share>y<p>z</article>", "x\nz"),
+        ("<div>" * 20_000 + "deep" + "<p>low</p>" + "</div>" * 20_000, "deep\nlow"),
+        ("<article>" + "<p>word word</p>" * 50_000 + "</article>", "\n".join(["word word"] * 50_000)),
+        ("<nav>a</nav>b", "b"),
+    ],
+)
+def test_extraction_of_single_pages(source, text):
+    assert extraction.main_text(extraction.Page(source)) == text
+
+
+def plain_importance(pages):
+    """Importance of each path over the pages of one host."""
+    shown, styles, texts = {}, {}, {}
+    for page in pages:
+        for path in {p for p, _ in page.styles}:
+            shown[path] = shown.get(path, 0) + 1
+        for path, shape in page.styles:
+            styles.setdefault(path, []).append(shape)
+        for i, (text, path, _) in enumerate(page.blocks):
+            for p in set(path):
+                texts.setdefault(p, {}).setdefault(text, []).append((id(page), i))
+    entropy = lambda xs: -sum(xs.count(x) / len(xs) * np.log(xs.count(x) / len(xs)) for x in set(xs))
+    out = {}
+    for path, m in shown.items():
+        if m > 1:
+            layout = min(1.0, entropy(styles[path]) / np.log(m))
+            spreads = [entropy([page for page, _ in where]) / np.log(m) for where in texts.get(path, {}).values()]
+            content = 1 - min(1.0, float(np.mean(spreads))) if spreads else 1.0
+        else:
+            layout = content = 1.0
+        by_content = extraction.GAMMA ** len(set(styles[path]))
+        out[path] = (1 - by_content) * layout + by_content * content
+    return out
+
+
+def test_style_tree_matches_a_plain_one(spark):
+    rng = random.Random(9)
+    lists = lambda: "".join(f"<li>{rng.choice(VOCAB[:9])}</li>" for _ in range(rng.randint(1, 4)))
+    pages = [(i, f"http://h{i % 3}.example/", f"<body><div class=menu><ul>{lists()}</ul></div><article>{'<p>' + prose(6, rng) + '</p>' * 1 * rng.randint(1, 4)}<div class=x>same</div></article><div class=z>{rng.choice('ab')}</div></body>") for i in range(24)]
+    got = {(r.host, r.path): (r.pages, r.importance) for r in extraction.site_style_tree(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    want = {}
+    for h in range(3):
+        own = [extraction.Page(source) for i, _, source in pages if i % 3 == h]
+        want |= {(f"h{h}.example", p): x for p, x in plain_importance(own).items()}
+    assert got.keys() == want.keys() and all(got[k][1] == pytest.approx(want[k], abs=1e-9) for k in want)
+    assert len({round(x, 6) for x in want.values()}) > 6
+
+
 @pytest.mark.parametrize("url,host", [("http://User@A.example:8/x", "a.example"), ("//b.example", "b.example"), (None, ""), ("/x", "")])
 def test_host(url, host):
     assert extraction.host_of(url) == host
