@@ -1,9 +1,15 @@
 """Quality rules: base text statistics, then robust multivariate outliers per language and source.
 
 The minimum-covariance-determinant estimate is found as FAST-MCD does for large samples: starts on
-a seeded sample of each group, then concentration steps over all of the group's documents. A step is
-one aggregation: rows are binned by log distance, and each (group, bin) keeps a count, sums and
-products, so a group of any size is never gathered.
+a seeded sample of each group, then concentration steps over all of the group's documents until the determinant rests, then
+reweighting steps over the rows within the 97.5 % ellipsoid. A step is one aggregation: rows are binned by log distance, and
+each (group, bin) keeps a count, sums and products, so a group of any size is never gathered.
+
+Statistics are brought to scales on which clean text is near normal, with the same spread at any length: a power of the number of words;
+the mean word length, centred at the group's median, times the root of the words; and roots of the three counts (symbols,
+repeated lines, repeated passages) less those of the group's usual rate. On the root scale a Poisson count has variance 1; no estimate is let
+claim less, so a count is an outlier only beyond its own counting noise, even where all other texts have none.
+A group's estimate is drawn to that of all rows with the weight of SHRINK documents, and that to the plain covariance.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.llm import workspace
@@ -24,15 +30,23 @@ P = 5
 SEED_ROWS = 2000
 #: Share of a group that the estimate is made from: 0.5 withstands the most outliers.
 COVERAGE = 0.5
-STEPS = 4
-#: Groups with fewer usable documents share the estimate over all documents.
-LEAST_GROUP = 50
-#: Spread that is ordinary in clean text, added to each variance: log words, log word length,
-#: log symbols, log repeated lines, root of the repeated share.
-FLOORS = (1.5, 0.15, 0.25, 0.7, 0.15)
+#: Documents by which a group's estimate is drawn towards that of all rows.
+SHRINK = 50
+#: Concentration steps at most, the change of log determinants at which they end, and reweighting steps.
+STEPS, SETTLED, REWEIGHTS = 12, 0.02, 2
+#: Power of the number of words.
+POWER = -0.2
+#: Variance of a Poisson count on the root scale.
+NOISE = 1.0
+#: Added to every variance, so that collinear rows can be inverted.
+RIDGE = 1e-4
+#: Share of a group's words (to the count's power), by rate, that its usual rates of counts are taken from.
+USUAL = 0.75
 TAIL = 1e-4
+WITHIN = 0.975
 _BINS = 16
 _BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+_COUNTED = _BASE + ", n_repeats long"
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -56,14 +70,14 @@ def chi2_quantile(p: float, k: float) -> float:
 
 
 def text_statistics(part: pa.RecordBatch) -> list[pa.Array]:
-    """The five base counts of each text of a batch."""
+    """The five base counts of each text of a batch, and its runs of repeated words."""
     buf, offs = string_buffers(part.column("text"))
     starts, ends, first = word_bounds(buf, offs)
     words = word_hashes(buf, starts, ends, lower=False)
     upto = lambda hit: np.concatenate([[0], np.cumsum(hit)])[offs]
     chars = np.diff(upto(((buf & 0xC0) != 0x80) & ~_SPACE[buf]))
     symbols = np.diff(upto(_SYMBOL[buf]))
-    dup_lines, repeats = [], []
+    dup_lines, repeats, runs = [], [], []
     raw = buf.tobytes()
     for i in range(len(offs) - 1):
         lines = [x for x in raw[offs[i] : offs[i + 1]].split(b"\n") if x and not x.isspace()]
@@ -76,14 +90,15 @@ def text_statistics(part: pa.RecordBatch) -> list[pa.Array]:
             for k in range(3):
                 covered[k : k + len(twice)] |= twice
         repeats.append(int(covered.sum()))
-    return [pa.array(x, pa.int64()) for x in (np.diff(first), chars, symbols, dup_lines, repeats)]
+        runs.append(int(covered[:1].sum() + (covered[1:] & ~covered[:-1]).sum()))
+    return [pa.array(x, pa.int64()) for x in (np.diff(first), chars, symbols, dup_lines, repeats, runs)]
 
 
 def _statistics(batches):
     for batch in batches:
         for part in slices(batch):
             keep = [part.column(c) for c in ("doc_id", "grp", "text_key")]
-            yield pa.RecordBatch.from_arrays(keep + text_statistics(part), names=["doc_id", "grp", "text_key", *[x.split()[0] for x in _BASE.split(", ")]])
+            yield pa.RecordBatch.from_arrays(keep + text_statistics(part), names=["doc_id", "grp", "text_key", *[x.split()[0] for x in _COUNTED.split(", ")]])
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -91,24 +106,59 @@ def statistics(docs: DataFrame) -> DataFrame:
     workspace.ship(docs.sparkSession)
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.concat(name("lang"), F.lit("\n"), name("source")).alias("grp"))
-    return rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(_statistics, f"doc_id long, grp string, text_key long, {_BASE}")
+    return rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(_statistics, f"doc_id long, grp string, text_key long, {_COUNTED}")
+
+
+#: Counts, and the power of the number of words that they are held against: chance repeats of passages grow faster than the text.
+_RATES = {"n_symbols": 1.0, "n_dup_lines": 1.0, "n_repeats": 1.5}
+
+
+def usual(usable: DataFrame) -> DataFrame:
+    """g, m (median log word length) and r0, r1, r2 (usual rates of the three counts) of each group of ``usable(g, k, counts)``,
+    drawn to those of all rows. Medians and the share by rate are taken from histograms of all rows."""
+    n = F.col("n_words")
+    bins = [F.round(F.log(F.col("word_chars") / n) * 500)] + [F.ceil(F.sqrt(F.col(c) / F.pow(n, F.lit(e))) * 5000) for c, e in _RATES.items()]
+    long = F.posexplode(F.array(*[F.struct(b.cast("long").alias("bin"), k.alias("c")) for b, k in zip(bins, [F.lit(0).cast("long"), *map(F.col, _RATES)], strict=True)]))
+    rows = usable.select("g", n, long.alias("what", "x")).select("g", "n_words", "what", "x.bin", "x.c")
+    against = F.pow(n, F.element_at(F.array(F.lit(1.0), *map(F.lit, _RATES.values())), F.col("what") + 1))
+    histogram = rows.groupBy("g", "what", "bin").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("c"), F.sum(against).alias("n"))
+    upto = Window.partitionBy("g", "what").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    histogram = histogram.withColumn("weight", F.when(F.col("what") == 0, F.col("k")).otherwise(F.col("n")))
+    every = Window.partitionBy("g", "what")
+    histogram = histogram.withColumns({"before": F.sum("weight").over(upto) - F.col("weight"), "all": F.sum("weight").over(every), "size": F.sum("k").over(every)})
+    share = F.when(F.col("what") == 0, 0.5).otherwise(USUAL)
+    low = histogram.filter(F.col("before") < share * F.col("all"))
+    own = low.groupBy("g").agg(
+        F.max("size").alias("k"),
+        (F.max(F.when(F.col("what") == 0, F.col("bin"))) / 500).alias("m"),
+        *[(F.sum(F.when(F.col("what") == i + 1, F.col("c"))) / F.sum(F.when(F.col("what") == i + 1, F.col("n")))).alias(f"r{i}") for i in range(3)],
+    )
+    own = workspace.materialize(own, "usual")
+    whole = own.filter("g = '*'").first()
+    weight = F.col("k") / (F.col("k") + SHRINK)
+    mixed = lambda c: F.round(weight * F.col(c) + (1 - weight) * float(whole[c] if whole else 0), 12).alias(c)
+    return own.select("g", mixed("m"), *[mixed(f"r{i}") for i in range(3)])
 
 
 def _features() -> list:
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    return [F.log(n), F.log(1 + F.col("word_chars") / n), F.log(1 + 10 * F.col("n_symbols") / n), F.log(1.0 + F.col("n_dup_lines")), F.sqrt(F.col("n_repeat_words") / n)]
+    root = lambda c, r: 2 * (F.sqrt(F.col(c) + 0.375) - F.sqrt(F.col(r) * F.pow(n, F.lit(_RATES[c])) + 0.375))
+    return [F.pow(n, F.lit(POWER)) * 20, F.sqrt(n) * (F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n) - F.col("m")), *[root(c, f"r{i}") for i, c in enumerate(_RATES)]]
 
 
 def _regular(cov: np.ndarray) -> np.ndarray:
-    return cov + np.diag(np.square(FLOORS))
+    """The covariance with no direction among the counts below counting noise."""
+    own, axes = np.linalg.eigh(cov[P - len(_RATES) :, P - len(_RATES) :])
+    out = cov + RIDGE * np.eye(P)
+    out[P - len(_RATES) :, P - len(_RATES) :] += (axes * np.maximum(NOISE - own, 0)) @ axes.T
+    return out
 
 
-def _row(grp: str, mean: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
-    inv = np.linalg.inv(_regular(cov))
-    return pd.DataFrame({"g": [grp], "mean": [np.round(mean, 9).tolist()], "inv": [np.round(inv.ravel(), 9).tolist()]})
+def _row(grp: str, k: float, mean: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"g": [grp], "k": [float(k)], "mean": [np.round(mean, 9).tolist()], "cov": [np.round(cov.ravel(), 9).tolist()]})
 
 
-_FIT = "g string, mean array<double>, inv array<double>"
+_FIT = "g string, k double, mean array<double>, cov array<double>"
 
 
 def fit_sample(x: np.ndarray, starts: int = 20, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -129,23 +179,58 @@ def fit_sample(x: np.ndarray, starts: int = 20, seed: int = 3) -> tuple[np.ndarr
     return best[1:]
 
 
+def consistency(share: float) -> float:
+    """What the covariance of the inner share of normal rows is multiplied by."""
+    return share / _chi2_cdf(chi2_quantile(share, P), P + 2)
+
+
 def _start(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["u", *[f"x{i}" for i in range(P)]])
-    return _row(pdf["g"].iloc[0], *fit_sample(pdf[[f"x{i}" for i in range(P)]].to_numpy(float)))
+    mean, cov = fit_sample(pdf[[f"x{i}" for i in range(P)]].to_numpy(float))
+    return _row(pdf["g"].iloc[0], pdf["k"].iloc[0], mean, cov * consistency(COVERAGE))
 
 
-def _concentrate(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("bin")
-    count = pdf["n"].to_numpy(float)
-    upto = int(np.searchsorted(np.cumsum(count), COVERAGE * count.sum())) + 1
-    n = count[:upto].sum()
-    mean = np.array([pdf[f"s{i}"].to_numpy()[:upto].sum() / n for i in range(P)])
+def _moments(pdf: pd.DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    n = max(pdf["n"].to_numpy(float)[:rows].sum(), 1)
+    mean = np.array([pdf[f"s{i}"].to_numpy()[:rows].sum() / n for i in range(P)])
     cov = np.zeros((P, P))
     for i in range(P):
         for j in range(i, P):
-            cov[i, j] = cov[j, i] = pdf[f"q{i}{j}"].to_numpy()[:upto].sum() / n - mean[i] * mean[j]
-    factor = COVERAGE / _chi2_cdf(chi2_quantile(COVERAGE, P), P + 2)
-    return _row(pdf["g"].iloc[0], mean, cov * factor)
+            cov[i, j] = cov[j, i] = pdf[f"q{i}{j}"].to_numpy()[:rows].sum() / n - mean[i] * mean[j]
+    return mean, cov
+
+
+def _concentrate(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("bin")
+    count = pdf["n"].to_numpy(float)
+    mean, cov = _moments(pdf, int(np.searchsorted(np.cumsum(count), COVERAGE * count.sum())) + 1)
+    return _row(pdf["g"].iloc[0], count.sum(), mean, cov * consistency(COVERAGE))
+
+
+def _reweight(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("bin")
+    limit = math.floor(math.log(chi2_quantile(WITHIN, P) + 1e-6) * _BINS)
+    mean, cov = _moments(pdf, max(1, int((pdf["bin"] <= limit).sum())))
+    return _row(pdf["g"].iloc[0], pdf["n"].sum(), mean, cov * consistency(WITHIN))
+
+
+def _drawn(fit: DataFrame, plain: np.ndarray) -> DataFrame:
+    """g, mean, inv, det: the estimates drawn to that of all rows, that one to the plain covariance; inverted."""
+    whole = fit.filter("g = '*'").first()
+    weight = whole.k / (whole.k + SHRINK) if whole else 0.0
+    centre = np.array(whole.mean) if whole else np.zeros(P)
+    spread = weight * np.array(whole.cov).reshape(P, P) + (1 - weight) * plain if whole else plain
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for g, k, mean, cov in zip(pdf["g"], pdf["k"], pdf["mean"], pdf["cov"], strict=True):
+                w = k / (k + SHRINK) if g != "*" else 0.0
+                full = _regular(w * np.array(cov).reshape(P, P) + (1 - w) * spread)
+                out.append((g, np.round(w * np.array(mean) + (1 - w) * centre, 9).tolist(), np.round(np.linalg.inv(full).ravel(), 9).tolist(), round(float(np.linalg.slogdet(full)[1]), 9)))
+            yield pd.DataFrame(out, columns=["g", "mean", "inv", "det"])
+
+    return workspace.materialize(fit.mapInPandas(run, "g string, mean array<double>, inv array<double>, det double"), "fit")
 
 
 def _distance():
@@ -160,30 +245,40 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     base_failed: fewer than 50 words, or over half of the words in repeated 3-word windows.
     The others are kept unless their statistics lie beyond the 1 - TAIL chi-square quantile of the
     squared Mahalanobis distance from their group's robust centre. Null texts have no words and
-    fail; null languages and sources form groups of their own; groups under LEAST_GROUP usable rows
-    use the estimate over all rows; equal rows get equal results; an empty table gives no rows.
+    fail; null languages and sources form groups of their own; small groups lean on the estimate over
+    all rows; equal rows get equal results; an empty table gives no rows.
     """
-    spark = docs.sparkSession
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    table = statistics(docs).withColumn("base_failed", failed)
-    table = workspace.materialize(table.select("*", *[x.alias(f"x{i}") for i, x in enumerate(_features())]), "statistics")
-    sizes = table.filter("not base_failed").groupBy("grp").agg(F.count(F.lit(1)).alias("k"))
-    groups = workspace.materialize(sizes.filter(F.col("k") >= LEAST_GROUP).select("grp", F.col("grp").alias("g"), "k"), "groups")
-    usable = table.filter("not base_failed").select("doc_id", "grp", *[f"x{i}" for i in range(P)])
-    everything = usable.withColumn("g", F.lit("*"))
-    usable = usable.join(groups, "grp").select("doc_id", "g", "k", *[f"x{i}" for i in range(P)])
-    total = sizes.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
-    usable = usable.unionByName(everything.select("doc_id", "g", F.lit(total).alias("k"), *[f"x{i}" for i in range(P)]))
-    u = F.col("u") * F.col("k") < SEED_ROWS
-    unit = F.pmod(F.xxhash64("doc_id", *[f"x{i}" for i in range(P)]), F.lit(1 << 40)) / float(1 << 40)
-    fit = workspace.materialize(usable.withColumn("u", unit).filter(u).groupBy("g").applyInPandas(_start, _FIT), "fit")
-    sums = [F.count(F.lit(1)).alias("n")] + [F.sum(f"x{i}").alias(f"s{i}") for i in range(P)]
+    table = workspace.materialize(statistics(docs).withColumn("base_failed", failed), "statistics")
+    usable = table.filter("not base_failed").select("doc_id", F.col("grp").alias("g"), *[x.split()[0] for x in _COUNTED.split(", ")])
+    levels = workspace.materialize(usual(usable.unionByName(usable.withColumn("g", F.lit("*")))), "levels")
+    sizes = usable.groupBy("g").agg(F.count(F.lit(1)).alias("k"))
+    placed = usable.join(levels, "g").join(sizes, "g").select("doc_id", "g", "k", *[x.alias(f"x{i}") for i, x in enumerate(_features())])
+    placed = workspace.materialize(placed, "placed")
+    total = placed.count()
+    columns = [f"x{i}" for i in range(P)]
+    both = placed.unionByName(placed.withColumns({"g": F.lit("*"), "k": F.lit(total).cast("long")}))
+    sums = [F.count(F.lit(1)).alias("n")] + [F.sum(c).alias(f"s{i}") for i, c in enumerate(columns)]
     sums += [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i in range(P) for j in range(i, P)]
+    plain = _moments(placed.agg(*sums).fillna(0).toPandas(), 1)[1]
+    u = F.col("u") * F.col("k") < SEED_ROWS
+    unit = F.pmod(F.xxhash64("doc_id", *columns), F.lit(1 << 40)) / float(1 << 40)
+    fit = _drawn(workspace.materialize(both.withColumn("u", unit).filter(u).groupBy("g").applyInPandas(_start, _FIT), "starts"), plain)
+
+    def step(fit: DataFrame, make) -> DataFrame:
+        binned = both.join(fit, "g").withColumn("bin", F.floor(F.log(_distance() + 1e-6) * _BINS))
+        return _drawn(workspace.materialize(binned.groupBy("g", "bin").agg(*sums).groupBy("g").applyInPandas(make, _FIT), "moments"), plain)
+
     for _ in range(STEPS):
-        binned = usable.join(fit, "g").withColumn("bin", F.floor(F.log(_distance() + 1e-6) * _BINS))
-        fit = workspace.materialize(binned.groupBy("g", "bin").agg(*sums).groupBy("g").applyInPandas(_concentrate, _FIT), "fit")
-    use = table.join(groups.select("grp", "g"), "grp", "left").withColumn("g", F.coalesce("g", F.lit("*")))
-    use = use.join(fit, "g", "left").withColumn("distance", _distance())
+        after = step(fit, _concentrate)
+        change = after.join(fit.select("g", F.col("det").alias("before")), "g").agg(F.max(F.abs(F.col("det") - F.col("before")))).first()[0]
+        fit = after
+        if (change or 0) < SETTLED:
+            break
+    for _ in range(REWEIGHTS):
+        fit = step(fit, _reweight)
+    use = table.join(levels.withColumnRenamed("g", "grp"), "grp", "left").join(fit.withColumnRenamed("g", "grp"), "grp", "left")
+    use = use.withColumns({f"x{i}": x for i, x in enumerate(_features())}).withColumn("distance", _distance())
     near = F.col("distance").isNull() | (F.col("distance") <= chi2_quantile(1 - TAIL, P))
-    columns = [x.split()[0] for x in _BASE.split(", ")]
-    return use.select("doc_id", *columns, "base_failed", (~F.col("base_failed") & near).alias("kept"), "distance", "text_key")
+    base = [x.split()[0] for x in _BASE.split(", ")]
+    return use.select("doc_id", *base, "base_failed", (~F.col("base_failed") & near).alias("kept"), "distance", "text_key")

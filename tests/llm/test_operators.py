@@ -224,6 +224,57 @@ def test_quality_rejects_symbol_rubbish(spark):
     assert all(got[i] for i, *_ in clean) and not any(got[i] for i, *_ in rubbish)
 
 
+def plain_verdicts(rows):
+    """Squared distances of (n_words, word_chars, n_symbols, n_dup_lines, n_repeats) rows of one group that is the whole table, by a
+    plain FAST-MCD over all rows, and by its diagonal alone."""
+    c = np.array(rows, float)
+    n, counts = c[:, 0], c[:, 2:]
+    m = np.median(np.log(c[:, 1] / n))
+    x = [20 * n**quality.POWER, np.sqrt(n) * (np.log(c[:, 1] / n) - m)]
+    for i, power in enumerate(quality._RATES.values()):
+        order = np.argsort(np.sqrt(counts[:, i] / n**power), kind="stable")
+        weight = n[order] ** power
+        low = order[np.cumsum(weight) - weight < quality.USUAL * weight.sum()]
+        rate = counts[low, i].sum() / (n[low] ** power).sum()
+        x.append(2 * (np.sqrt(counts[:, i] + 0.375) - np.sqrt(rate * n**power + 0.375)))
+    x = np.stack(x, axis=1)
+    plain, w = np.cov(x.T, bias=True), len(x) / (len(x) + quality.SHRINK)
+    ridge = lambda s: quality._regular(w * s + (1 - w) * (w * s + (1 - w) * plain))  # a group is drawn to all rows, and these to plain
+
+    def distance(mean, cov):
+        return np.einsum("ni,ij,nj->n", x - mean, np.linalg.inv(cov), x - mean)
+
+    mean, cov = quality.fit_sample(x)
+    cov = cov * quality.consistency(quality.COVERAGE)
+    for _ in range(30):
+        half = np.argsort(distance(mean, ridge(cov)))[: -(-len(x) // 2)]
+        mean, cov = x[half].mean(axis=0), np.cov(x[half].T, bias=True) * quality.consistency(quality.COVERAGE)
+    for _ in range(quality.REWEIGHTS):
+        inner = distance(mean, ridge(cov)) <= quality.chi2_quantile(quality.WITHIN, 5)
+        mean, cov = x[inner].mean(axis=0), np.cov(x[inner].T, bias=True) * quality.consistency(quality.WITHIN)
+    return distance(mean, ridge(cov)), distance(mean, np.diag(np.diag(ridge(cov))))
+
+
+def test_quality_matches_a_plain_estimate_whose_covariance_decides(spark):
+    rng = random.Random(21)
+    word = lambda k: "".join(rng.choice("abcdefghijklmnop") for _ in range(k))
+    text = lambda n, length: " ".join(word(max(1, round(rng.gauss(length, 1.5)))) for _ in range(n))
+    sizes = [int(60 * 1.01 ** rng.uniform(0, 250)) for _ in range(500)]
+    long_words = lambda n: 5 + 0.9 * np.log(n / 200) / 1.25  # longer texts have longer words
+    rows = [text(n, long_words(n)) for n in sizes]
+    odd_ones = [text(90, long_words(500)) for _ in range(8)] + [text(450, long_words(70)) for _ in range(8)]
+    rows += odd_ones + [text(100, 5).replace(" ", "# ") for _ in range(5)]
+    got = quality.quality_rules(spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(rows)], "doc_id long, text string, lang string, source string")).orderBy("doc_id").collect()
+    d, diagonal = plain_verdicts([(r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, 0) for r in got])
+    limit = quality.chi2_quantile(1 - quality.TAIL, 5)
+    assert not any(r.base_failed or r.n_repeat_words for r in got)
+    assert not [(r.doc_id, r.distance, x) for r, x in zip(got, d, strict=True) if abs(x / limit - 1) > 0.1 and r.kept != (x <= limit)]
+    assert np.corrcoef(d, [r.distance for r in got])[0, 1] > 0.99
+    odd_at = range(500, 516)
+    assert sum(not got[i].kept for i in odd_at) > 8 and sum(diagonal[i] > limit for i in odd_at) < sum(not got[i].kept for i in odd_at)
+    assert sum(r.kept for r in got[:500]) > 490 and not any(r.kept for r in got[516:])
+
+
 # personal data
 
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
