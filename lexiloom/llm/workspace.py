@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.sources.shared import base_dir, ship
+from lexiloom.sources.shared import base_dir, ship, write_bytes
 
-__all__ = ["base_dir", "drop", "materialize", "new_path", "ship"]
+__all__ = ["base_dir", "drop", "materialize", "new_path", "read_bytes", "ship", "write_bytes"]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -24,6 +24,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def read_bytes(spark: SparkSession, path: str) -> bytes | None:
+    """A small file of the shared folder; None if it is not there."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return None
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files behind a materialized table that nothing reads any more."""
     jvm = df.sparkSession._jvm

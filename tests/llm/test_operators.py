@@ -305,6 +305,31 @@ def test_tagger_on_held_out_windows():
     assert hit / sum(len(a) for a, _ in found) > 0.85 and hit / sum(len(b) for _, b in found) > 0.85
 
 
+def test_added_spans_on_held_out_windows_are_right():
+    rng = random.Random(77)
+    rows = [tagger.labelled_window(rng) for _ in range(500)]
+    right = added = missed = 0
+    for (own, every), (_, labelled) in zip(privacy.find_spans([t for t, _ in rows], tagger.train()), rows, strict=True):
+        more, gold = set(every) - set(own), set(labelled) - set(own)
+        right, added, missed = right + len(more & gold), added + len(more), missed + len(gold)
+    assert right / added > 0.93 and right / missed > 0.7
+
+
+def test_regions_lose_no_span_of_whole_texts():
+    rng = random.Random(78)
+    texts = [prose(rng.randint(20, 200), rng) + " " + tagger.labelled_window(rng)[0] + " " + prose(rng.randint(20, 200), rng) for _ in range(40)]
+    near, whole = (privacy.find_spans(texts, tagger.train(), regions=r) for r in (True, False))
+    found = lambda out: {(i, s) for i, (_, every) in enumerate(out) for s in every}
+    assert len(found(whole) - found(near)) <= 0.05 * len(found(whole)) and found(whole)
+
+
+def test_weights_are_kept_in_the_shared_folder(spark, monkeypatch):
+    first = privacy.saved_model(spark)
+    monkeypatch.setattr(privacy, "train", None)
+    again = privacy.saved_model(spark)
+    assert first.keys() == again.keys() and all((first[k] == again[k]).all() for k in first)
+
+
 def test_personal_data_odd_rows(odd, none):
     rows = privacy.find_personal_data(odd).collect()
     assert len(rows) == len(odd_rows())
