@@ -33,6 +33,10 @@ POSITIONS_LOG2 = 20
 SKETCH_BITS = 56
 #: Shingles on either side of a block of comparisons.
 BLOCK_SHINGLES = 500_000
+#: Members of a bucket on either side that meet in one task.
+MEET = 1024
+#: Buckets of several blocks up to which their plan is sent to all executors.
+BROADCAST_BUCKETS = 100_000
 #: Document ids up to which they are sent to all executors to pick texts; beyond, texts are shuffled by id.
 BROADCAST_IDS = 1_000_000
 _SIG = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch array<long>"
@@ -152,24 +156,36 @@ def block_links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.nd
     return out
 
 
+def _dealt(rows: DataFrame, plan: DataFrame, side: int) -> DataFrame:
+    """rows(key, rep, ...) in the blocks (i, j) of their bucket, by plan(key, n0, n1) of the buckets with several: a row of side 0 is in one
+    i and every j, one of side 1 in one j and every i."""
+    plan = workspace.materialize(plan, "plan")
+    few = plan.count() <= BROADCAST_BUCKETS
+    rows = rows.join(F.broadcast(plan) if few else plan, "key", "left").fillna(1, ["n0", "n1"])
+    own = F.pmod(F.xxhash64("rep"), F.col(f"n{side}")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), (F.col(f"n{1 - side}") - 1).cast("int")))
+    return rows.withColumn("i", own if side == 0 else every).withColumn("j", every if side == 0 else own).drop("n0", "n1")
+
+
 def _cross_links(open_: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     """Links(a, b) between components that meet in a bucket: rows of open_ are bucket members."""
-    a = open_.filter("comp != main")
-    other = lambda df: df.select(F.col("key").alias("okey"), F.col("comp").alias("ocomp"), F.col("n").alias("on"), F.col("sketch").alias("osketch"))
-    met = (F.col("key") == F.col("okey")) & (F.col("comp") != F.col("ocomp")) & _close("sketch", "osketch", "n", "on", threshold)
+    apart = F.col("comp") != F.col("main")
+    pieces = lambda n, size: F.greatest(F.ceil(n / size), F.lit(1)).cast("int")
+    several = F.col("n0") * F.col("n1") > 1
+    plan = open_.groupBy("key").agg(pieces(F.count_if(apart), MEET).alias("n0"), pieces(F.count(F.lit(1)), MEET).alias("n1")).filter(several)
+    a, b = _dealt(open_.filter(apart), plan, 0), _dealt(open_, plan, 1)
+    other = lambda df: df.select(*[F.col(c).alias(f"o{c}") for c in ("key", "i", "j", "comp", "n", "sketch")])
+    same = (F.col("key") == F.col("okey")) & (F.col("i") == F.col("oi")) & (F.col("j") == F.col("oj"))
+    met = same & (F.col("comp") != F.col("ocomp")) & _close("sketch", "osketch", "n", "on", threshold)
     columns = ["key", "rep", "comp", "n"]
-    left = a.join(other(open_), met, "left_semi").select(*columns, F.lit(0).alias("side"))
-    right = open_.join(other(a), met, "left_semi").select(*columns, F.lit(1).alias("side"))
-    active = workspace.materialize(left.unionByName(right), "active")
-    blocks = lambda side: F.greatest(F.ceil(F.sum(F.when(F.col("side") == side, F.col("n"))) / BLOCK_SHINGLES), F.lit(1)).cast("int")
-    plan = active.groupBy("key").agg(blocks(0).alias("nl"), blocks(1).alias("nr"))
-    rows = active.join(plan, "key")
-    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rows.filter("side = 0").select("key", "rep", "comp", "side", own("nl").alias("i"), every("nr").alias("j"))
-    right = rows.filter("side = 1").select("key", "rep", "comp", "side", every("nl").alias("i"), own("nr").alias("j"))
+    left = a.join(other(b), met, "left_semi").select(*columns, F.lit(0).alias("side"))
+    right = b.join(other(a), met, "left_semi").select(*columns, F.lit(1).alias("side"))
+    active = workspace.materialize(left.unionByName(right).distinct(), "active")
+    shingles = lambda side: pieces(F.coalesce(F.sum(F.when(F.col("side") == side, F.col("n"))), F.lit(0)), BLOCK_SHINGLES)
+    plan = active.groupBy("key").agg(shingles(0).alias("n0"), shingles(1).alias("n1")).filter(several)
+    dealt = [_dealt(active.filter(F.col("side") == side), plan, side).select("key", "rep", "comp", "side", "i", "j") for side in (0, 1)]
     sets = _sets_of(active.select(F.col("rep").alias("doc_id")), docs)
-    rows = left.unionByName(right).join(sets, F.col("rep") == F.col("id")).select("key", "i", "j", "comp", "side", "shingles")
+    rows = dealt[0].unionByName(dealt[1]).join(sets, F.col("rep") == F.col("id")).select("key", "i", "j", "comp", "side", "shingles")
 
     def compare(table: pa.Table) -> pa.Table:
         side, comp = table.column("side").to_pylist(), table.column("comp").to_pylist()
@@ -190,7 +206,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     Documents link when 100 * |A & B| >= threshold * |A | B| over distinct 5-word shingles of the
     text with A-Z lowered. component_id is the smallest doc_id reachable over links.
     Null or wordless texts have an empty set and link with nothing; texts of fewer than five words
-    are one shingle. Rows with one doc_id are one document: it has all links of its rows.
+    are one shingle. Rows with one doc_id are one document: all have the component of its rows' links.
     A null doc_id links with nothing, has a null component_id and is kept. Other columns are ignored.
     """
     sig = workspace.materialize(signatures(docs), "signatures")
@@ -211,6 +227,12 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     stars = workspace.materialize(stars.join(fa, "a").join(fb, "b").filter(_close("ka", "kb", "na", "nb", threshold)).select("a", "b").distinct(), "stars")
     links = _confirm(stars, docs, threshold)
     workspace.drop(stars)
+    # rows that share a doc_id but not a text: their classes belong together
+    sets = sig.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("lo"), F.max(F.struct("h1", "h2")).alias("hi"))
+    several = workspace.materialize(sets.filter("lo != hi").select("doc_id"), "several")
+    own = usable.join(several, "doc_id").select("doc_id", "h1", "h2").distinct().join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).select("doc_id", "rep")
+    own = workspace.materialize(own, "own")
+    links = links.unionByName(own.join(own.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b")).filter("a != b"))
     first = workspace.materialize(connected_components(links), "components")
 
     at = members.join(first.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
@@ -224,7 +246,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     label = reps.select("h1", "h2", "copies", "rep").join(first.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     label = label.join(second.toDF("comp", "root"), "comp", "left").select("h1", "h2", "rep", "copies", F.coalesce("root", "comp").alias("root"))
     by_class = label.filter("copies > 1 or root != rep").select("h1", "h2", "root")
-    out = sig.select("doc_id", "n_shingles", "h1", "h2").join(by_class, ["h1", "h2"], "left")
-    # rows that share a doc_id but not a text bring their components together
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
+    by_doc = own.join(label.select("rep", "root"), "rep").groupBy("doc_id").agg(F.min("root").alias("doc_root"))
+    out = sig.select("doc_id", "n_shingles", "h1", "h2").join(by_class, ["h1", "h2"], "left").join(by_doc, "doc_id", "left")
+    own_root = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
+    component = F.coalesce("doc_root", own_root)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -11,6 +11,7 @@ by the same bound for single queries), and the best of all blocks are merged.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -20,30 +21,34 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm import workspace
 
-PIVOTS = 64
+#: Pivots: the root of the number of vectors, within these bounds.
+PIVOTS = (16, 512)
 #: Vectors that the pivots are chosen from (a bounded sample; cells and bounds cover all vectors).
 PIVOT_SAMPLE = 4096
-QUERY_GROUP = 1024
+QUERY_GROUP = 4096
 DATA_BLOCK = 16_384
-_EXACT = float(1 << 53)
+_WIDE = pa.decimal128(38, 0)
+#: Vectors that are scored at once.
+PART = 1024
 
 
 def integer_vectors(rows: DataFrame, id_column: str = "vec_id", column: str = "embedding", scale: int = 64) -> DataFrame:
-    """vec_id and v: floor(scale * x) of each component; vectors that are null or hold null or non-finite components are left out."""
+    """vec_id and v: floor(scale * x) of each component (at the nearest long beyond longs); vectors that are null or hold null or
+    non-finite components are left out."""
     wide = F.transform(column, lambda x: x.cast("double"))
     finite = F.coalesce(F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))
     return rows.filter(finite).select(F.col(id_column).cast("long").alias("vec_id"), F.transform(wide, lambda x: F.floor(x * scale).cast("long")).alias("v"))
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
-    """Rows padded with zeros to one width."""
+    """Integer rows padded with zeros to one width."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     lengths = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     if len(lengths) and (lengths == width).all():
         return flat.reshape(-1, width)
-    out = np.zeros((len(lengths), width))
+    out = np.zeros((len(lengths), width), np.int64)
     row = np.repeat(np.arange(len(lengths)), lengths)
     out[row, np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
     return out
@@ -72,8 +77,8 @@ def _nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return cell, np.sqrt(np.square(x - pivots[cell]).sum(axis=1))
 
 
-def needed_cells(pivots: np.ndarray, queries: dict[int, tuple[int, float]], cells: dict[int, tuple[int, float]], k: int) -> dict[int, list[int]]:
-    """For each query cell, the data cells that may hold one of a query's k best. Values: (vectors, radius)."""
+def needed_cells(pivots: np.ndarray, queries: dict[int, tuple[int, float]], cells: dict[int, tuple[int, float]], k: int, own: int = 1) -> dict[int, list[int]]:
+    """For each query cell, the data cells that may hold one of a query's k best. Values: (vectors, radius). own: rows that may share the query's id."""
     norm = np.sqrt(np.square(pivots).sum(axis=1))
     out = {}
     for i, (_, s) in queries.items():
@@ -82,7 +87,7 @@ def needed_cells(pivots: np.ndarray, queries: dict[int, tuple[int, float]], cell
         have, reach = 0, -np.inf
         for j in sorted(cells, key=lambda j: slack[j] - mid[j]):
             have += cells[j][0]
-            if have >= k + 1:  # one of them may be the query itself
+            if have >= k + own:
                 reach = mid[j] - slack[j]
                 break
         out[i] = [j for j in cells if mid[j] + slack[j] >= reach - 1e-6 * (1 + abs(reach))]
@@ -90,36 +95,47 @@ def needed_cells(pivots: np.ndarray, queries: dict[int, tuple[int, float]], cell
 
 
 def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    if (np.abs(q).max(initial=0) * np.abs(x).max(initial=0)) * q.shape[1] < _EXACT:
+    """Exact inner products of integer rows: int64, or Python integers where these could overflow."""
+    top = lambda m: max(abs(int(m.max(initial=0))), abs(int(m.min(initial=0))))
+    bound = top(q) * top(x) * q.shape[1]
+    if bound < 1 << 53:
+        return (q.astype(float) @ x.T.astype(float)).astype(np.int64)
+    if bound < 1 << 63:
         return q @ x.T
-    return np.array([[sum(int(a) * int(b) for a, b in zip(u, v, strict=True)) for v in x] for u in q], object).reshape(len(q), len(x)).astype(float)
+    return q.astype(object) @ x.T.astype(object)
 
 
 def solve_block(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray, cell: np.ndarray, pivots: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vec_id, score) of each query's k best in the block, ties to smaller ids."""
-    norm = np.sqrt(np.square(q).sum(axis=1))
+    """(query row, vec_id, score) of each query's k best in the block, ties to smaller ids. q and x hold integers; floating-point
+    bounds, with slack, only choose what is scored."""
+    qf, xf = q.astype(float), x.astype(float)
+    norm = np.sqrt(np.square(qf).sum(axis=1))
     best = np.full(len(q), -np.inf)
-    row, ids, score = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    row, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    score = np.zeros(0, np.int64)
     groups = []
     for j in np.unique(cell):
         at = np.flatnonzero(cell == j)
-        radius = np.sqrt(np.square(x[at] - pivots[j]).sum(axis=1)).max()
-        groups.append((q @ pivots[j] + norm * radius, at))
+        radius = np.sqrt(np.square(xf[at] - pivots[j]).sum(axis=1)).max()
+        groups.append((qf @ pivots[j] + norm * radius, at))
+    slack = lambda: 1e-6 * (1 + np.abs(best, where=np.isfinite(best), out=np.zeros_like(best)))
     for upper, at in sorted(groups, key=lambda g: -g[0].max(initial=0)):
-        for part in np.array_split(at, max(1, len(at) // 2048)):
-            live = np.flatnonzero(upper >= best - 1e-6 * (1 + np.abs(best, where=np.isfinite(best), out=np.zeros_like(best))))
+        for part in np.array_split(at, max(1, -(-len(at) // PART))):
+            live = np.flatnonzero(upper >= best - slack())
             if not len(live):
                 continue
             s = _scores(q[live], x[part])
-            s[qid[live][:, None] == xid[part][None, :]] = -np.inf
-            r, c = np.nonzero((s >= best[live][:, None]) & (s > -np.inf))
+            r, c = np.nonzero((s.astype(float) >= (best - slack())[live][:, None]) & (qid[live][:, None] != xid[part][None, :]))
             row, ids, score = np.concatenate([row, live[r]]), np.concatenate([ids, xid[part][c]]), np.concatenate([score, s[r, c]])
-            order = np.lexsort((ids, -score, row))
+            if score.dtype == object:
+                order = np.array(sorted(range(len(row)), key=lambda i: (row[i], -score[i], ids[i])), np.int64)
+            else:
+                order = np.lexsort((ids, ~score, row))  # ~x falls as x rises, without overflow
             row, ids, score = row[order], ids[order], score[order]
             place = np.arange(len(row)) - np.searchsorted(row, row)
-            row, ids, score = row[place < k], ids[place < k], score[place < k]
-            full = np.flatnonzero(place[place < k] == k - 1)
-            best[row[full]] = score[full]
+            row, ids, score, place = row[place < k], ids[place < k], score[place < k], place[place < k]
+            full = np.flatnonzero(place == k - 1)
+            best[row[full]] = score[full].astype(float)
     return row, ids, score
 
 
@@ -129,6 +145,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
     v holds integers; vectors of unequal length are padded with zeros. Fewer than k candidates give fewer rows. Repeated
     candidate rows count each; a repeated query row is answered once. Null ids take no part. Empty tables give no rows.
+    Scores are exact and ranked as integers of any size; the column shows those beyond longs as the nearest long.
     """
     spark = vectors.sparkSession
     workspace.ship(spark)
@@ -140,18 +157,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     if not len(sample) or not width:
         sample = np.zeros((1, max(width, 1)))
         width = max(width, 1)
-    pivots = choose_pivots(sample, PIVOTS)
+    size = data.agg(F.count(F.lit(1))).first()[0]
+    pivots = choose_pivots(sample, int(min(PIVOTS[1], max(PIVOTS[0], size**0.5))))
+    own = data.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
 
     def assign(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            cell, dist = _nearest(_matrix(batch.column("v"), width), pivots)
+            cell, dist = _nearest(_matrix(batch.column("v"), width).astype(float), pivots)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(cell, pa.int32()), pa.array(dist)], names=["vec_id", "v", "cell", "dist"])
 
     in_cells = lambda df, name: workspace.materialize(df.mapInArrow(assign, "vec_id long, v array<long>, cell int, dist double"), name)
     data, asked = in_cells(data, "cells"), in_cells(asked, "query_cells")
     summary = lambda df: {r[0]: (r[1], r[2]) for r in df.groupBy("cell").agg(F.count(F.lit(1)), F.max("dist")).collect()}
     cells, asked_cells = summary(data), summary(asked)
-    need = needed_cells(pivots, asked_cells, cells, k)
+    need = needed_cells(pivots, asked_cells, cells, k, own)
 
     # near query cells share a group until it is full; a cell that is larger than a group is split
     groups: list[tuple[list[int], int]] = []
@@ -181,11 +200,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     def solve(a: pa.Table, b: pa.Table) -> pa.Table:
         ids = lambda t: t.column("vec_id").to_numpy()
         qid = ids(a)
-        row, vec, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        row, vec, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         if a.num_rows and b.num_rows:
             row, vec, score = solve_block(qid, _matrix(a.column("v"), width), ids(b), _matrix(b.column("v"), width), b.column("cell").to_numpy(), pivots, k)
-        return pa.table({"query_id": pa.array(qid[row], pa.int64()), "vec_id": pa.array(vec, pa.int64()), "score": pa.array(score.astype(np.int64), pa.int64())})
+        return pa.table({"query_id": pa.array(qid[row], pa.int64()), "vec_id": pa.array(vec, pa.int64()), "score": pa.array([Decimal(int(x)) for x in score], _WIDE) if score.dtype == object else pa.array(score).cast(_WIDE)})
 
-    found = q.groupBy("grp", "block").cogroup(x.groupBy("grp", "block")).applyInArrow(solve, "query_id long, vec_id long, score long")
+    found = q.groupBy("grp", "block").cogroup(x.groupBy("grp", "block")).applyInArrow(solve, "query_id long, vec_id long, score decimal(38,0)")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(*[x.split()[0] for x in schema.split(", ")])
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumn("score", F.greatest(F.least("score", F.lit((1 << 63) - 1)), F.lit(-(1 << 63))).cast("long")).select(*[x.split()[0] for x in schema.split(", ")])

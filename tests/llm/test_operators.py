@@ -148,6 +148,25 @@ def test_near_duplicates_odd_rows(odd, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_rows_of_one_document_bring_their_links_together(spark, monkeypatch):
+    a, b, c = prose(40), prose(40), prose(40)
+    rows = [(3, a), (5, a), (5, b), (9, b), (9, ""), (11, c), (12, c), (12, None), (20, "")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(3, 3, True), (5, 3, False), (9, 3, False), (11, 11, True), (12, 11, False), (20, 20, True)}
+
+
+def test_buckets_of_several_blocks(spark, monkeypatch):
+    rng = random.Random(31)
+    passage = prose(60, rng)
+    rows = [(i, change(passage, rng.choice([0.01, 0.03, 0.05, 0.08]), rng)) for i in range(150)]
+    want = classes(rows)
+    monkeypatch.setattr(neardup, "MEET", 8)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 300)
+    for bound in (100_000, 0):
+        monkeypatch.setattr(neardup, "BROADCAST_BUCKETS", bound)
+        assert {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
 def test_block_links_are_those_of_all_pairs():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 60, (40, 30))
@@ -626,3 +645,27 @@ def test_top_k_matches_brute_force(spark):
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert sorted(got) == sorted(want)
     assert voronoi.top_k(v.limit(0), v.limit(0), 5).count() == 0
+
+
+def test_scores_are_integers_of_any_size(spark):
+    big = (1 << 30) + 1
+    huge = 1 << 61
+    for rows, want in (
+        ([(0, [big, 3]), (1, [big, 0]), (2, [big, 1]), (3, [5, 5])], [2, 1, 3]),
+        ([(0, [huge, 7]), (1, [huge, 1]), (2, [huge, 2]), (3, [-huge, 0])], [2, 1, 3]),
+    ):
+        v = spark.createDataFrame(rows, "vec_id long, v array<long>")
+        got = voronoi.top_k(v, v.filter("vec_id = 0"), 3).orderBy("rank").collect()
+        assert [r.vec_id for r in got] == want
+        exact = {i: sum(x * y for x, y in zip(rows[0][1], e, strict=True)) for i, e in rows}
+        assert all(r.score == max(-(1 << 63), min((1 << 63) - 1, exact[r.vec_id])) for r in got)
+    one = spark.createDataFrame([(20, [1, 2])], "vec_id long, v array<long>")
+    assert voronoi.top_k(one, one, 3).count() == 0
+
+
+def test_repeated_rows_of_a_query_do_not_hide_candidates(spark):
+    rng = np.random.default_rng(5)
+    rows = [(0, [1000, 1000])] * 30 + [(i, [int(a), int(b)]) for i, (a, b) in enumerate(rng.integers(-900, 900, (200, 2)), start=1)]
+    v = spark.createDataFrame(rows, "vec_id long, v array<long>").repartition(3)
+    got = voronoi.top_k(v, v.filter("vec_id = 0"), 5).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(i, s) for s, i in sorted(((1000 * sum(e), i) for i, e in rows[30:]), key=lambda x: (-x[0], x[1]))[:5]]
