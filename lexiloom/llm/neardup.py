@@ -182,7 +182,8 @@ def _cross_links(open_: DataFrame, docs: DataFrame, threshold: int) -> DataFrame
     right = b.join(other(a), met, "left_semi").select(*columns, F.lit(1).alias("side"))
     active = workspace.materialize(left.unionByName(right).distinct(), "active")
     shingles = lambda side: pieces(F.coalesce(F.sum(F.when(F.col("side") == side, F.col("n"))), F.lit(0)), BLOCK_SHINGLES)
-    plan = active.groupBy("key").agg(shingles(0).alias("n0"), shingles(1).alias("n1")).filter(several)
+    blocks = lambda side: F.greatest(shingles(side), pieces(F.count_if(F.col("side") == side), MEET))
+    plan = active.groupBy("key").agg(blocks(0).alias("n0"), blocks(1).alias("n1")).filter(several)
     dealt = [_dealt(active.filter(F.col("side") == side), plan, side).select("key", "rep", "comp", "side", "i", "j") for side in (0, 1)]
     sets = _sets_of(active.select(F.col("rep").alias("doc_id")), docs)
     rows = dealt[0].unionByName(dealt[1]).join(sets, F.col("rep") == F.col("id")).select("key", "i", "j", "comp", "side", "shingles")
