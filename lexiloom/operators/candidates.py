@@ -39,26 +39,6 @@ def mutation_sources(pairs: DataFrame, lexicon: DataFrame) -> DataFrame:
     return out.join(sized(lexicon.select("word", "freq")), "word").select("token", "word", "operation", "cost", "freq")
 
 
-def dominates(champion: Column, challenger: Column) -> Column:
-    """A clearly cheaper word (0.08), or an about equally cheap one (0.01) that is clearly more frequent (0.12)."""
-    return (champion["cost"] + 0.08 < challenger["cost"]) | ((champion["cost"] <= challenger["cost"] + 0.01) & (champion["freq"] >= challenger["freq"] + 0.12))
-
-
-def classify_mutations(sources: DataFrame, band: float = 0.08) -> DataFrame:
-    """token, n_sources, n_band, class, target: the band of sources near a token's least cost decides whether one
-    word is the unique target."""
-    least = F.min("cost").over(Window.partitionBy("token"))
-    in_band = sources.withColumn("least", least).withColumn("in_band", F.col("cost") <= F.col("least") + band)
-    best = F.min(F.when(F.col("in_band"), F.struct((-F.col("freq")).alias("f"), "cost", "word")))
-    found = in_band.groupBy("token").agg(
-        F.count(F.lit(1)).alias("n_sources"), F.count_if("in_band").alias("n_band"), best.alias("best"),
-        F.sort_array(F.collect_list(F.when(F.col("in_band"), F.struct("freq", "cost", "word")))).alias("all"),
-    )
-    rivals = F.filter("all", lambda s: (s["word"] != F.col("best.word")) & (s["freq"] + 0.12 > -F.col("best.f")))
-    unique = F.size(rivals) == 0
-    return found.select("token", "n_sources", "n_band", F.when(unique, "Unique").otherwise("Ambiguous").alias("class"), F.when(unique, F.col("best.word")).alias("target"))
-
-
 def clear_winner(champion: Column, challenger: Column) -> Column:
     """The full dominance test of two sources (word, cost, freq, operation), as surveyed: the first rule that fits decides."""
     a, b = champion, challenger
@@ -91,10 +71,9 @@ def _unbeaten(band: str) -> Column:
     return F.filter(band, lambda s: ~F.exists(band, lambda o: (o["word"] != s["word"]) & clear_winner(o, s)))
 
 
-def classify_bands(sources: DataFrame) -> DataFrame:
-    """token, n_sources, n_band, class, target, as ``classify_mutations`` but by the whole apply band and the full dominance test: the
-    target is the one source of the band that no other beats, if it beats every other. The array of a token is bounded by its
-    one-edit neighbours."""
+def classify_mutations(sources: DataFrame) -> DataFrame:
+    """token, n_sources, n_band, class, target: the target is the one source of a token's apply band that no other beats, if it beats
+    every other. The array of a token is bounded by its one-edit neighbours."""
     kept = F.collect_list(F.when(F.col("in_band"), F.struct("word", "cost", "freq", "operation")))
     found = apply_bands(sources).groupBy("token").agg(F.count(F.lit(1)).alias("n_sources"), F.count_if("in_band").alias("n_band"), kept.alias("band"))
     found = found.withColumn("unbeaten", _unbeaten("band")).withColumn("best", F.get("unbeaten", F.lit(0)))
@@ -102,7 +81,7 @@ def classify_bands(sources: DataFrame) -> DataFrame:
     return found.select("token", "n_sources", "n_band", F.when(unique, "Unique").otherwise("Ambiguous").alias("class"), F.when(unique, F.col("best.word")).alias("target"))
 
 
-def unbeaten_sources(sources: DataFrame) -> DataFrame:
+def skyline(sources: DataFrame) -> DataFrame:
     """token, word of the sources of each token's apply band that no other one there beats by the full dominance test."""
     band = apply_bands(sources).filter("in_band").groupBy("token").agg(F.collect_list(F.struct("word", "cost", "freq", "operation")).alias("band"))
     return band.select("token", F.explode(_unbeaten("band")).alias("s")).select("token", "s.word")
@@ -114,23 +93,22 @@ def top_candidates(sources: DataFrame, k: int) -> DataFrame:
     return sources.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
 
 
-def skyline(sources: DataFrame) -> DataFrame:
-    """Sources that no other source of their token dominates. The array of a token is bounded by its one-edit neighbours."""
-    row = F.struct("word", "cost", "freq")
-    kept = F.filter("all", lambda s: ~F.exists("all", lambda o: (o["word"] != s["word"]) & dominates(o, s)))
-    return sources.groupBy("token").agg(F.collect_list(row).alias("all")).select("token", F.explode(kept).alias("s")).select("token", "s.word", "s.cost", "s.freq")
+def longest_word(lexicon: DataFrame) -> int:
+    """Letters of the longest word: no limit is set on the length of words that are looked up."""
+    return lexicon.agg(F.coalesce(F.max(F.length("word")), F.lit(1))).first()[0]
 
 
-def dictionary_prefixes(tokens: DataFrame, lexicon: DataFrame, longest: int = 20) -> DataFrame:
+def dictionary_prefixes(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     """token, word: every lexicon word that a token starts with."""
-    lengths = F.sequence(F.lit(1), F.least(F.length("token"), F.lit(longest)))
+    lengths = F.sequence(F.lit(1), F.least(F.length("token"), F.lit(longest_word(lexicon))))
     cut = tokens.filter("token != ''").select("token", F.explode(F.transform(lengths, lambda n: F.col("token").substr(F.lit(1), n))).alias("word"))
     return cut.join(sized(lexicon.select("word")), "word").select("token", "word")
 
 
-def dictionary_substrings(tokens: DataFrame, lexicon: DataFrame, longest: int = 20, backward: bool = False) -> DataFrame:
-    """token, start, word: every lexicon word of up to ``longest`` letters at every place of a token; places count from the
-    end, and words are read backward, if ``backward``. Repeated words give repeated rows."""
+def dictionary_substrings(tokens: DataFrame, lexicon: DataFrame, backward: bool = False) -> DataFrame:
+    """token, start, word: every lexicon word at every place of a token; places count from the end, and words are read
+    backward, if ``backward``. Repeated words give repeated rows."""
+    longest = longest_word(lexicon)
     read = F.reverse("token") if backward else F.col("token")
     t = tokens.filter("token != ''").select("token", F.explode(F.sequence(F.lit(1), F.length("token"))).alias("start"), read.alias("read"))
     ends = F.sequence(F.lit(1), F.least(F.length("read") - F.col("start") + 1, F.lit(longest)))

@@ -5,21 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.functions import text as T
+
 START = "^"
 
 
-def bigram_counts(words: DataFrame) -> DataFrame:
-    """w1, w2, n over ``words(doc_id, pos, word)`` in lower case."""
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    low = words.select("doc_id", "pos", F.lower("word").alias("w2"))
-    return low.withColumn("w1", F.lag("w2").over(order)).filter("w1 is not null").groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"))
+def _runs(documents: DataFrame, n: int) -> DataFrame:
+    """w1, ..., wn, n over the runs of n words of ``documents(text)``, in lower case. Runs are built inside each row, so only counts are shuffled."""
+    words = documents.select(F.transform(T.words(F.col("text")), F.lower).alias("ws"))
+    last = F.slice("ws", n, F.size("ws"))  # the last words of the runs; the k-th one before stands k places earlier
+    runs = F.transform(last, lambda w, i: F.struct(*[F.get("ws", i + k).alias(f"w{k + 1}") for k in range(n - 1)], w.alias(f"w{n}")))
+    return words.filter(F.size("ws") >= n).select(F.explode(runs).alias("r")).select("r.*").groupBy(*[f"w{k + 1}" for k in range(n)]).agg(F.count(F.lit(1)).alias("n"))
+
+
+def bigram_counts(documents: DataFrame) -> DataFrame:
+    return _runs(documents, 2)
 
 
-def trigram_counts(words: DataFrame) -> DataFrame:
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    low = words.select("doc_id", "pos", F.lower("word").alias("w3"))
-    low = low.withColumn("w1", F.lag("w3", 2).over(order)).withColumn("w2", F.lag("w3").over(order)).filter("w1 is not null")
-    return low.groupBy("w1", "w2", "w3").agg(F.count(F.lit(1)).alias("n"))
+def trigram_counts(documents: DataFrame) -> DataFrame:
+    return _runs(documents, 3)
 
 
 def best_continuations(counts: DataFrame, context: list[str], word: str, least: int) -> DataFrame:

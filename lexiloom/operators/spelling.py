@@ -39,10 +39,14 @@ def external_score(distance: Column, freq: Column, n: Column, soft_sign: Column
     return 0.76 + 0.12 * freq - F.when(n > 1, 0.08).otherwise(0.0) - 0.10 * (distance - 1) + soft
 
 
+#: Of options with one score, the kind that goes first.
+KIND_ORDER = ("combined", "spelling", "layout")
+
+
 def joint_decisions(options: DataFrame, apply_at: float = 0.70, wait_at: float = 0.45, gap: float = 0.05) -> DataFrame:
     """token, kind, word, decision from ``options(token, kind, word, score)``: the best option of a token is applied if it is good
-    enough and no other option that could be waited for is within the gap; ties to the kind, then the word."""
-    order = Window.partitionBy("token").orderBy(F.desc("score"), "kind", "word")
+    enough and no other option that could be waited for is within the gap; ties by KIND_ORDER, then the word."""
+    order = Window.partitionBy("token").orderBy(F.desc("score"), F.array_position(F.array(*map(F.lit, KIND_ORDER)), F.col("kind")), "word")
     ranked = options.withColumn("k", F.row_number().over(order)).withColumn("second", F.lead("score").over(order)).filter("k = 1")
     rivalled = (F.col("second") >= wait_at) & (F.round(F.col("score") - F.col("second"), 9) <= gap)
     decision = F.when(rivalled, "wait").when(F.col("score") >= apply_at, "apply").when(F.col("score") >= wait_at, "wait").otherwise("no_change")

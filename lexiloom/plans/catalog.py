@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +45,7 @@ _LEX = "lex AS (SELECT word, n, rank, greatest(0.35e0, least(1.0e0, 1 - 0.65e0 *
 _DISTINCT = "t AS (SELECT DISTINCT token FROM tok)"
 _EN = T.EN_KEYS.replace("'", "''")
 _RU = T.RU_KEYS.replace("'", "''")
-_RARE = "rare AS (SELECT word AS token FROM counts WHERE n = 1 AND length(word) BETWEEN 3 AND 14), long AS (SELECT * FROM lex WHERE length(word) BETWEEN 2 AND 15)"
+_RARE = "rare AS (SELECT word AS token FROM counts WHERE n < 5 AND length(word) >= 3), long AS (SELECT * FROM lex WHERE length(word) >= 2)"
 _NEAR = "near AS (SELECT token, word, freq, n FROM rare JOIN long ON abs(length(token) - length(word)) <= 1 AND token <> word AND damerau_levenshtein(token, word) = 1)"
 _ADJ = " OR ".join(f"(was = '{k}' AND strpos('{v}', now) > 0)" for k, v in E.key_neighbours().items())
 _KIND = f"""kind AS (
@@ -70,14 +69,15 @@ def _distinct_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.token_rows(_docs(spark, sf_dir)).select("token").distinct()
 
 
-def _rare_and_lexicon(spark: SparkSession, sf_dir: str, seen: int) -> tuple[DataFrame, DataFrame]:
+def _rare_and_lexicon(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every English word of three letters that is too rare for the lexicon, and the lexicon."""
     counts = S.english_counts(_docs(spark, sf_dir)).cache()  # read three times below; the vocabulary, not the corpus
-    rare = counts.filter((F.col("n") <= seen) & F.length("word").between(3, 14)).select(F.col("word").alias("token"))
-    return rare, S.ranked_lexicon(counts).filter("length(word) between 2 and 15").select("word", "freq", "n")
+    rare = counts.filter((F.col("n") < 5) & (F.length("word") >= 3)).select(F.col("word").alias("token"))
+    return rare, S.ranked_lexicon(counts).filter("length(word) >= 2").select("word", "freq", "n")
 
 
-def _sources(spark: SparkSession, sf_dir: str, seen: int) -> DataFrame:
-    rare, lex = _rare_and_lexicon(spark, sf_dir, seen)
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rare, lex = _rare_and_lexicon(spark, sf_dir)
     return C.mutation_sources(C.one_edit_pairs(rare, lex), lex)
 
 
@@ -197,48 +197,59 @@ def neighbour_counts(spark, sf_dir):
 
 
 @_query(f"WITH {_WORDS}, {_COUNTS}, {_LEX}, {_RARE}, {_NEAR} SELECT token, word FROM near")
-def one_edit_join(spark, sf_dir, seen=1):
-    rare, lex = _rare_and_lexicon(spark, sf_dir, seen)
+def one_edit_join(spark, sf_dir):
+    rare, lex = _rare_and_lexicon(spark, sf_dir)
     return C.one_edit_pairs(rare, lex)
 
 
 @_query(f"{_BASE} SELECT token, word, operation, cost, round(freq, 9) AS freq FROM src")
-def mutation_sources(spark, sf_dir, seen=1):
-    return _sources(spark, sf_dir, seen).withColumn("freq", F.round("freq", 9))
+def mutation_sources(spark, sf_dir):
+    return _sources(spark, sf_dir).withColumn("freq", F.round("freq", 9))
 
 
 @_query(f"{_BASE} SELECT operation, count(*) AS n, count(DISTINCT token) AS tokens FROM src GROUP BY 1")
-def edit_classes(spark, sf_dir, seen=1):
-    return _sources(spark, sf_dir, seen).groupBy("operation").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("token").alias("tokens"))
+def edit_classes(spark, sf_dir):
+    return _sources(spark, sf_dir).groupBy("operation").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("token").alias("tokens"))
 
 
-@_query(f"{_BASE} SELECT token, rank, word FROM (SELECT token, word, row_number() OVER (PARTITION BY token ORDER BY cost, freq DESC, word) AS rank FROM src) WHERE rank <= 16")
-def top_candidates(spark, sf_dir, seen=1):
-    return C.top_candidates(_sources(spark, sf_dir, seen), 16).select("token", "rank", "word")
+@_query(f"{_BASE} SELECT token, rank, word FROM (SELECT token, word, row_number() OVER (PARTITION BY token ORDER BY cost, freq DESC, word) AS rank FROM src) WHERE rank <= 512")
+def top_candidates(spark, sf_dir):
+    return C.top_candidates(_sources(spark, sf_dir), 512).select("token", "rank", "word")
 
 
-@_query(f"""{_BASE}, b AS (SELECT *, cost <= min(cost) OVER (PARTITION BY token) + 0.08 AS inb FROM src),
-    z AS (SELECT token, count(*) AS n_sources, count(*) FILTER (WHERE inb) AS n_band FROM b GROUP BY 1),
-    r AS (SELECT token, word, freq, row_number() OVER (PARTITION BY token ORDER BY freq DESC, cost, word) AS k FROM b WHERE inb),
-    u AS (SELECT x.token, x.word, count(y.word) AS rivals FROM r x LEFT JOIN r y ON x.token = y.token AND y.k > 1 AND y.freq + 0.12 > x.freq WHERE x.k = 1 GROUP BY ALL)
-    SELECT z.token, n_sources, n_band, CASE WHEN rivals = 0 THEN 'Unique' ELSE 'Ambiguous' END AS class, CASE WHEN rivals = 0 THEN u.word END AS target FROM z JOIN u ON z.token = u.token""")
-def mutation_classes(spark, sf_dir, seen=1, classify=C.classify_mutations):
-    return classify(_sources(spark, sf_dir, seen))
+_GENERAL = "('VowelSubstitution', 'GeneralSubstitution', 'AdjacentKeySubstitution')"
+_LENGTH = "('MissingCharacter', 'ExtraCharacter')"
+_BANDS = f"""band AS (SELECT * FROM (SELECT *, min(cost) OVER (PARTITION BY token) AS least FROM src)
+        WHERE cost <= least + 0.08e0 OR (cost <= least + 0.35e0 AND freq >= 0.50e0) OR (cost <= least + 0.20e0 AND freq >= 0.995e0)),
+    met AS (SELECT a.token, a.word AS aw, a.cost AS ac, a.freq AS af, a.operation AS ao, b.word AS bw, b.cost AS bc, b.freq AS bf, b.operation AS bo FROM band a JOIN band b ON a.token = b.token AND a.word <> b.word),
+    won AS (SELECT token, aw, bw, CASE
+        WHEN ao IN {_LENGTH} AND af >= 0.999e0 AND bo = 'AdjacentKeySubstitution' AND af + 0.0001e0 >= bf THEN TRUE
+        WHEN bo IN {_LENGTH} AND bf >= 0.999e0 AND ao = 'AdjacentKeySubstitution' AND bf + 0.0001e0 >= af THEN FALSE
+        WHEN ac + 0.01e0 < bc THEN NOT (bf >= 0.995e0 AND bf >= af + 0.004e0)
+        WHEN ac > bc + 0.08e0 THEN af >= 0.995e0 AND af >= bf + 0.004e0
+        WHEN CASE WHEN ao = bo THEN ao WHEN bc + 0.01e0 < ac THEN bo WHEN af >= bf THEN ao ELSE bo END IN {_GENERAL} THEN (af >= 0.995e0 AND bf <= af - 0.004e0) OR (af >= 0.90e0 AND af >= bf + 0.12e0)
+        ELSE af >= bf + 0.12e0 OR af >= 0.995e0 END AS wins FROM met),
+    free AS (SELECT band.token, band.word FROM band LEFT JOIN (SELECT DISTINCT token, bw FROM won WHERE wins) x ON band.token = x.token AND band.word = x.bw WHERE x.bw IS NULL),
+    alone AS (SELECT token, min(word) AS target FROM free GROUP BY 1 HAVING count(*) = 1),
+    uniq AS (SELECT alone.token, target FROM alone LEFT JOIN won ON alone.token = won.token AND aw = target AND NOT wins GROUP BY 1, 2 HAVING count(won.token) = 0)"""
 
 
-@_query(f"""{_BASE} SELECT token, word FROM src s WHERE NOT EXISTS (SELECT 1 FROM src o WHERE o.token = s.token AND o.word <> s.word
-    AND (o.cost + 0.08 < s.cost OR (o.cost <= s.cost + 0.01 AND o.freq >= s.freq + 0.12)))""")
-def undominated_sources(spark, sf_dir, seen=1):
-    return C.skyline(_sources(spark, sf_dir, seen)).select("token", "word")
+@_query(f"""{_BASE}, {_BANDS}, z AS (SELECT token, count(*) AS n_sources FROM src GROUP BY 1), y AS (SELECT token, count(*) AS n_band FROM band GROUP BY 1)
+    SELECT z.token, n_sources, n_band, CASE WHEN target IS NULL THEN 'Ambiguous' ELSE 'Unique' END AS class, target FROM z JOIN y ON z.token = y.token LEFT JOIN uniq ON z.token = uniq.token""")
+def mutation_classes(spark, sf_dir):
+    return C.classify_mutations(_sources(spark, sf_dir))
+
+
+@_query(f"{_BASE}, {_BANDS} SELECT token, word FROM free")
+def undominated_sources(spark, sf_dir):
+    return C.skyline(_sources(spark, sf_dir))
 
 
 _PREFIX = "len(list_filter(range(1, least(length(w), length(p)) + 1), lambda k: w[:k] = p[:k]))"
 _LEAD = "(wf >= 0.90e0 AND wf >= pf + 0.12e0 AND wc <= pc + 0.08e0)"
 _ULTRA = "((wo IN ('MissingCharacter', 'ExtraCharacter') AND wf >= 0.999e0) OR (wo = 'AdjacentTransposition' AND wf >= 0.998e0))"
-_RIVALS = f"""{_BASE}, b AS (SELECT *, cost <= min(cost) OVER (PARTITION BY token) + 0.08 AS inb FROM src),
-    r AS (SELECT token, word, freq, row_number() OVER (PARTITION BY token ORDER BY freq DESC, cost, word) AS k FROM b WHERE inb),
-    u AS (SELECT x.token, x.word AS target FROM r x WHERE x.k = 1 AND NOT EXISTS (SELECT 1 FROM r y WHERE y.token = x.token AND y.k > 1 AND y.freq + 0.12e0 > x.freq)),
-    win AS (SELECT s.token, s.word AS w, s.operation AS wo, s.cost AS wc, s.freq AS wf FROM src s JOIN u ON s.token = u.token AND s.word = u.target),
+_RIVALS = f"""{_BASE}, {_BANDS},
+    win AS (SELECT s.token, s.word AS w, s.operation AS wo, s.cost AS wc, s.freq AS wf FROM src s JOIN uniq u ON s.token = u.token AND s.word = u.target),
     duel AS (SELECT win.*, s.word AS p, s.operation AS po, s.cost AS pc, s.freq AS pf, length(win.w) AS nw, length(s.word) AS np
         FROM win JOIN src s ON win.token = s.token AND s.word <> win.w AND s.freq >= 0.70e0 AND s.cost <= win.wc + 0.70e0),
     h AS (SELECT *, {_PREFIX} AS head, len(list_filter(range(1, nw + 1), lambda i: w[i] <> p[i])) AS far, {_LEAD} AS lead, {_ULTRA} AS ultra FROM duel),
@@ -259,26 +270,27 @@ _RIVALS = f"""{_BASE}, b AS (SELECT *, cost <= min(cost) OVER (PARTITION BY toke
         CASE WHEN wo = 'VowelSubstitution' AND po = 'VowelSubstitution' AND nw = np AND w <> p THEN 'vowel_against_vowel' END], lambda z: z IS NOT NULL)) AS rule FROM x)"""
 
 
-def _winners(spark: SparkSession, sf_dir: str, seen: int, classify) -> tuple[DataFrame, DataFrame]:
-    sources = _sources(spark, sf_dir, seen).cache()
-    return sources, classify(sources).filter("class = 'Unique'").select("token", "target")
+def _winners(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sources = _sources(spark, sf_dir).cache()
+    return sources, C.classify_mutations(sources).filter("class = 'Unique'").select("token", "target")
 
 
 @_query(f"{_RIVALS} SELECT token, rule, count(*) AS n FROM hit GROUP BY 1, 2")
-def rival_rules(spark, sf_dir, seen=1, classify=C.classify_mutations):
-    return G.rival_rules(*_winners(spark, sf_dir, seen, classify))
+def rival_rules(spark, sf_dir):
+    return G.rival_rules(*_winners(spark, sf_dir))
 
 
 @_query(f"""{_RIVALS} SELECT win.token, w AS target, CASE WHEN (CASE WHEN wo IN ('ExtraCharacter', 'MissingCharacter') THEN wf >= 0.70e0 WHEN wo = 'AdjacentTransposition' THEN TRUE ELSE wf >= 0.65e0 END)
     AND (win.token NOT IN (SELECT token FROM hit) OR (wo = 'AdjacentTransposition' AND wf >= 0.9995e0)) THEN 'apply' ELSE 'wait' END AS decision FROM win""")
-def guarded_decisions(spark, sf_dir, seen=1, classify=C.classify_mutations):
-    return G.guarded_decisions(*_winners(spark, sf_dir, seen, classify))
+def guarded_decisions(spark, sf_dir):
+    return G.guarded_decisions(*_winners(spark, sf_dir))
 
 
-@_query(f"WITH {_WORDS}, {_COUNTS}, {_LEX} SELECT c.word AS token, l.word AS word FROM (SELECT * FROM counts WHERE n = 1) c JOIN lex l ON length(l.word) <= 20 AND starts_with(c.word, l.word)")
-def dictionary_prefixes(spark, sf_dir, seen=1):
+@_query(f"WITH {_WORDS}, {_COUNTS}, {_LEX} SELECT c.word AS token, l.word AS word FROM (SELECT * FROM counts WHERE n < 5) c JOIN lex l ON starts_with(c.word, l.word)")
+def dictionary_prefixes(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    return C.dictionary_prefixes(S.english_counts(docs).filter(F.col("n") <= seen).select(F.col("word").alias("token")), S.lexicon(docs))
+    counts = S.english_counts(docs).cache()
+    return C.dictionary_prefixes(counts.filter("n < 5").select(F.col("word").alias("token")), S.ranked_lexicon(counts).cache())
 
 
 @_query(rf"""WITH {_WORDS}, {_COUNTS}, {_LEX}, x AS (SELECT doc_id, lower(word) AS word FROM w)
@@ -300,16 +312,16 @@ _BEST3 = "b3 AS (SELECT w1, w2, w3 AS best FROM (SELECT *, sum(n) OVER (PARTITIO
 
 @_query(f"WITH {_WORDS}, {_BI}, {_BEST2} SELECT w1, total::BIGINT AS total, best, n FROM b2")
 def bigram_continuations(spark, sf_dir):
-    return M.best_continuations(M.bigram_counts(S.word_rows(_docs(spark, sf_dir))), ["w1"], "w2", 5)
+    return M.best_continuations(M.bigram_counts(_docs(spark, sf_dir)), ["w1"], "w2", 5)
 
 
 @_query(f"""WITH {_WORDS}, {_BI}, {_TRI}, {_BEST2}, {_BEST3}, c AS (SELECT DISTINCT w1, w2 FROM bi)
     SELECT c.w1, c.w2, coalesce(b3.best, b2.best) AS best, CASE WHEN b3.best IS NOT NULL THEN 3 WHEN b2.best IS NOT NULL THEN 2 END::BIGINT AS "order"
     FROM c LEFT JOIN b3 ON c.w1 = b3.w1 AND c.w2 = b3.w2 LEFT JOIN b2 ON c.w2 = b2.w1""")
 def next_words(spark, sf_dir):
-    words = S.word_rows(_docs(spark, sf_dir))
-    bi = M.bigram_counts(words)
-    return M.continue_contexts(bi.select("w1", "w2").distinct(), M.best_continuations(bi, ["w1"], "w2", 5), M.best_continuations(M.trigram_counts(words), ["w1", "w2"], "w3", 5))
+    docs = _docs(spark, sf_dir)
+    bi = M.bigram_counts(docs)
+    return M.continue_contexts(bi.select("w1", "w2").distinct(), M.best_continuations(bi, ["w1"], "w2", 5), M.best_continuations(M.trigram_counts(docs), ["w1", "w2"], "w3", 5))
 
 
 @_query(f"WITH {_WORDS}, {_COUNTS}, {_LEX} SELECT prefix, count(*) AS n FROM (SELECT unnest(list_transform(range(1, least(length(word), 10) + 1), lambda k: word[:k])) AS prefix FROM lex) GROUP BY 1")
@@ -443,7 +455,7 @@ def closed_up_text(spark, sf_dir):
 
 # farther candidates and sessions
 
-_FAR = """far AS (SELECT token, word, freq, damerau_levenshtein(token, word)::BIGINT AS distance FROM rare JOIN long ON abs(length(token) - length(word)) <= 2 AND token <> word AND damerau_levenshtein(token, word) <= 2),
+_FAR = """far AS (SELECT * FROM (SELECT token, word, freq, damerau_levenshtein(token, word)::BIGINT AS distance FROM rare JOIN long ON abs(length(token) - length(word)) <= 2 AND token <> word) WHERE distance <= 2),
     nearest AS (SELECT * FROM far QUALIFY distance = min(distance) OVER (PARTITION BY token)),
     cand AS (SELECT *, count(*) OVER (PARTITION BY token) AS n, row_number() OVER (PARTITION BY token ORDER BY freq DESC, word) AS rank FROM nearest),
     scored AS (SELECT *, 0.76e0 + 0.12e0 * freq - CASE WHEN n > 1 THEN 0.08e0 ELSE 0 END - 0.10e0 * (distance - 1) AS score FROM cand WHERE rank <= 16)"""
@@ -455,19 +467,19 @@ def _scored(rare: DataFrame, lex: DataFrame) -> DataFrame:
 
 
 @_query(f"WITH {_WORDS}, {_COUNTS}, {_LEX}, {_RARE}, {_FAR} SELECT token, word, distance, rank, n, round(score, 9) AS score FROM scored")
-def two_edit_candidates(spark, sf_dir, seen=1):
-    return _scored(*_rare_and_lexicon(spark, sf_dir, seen)).select("token", "word", "distance", "rank", "n", F.round("score", 9).alias("score"))
+def two_edit_candidates(spark, sf_dir):
+    return _scored(*_rare_and_lexicon(spark, sf_dir)).select("token", "word", "distance", "rank", "n", F.round("score", 9).alias("score"))
 
 
 @_query(f"""WITH {_WORDS}, {_COUNTS}, {_LEX}, {_RARE}, {_FAR}, o AS (
-        SELECT token, 'spelling' AS kind, word, score + 0.06e0 AS score FROM scored WHERE rank <= 2
-        UNION ALL SELECT translate(token, '{_EN}', '{_RU}'), 'combined', word, score + 0.04e0 FROM scored WHERE rank <= 2
+        SELECT token, 'spelling' AS kind, word, score + 0.06e0 AS score FROM scored
+        UNION ALL SELECT translate(token, '{_EN}', '{_RU}'), 'combined', word, score + 0.04e0 FROM scored
         UNION ALL SELECT translate(word, '{_EN}', '{_RU}'), 'layout', word, 0.86e0 FROM long WHERE freq >= 0.55e0),
-    r AS (SELECT *, row_number() OVER x AS k, lead(score) OVER x AS second FROM o WINDOW x AS (PARTITION BY token ORDER BY score DESC, kind, word))
+    r AS (SELECT *, row_number() OVER x AS k, lead(score) OVER x AS second FROM o WINDOW x AS (PARTITION BY token ORDER BY score DESC, list_position(['combined', 'spelling', 'layout'], kind), word))
     SELECT token, kind, word, CASE WHEN second >= 0.45e0 AND round(score - second, 9) <= 0.05e0 THEN 'wait' WHEN score >= 0.70e0 THEN 'apply' WHEN score >= 0.45e0 THEN 'wait' ELSE 'no_change' END AS decision FROM r WHERE k = 1""")
-def joint_decisions(spark, sf_dir, seen=1):
-    rare, lex = _rare_and_lexicon(spark, sf_dir, seen)
-    best = _scored(rare, lex).filter("rank <= 2")
+def joint_decisions(spark, sf_dir):
+    rare, lex = _rare_and_lexicon(spark, sf_dir)
+    best = _scored(rare, lex)
     spelling = best.select("token", F.lit("spelling").alias("kind"), "word", (F.col("score") + 0.06).alias("score"))
     combined = best.select(T.to_russian_layout(F.col("token")).alias("token"), F.lit("combined").alias("kind"), "word", (F.col("score") + 0.04).alias("score"))
     layout = lex.filter("freq >= 0.55").select(T.to_russian_layout(F.col("word")).alias("token"), F.lit("layout").alias("kind"), "word", F.lit(0.86).alias("score"))
@@ -519,24 +531,22 @@ _DECIDE = rf"""{_TOKENS}, {_WORDS}, {_COUNTS}, {_LEX}, {_DISTINCT}, m AS (SELECT
         NOT regexp_full_match(token, '[A-Za-z]+') AND NOT (regexp_full_match(token, '[A-Za-z`~\[\];:''",.<>]+') AND regexp_matches(token, '[A-Za-z]')) AND NOT regexp_full_match(token, '[А-яЁё]+')
         OR lower(token) IN ({", ".join(f"'{x.lower()}'" for x in T.TECHNICAL_NAMES)}) OR contains(token, '://') OR regexp_matches(lower(token), '^(www\.|https?://)') OR regexp_matches(token, '^.+\.[A-Za-z0-9]{{2,5}}$')
         OR regexp_matches(token, '\p{{Ll}}.*[\p{{Lu}}\p{{Lt}}]') AS protected FROM t),
-    rare AS (SELECT DISTINCT low AS token FROM m WHERE NOT protected AND low NOT IN (SELECT word FROM lex) AND length(low) BETWEEN 3 AND 14), long AS (SELECT * FROM lex), {_NEAR}, {_KIND},
-    b AS (SELECT *, cost <= min(cost) OVER (PARTITION BY token) + 0.08 AS inb FROM src),
-    r AS (SELECT token, word, freq, row_number() OVER (PARTITION BY token ORDER BY freq DESC, cost, word) AS k FROM b WHERE inb),
-    u AS (SELECT x.token AS low, x.word AS target, x.freq AS f, count(y.word) AS rivals FROM r x LEFT JOIN r y ON x.token = y.token AND y.k > 1 AND y.freq + 0.12 > x.freq WHERE x.k = 1 GROUP BY ALL),
-    d AS (SELECT m.token, CASE WHEN protected THEN 'protected' WHEN m.low IN (SELECT word FROM lex) THEN 'known' WHEN u.low IS NULL THEN 'no_source' WHEN rivals > 0 THEN 'ambiguous' WHEN f >= 0.70 THEN 'unique' ELSE 'rare_target' END AS reason FROM m LEFT JOIN u ON m.low = u.low)"""
+    rare AS (SELECT DISTINCT low AS token FROM m WHERE NOT protected AND low NOT IN (SELECT word FROM lex) AND length(low) >= 3), long AS (SELECT * FROM lex), {_NEAR}, {_KIND},
+    {_BANDS}, u AS (SELECT q.token AS low, uniq.target, lex.freq AS f FROM (SELECT DISTINCT token FROM src) q LEFT JOIN uniq ON q.token = uniq.token LEFT JOIN lex ON uniq.target = lex.word),
+    d AS (SELECT m.token, CASE WHEN protected THEN 'protected' WHEN m.low IN (SELECT word FROM lex) THEN 'known' WHEN u.low IS NULL THEN 'no_source' WHEN u.target IS NULL THEN 'ambiguous' WHEN f >= 0.70 THEN 'unique' ELSE 'rare_target' END AS reason FROM m LEFT JOIN u ON m.low = u.low)"""
 
 
 @_query(f"WITH {_DECIDE} SELECT CASE WHEN reason = 'unique' THEN 'apply' WHEN reason IN ('ambiguous', 'rare_target') THEN 'wait' ELSE 'no_change' END AS decision, reason, count(*) AS n, sum(('0x' || sha256(token)[1:12])::BIGINT)::VARCHAR AS fingerprint FROM d GROUP BY ALL")
-def decision_summary(spark, sf_dir, classify=C.classify_mutations):
-    d = decide(_distinct_tokens(spark, sf_dir).cache(), S.lexicon(_docs(spark, sf_dir)).cache(), classify=classify)
+def decision_summary(spark, sf_dir):
+    d = decide(_distinct_tokens(spark, sf_dir).cache(), S.lexicon(_docs(spark, sf_dir)).cache())
     # a sum of digests does not depend on the order of rows and is added up before the shuffle
     each = F.conv(F.substring(F.sha2("token", 256), 1, 12), 16, 10).cast("decimal(20,0)")
     return d.groupBy("decision", "reason").agg(F.count(F.lit(1)).alias("n"), F.sum(each).cast("string").alias("fingerprint"))
 
 
 @_query(f"WITH {_DECIDE} SELECT count(*) AS examined, count(*) FILTER (WHERE reason = 'unique') AS apply, count(*) FILTER (WHERE reason IN ('ambiguous', 'rare_target')) AS wait, count(*) FILTER (WHERE reason IN ('protected', 'known', 'no_source')) AS no_change FROM d")
-def gate_counters(spark, sf_dir, classify=C.classify_mutations):
-    d = decide(_distinct_tokens(spark, sf_dir).cache(), S.lexicon(_docs(spark, sf_dir)).cache(), classify=classify)
+def gate_counters(spark, sf_dir):
+    d = decide(_distinct_tokens(spark, sf_dir).cache(), S.lexicon(_docs(spark, sf_dir)).cache())
     count = lambda x: F.count_if(F.col("decision") == x).alias(x)
     return d.agg(F.count(F.lit(1)).alias("examined"), count("apply"), count("wait"), count("no_change"))
 
@@ -544,42 +554,37 @@ def gate_counters(spark, sf_dir, classify=C.classify_mutations):
 # audits
 
 _SPLIT = "CASE WHEN ('0x' || sha256(word)[1:2])::INTEGER % 10 < 8 THEN 'train' WHEN ('0x' || sha256(word)[1:2])::INTEGER % 10 = 8 THEN 'valid' ELSE 'test' END"
-_CLASSES = """b AS (SELECT *, cost <= min(cost) OVER (PARTITION BY token) + 0.08 AS inb FROM src),
-    r AS (SELECT token, word, freq, row_number() OVER (PARTITION BY token ORDER BY freq DESC, cost, word) AS k FROM b WHERE inb),
-    u AS (SELECT x.token, x.word AS target, count(y.word) AS rivals FROM r x LEFT JOIN r y ON x.token = y.token AND y.k > 1 AND y.freq + 0.12e0 > x.freq WHERE x.k = 1 GROUP BY ALL)"""
-
-
-@_query(f"""WITH {_WORDS}, {_COUNTS}, {_LEX}, long AS (SELECT * FROM lex WHERE length(word) BETWEEN 2 AND 15), q AS (SELECT word, n, length(word) AS l, (n + 1) % 3 AS kind, (n * 7 + 1) % length(word) AS p, (n * 7 + 1) % (length(word) - 1) AS i FROM long WHERE length(word) >= 4),
+@_query(f"""WITH {_WORDS}, {_COUNTS}, {_LEX}, long AS (SELECT * FROM lex WHERE length(word) >= 2), q AS (SELECT word, n, length(word) AS l, (n + 1) % 3 AS kind, (n * 7 + 1) % length(word) AS p, (n * 7 + 1) % (length(word) - 1) AS i FROM long WHERE length(word) >= 4),
     m AS (SELECT word, CASE kind WHEN 0 THEN 'delete' WHEN 1 THEN 'swap' ELSE 'repeat' END AS slip,
         CASE kind WHEN 0 THEN left(word, p) || word[p + 2:] WHEN 1 THEN left(word, i) || word[i + 2] || word[i + 1] || word[i + 3:] ELSE left(word, p + 1) || word[p + 1:] END AS mutation FROM q),
-    rare AS (SELECT DISTINCT mutation AS token FROM m WHERE mutation <> word AND mutation NOT IN (SELECT word FROM long)), {_NEAR}, {_KIND}, {_CLASSES}
-    SELECT slip, CASE WHEN mutation IN (SELECT word FROM long) THEN 'valid_word' WHEN u.token IS NULL THEN 'no_source' WHEN rivals > 0 THEN 'ambiguous' WHEN target = m.word THEN 'recovered' ELSE 'wrong' END AS outcome, count(*) AS n
-    FROM m LEFT JOIN u ON m.mutation = u.token WHERE mutation <> m.word GROUP BY ALL""")
-def slip_recovery(spark, sf_dir, classify=C.classify_mutations):
-    lex = S.lexicon(_docs(spark, sf_dir)).filter("length(word) between 2 and 15").select("word", "freq", "n").cache()
-    return A.recovery(A.seeded_slips(lex.filter("length(word) >= 4")), lex, classify)
+    rare AS (SELECT DISTINCT mutation AS token FROM m WHERE mutation <> word AND mutation NOT IN (SELECT word FROM long)), {_NEAR}, {_KIND}, {_BANDS}, found AS (SELECT DISTINCT token FROM src)
+    SELECT slip, CASE WHEN mutation IN (SELECT word FROM long) THEN 'valid_word' WHEN found.token IS NULL THEN 'no_source' WHEN target IS NULL THEN 'ambiguous' WHEN target = m.word THEN 'recovered' ELSE 'wrong' END AS outcome, count(*) AS n
+    FROM m LEFT JOIN found ON m.mutation = found.token LEFT JOIN uniq ON m.mutation = uniq.token WHERE mutation <> m.word GROUP BY ALL""")
+def slip_recovery(spark, sf_dir):
+    lex = S.lexicon(_docs(spark, sf_dir)).filter("length(word) >= 2").select("word", "freq", "n").cache()
+    return A.recovery(A.seeded_slips(lex.filter("length(word) >= 4")), lex)
 
 
-@_query(f"""{_BASE}, {_CLASSES}, a AS (SELECT token, target AS ta FROM u WHERE rivals = 0), t AS (SELECT token, word AS tb, row_number() OVER (PARTITION BY token ORDER BY cost, freq DESC, word) AS k FROM src),
+@_query(f"""{_BASE}, {_BANDS}, a AS (SELECT token, target AS ta FROM uniq), t AS (SELECT token, word AS tb, row_number() OVER (PARTITION BY token ORDER BY cost, freq DESC, word) AS k FROM src),
     j AS (SELECT ta, tb FROM a FULL JOIN (SELECT * FROM t WHERE k = 1) t ON a.token = t.token)
     SELECT count(*) AS tokens, count(*) FILTER (WHERE ta = tb) AS agree, count(*) FILTER (WHERE ta <> tb) AS differ, count(*) FILTER (WHERE tb IS NULL) AS only_a, count(*) FILTER (WHERE ta IS NULL) AS only_b FROM j""")
-def provider_comparison(spark, sf_dir, seen=1, classify=C.classify_mutations):
-    sources = _sources(spark, sf_dir, seen).cache()
+def provider_comparison(spark, sf_dir):
+    sources = _sources(spark, sf_dir).cache()
     first = C.top_candidates(sources, 1).select("token", F.col("word").alias("target"))
-    return A.compare_providers(classify(sources).select("token", "target"), first)
+    return A.compare_providers(C.classify_mutations(sources).select("token", "target"), first)
 
 
 @_query(f"WITH {_WORDS}, {_COUNTS}, {_LEX}, {_RARE}, {_NEAR} SELECT 'both' AS side, count(*) AS n FROM near")
-def candidate_set_difference(spark, sf_dir, seen=1):
-    rare, lex = _rare_and_lexicon(spark, sf_dir, seen)
+def candidate_set_difference(spark, sf_dir):
+    rare, lex = _rare_and_lexicon(spark, sf_dir)
     return A.set_difference(C.one_edit_pairs(rare, lex), C.generated_pairs(rare, lex), ["token", "word"])
 
 
 @_query(f"""{_RIVALS}, f AS (SELECT win.token, CASE WHEN (CASE WHEN wo IN ('ExtraCharacter', 'MissingCharacter') THEN wf >= 0.70e0 WHEN wo = 'AdjacentTransposition' THEN TRUE ELSE wf >= 0.65e0 END)
         AND (win.token NOT IN (SELECT token FROM hit) OR (wo = 'AdjacentTransposition' AND wf >= 0.9995e0)) THEN 'apply' ELSE 'wait' END AS second, CASE WHEN wf >= 0.70e0 THEN 'apply' ELSE 'wait' END AS first FROM win)
     SELECT first, count(*) FILTER (WHERE second = 'apply') AS apply, count(*) FILTER (WHERE second = 'wait') AS wait FROM f GROUP BY 1""")
-def outcome_matrix(spark, sf_dir, seen=1, classify=C.classify_mutations):
-    sources, winners = _winners(spark, sf_dir, seen, classify)
+def outcome_matrix(spark, sf_dir):
+    sources, winners = _winners(spark, sf_dir)
     freq = sources.select("token", F.col("word").alias("target"), "freq").join(winners, ["token", "target"])
     plain = freq.select("token", F.when(F.col("freq") >= 0.70, "apply").otherwise("wait").alias("decision"))
     return A.outcome_matrix(plain, G.guarded_decisions(sources, winners), ["apply", "wait"])
@@ -646,14 +651,14 @@ def rejected_corrections(spark, sf_dir):
     return B.over_table(B.watched(rows), B.RejectionTracker, ttl_ms=_TTL)
 
 
-@_query(f"""WITH {_WORDS}, {_COUNTS}, {_LEX}, t AS (SELECT word AS token, reverse(word) AS read FROM counts WHERE n = 1), s AS (SELECT *, unnest(range(1, length(token) + 1)) AS start FROM t),
-    x AS (SELECT token, start, unnest(list_transform(range(start, least(length(token), start + 19) + 1), lambda e: token[start:e])) AS word FROM s),
-    y AS (SELECT token, start, unnest(list_transform(range(start, least(length(token), start + 19) + 1), lambda e: read[start:e])) AS word FROM s),
+@_query(f"""WITH {_WORDS}, {_COUNTS}, {_LEX}, t AS (SELECT word AS token, reverse(word) AS read FROM counts WHERE n < 5), s AS (SELECT *, unnest(range(1, length(token) + 1)) AS start FROM t),
+    x AS (SELECT token, start, unnest(list_transform(range(start, length(token) + 1), lambda e: token[start:e])) AS word FROM s),
+    y AS (SELECT token, start, unnest(list_transform(range(start, length(token) + 1), lambda e: read[start:e])) AS word FROM s),
     a AS (SELECT 'forward' AS direction, token, word FROM x UNION ALL SELECT 'backward', token, word FROM y)
     SELECT direction, token, count(*) AS hits, count(DISTINCT word) AS words FROM a JOIN lex USING (word) GROUP BY 1, 2""")
-def dictionary_substrings(spark, sf_dir, seen=1):
+def dictionary_substrings(spark, sf_dir):
     counts = S.english_counts(_docs(spark, sf_dir)).cache()
-    rare, lex = counts.filter(F.col("n") <= seen).select(F.col("word").alias("token")), S.ranked_lexicon(counts).cache()
+    rare, lex = counts.filter("n < 5").select(F.col("word").alias("token")), S.ranked_lexicon(counts).cache()
     both = C.dictionary_substrings(rare, lex).withColumn("direction", F.lit("forward")).unionByName(C.dictionary_substrings(rare, lex, backward=True).withColumn("direction", F.lit("backward")))
     return both.groupBy("direction", "token").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("word").alias("words"))
 
@@ -724,27 +729,3 @@ def valid_entries(spark, sf_dir):
     pos = F.col("pos") % 4
     rows = S.token_rows(_docs(spark, sf_dir)).select(F.col("token").alias("word"), F.when(pos == 0, F.lit(None)).otherwise((pos - 1) * F.lit(0.75)).cast("double").alias("freq"))
     return V.valid_entries(rows).groupBy("freq").agg(F.count(F.lit(1)).alias("n"))
-
-
-# whole token sides
-
-#: These take as tokens the words seen once, and so does their SQL. Under their name with _all they take every word that is
-#: too rare for the lexicon (seen fewer than five times).
-SEEN_ONCE = (
-    "one_edit_join mutation_sources edit_classes top_candidates mutation_classes undominated_sources rival_rules guarded_decisions provider_comparison outcome_matrix "
-    "candidate_set_difference two_edit_candidates joint_decisions dictionary_prefixes dictionary_substrings"
-).split()
-QUERIES |= {f"{name}_all": partial(QUERIES[name], seen=4) for name in SEEN_ONCE}
-
-
-# whole bands
-
-
-def undominated_sources_full(spark, sf_dir):
-    return C.unbeaten_sources(_sources(spark, sf_dir, 4))
-
-
-#: With the ending _full these classify by the whole apply band and the full dominance test, over all words outside the lexicon.
-QUERIES |= {f"{name}_full": partial(QUERIES[name], seen=4, classify=C.classify_bands) for name in ("mutation_classes", "rival_rules", "guarded_decisions", "provider_comparison", "outcome_matrix")}
-QUERIES |= {f"{name}_full": partial(QUERIES[name], classify=C.classify_bands) for name in ("decision_summary", "gate_counters", "slip_recovery")}
-QUERIES["undominated_sources_full"] = undominated_sources_full

@@ -18,7 +18,7 @@ def decide(tokens: DataFrame, lexicon: DataFrame, apply_at: float = 0.70, classi
     known = lexicon.select(F.col("word").alias("known"))
     low = tokens.withColumn("low", F.lower("token"))
     marked = low.join(C.sized(known), F.col("low") == F.col("known"), "left").withColumn("protected", T.is_protected(F.col("token")))
-    open_ = marked.filter("not protected and known is null and length(token) between 3 and 14").select(F.col("low").alias("token")).distinct()
+    open_ = marked.filter("not protected and known is null and length(token) >= 3").select(F.col("low").alias("token")).distinct()
     found = classify(C.mutation_sources(C.one_edit_pairs(open_, lexicon), lexicon))
     found = found.join(C.sized(lexicon.select(F.col("word").alias("target"), F.col("freq").alias("f"))), "target", "left")
     out = marked.join(found.withColumnRenamed("token", "low"), "low", "left")

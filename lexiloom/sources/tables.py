@@ -35,11 +35,14 @@ def lexicon(documents: DataFrame, least: int = 5) -> DataFrame:
 def ranked_lexicon(counts: DataFrame, least: int = 5) -> DataFrame:
     """word, n, rank, freq: words of ``counts(word, n)`` seen ``least`` times, ranked by count, frequency from rank.
 
-    The rank is a running count over histogram bins of n, so only rows of one count are ever ordered together."""
-    words = counts.filter(F.col("n") >= least)
+    The rank is a running count over histogram bins of n and the first letters, so only words that share both are ever ordered together."""
+    words = counts.filter(F.col("n") >= least).withColumn("head", F.substring("word", 1, 3))
     bins = words.groupBy("n").agg(F.count(F.lit(1)).alias("k"))
     above = bins.select("n", (F.sum("k").over(Window.orderBy(F.desc("n"))) - F.col("k")).alias("above"), F.sum("k").over(Window.partitionBy()).alias("total"))
-    ranked = words.join(F.broadcast(above), "n").withColumn("rank", F.col("above") + F.row_number().over(Window.partitionBy("n").orderBy("word")))
+    heads = words.groupBy("n", "head").agg(F.count(F.lit(1)).alias("k"))
+    before = heads.select("n", "head", (F.sum("k").over(Window.partitionBy("n").orderBy("head")) - F.col("k")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("n", "head").orderBy("word"))
+    ranked = words.join(F.broadcast(above), "n").join(before, ["n", "head"]).withColumn("rank", F.col("above") + F.col("before") + place)
     return ranked.select("word", "n", F.col("rank").cast("long").alias("rank"), T.rank_frequency(F.col("rank"), F.col("total")).alias("freq"))
 
 

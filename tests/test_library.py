@@ -76,9 +76,9 @@ def test_decisions(spark):
 
 
 def test_joint_decisions(spark):
-    rows = [("a", "spelling", "x", 0.9), ("a", "layout", "y", 0.86), ("b", "layout", "y", 0.9), ("b", "spelling", "x", 0.5), ("c", "spelling", "x", 0.5), ("d", "spelling", "x", 0.4), ("e", "spelling", "x", 0.74), ("e", "layout", "y", 0.44)]
+    rows = [("a", "spelling", "x", 0.9), ("a", "layout", "y", 0.86), ("b", "layout", "y", 0.9), ("b", "spelling", "x", 0.5), ("c", "spelling", "x", 0.5), ("d", "spelling", "x", 0.4), ("e", "spelling", "x", 0.74), ("e", "layout", "y", 0.44), ("f", "layout", "y", 0.3), ("f", "combined", "z", 0.3), ("f", "spelling", "x", 0.3), ("g", "layout", "y", 0.3), ("g", "spelling", "z", 0.3)]
     got = {r.token: (r.word, r.decision) for r in L.joint_decisions(spark.createDataFrame(rows, "token string, kind string, word string, score double")).collect()}
-    assert got == {"a": ("x", "wait"), "b": ("y", "apply"), "c": ("x", "wait"), "d": ("x", "no_change"), "e": ("x", "apply")}
+    assert got == {"a": ("x", "wait"), "b": ("y", "apply"), "c": ("x", "wait"), "d": ("x", "no_change"), "e": ("x", "apply"), "f": ("z", "no_change"), "g": ("z", "no_change")}
 
 
 def test_near_distance(spark):
@@ -226,11 +226,10 @@ def test_all_tokens_outside_the_lexicon(spark, tmp_path):
     run = lambda name: {tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
     words = {w for w, n in seen.items() if n >= 5}
     tokens = seen.keys() - words
-    assert run("one_edit_join_all") == {(t, w) for t in tokens for w in near(t) & words - {t}}
-    assert run("dictionary_prefixes_all") == {(t, w) for t in tokens for w in words if t.startswith(w)}
+    assert run("one_edit_join") == {(t, w) for t in tokens for w in near(t) & words - {t}}
+    assert run("dictionary_prefixes") == {(t, w) for t in tokens for w in words if t.startswith(w)}
     hits = lambda t: sum(t[i:].startswith(w) for i in range(len(t)) for w in words)
-    assert {(t, n) for d, t, n, _ in run("dictionary_substrings_all") if d == "forward"} == {(t, hits(t)) for t in tokens if hits(t)}
-    assert all(f"{name}_all" in catalog.QUERIES for name in catalog.SEEN_ONCE)
+    assert {(t, n) for d, t, n, _ in run("dictionary_substrings") if d == "forward"} == {(t, hits(t)) for t in tokens if hits(t)}
 
 
 def plain_beats(a, b):
@@ -264,8 +263,8 @@ def test_full_bands_and_dominance(spark):
         want[token] = (len(rows), len(band), "Unique" if sure else "Ambiguous", free[0][0] if sure else None)
         alone |= {(token, r[0]) for r in free}
     df = spark.createDataFrame([(t, *r) for t, rows in made.items() for r in rows], "token string, word string, cost double, freq double, operation string")
-    assert {r[0]: tuple(r[1:]) for r in C.classify_bands(df).collect()} == want and want["wide"][3] == "wide"
-    assert {tuple(r) for r in C.unbeaten_sources(df).collect()} == alone
+    assert {r[0]: tuple(r[1:]) for r in C.classify_mutations(df).collect()} == want and want["wide"][3] == "wide"
+    assert {tuple(r) for r in C.skyline(df).collect()} == alone
 
 
 def test_entry(spark):
