@@ -13,6 +13,7 @@ from lexiloom.operators import audits as A
 from lexiloom.operators import candidates as C
 from lexiloom.operators import events as V
 from lexiloom.operators import gates as G
+from lexiloom.operators import lookups as K
 from lexiloom.operators import models as M
 from lexiloom.operators import punctuation as P
 from lexiloom.operators import sessions as N
@@ -729,3 +730,65 @@ def valid_entries(spark, sf_dir):
     pos = F.col("pos") % 4
     rows = S.token_rows(_docs(spark, sf_dir)).select(F.col("token").alias("word"), F.when(pos == 0, F.lit(None)).otherwise((pos - 1) * F.lit(0.75)).cast("double").alias("freq"))
     return V.valid_entries(rows).groupBy("freq").agg(F.count(F.lit(1)).alias("n"))
+
+
+# lookups and guards
+
+_SERVICE = ", ".join("('" + k.replace("'", "''") + f"', '{v}', 'ru')" for k, v in K.SERVICE_WORDS_RU.items()) + ", " + ", ".join(f"('{k}', '{v}', 'en')" for k, v in K.SERVICE_WORDS_EN.items())
+_KEYED = f"k AS (SELECT token FROM t UNION SELECT translate(token, '{_EN}', '{_RU}') FROM t UNION SELECT translate(token, '{_RU}', '{_EN}') FROM t)"
+
+
+def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct tokens, as they are and as the other layout's keys would have given them."""
+    t = F.col("token")
+    return _distinct_tokens(spark, sf_dir).select(F.explode(F.array(t, T.to_russian_layout(t), T.to_english_layout(t))).alias("token")).distinct()
+
+
+@_query(rf"""WITH {_TOKENS}, {_DISTINCT}, {_KEYED}, l AS (SELECT token, regexp_replace(token, '[^\p{{L}}]', '', 'g') AS s FROM k)
+    SELECT token, CASE WHEN regexp_full_match(s, '[A-Za-z]+') THEN 'en' WHEN regexp_full_match(s, '[А-яЁё]+') THEN 'ru' END AS lang FROM l""")
+def token_languages(spark, sf_dir):
+    return _keyed(spark, sf_dir).select("token", K.token_language(F.col("token")).alias("lang"))
+
+
+@_query(rf"""WITH {_TOKENS}, {_DISTINCT}, {_KEYED}, s(low, word, target) AS (VALUES {_SERVICE})
+    SELECT token, CASE WHEN NOT regexp_matches(token, '^\p{{Lu}}') THEN word WHEN target = 'ru' THEN upper(word[1]) || word[2:] ELSE upper(word) END AS word, target FROM k JOIN s ON lower(token) = low
+    WHERE NOT (length(token) > 1 AND regexp_full_match(token, '\p{{Lu}}+'))""")
+def service_words(spark, sf_dir):
+    found = _keyed(spark, sf_dir).select("token", K.service_word(F.col("token")).alias("s")).filter("s is not null")
+    return found.select("token", "s.word", "s.target")
+
+
+@_query(f"""WITH {_WORDS}, {_COUNTS}, {_LEX}, {_RARE}, c AS (SELECT DISTINCT token, token[:i - 1] || token[i + 1:] AS word FROM (SELECT token, unnest(range(1, length(token))) AS i FROM rare) WHERE token[i] = token[i + 1])
+    SELECT token, min(c.word) AS word FROM c JOIN long ON c.word = long.word AND freq >= 0.65e0 GROUP BY 1 HAVING count(*) = 1""")
+def repeated_letter_targets(spark, sf_dir):
+    return K.repeated_letter_targets(*_rare_and_lexicon(spark, sf_dir))
+
+
+@_query(f"""{_BASE}, m AS (SELECT *, min(cost) OVER (PARTITION BY token) AS least FROM src)
+    SELECT token, word FROM m WHERE freq >= 0.65e0 AND NOT EXISTS (SELECT 1 FROM m o WHERE o.token = m.token AND o.word <> m.word AND o.cost <= o.least + 0.01e0 AND o.freq >= m.freq - 0.12e0)
+    AND (NOT EXISTS (SELECT 1 FROM m o WHERE o.token = m.token AND o.word <> m.word AND o.cost <= o.least + 0.08e0 AND NOT m.freq >= o.freq + 0.12e0)
+        OR (m.freq >= 0.995e0 AND NOT EXISTS (SELECT 1 FROM m o WHERE o.token = m.token AND o.word <> m.word AND o.cost <= o.least + 0.08e0 AND NOT o.freq <= m.freq - 0.004e0)))""")
+def clear_substitutions(spark, sf_dir):
+    return K.clear_substitutions(_sources(spark, sf_dir))
+
+
+@_query(f"""WITH {_WORDS}, {_COUNTS}, {_LEX}, s AS (SELECT word, translate(word, '{_EN}', '{_RU}') AS typed, freq, length(word) AS n, {_PLAUSIBLE.format("word")}::DOUBLE AS p FROM lex WHERE length(word) <= 4),
+    v AS (SELECT *, length(regexp_replace(typed, '[^аеёиоуыэюя]', '', 'g')) AS nv, list_max(list_transform(regexp_split_to_array(regexp_replace(typed, '[^аеёиоуыэюябвгджзйклмнпрстфхцчшщъь]', '', 'g'), '[аеёиоуыэюя]'), lambda r: length(r))) AS run FROM s),
+    o AS (SELECT *, CASE WHEN n = 1 THEN CASE WHEN nv = 1 THEN 0.45e0 ELSE 0.25e0 END WHEN nv = 0 THEN 0.12e0 ELSE greatest(0.0e0, least(1.0e0, 0.72e0 + CASE WHEN n >= 3 THEN 0.08e0 ELSE 0 END
+        + CASE WHEN nv / n BETWEEN 0.25e0 AND 0.60e0 THEN 0.05e0 WHEN nv / n < 0.25e0 THEN -0.16e0 ELSE 0 END + CASE WHEN run > 3 THEN -0.22e0 WHEN run = 3 THEN -0.10e0 ELSE 0 END)) END::DOUBLE AS q FROM v)
+    SELECT word, typed, CASE WHEN n = 1 THEN freq >= 0.85e0 AND round(p - q, 9) >= 0.15e0 WHEN n = 2 THEN freq >= 0.90e0 OR (freq >= 0.75e0 AND round(p - q, 9) >= 0.12e0) ELSE freq >= 0.70e0 END AS alone,
+        CASE WHEN n = 1 THEN freq >= 0.85e0 AND round(p - q, 9) >= 0.15e0 WHEN n = 2 THEN freq >= 0.90e0 OR (freq >= 0.75e0 AND round(p - q, 9) >= 0.12e0) ELSE freq >= 0.55e0 END AS in_context FROM o""")
+def short_layout_policy(spark, sf_dir):
+    lex = S.lexicon(_docs(spark, sf_dir)).filter("length(word) <= 4").select("word", "freq", T.to_russian_layout(F.col("word")).alias("typed"))
+    allowed = lambda c: K.allows_short_layout(F.col("typed"), F.col("freq"), F.lit(0.0), F.round(T.english_plausibility(F.col("word")) - T.russian_plausibility(F.col("typed")), 9), F.lit(c))
+    return lex.select("word", "typed", allowed(False).alias("alone"), allowed(True).alias("in_context"))
+
+
+@_query(f"""WITH {_WORDS}, {_COUNTS}, {_LEX}, p AS (SELECT a.word AS word, b.word AS other FROM lex a JOIN lex b ON a.word <> b.word AND abs(length(a.word) - length(b.word)) <= 1
+        AND CASE WHEN length(a.word) = length(b.word) THEN hamming(a.word, b.word) <= 2 ELSE levenshtein(a.word, b.word) = 1 END)
+    SELECT word, count(*) AS n FROM p JOIN (SELECT word AS w FROM lex) ON w = other WHERE levenshtein(word, other) = 1 OR damerau_levenshtein(word, other) = 1 GROUP BY 1""")
+def known_word_guards(spark, sf_dir):
+    lex = S.lexicon(_docs(spark, sf_dir)).select("word", "freq").cache()
+    pairs = C.one_edit_pairs(lex.select(F.col("word").alias("token")), lex)
+    blocked = K.blocks_known_to_known(F.col("token"), F.col("word"), F.lit(True), F.lit(True))
+    return pairs.filter(blocked).groupBy(F.col("token").alias("word")).agg(F.count(F.lit(1)).alias("n"))

@@ -13,6 +13,7 @@ from lexiloom.functions import edits as E
 from lexiloom.functions import plugins as X
 from lexiloom.functions import text as T
 from lexiloom.operators import candidates as C
+from lexiloom.operators import lookups as K
 from lexiloom.operators import punctuation as P
 from lexiloom.operators import sessions as N
 from lexiloom.operators import spelling as L
@@ -267,6 +268,23 @@ def test_full_bands_and_dominance(spark):
     assert {tuple(r) for r in C.skyline(df).collect()} == alone
 
 
+def test_lookups_and_guards(spark):
+    lex = spark.createDataFrame([("the", 1.0), ("hello", 0.9)], "word string, freq double")
+    tokens = spark.createDataFrame([("Teh",), ("adn",), ("helo",), ("x",)], "token string")
+    assert sorted(map(tuple, K.common_slips(tokens, lex).collect())) == [("Teh", "the"), ("helo", "hello")]
+    rows = [("'nj",), ("T;br",), ("VS",), ("vs",), ("Z",), ("руddx",), ("Ру",), ("РУ",), ("hello",), ("",), (None,)]
+    got = spark.createDataFrame(rows, "t string").select(K.service_word(F.col("t")).alias("s")).collect()
+    assert [r.s and tuple(r.s) for r in got] == [("это", "ru"), ("Ежик", "ru"), None, ("мы", "ru"), ("Я", "ru"), None, ("HE", "en"), None, None, None, None]
+    assert one(spark, [("a-b1",), ("привет!",), ("aб",), ("12",), (None,)], "t string", K.token_language(F.col("t"))) == ["en", "ru", None, None, None]
+    pairs = [("form", "from", True), ("form", "farm", True), ("form", "forms", True), ("forms", "form", True), ("form", "frame", False), ("form", "form", False), ("form", "fork", True), ("abcd", "wxyd", False)]
+    d = spark.createDataFrame(pairs, "a string, b string, want boolean")
+    assert all(r.got == r.want for r in d.select("want", K.blocks_known_to_known(F.col("a"), F.col("b"), F.lit(True), F.lit(True)).alias("got")).collect())
+    assert not d.filter(K.blocks_known_to_known(F.col("a"), F.col("b"), F.lit(False), F.lit(True))).count()
+    assert one(spark, [("the",), ("vs",), (" ",), ("привет",)], "t string", K.blocks_layout(F.col("t"), F.lit(True))) == [True, False, True, False]
+    doubled = spark.createDataFrame([("helllo",), ("thee",), ("heello",), ("noon",)], "token string")
+    assert sorted(map(tuple, K.repeated_letter_targets(doubled, lex).collect())) == [("heello", "hello"), ("helllo", "hello"), ("thee", "the")]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
