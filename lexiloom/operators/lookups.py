@@ -108,3 +108,27 @@ def allows_short_layout(token: Column, freq: Column, p_token: Column, p_target:
         .when(n.isin(3, 4), (freq >= 0.70) | ((freq >= 0.55) & in_context))
         .otherwise(False)
     )
+
+
+# fixed values: frequency of a user's own word without one, the discount and bounds of a form by its root, a form without a known root
+USER_FREQ, FORM_DISCOUNT, FORM_LEAST, FORM_MOST = 0.75, 0.82, 0.68, 0.90
+
+
+def dictionary_frequencies(words: DataFrame, users: DataFrame, lexicon: DataFrame, forms: DataFrame) -> DataFrame:
+    """word, lang, freq, origin of the distinct ``words(word, lang)``, by the first dictionary that has the lookup key in that language:
+    ``users(word, lang, freq)`` (0.75 without a frequency), ``lexicon(word, lang, freq)``, ``forms(word, lang, root)``, whose frequency follows
+    from the root's in the lexicon. Unknown and protected words have 0 and no origin. Of rows with one key, the greatest frequency counts."""
+
+    def table(df: DataFrame, value: Column, name: str) -> DataFrame:
+        return C.sized(df.select(T.lookup_key(F.col("word")).alias("key"), "lang", value.alias(name)).groupBy("key", "lang").agg(F.max(name).alias(name)))
+
+    user = table(users, F.coalesce(F.col("freq"), F.lit(USER_FREQ)), "user")
+    lex = table(lexicon, F.col("freq"), "lex")
+    rooted = forms.select("word", "lang", T.lookup_key(F.col("root")).alias("key")).join(lex, ["key", "lang"], "left")
+    by_root = F.greatest(F.lit(FORM_LEAST), F.least(F.lit(FORM_MOST), F.col("lex") * FORM_DISCOUNT))
+    form = table(rooted, F.coalesce(F.when(F.col("lex").isNotNull(), by_root), F.lit(FORM_LEAST)), "form")
+    rows = words.select("word", "lang").distinct().withColumn("key", F.when(~T.is_protected(F.col("word")), T.lookup_key(F.col("word"))))
+    for dictionary in (user, lex, form):
+        rows = rows.join(dictionary, ["key", "lang"], "left")
+    origin = F.when(F.col("user").isNotNull(), "user").when(F.col("lex").isNotNull(), "lexicon").when(F.col("form").isNotNull(), "form")
+    return rows.select("word", "lang", F.coalesce("user", "lex", "form", F.lit(0.0)).alias("freq"), origin.alias("origin"))

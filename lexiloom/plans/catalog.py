@@ -11,6 +11,7 @@ from lexiloom.functions import edits as E
 from lexiloom.functions import text as T
 from lexiloom.operators import audits as A
 from lexiloom.operators import candidates as C
+from lexiloom.operators import early as Y
 from lexiloom.operators import events as V
 from lexiloom.operators import gates as G
 from lexiloom.operators import lookups as K
@@ -792,3 +793,80 @@ def known_word_guards(spark, sf_dir):
     pairs = C.one_edit_pairs(lex.select(F.col("word").alias("token")), lex)
     blocked = K.blocks_known_to_known(F.col("token"), F.col("word"), F.lit(True), F.lit(True))
     return pairs.filter(blocked).groupBy(F.col("token").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# early layout: English words, and French ones as typed on the Russian layout
+
+_MARGINS = [0.5, 1.5, 2.5, 3.5, 4.5, 5.5, 7.0]
+_NAMES = ", ".join(f"'{x.lower()}'" for x in T.TECHNICAL_NAMES)
+_LP = " - ".join(
+    f"""ln((coalesce((SELECT sum(weight) FROM g WHERE lang = '{x}' AND gram = u.gram), 0) + 2 * (coalesce((SELECT sum(weight) FROM g WHERE lang = '{x}' AND gram[2:] = u.gram[2:]), 0)
+        + 2 * (coalesce((SELECT sum(weight) FROM g WHERE lang = '{x}' AND gram[3:] = u.gram[3:]), 0) + 0.1e0) / ((SELECT sum(weight) FROM g WHERE lang = '{x}') + 3.4e0))
+        / (coalesce((SELECT sum(weight) FROM g WHERE lang = '{x}' AND gram[2] = u.gram[2]), 0) + 2)) / (coalesce((SELECT sum(weight) FROM g WHERE lang = '{x}' AND gram[:2] = u.gram[:2]), 0) + 2))"""
+    for x in ("ru", "en")
+)
+_EARLY = f"""WITH {_WORDS}, {_COUNTS}, {_LEX}, {_COUNTS.replace("counts AS", "fcounts AS").replace("'en'", "'fr'")}, {_LEX.replace("lex AS", "flex AS").replace("FROM counts", "FROM fcounts")},
+    named AS (SELECT 'en' AS lang, word AS keys, word, freq * freq AS weight FROM lex UNION ALL SELECT 'ru', word, translate(word, '{_EN}', '{_RU}'), freq * freq FROM flex),
+    parted AS (SELECT *, {_SPLIT} AS part FROM named), tr AS (SELECT * FROM parted WHERE part = 'train'),
+    pre AS (SELECT p, count(*) FILTER (WHERE lang = 'en') AS en, count(*) FILTER (WHERE lang = 'ru') AS ru FROM (SELECT lang, unnest(list_transform(range(1, least(length(keys), 10) + 1), lambda k: keys[:k])) AS p FROM tr) GROUP BY 1),
+    g AS (SELECT lang, gram, sum(weight) AS weight FROM (SELECT lang, weight, unnest(list_transform(range(1, length(keys) + 1), lambda i: ('^^' || keys)[i:i + 2])) AS gram FROM tr) GROUP BY 1, 2),
+    q AS (SELECT lang, word, keys, k, typed, keys[:k] AS p FROM (SELECT *, unnest(range(4, least(length(keys), 10) + 1)) AS k FROM parted WHERE part = 'PART' AND length(keys) >= 4), (VALUES ('en'), ('ru')) v(typed)),
+    o AS (SELECT q.* FROM q JOIN pre ON q.p = pre.p WHERE CASE typed WHEN 'en' THEN pre.en = 0 AND pre.ru >= 1 AND q.p NOT IN ({_NAMES}) ELSE pre.ru = 0 AND pre.en >= 1 END),
+    d AS (SELECT p, unnest(list_transform(range(1, length(p) + 1), lambda i: ('^^' || p)[i:i + 2])) AS gram FROM (SELECT DISTINCT p FROM o)),
+    u AS (SELECT DISTINCT gram FROM d), lp AS (SELECT gram, {_LP} AS gain FROM u), gains AS (SELECT p, avg(gain) AS gain FROM d JOIN lp USING (gram) GROUP BY 1),
+    open AS (SELECT o.*, CASE typed WHEN 'en' THEN gain ELSE -gain END AS margin FROM o JOIN gains USING (p)),
+    each AS (SELECT m.margin, q.lang, q.word, count(*) FILTER (WHERE q.typed = q.lang) AS positions, bool_or(q.typed = q.lang AND coalesce(open.margin >= m.margin, false)) AS wrongly,
+        min(q.k) FILTER (WHERE q.typed <> q.lang AND open.margin >= m.margin) AS k, any_value(length(q.keys)) AS l
+        FROM q LEFT JOIN open ON q.lang = open.lang AND q.word = open.word AND q.k = open.k AND q.typed = open.typed, (VALUES {", ".join(f"({m}e0)" for m in _MARGINS)}) m(margin) GROUP BY 1, 2, 3)"""
+
+
+def _early(spark: SparkSession, sf_dir: str) -> tuple[Y.EarlyModel, DataFrame]:
+    """The model of the training words, and all words with their part."""
+    docs = _docs(spark, sf_dir)
+    english = S.lexicon(docs).select(F.lit("en").alias("lang"), "word", "freq")
+    french = S.ranked_lexicon(S.ascii_counts(docs, "fr")).select(F.lit("ru").alias("lang"), T.to_russian_layout(F.col("word")).alias("word"), "freq")
+    words = english.unionByName(french).withColumn("part", T.hash_split(F.col("word"))).cache()
+    return Y.train(words.filter("part = 'train'").withColumn("weight", F.col("freq") * F.col("freq"))), words
+
+
+@_query(_EARLY.replace("PART", "test") + """ SELECT margin::DOUBLE AS margin, lang, count(*) AS eligible, sum(positions)::BIGINT AS positions, count(*) FILTER (WHERE wrongly) AS false_switches,
+    count(k) AS recovered, count(*) FILTER (WHERE k IS NULL) AS missed, count(*) FILTER (WHERE k < l) AS before_end FROM each GROUP BY 1, 2""")
+def early_layout_audit(spark, sf_dir):
+    model, words = _early(spark, sf_dir)
+    return Y.switch_audit(words.filter("part = 'test'"), model, _MARGINS)
+
+
+@_query(_EARLY.replace("PART", "valid") + """, f AS (SELECT margin, count(*) FILTER (WHERE wrongly) AS n FROM each GROUP BY 1)
+    SELECT coalesce(min(margin) FILTER (WHERE n = 0), max(margin))::DOUBLE AS margin, min(margin) FILTER (WHERE n = 0) IS NOT NULL AS safe FROM f""")
+def early_layout_threshold(spark, sf_dir):
+    model, words = _early(spark, sf_dir)
+    return Y.safe_margin(Y.switch_audit(words.filter("part = 'valid'"), model, _MARGINS))
+
+
+@_query(_EARLY.replace("PART", "test") + f""", f AS (SELECT lang, word, keys, min(k) AS length FROM open WHERE typed <> lang AND margin >= 1.25e0 GROUP BY ALL)
+    SELECT CASE lang WHEN 'en' THEN 'ru' ELSE 'en' END AS lang, CASE lang WHEN 'en' THEN translate(word, '{_EN}', '{_RU}') ELSE keys END AS word, length, word[:length] AS switched FROM f""")
+def early_layout_switches(spark, sf_dir):
+    model, words = _early(spark, sf_dir)
+    test, flipped = words.filter("part = 'test'"), F.when(F.col("lang") == "en", "ru").otherwise("en")
+    typed = test.select(flipped.alias("lang"), Y.other_layout(F.col("word"), F.col("lang")).alias("word"))
+    return Y.session_switches(typed, model).withColumn("length", F.col("length").cast("long"))
+
+
+@_query(rf"""WITH {_WORDS}, {_COUNTS}, {_LEX}, {_TOKENS}, {_DISTINCT}, low AS (SELECT token, lower(trim(token)) AS key FROM t),
+    u AS (SELECT 'user' || user_id AS word, CASE WHEN user_id % 3 > 0 THEN (user_id % 3) * 0.25e0 END AS freq FROM (SELECT DISTINCT user_id FROM events) UNION ALL SELECT word, 0.5e0 FROM lex WHERE rank % 10 = 0),
+    forms AS (SELECT word || 's' AS word, word AS root FROM counts WHERE n < 50),
+    uu AS (SELECT lower(trim(word)) AS key, max(coalesce(freq, 0.75e0)) AS f FROM u GROUP BY 1),
+    ff AS (SELECT forms.word AS key, max(CASE WHEN lex.freq IS NULL THEN 0.68e0 ELSE greatest(0.68e0, least(0.90e0, lex.freq * 0.82e0)) END) AS f FROM forms LEFT JOIN lex ON root = lex.word GROUP BY 1),
+    safe AS (SELECT token, CASE WHEN regexp_full_match(token, '[A-Za-z]+') AND NOT regexp_matches(token, '\p{{Ll}}.*\p{{Lu}}') AND lower(token) NOT IN ({_NAMES}) THEN key END AS key FROM low WHERE regexp_full_match(token, '[A-Za-z]+'))
+    SELECT CASE WHEN uu.f IS NOT NULL THEN 'user' WHEN lex.freq IS NOT NULL THEN 'lexicon' WHEN ff.f IS NOT NULL THEN 'form' END AS origin, count(*) AS n, round(sum(coalesce(uu.f, lex.freq, ff.f, 0)), 6) AS total
+    FROM safe LEFT JOIN uu ON safe.key = uu.key LEFT JOIN lex ON safe.key = lex.word LEFT JOIN ff ON safe.key = ff.key GROUP BY 1""")
+def dictionary_chain(spark, sf_dir):
+    docs, en, none = _docs(spark, sf_dir), F.lit("en").alias("lang"), F.lit(None).cast("double")
+    counts = S.english_counts(docs)
+    lex = S.ranked_lexicon(counts).select("word", en, "freq", "rank")
+    u = F.col("user_id")
+    users = S.read(spark, sf_dir, "events").select(u).distinct().select(F.concat(F.lit("user"), u.cast("string")).alias("word"), en, F.when(u % 3 > 0, (u % 3) * 0.25).otherwise(none).alias("freq"))
+    users = users.unionByName(lex.filter("rank % 10 = 0").select("word", "lang", F.lit(0.5).alias("freq")))
+    forms = counts.filter("n < 50").select(F.concat("word", F.lit("s")).alias("word"), en, F.col("word").alias("root"))
+    words = _distinct_tokens(spark, sf_dir).filter(F.col("token").rlike("^[A-Za-z]+$")).select(F.col("token").alias("word"), en)
+    return K.dictionary_frequencies(words, users, lex, forms).groupBy("origin").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("freq"), 6).alias("total"))

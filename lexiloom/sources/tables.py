@@ -23,9 +23,13 @@ def token_rows(documents: DataFrame) -> DataFrame:
 
 
 def english_counts(documents: DataFrame) -> DataFrame:
-    """word, n over English texts: lower-case ASCII words."""
+    return ascii_counts(documents, "en")
+
+
+def ascii_counts(documents: DataFrame, lang: str) -> DataFrame:
+    """word, n over the texts of a language: lower-case ASCII words."""
     lower = F.lower("word")
-    return word_rows(documents.filter("lang = 'en'")).select(lower.alias("word")).filter(F.col("word").rlike("^[a-z]+$")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return word_rows(documents.filter(F.col("lang") == lang)).select(lower.alias("word")).filter(F.col("word").rlike("^[a-z]+$")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def lexicon(documents: DataFrame, least: int = 5) -> DataFrame:
