@@ -73,6 +73,44 @@ def repeat_cleanups(w: Column) -> Column:
     return F.transform(double, lambda i: _cut(w, i, 1))
 
 
+# fixed values: vowels of the insertion family, confused Russian vowels (each way), longest token with general substitutions
+INSERTED_VOWELS = "aeiouy"
+CONFUSED = (("е", "и"), ("а", "я"), ("о", "а"), ("ы", "и"), ("у", "ю"), ("е", "ё"))
+SUBSTITUTED_LENGTH = 8
+
+
+def repeated_insertions(w: Column) -> Column:
+    """w with one of its letters doubled."""
+    return F.array_distinct(F.transform(_places(w), lambda i: _cut(w, i, 0, w.substr(i + 1, F.lit(1)))))
+
+
+def neighbour_insertions(w: Column) -> Column:
+    """w with a key beside the one before or after it put in."""
+    table = F.create_map(*[x for k, v in key_neighbours().items() for x in (F.lit(k), F.array(*[F.lit(c) for c in v]))])
+    near = lambda i: F.coalesce(F.try_element_at(table, w.substr(i, F.lit(1))), F.array().cast("array<string>"))
+    beside = lambda i: F.concat(F.when(i > 0, near(i)).otherwise(F.array().cast("array<string>")), near(i + 1))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.length(w)), lambda i: F.transform(beside(i), lambda c: _cut(w, i, 0, c)))))
+
+
+def vowel_insertions(w: Column) -> Column:
+    """w with a vowel put in between two letters that are none."""
+    gaps = F.filter(_places(w, 1), lambda i: ~w.substr(i + 1, F.lit(2)).rlike(f"(?i)[{INSERTED_VOWELS}]"))
+    return F.array_distinct(F.flatten(F.transform(gaps, lambda i: F.transform(F.array(*[F.lit(v) for v in INSERTED_VOWELS]), lambda v: _cut(w, i + 1, 0, v)))))
+
+
+def vowel_confusions(w: Column) -> Column:
+    """w with one Russian vowel taken for another that it is confused with."""
+    both = [(a, b) for x in CONFUSED for a, b in (x, x[::-1])]
+    table = F.create_map(*[x for a in sorted({a for a, _ in both}) for x in (F.lit(a), F.array(*[F.lit(b) for k, b in both if k == a]))])
+    taken = lambda i: F.coalesce(F.try_element_at(table, w.substr(i + 1, F.lit(1))), F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.transform(_places(w), lambda i: F.transform(taken(i), lambda c: _cut(w, i, 1, c)))))
+
+
+def short_substitutions(w: Column) -> Column:
+    """Every substitution of a letter in words of eight letters at most, none in longer ones."""
+    return F.when(F.length(w) <= SUBSTITUTED_LENGTH, substitutions(w)).otherwise(F.array().cast("array<string>"))
+
+
 def one_edit_neighbours(w: Column) -> Column:
     """All distinct strings one substitution, deletion, insertion or swap away."""
     return F.array_distinct(F.concat(substitutions(w), deletions(w), insertions(w), transpositions(w)))

@@ -130,3 +130,16 @@ def guarded_decisions(sources: DataFrame, winners: DataFrame) -> DataFrame:
     free = (F.col("w.operation") == SWAP) & (F.col("w.freq") >= 0.9995)
     fine = passes_precision(F.col("w")) & (F.col("rules").isNull() | free)
     return w.join(rivals, "token", "left").select("token", "target", F.when(fine, "apply").otherwise("wait").alias("decision"))
+
+
+# fixed values: confidence and margin of an outside scorer, frequency of its spelling targets
+SCORER_CONFIDENCE, SCORER_MARGIN, SCORER_FREQ = 0.98, 0.20, 0.70
+
+
+def promotes_scorer(token: Column, word: Column, core: Column, kind: Column, confidence: Column, margin: Column, freq: Column, layout_on: Column, spelling_on: Column) -> Column:
+    """Whether an outside scorer's word replaces the token: only where the own decision is to wait, for another single word, with a sure
+    confidence and margin, a kind that is switched on, and for a spelling, a frequent word. Unknown values never promote."""
+    one = word.rlike(r"^\S+$") & (F.lower(word) != F.lower(token))
+    sure = (confidence >= SCORER_CONFIDENCE) & (margin >= SCORER_MARGIN) & ~F.isnan(confidence) & ~F.isnan(margin) & (confidence < float("inf")) & (margin < float("inf"))
+    allowed = F.when(kind == "layout", layout_on).when(kind == "spelling", spelling_on & (freq >= SCORER_FREQ)).otherwise(False)
+    return F.coalesce((core == "wait") & one & sure & allowed, F.lit(False))

@@ -25,6 +25,12 @@ SERVICE_WORDS_RU = {
 SERVICE_WORDS_EN = {
     "ф": "a", "ш": "i", "ру": "he", "ьу": "me", "ьн": "my", "црщ": "who", "шеы": "its", "ше": "it", "дуфл": "leak", "сфк": "car", "рше": "hit", "рще": "hot", "рщу": "hoe", "рун": "hey",
 }
+# fixed values: tokens that are surely typed on the other layout, one of them with a repeated key, and technical words
+LAYOUT_ANCHORS = (
+    "ghbdtn", "руддщ", "ррудщ", "dct", "jrtq", "nen", "vbyzq", "vtyzq", "gtie", "gbie", "мущ", "пзг", "dhjlt", "lfq", "rjvfyle", "pfgecrf", "ybxtuj", "рш", "цфше", "цщкл", "вуфк",
+)
+ANCHOR_ALIASES = {"ррудщ": "hello"}
+TECHNICAL_WORDS = ("api", "cli", "ui", "ux", "fast", "http", "https", "json", "xml", "sql", "bash", "shell", "docker", "github", "gpu", "ram", "ssd", "cpu")
 #: Confidence of a service word.
 SERVICE_CONFIDENCE = 0.91
 _REPEATED = 0.65
@@ -59,6 +65,19 @@ def service_word(token: Column) -> Column:
     return F.when(word.isNotNull(), F.struct(word.alias("word"), F.when(ru.isNotNull(), "ru").otherwise("en").alias("target")))
 
 
+def is_layout_anchor(token: Column) -> Column:
+    return F.coalesce(F.lower(token).isin(*LAYOUT_ANCHORS), F.lit(False))
+
+
+def anchor_alias(token: Column) -> Column:
+    """The word of an anchor with a repeated key; null for any other token."""
+    return F.try_element_at(_map(ANCHOR_ALIASES), F.lower(token))
+
+
+def is_technical_word(token: Column) -> Column:
+    return F.coalesce(F.lower(token).isin(*TECHNICAL_WORDS), F.lit(False))
+
+
 def blocks_layout(token: Column, known: Column) -> Column:
     """Whether a Latin token stays as it is because it is blank or a known English word that is no service word of the other layout."""
     blank = F.coalesce(F.trim(token) == "", F.lit(True))

@@ -46,7 +46,7 @@ def prefix_counts(lexicon: DataFrame, longest: int = 10) -> DataFrame:
     return lexicon.select(F.explode(F.transform(sizes, lambda k: F.col("word").substr(F.lit(1), k))).alias("prefix")).groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
 
 
-def character_trigrams(lexicon: DataFrame, letters: int = 33, alpha: float = 0.1, beta: float = 2.0) -> DataFrame:
+def character_trigrams(lexicon: DataFrame, letters: int = 34, alpha: float = 0.1, beta: float = 2.0) -> DataFrame:
     """a, b, c, logp of the trigrams seen in ``lexicon(word, weight)``: trigram over bigram over unigram, each with its prior mass."""
     padded = F.concat(F.lit(START * 2), F.col("word"))
     rows = lexicon.select("weight", F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: padded.substr(i, F.lit(3)))).alias("t"))

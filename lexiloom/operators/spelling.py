@@ -51,3 +51,40 @@ def joint_decisions(options: DataFrame, apply_at: float = 0.70, wait_at: float =
     rivalled = (F.col("second") >= wait_at) & (F.round(F.col("score") - F.col("second"), 9) <= gap)
     decision = F.when(rivalled, "wait").when(F.col("score") >= apply_at, "apply").when(F.col("score") >= wait_at, "wait").otherwise("no_change")
     return ranked.select("token", "kind", "word", decision.alias("decision"))
+
+
+# fixed values: score added for an entry of the user, for a known Russian form
+USER_BOOST, FORM_BOOST = 0.14, 0.06
+
+
+def candidate_score(token: Column, word: Column, cost: Column, freq: Column, p_token: Column, p_word: Column, adjacent: Column, trusted: Column, blocked: Column, boost: Column) -> Column:
+    """Score from 0 to 0.95 of a known word for a token, by edit cost, plausibility of both, and frequency.
+
+    adjacent says whether a neighbouring key was used, trusted whether the token is a trusted word, blocked whether one known word may not
+    become another; boost is what the dictionary of the word adds. One letter less, unless it was doubled, needs a frequency of 0.93 and five letters."""
+    n, m = F.length(token), F.length(word)
+    gain = F.round(p_word - p_token, 9)
+    shorter = F.when(n > m, F.array_contains(E.deletions(token), word)).otherwise(F.array_contains(E.deletions(word), token))
+    single = F.when(n == m, E.hamming(token, word).between(1, 2)).when(F.abs(n - m) == 1, shorter).otherwise(False)
+    gain = F.when(gain > 0.01, gain).when(~trusted & (cost <= 1.0) & single, 0.10)
+    edit = F.greatest(F.lit(0.20), 1 - cost * 0.50)
+    edit = F.when(adjacent, F.least(F.lit(1.0), edit + 0.06)).otherwise(edit)
+    often = F.when(freq > 0, F.least(F.lit(0.22), freq * 0.22)).otherwise(0.03)
+    cheap = cost <= 0.76
+    plus = lambda value, case: F.when(case, value).otherwise(0.0)
+    score = 0.22 * edit + 0.26 * p_word + 0.26 * F.least(F.lit(0.55), gain) + often
+    score = score + plus(0.14, ~trusted) + plus(0.05, gain >= 0.18) + plus(0.06, cheap & (n == m) & single) + plus(0.04, cheap & (freq >= 0.90))
+    score = score + plus(0.07, cheap & E.is_transposition(token, word)) + plus(0.10, F.array_contains(E.repeat_cleanups(word), token))
+    undoubled, removed = F.array_contains(E.repeat_cleanups(token), word), m == n - 1
+    score = F.when(undoubled, score + 0.22 + plus(0.06, freq >= 0.70)).when(removed, score * 0.78).otherwise(score)
+    lost = blocked | gain.isNull() | (removed & ~undoubled & ((freq < 0.93) | (n <= 4)))
+    length = F.when(n <= 1, 0.0).when(n == 2, 0.60).when(n == 3, 0.88).otherwise(1.0)
+    return F.when(lost, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(0.95), (score + boost) * length)))
+
+
+def best_candidates(scored: DataFrame) -> DataFrame:
+    """token, word, score, n of ``scored(token, word, score, tier, freq, cost)``: the best candidate of a score above 0, ties by the higher tier, the higher
+    frequency, the lower cost, the smaller word; n counts those above 0."""
+    best = F.min(F.struct((-F.round("score", 9)).alias("s"), (-F.col("tier")).alias("t"), (-F.col("freq")).alias("f"), F.col("cost").alias("c"), F.col("word").alias("w")))
+    found = scored.filter("score > 0").groupBy("token").agg(best.alias("b"), F.count(F.lit(1)).alias("n"))
+    return found.select("token", F.col("b.w").alias("word"), (-F.col("b.s")).alias("score"), "n")

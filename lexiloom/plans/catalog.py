@@ -334,7 +334,7 @@ def prefix_counts(spark, sf_dir):
 @_query(f"""WITH {_WORDS}, {_COUNTS}, {_LEX}, r AS (SELECT freq, unnest(list_transform(range(1, length(word) + 1), lambda i: ('^^' || word)[i:i + 2])) AS t FROM lex),
     g AS (SELECT t[1] AS a, t[2] AS b, t[3] AS c, sum(freq * freq) AS n FROM r GROUP BY ALL),
     s AS (SELECT *, sum(n) OVER (PARTITION BY b, c) AS nb, sum(n) OVER (PARTITION BY b) AS tb, sum(n) OVER (PARTITION BY c) AS nc, sum(n) OVER () AS tt, sum(n) OVER (PARTITION BY a, b) AS ta FROM g)
-    SELECT a, b, c, round(ln((n + 2 * ((nb + 2 * ((nc + 0.1) / (tt + 3.3))) / (tb + 2))) / (ta + 2)), 6) AS logp FROM s""")
+    SELECT a, b, c, round(ln((n + 2 * ((nb + 2 * ((nc + 0.1) / (tt + 3.4))) / (tb + 2))) / (ta + 2)), 6) AS logp FROM s""")
 def character_trigrams(spark, sf_dir):
     lex = S.lexicon(_docs(spark, sf_dir)).select("word", (F.col("freq") * F.col("freq")).alias("weight"))
     return M.character_trigrams(lex).withColumn("logp", F.round("logp", 6))
@@ -492,7 +492,7 @@ def joint_decisions(spark, sf_dir):
     r AS (SELECT freq, unnest(list_transform(range(1, length(word) + 1), lambda i: ('^^' || word)[i:i + 2])) AS t FROM z WHERE b < 8),
     g AS (SELECT t[1] AS a, t[2] AS b, t[3] AS c, sum(freq * freq) AS n FROM r GROUP BY ALL),
     s AS (SELECT *, sum(n) OVER (PARTITION BY b, c) AS nb, sum(n) OVER (PARTITION BY b) AS tb, sum(n) OVER (PARTITION BY c) AS nc, sum(n) OVER () AS tt, sum(n) OVER (PARTITION BY a, b) AS ta FROM g),
-    p AS (SELECT a || b || c AS t, ln((n + 2 * ((nb + 2 * ((nc + 0.1) / (tt + 3.3))) / (tb + 2))) / (ta + 2)) AS logp FROM s),
+    p AS (SELECT a || b || c AS t, ln((n + 2 * ((nb + 2 * ((nc + 0.1) / (tt + 3.4))) / (tb + 2))) / (ta + 2)) AS logp FROM s),
     x AS (SELECT word, unnest(list_transform(range(1, length(word) + 1), lambda i: ('^^' || word)[i:i + 2])) AS t FROM z WHERE b = 9)
     SELECT word, round(avg(coalesce(logp, -8.0)), 6) AS mean_logp, count(*) AS n FROM x LEFT JOIN p USING (t) GROUP BY word""")
 def word_likelihoods(spark, sf_dir):
@@ -870,3 +870,59 @@ def dictionary_chain(spark, sf_dir):
     forms = counts.filter("n < 50").select(F.concat("word", F.lit("s")).alias("word"), en, F.col("word").alias("root"))
     words = _distinct_tokens(spark, sf_dir).filter(F.col("token").rlike("^[A-Za-z]+$")).select(F.col("token").alias("word"), en)
     return K.dictionary_frequencies(words, users, lex, forms).groupBy("origin").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("freq"), 6).alias("total"))
+
+
+# families of generated words, scores of candidates, anchors, outside scorers
+
+_CONFUSED = ", ".join(f"('{a}', '{b}'), ('{b}', '{a}')" for a, b in E.CONFUSED)
+_BESIDE = ", ".join(f"('{k}', '{c}')" for k, v in E.key_neighbours().items() for c in v)
+
+
+@_query(f"""WITH {_WORDS}, {_COUNTS}, {_LEX}, nb(key, c) AS (VALUES {_BESIDE}), cf(was, now) AS (VALUES {_CONFUSED}), vw(v) AS (VALUES ('a'), ('e'), ('i'), ('o'), ('u'), ('y')),
+    t AS (SELECT word, length(word) AS n, translate(word, '{_EN}', '{_RU}') AS typed FROM lex), i0 AS (SELECT *, unnest(range(0, n + 1)) AS i FROM t),
+    made AS (SELECT word, 'repeated' AS family, word[:i] || word[i:] AS made FROM i0 WHERE i >= 1
+        UNION SELECT word, 'neighbour', left(word, i) || c || word[i + 1:] FROM i0 JOIN nb ON (i >= 1 AND key = word[i]) OR key = word[i + 1]
+        UNION SELECT word, 'vowel', word[:i] || v || word[i + 1:] FROM i0, vw WHERE i BETWEEN 1 AND n - 1 AND strpos('aeiouy', word[i]) = 0 AND strpos('aeiouy', word[i + 1]) = 0
+        UNION SELECT word, 'confusion', left(typed, i - 1) || now || typed[i + 1:] FROM i0 JOIN cf ON i >= 1 AND was = typed[i])
+    SELECT word, family, count(*) AS n, min(made) AS least, max(made) AS most FROM made GROUP BY 1, 2""")
+def generator_families(spark, sf_dir):
+    w = F.col("word")
+    made = {"repeated": E.repeated_insertions(w), "neighbour": E.neighbour_insertions(w), "vowel": E.vowel_insertions(w), "confusion": E.vowel_confusions(T.to_russian_layout(w))}
+    rows = S.lexicon(_docs(spark, sf_dir)).select("word", F.explode(F.array(*[F.struct(F.lit(k).alias("family"), v.alias("made")) for k, v in made.items()])).alias("f"))
+    return rows.filter(F.size("f.made") > 0).select("word", "f.family", F.size("f.made").cast("long").alias("n"), F.array_min("f.made").alias("least"), F.array_max("f.made").alias("most"))
+
+
+@_query(f"""{_BASE}, p AS (SELECT *, length(token) AS nt, length(word) AS nw, {_PLAUSIBLE.format("token")}::DOUBLE AS po, {_PLAUSIBLE.format("word")}::DOUBLE AS pc FROM src),
+    i AS (SELECT *, CASE WHEN round(pc - po, 9) > 0.01e0 THEN round(pc - po, 9) ELSE 0.10e0 END AS gain,
+        len(list_filter(range(1, nw), lambda k: word[k] = word[k + 1] AND left(word, k - 1) || word[k + 1:] = token)) > 0 AS doubled FROM p),
+    b AS (SELECT *, 0.22e0 * CASE WHEN operation = 'AdjacentKeySubstitution' THEN least(1.0e0, greatest(0.2e0, 1 - cost * 0.5e0) + 0.06e0) ELSE greatest(0.2e0, 1 - cost * 0.5e0) END + 0.26e0 * pc + 0.26e0 * least(0.55e0, gain)
+        + least(0.22e0, freq * 0.22e0) + 0.14e0 + CASE WHEN gain >= 0.18e0 THEN 0.05e0 ELSE 0 END + CASE WHEN cost <= 0.76e0 AND nt = nw THEN 0.06e0 ELSE 0 END + CASE WHEN cost <= 0.76e0 AND freq >= 0.9e0 THEN 0.04e0 ELSE 0 END
+        + CASE WHEN operation = 'AdjacentTransposition' THEN 0.07e0 ELSE 0 END + CASE WHEN doubled THEN 0.10e0 ELSE 0 END AS s FROM i),
+    r AS (SELECT *, CASE WHEN operation = 'RepeatedAccidentalCharacter' THEN s + 0.22e0 + CASE WHEN freq >= 0.7e0 THEN 0.06e0 ELSE 0 END WHEN nw = nt - 1 THEN CASE WHEN freq < 0.93e0 OR nt <= 4 THEN 0 ELSE s * 0.78e0 END ELSE s END AS x FROM b),
+    z AS (SELECT token, word, freq, cost, round(greatest(0.0e0, least(0.95e0, x * CASE WHEN nt = 3 THEN 0.88e0 ELSE 1.0e0 END)), 9)::DOUBLE AS score FROM r)
+    SELECT token, word, score, count(*) OVER (PARTITION BY token) AS n FROM z WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY token ORDER BY score DESC, freq DESC, cost, word) = 1""")
+def candidate_scores(spark, sf_dir):
+    token, word, no = F.col("token"), F.col("word"), F.lit(False)
+    score = L.candidate_score(token, word, F.col("cost"), F.col("freq"), T.english_plausibility(token), T.english_plausibility(word), F.col("operation") == G.ADJACENT, no, no, F.lit(0.0))
+    scored = _sources(spark, sf_dir).select("token", "word", "cost", "freq", F.lit(2).alias("tier"), score.alias("score"))
+    return L.best_candidates(scored)
+
+
+_ANCHORS, _TECHNICAL = (", ".join(f"'{x}'" for x in v) for v in (K.LAYOUT_ANCHORS, K.TECHNICAL_WORDS))
+
+
+@_query(rf"""WITH {_TOKENS}, {_DISTINCT}, {_KEYED} SELECT lower(token) IN ({_ANCHORS}) AS anchor, lower(token) IN ({_TECHNICAL}) AS technical, CASE lower(token) WHEN 'ррудщ' THEN 'hello' END AS alias, count(*) AS n FROM k GROUP BY 1, 2, 3""")
+def layout_anchors(spark, sf_dir):
+    t = F.col("token")
+    return _keyed(spark, sf_dir).groupBy(K.is_layout_anchor(t).alias("anchor"), K.is_technical_word(t).alias("technical"), K.anchor_alias(t).alias("alias")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("""SELECT event_id AS id FROM events WHERE event_id % 3 = 1 AND event_id % 7 > 0 AND 0.96e0 + (event_id % 5) * 0.01e0 >= 0.98e0 AND (event_id % 4) * 0.1e0 >= 0.2e0
+    AND (event_id % 2 = 0 OR (event_id % 10) / 10.0e0 >= 0.7e0)""")
+def scorer_promotions(spark, sf_dir):
+    e = F.col("event_id")
+    core = F.when(e % 3 == 0, "apply").when(e % 3 == 1, "wait").otherwise("no_change")
+    word = F.when(e % 7 == 0, F.upper("event_type")).otherwise(F.concat("event_type", F.lit("x")))
+    kind = F.when(e % 2 == 0, "layout").otherwise("spelling")
+    promoted = G.promotes_scorer(F.col("event_type"), word, core, kind, 0.96 + (e % 5) * F.lit(0.01), (e % 4) * F.lit(0.1), (e % 10) / F.lit(10.0), F.lit(True), F.lit(True))
+    return S.read(spark, sf_dir, "events").filter(promoted).select(e.alias("id"))

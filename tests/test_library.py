@@ -1,6 +1,7 @@
 """The token library against golden rows, its SQL, and its streaming twin."""
 
 import glob
+import math
 import os
 import random
 
@@ -13,6 +14,8 @@ from lexiloom.functions import edits as E
 from lexiloom.functions import plugins as X
 from lexiloom.functions import text as T
 from lexiloom.operators import candidates as C
+from lexiloom.operators import early as Y
+from lexiloom.operators import gates as G
 from lexiloom.operators import lookups as K
 from lexiloom.operators import punctuation as P
 from lexiloom.operators import sessions as N
@@ -288,3 +291,85 @@ def test_lookups_and_guards(spark):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_early_layout(spark):
+    words = [("en", "hello", 1.0), ("en", "HELLO", 0.5), ("en", "world", 0.5), ("en", "word", 0.2), ("en", "naïve", 1.0), ("en", None, 1.0), ("en", "zero", 0.0),
+             ("ru", "привет", 1.0), ("ru", "приятно", 0.4), ("ru", "ёж", 0.4), ("de", "wort", 1.0), (None, "wort", 1.0)]
+    table = spark.createDataFrame(words, "lang string, word string, weight double")
+    model = Y.train(table)
+    counts = {r["keys"]: (r["en"], r["ru"]) for r in model.prefixes.collect()}
+    assert counts["wor"] == (2, 0) and counts["ghb"] == (0, 2) and counts["`"] == (0, 1) and "wort" not in counts and "z" not in counts and counts["hello"] == (1, 0)
+    triples = {r["gram"]: (r["en"], r["ru"]) for r in model.triples.collect()}
+    assert len(triples) == 34 * 34 * 33
+    for lang in (0, 1):  # the triples of one context share all probability but what the start sign would get
+        mass = sum(math.exp(triples["^^" + c][lang]) for c in Y.EN_ROW)
+        assert 0.9 < mass <= 1 + 1e-9
+    # plain smoothing of one triple: weights 1 (h), 0.5 + 0.2 (w) after the start
+    total = 1.0 * 5 + 0.5 * 5 + 0.2 * 4
+    one = (1.0 + 0.1) / (total + 3.4)
+    two = (1.0 + 2 * one) / (1.7 + 2)
+    assert triples["^^h"][0] == pytest.approx(math.log((1.0 + 2 * two) / (1.7 + 2)))
+    asked = [("ghbd", "en"), ("hell", "en"), ("руддщ", "ru"), ("ghb", "en"), ("GHBDTN", "en"), ("ghbd", "de"), ("привет", "en"), ("qqqq", "en"), ("code", "en"), (None, "en"), ("", "en"), ("ghbd", None)]
+    found = Y.verdicts(spark.createDataFrame(asked + asked[:1], "token string, lang string"), model, margin=0.1)
+    got = {(r["token"], r["lang"]): r["verdict"] for r in found.collect()}
+    assert found.count() == len(asked)
+    assert got[("ghbd", "en")] == "Candidate" and got[("hell", "en")] == "Wait" and got[("руддщ", "ru")] == "Candidate" and got[("ghb", "en")] == "Wait"
+    assert got[("GHBDTN", "en")] == got[("code", "en")] == got[(None, "en")] == got[("", "en")] == "Protected"
+    assert got[("ghbd", "de")] == got[("привет", "en")] == got[("ghbd", None)] == "Invalid" and got[("qqqq", "en")] == "Wait"
+    typed = spark.createDataFrame([("en", "ghbdtn"), ("en", "hello"), ("en", "ghb"), ("ru", "цщкдв")], "lang string, word string")
+    first = {r["word"]: (r["length"], r["switched"]) for r in Y.session_switches(typed, model, margin=0.1).collect()}
+    assert first == {"ghbdtn": (4, "прив"), "цщкдв": (4, "worl")}
+    audit = Y.switch_audit(table.filter("lang in ('en', 'ru') and weight > 0 and word rlike '^[a-zа-яё]+$'"), model, [0.1, 50.0])
+    rows = {(r["lang"], r["margin"]): r for r in audit.collect()}
+    assert rows[("en", 0.1)]["eligible"] == 3 and rows[("en", 0.1)]["recovered"] == 3 and rows[("en", 50.0)]["missed"] == 3 and rows[("ru", 0.1)]["false_switches"] == 0
+    assert Y.safe_margin(audit).first()["margin"] == 0.1
+    none = Y.train(table.filter("false"))
+    assert Y.verdicts(table.filter("false").select(F.col("word").alias("token"), "lang"), none).count() == 0
+    assert Y.verdicts(typed.select(F.col("word").alias("token"), "lang"), none).filter("verdict = 'Candidate'").count() == 0
+
+
+def test_dictionary_chain(spark):
+    words = spark.createDataFrame([(w, "en") for w in ("Mine", "own", "runs", "walks", "odd", "x1", None)] + [("own", "ru")], "word string, lang string")
+    users = spark.createDataFrame([(" mine", "en", None), ("own", "en", 0.3)], "word string, lang string, freq double")
+    lex = spark.createDataFrame([("own", "en", 0.9), ("run", "en", 0.99), ("x1", "en", 1.0)], "word string, lang string, freq double")
+    forms = spark.createDataFrame([("runs", "en", "run"), ("runs", "en", "ru"), ("walks", "en", "walk"), ("own", "en", "run")], "word string, lang string, root string")
+    got = {(r["word"], r["lang"]): (round(r["freq"], 4), r["origin"]) for r in K.dictionary_frequencies(words, users, lex, forms).collect()}
+    assert got == {("Mine", "en"): (0.75, "user"), ("own", "en"): (0.3, "user"), ("runs", "en"): (0.8118, "form"), ("walks", "en"): (0.68, "form"),
+                   ("odd", "en"): (0.0, None), ("x1", "en"): (0.0, None), (None, "en"): (0.0, None), ("own", "ru"): (0.0, None)}
+
+
+def test_generated_families(spark):
+    made = lambda f, w: set(one(spark, [(w,)], "w string", f(F.col("w")))[0])
+    assert made(E.repeated_insertions, "aab") == {"aaab", "aabb"} and made(E.repeated_insertions, "") == set()
+    near = E.key_neighbours()
+    assert made(E.neighbour_insertions, "qp") == {"qp"[:i] + c + "qp"[i:] for i in range(3) for k in "qp"[max(i - 1, 0) : i + 1] for c in near[k]}
+    assert made(E.vowel_insertions, "stae") == {f"s{v}tae" for v in "aeiouy"} and made(E.vowel_insertions, "a") == set()
+    assert made(E.vowel_confusions, "мел") == {"мил", "мёл"} and made(E.vowel_confusions, "тст") == set()
+    assert len(made(E.short_substitutions, "abcdefgh")) == 200 and made(E.short_substitutions, "abcdefghi") == set()
+
+
+def test_candidate_scores(spark):
+    rows = [("teh", "the", 0.75, 1.0), ("helllo", "hello", 0.35, 0.8), ("plant", "plan", 1.0, 0.9), ("planta", "plant", 1.0, 0.95), ("q", "a", 0.65, 1.0)]
+    df = spark.createDataFrame(rows, "token string, word string, cost double, freq double")
+    no = F.lit(False)
+    score = L.candidate_score(F.col("token"), F.col("word"), F.col("cost"), F.col("freq"), F.lit(0.5), F.lit(0.8), no, no, no, F.lit(0.0))
+    got = one(spark, rows, df.schema, score)
+    # by hand: edit + plausibility + gain + frequency + untrusted + gain of 0.18 + same length + frequency + swap, times 0.88 for three letters
+    assert got[0] == pytest.approx((0.22 * 0.625 + 0.26 * 0.8 + 0.26 * 0.3 + 0.22 + 0.14 + 0.05 + 0.06 + 0.04 + 0.07) * 0.88)
+    assert got[1] == 0.95 and got[2] == 0.0 and got[4] == 0.0
+    assert got[3] == pytest.approx((0.22 * 0.5 + 0.26 * 0.8 + 0.26 * 0.3 + 0.22 * 0.95 + 0.14 + 0.05) * 0.78)
+    scored = spark.createDataFrame([("t", "b", 0.5, 2, 0.5, 1.0), ("t", "a", 0.5, 2, 0.5, 1.0), ("t", "c", 0.5, 1, 0.9, 0.1), ("u", "z", 0.0, 2, 1.0, 0.1)], "token string, word string, score double, tier int, freq double, cost double")
+    assert [tuple(r) for r in L.best_candidates(scored).collect()] == [("t", "a", 0.5, 3)]
+
+
+def test_anchors_and_promotion(spark):
+    rows = [("GHBDTN",), ("hello",), (None,), ("ррудщ",), ("API",)]
+    assert one(spark, rows, "t string", K.is_layout_anchor(F.col("t"))) == [True, False, False, True, False]
+    assert one(spark, rows, "t string", K.anchor_alias(F.col("t"))) == [None, None, None, "hello", None]
+    assert one(spark, rows, "t string", K.is_technical_word(F.col("t"))) == [False, False, False, False, True]
+    asked = [("teh", "the", "wait", "spelling", 0.98, 0.2, 0.7), ("teh", "the", "apply", "spelling", 1.0, 1.0, 1.0), ("teh", "TEH", "wait", "spelling", 1.0, 1.0, 1.0), ("teh", "a b", "wait", "layout", 1.0, 1.0, 1.0),
+             ("teh", "the", "wait", "layout", 0.99, 0.3, 0.0), ("teh", "the", "wait", "other", 1.0, 1.0, 1.0), ("teh", "the", "wait", "layout", float("nan"), 1.0, 1.0), ("teh", None, "wait", "layout", 1.0, 1.0, 1.0)]
+    schema = "t string, w string, core string, kind string, c double, m double, f double"
+    promoted = G.promotes_scorer(*[F.col(x) for x in ("t", "w", "core", "kind", "c", "m", "f")], F.lit(True), F.lit(True))
+    assert one(spark, asked, schema, promoted) == [True, False, False, False, True, False, False, False]
