@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm import workspace
@@ -28,8 +28,12 @@ ARC_V1 = "URL IP-address Archive-date Content-type Archive-length"
 ARC_V2 = "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
 #: Payloads shorter than this are always written in full.
 LEAST_REVISIT = 100
-RECORDS_PER_FILE = 2000
+#: Most payload bytes of a size class, and how many of its records go into one file, so that a file stays under about 256 MB unless one
+#: record is longer. Only classes that occur are written.
+SIZE_CLASSES = ((128 << 10, 2000), (4 << 20, 64), (1 << 62, 1))
+ARC_DATE = "20240101000000"
 _END = b"\r\n\r\n"
+_HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -53,13 +57,13 @@ def _field(value: str | None) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m.group()):02X}", value or "") or "-"
 
 
-def arc_version_block(version: int, name: str = "pages", date: str = "20240101000000") -> bytes:
+def arc_version_block(version: int, name: str = "pages", date: str = ARC_DATE) -> bytes:
     text = f"{version} 0 lexiloom\n{ARC_V1 if version == 1 else ARC_V2}\n".encode()
     rest = f"{len(text)}" if version == 1 else f"200 - - 0 {name}.arc {len(text)}"
     return f"filedesc://{name}.arc 0.0.0.0 {date} text/plain {rest}\n".encode() + text + b"\n"
 
 
-def arc_record(version: int, url: str | None, body: bytes, date: str = "20240101000000", ip: str = "0.0.0.0", kind: str = "text/html") -> bytes:
+def arc_record(version: int, url: str | None, body: bytes, date: str = ARC_DATE, ip: str = "0.0.0.0", kind: str = "text/html") -> bytes:
     rest = f"{len(body)}" if version == 1 else f"200 - - 0 pages.arc {len(body)}"
     return f"{_field(url)} {ip} {date} {kind} {rest}\n".encode() + body + b"\n"
 
@@ -104,30 +108,42 @@ def _payload(block: bytes) -> tuple[bytes, bytes]:
     return b"", block
 
 
+def _warc_date(arc_date: str) -> str:
+    d = (arc_date + "00000000000000")[:14]
+    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+
+
+def _record_id(url: str, date: str, body_digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {date} {body_digest}')}>"
+
+
 def convert(record: ArcRecord) -> WarcRecord:
     """The WARC response (or resource, without an HTTP head) that says what an ARC record says."""
     head, payload = _payload(record.body)
-    d = (record.date + "00000000000000")[:14]
-    when = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
-    digest = hashlib.sha256(payload).hexdigest()
-    identity = uuid.uuid5(uuid.NAMESPACE_URL, f"{record.url} {record.date} {hashlib.sha256(record.body).hexdigest()}")
     headers = {
         "WARC-Type": "response" if head else "resource",
-        "WARC-Record-ID": f"<urn:uuid:{identity}>",
-        "WARC-Date": when,
+        "WARC-Record-ID": _record_id(record.url, record.date, hashlib.sha256(record.body).hexdigest()),
+        "WARC-Date": _warc_date(record.date),
         "WARC-Target-URI": record.url,
         "WARC-IP-Address": record.ip,
-        "WARC-Payload-Digest": f"sha256:{digest}",
+        "WARC-Payload-Digest": f"sha256:{hashlib.sha256(payload).hexdigest()}",
         "Content-Type": "application/http;msgtype=response" if head else record.kind,
     }
     return WarcRecord(headers, record.body)
 
 
-def revisit(record: WarcRecord, first_page: int) -> WarcRecord:
-    """The same record without its payload, pointing at the page that has it."""
+def revisit(record: WarcRecord, first_page: int, first_url: str | None, first_body_digest: str) -> WarcRecord:
+    """The same record without its payload, pointing at the record that has it. The page id of that record is a field of our own,
+    which other readers pass over."""
     head, _ = _payload(record.block)
-    headers = record.headers | {"WARC-Type": "revisit", "WARC-Profile": _PROFILE, "WARC-Refers-To-Page": str(first_page)}
-    return WarcRecord(headers, head)
+    url = _field(first_url)
+    first = {
+        "WARC-Refers-To": _record_id(url, ARC_DATE, first_body_digest),
+        "WARC-Refers-To-Target-URI": url,
+        "WARC-Refers-To-Date": _warc_date(ARC_DATE),
+        "WARC-Refers-To-Page": str(first_page),
+    }
+    return WarcRecord(record.headers | {"WARC-Type": "revisit", "WARC-Profile": _PROFILE} | first, head)
 
 
 def write_record(record: WarcRecord) -> bytes:
@@ -182,7 +198,7 @@ def read_warc(chunks: Iterator[bytes]) -> Iterator[WarcRecord]:
 
 def _http(page_id: int | None, payload: bytes) -> bytes:
     name = "" if page_id is None else f"X-Page-Id: {page_id}\r\n"
-    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{name}Content-Length: {len(payload)}\r\n\r\n".encode() + payload
+    return f"{_HTTP_HEAD}{name}Content-Length: {len(payload)}\r\n\r\n".encode() + payload
 
 
 def _http_headers(block: bytes) -> dict[str, str]:
@@ -190,23 +206,35 @@ def _http_headers(block: bytes) -> dict[str, str]:
     return dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
 
 
-def first_pages(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """page_id, digest and refers_to of the pages whose payload an earlier page (by id) has."""
-    body = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8")
-    rows = workspace.materialize(pages.select(F.col("page_id").cast("long").alias("page_id"), F.octet_length(body).alias("n"), F.sha2(body, 256).alias("digest")).filter(F.col("n") >= least), "digests")
-    first = rows.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
-    return rows.join(first, "digest").filter("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
+def _payload_bytes(html: Column) -> Column:
+    return F.encode(F.coalesce(html.cast("string"), F.lit("")), "utf-8")
+
+
+def payload_digests(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
+    """page_id, url, n, digest, body_digest (of the HTTP message that is written) of the pages with payloads of ``least`` bytes, as a table."""
+    body, page = _payload_bytes(F.col("html")), F.col("page_id").cast("long")
+    head = F.concat(F.lit(_HTTP_HEAD), F.coalesce(F.concat(F.lit("X-Page-Id: "), page.cast("string"), F.lit("\r\n")), F.lit("")), F.lit("Content-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
+    message = F.sha2(F.concat(F.encode(head, "utf-8"), body), 256)
+    rows = pages.select(page.alias("page_id"), F.col("url").cast("string").alias("url"), F.octet_length(body).alias("n"), F.sha2(body, 256).alias("digest"), message.alias("body_digest"))
+    return workspace.materialize(rows.filter(F.col("n") >= least), "digests")
+
+
+def first_pages(digests: DataFrame) -> DataFrame:
+    """page_id, digest, refers_to, first_url and first_body of the pages whose payload an earlier page (by id) has."""
+    first = digests.groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url", "body_digest"))).alias("f"), F.count(F.lit(1)).alias("copies"))
+    first = first.filter("copies > 1 and f is not null").select("digest", F.col("f.page_id").alias("refers_to"), F.col("f.url").alias("first_url"), F.col("f.body_digest").alias("first_body"))
+    return digests.select("page_id", "digest").join(first, "digest").filter("page_id > refers_to").select("page_id", "digest", "refers_to", "first_url", "first_body").distinct()
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """Gzipped WARC files of all of ``pages(page_id, url, html, ...)`` under ``path``: each batch becomes an ARC file, versions in
-    turn, and is converted. Null html is an empty payload, a null url is written as ``-``, null ids are left out."""
+    """Gzipped WARC files of all of ``pages(page_id, url, html, ...)`` in folders under ``path``, one for each size class: each batch becomes an
+    ARC file, versions in turn, and is converted. Null html is an empty payload, a null url is written as ``-``, null ids are left out."""
     workspace.ship(pages.sparkSession)
-    earlier = first_pages(pages)
-    digest = F.sha2(F.encode(F.coalesce(F.col("html"), F.lit("")), "utf-8"), 256)
+    digests = payload_digests(pages)
+    body = _payload_bytes(F.col("html"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    e = earlier.toDF("eid", "edigest", "refers_to")
-    rows = rows.join(e, (F.col("page_id") == F.col("eid")) & (digest == F.col("edigest")), "left").select("page_id", "url", "html", "refers_to")
+    e = first_pages(digests).withColumnRenamed("page_id", "eid").withColumnRenamed("digest", "edigest")
+    columns = ["page_id", "url", "html", "refers_to", "first_url", "first_body"]
 
     def run(batches):
         version = 0
@@ -218,11 +246,20 @@ def write_archives(pages: DataFrame, path: str) -> None:
                 out = []
                 for r, found in zip(part, read_arc(arc), strict=True):
                     record = convert(found)
-                    out.append(write_record(record if r["refers_to"] is None else revisit(record, r["refers_to"])))
+                    out.append(write_record(record if r["refers_to"] is None else revisit(record, r["refers_to"], r["first_url"], r["first_body"])))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    written = rows.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    written.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    above = [0, *[top for top, _ in SIZE_CLASSES]]
+    sized = [F.count_if((F.col("n") > low) & (F.col("n") <= top)).alias(f"c{k}") for k, (low, (top, _)) in enumerate(zip(above, SIZE_CLASSES, strict=False))]
+    found = digests.agg(*sized).first()
+    present = [k for k, n in enumerate(found) if n or k == 0]
+    for k in present:
+        top, records = SIZE_CLASSES[k]
+        mine = rows if present == [0] else rows.filter((F.octet_length(body) <= top) if k == 0 else (F.octet_length(body) > above[k]) & (F.octet_length(body) <= top))
+        joined = mine.join(e, (F.col("page_id") == F.col("eid")) & (F.sha2(body, 256) == F.col("edigest")), "left").select(*columns)
+        written = joined.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
+        written.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records).text(f"{path}/size-{k}")
+    workspace.drop(digests)
 
 
 def read_archives(spark, path: str) -> DataFrame:
@@ -250,7 +287,7 @@ def read_archives(spark, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     schema = "page_id long, url string, warc_date string, record_id string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").schema("path string, modificationTime timestamp, length long, content binary").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").schema("path string, modificationTime timestamp, length long, content binary").load(path)
     return files.select("content").mapInArrow(run, schema)
 
 

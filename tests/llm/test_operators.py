@@ -1,5 +1,6 @@
 """The operators against plain versions, and on odd rows."""
 
+import gzip
 import hashlib
 import itertools
 import random
@@ -498,6 +499,27 @@ def test_archive_round_trip(spark):
     assert warc.archive_round_trip(df.limit(0)).count() == 0
 
 
+def test_revisits_name_their_response(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SIZE_CLASSES", ((1000, 3), (5000, 2), (1 << 62, 1)))
+    rows = [(i, f"http://a.example/{i % 7} é", "word " * (30 if i % 3 else 400 if i % 2 else 2000)) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    warc.write_archives(pages, f"file://{tmp_path}/out")
+    files = sorted((tmp_path / "out").glob("*/*.gz"))
+    records = [(f.parent.name, r) for f in files for r in warc.read_warc(iter([gzip.decompress(f.read_bytes())]))]
+    assert len(records) == 40 and {f.parent.name for f in files} == {"size-0", "size-1", "size-2"}
+    most = {"size-0": 3, "size-1": 2, "size-2": 1}
+    for f in files:
+        assert len(list(warc.read_warc(iter([gzip.decompress(f.read_bytes())])))) <= most[f.parent.name]
+    by_id = {r.headers["WARC-Record-ID"]: r for _, r in records}
+    revisits = [r for _, r in records if r.headers["WARC-Type"] == "revisit"]
+    assert len(revisits) == 37
+    for r in revisits:
+        first = by_id[r.headers["WARC-Refers-To"]]
+        assert first.headers["WARC-Type"] == "response" and first.headers["WARC-Payload-Digest"] == r.headers["WARC-Payload-Digest"]
+        assert (first.headers["WARC-Target-URI"], first.headers["WARC-Date"]) == (r.headers["WARC-Refers-To-Target-URI"], r.headers["WARC-Refers-To-Date"])
+        assert f"X-Page-Id: {r.headers['WARC-Refers-To-Page']}\r\n".encode() in first.block
+
+
 # toxicity
 
 
