@@ -10,7 +10,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from functools import lru_cache
+from array import array
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from lexiloom.llm import workspace
 _NONE = 1 << 62
 #: Pieces that each of a worker's two cache generations holds, and the longest of them in characters.
 CACHE_PIECES, CACHE_CHARS = 250_000, 40
+#: Bytes from which a piece is merged in packed arrays: memory is then about 50 bytes for each of its bytes.
+LONG_PIECE = 4096
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -40,8 +43,9 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if n == 1:
         return [ranks[piece]]
     size = 1 << (n - 1).bit_length()
-    tree = [_NONE] * (2 * size)  # rank * size + place: the least value is the leftmost least rank
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    row = list if n < LONG_PIECE else partial(array, "q")  # eight bytes a number
+    tree = row([_NONE]) * (2 * size)  # rank * size + place: the least value is the leftmost least rank
+    after, before = row(range(1, n + 1)), row(range(-1, n - 1))
     get, mask = ranks.get, size - 1
     for i in range(n - 1):
         r = get(piece[i : i + 2])

@@ -62,9 +62,6 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
         ),
     )
     rows = rows.withColumn("body", F.array_join(written, "")).withColumn("head", F.concat(F.lit("<turn "), escape(F.col("role")), F.lit(">")))
-    tokens = F.lit(0).cast("bigint")
-    for kind, n in EXPANDED_TOKENS.items():
-        tokens = F.when(F.col("f.kind") == kind, F.lit(n)).otherwise(tokens)
     known = lambda f: F.coalesce(f["tokens"], *[F.when(f["kind"] == k, F.lit(n).cast("bigint")) for k, n in EXPANDED_TOKENS.items()], F.lit(0).cast("bigint"))
     files = F.transform("files", lambda f: F.struct(f["kind"].alias("kind"), f["ref"].alias("ref"), known(f).alias("tokens")))
     mask = F.when(F.col("role") == loss_role, F.struct(F.col("at").alias("turn"), F.length("head").alias("start"), F.length("body").alias("length")))
@@ -87,6 +84,19 @@ def read_turns(formatted: Column) -> Column:
     return F.transform(inner, lambda p: F.struct(unescape(p.substr(F.lit(7), close(p) - 7)).alias("role"), unescape(p.substr(close(p) + 1, F.length(p))).alias("text")))
 
 
+def read_parts(formatted: Column) -> Column:
+    """The (role, parts) turns of a formatted conversation, parts being (kind, text, n): texts as they were given, joined where they touch,
+    and placeholders with the number of their attachment. A placeholder's mark in a user's own text stays text; an empty text has no part."""
+    inner = F.filter(F.split(formatted, "</turn>\n", -1), lambda p: p != "")
+    close = lambda p: F.instr(p, ">")
+    pieces = lambda body: F.filter(F.split(body, "(?=<)|(?<=>)", -1), lambda x: x != "")
+    mark = "^<(.*) ([0-9]+)>$"
+    part = lambda x: F.when(
+        x.startswith("<"), F.struct(unescape(F.regexp_extract(x, "(?s)" + mark, 1)).alias("kind"), F.lit(None).cast("string").alias("text"), F.regexp_extract(x, "(?s)" + mark, 2).cast("int").alias("n"))
+    ).otherwise(F.struct(F.lit("text").alias("kind"), unescape(x).alias("text"), F.lit(None).cast("int").alias("n")))
+    return F.transform(inner, lambda p: F.struct(unescape(p.substr(F.lit(7), close(p) - 7)).alias("role"), F.transform(pieces(p.substr(close(p) + 1, F.length(p))), part).alias("parts")))
+
+
 def read_loss_text(formatted: Column, mask: Column) -> Column:
     """All text under the mask, unescaped."""
     turns = F.split(formatted, "(?<=</turn>\n)", -1)

@@ -691,3 +691,21 @@ def test_repeated_rows_of_a_query_do_not_hide_candidates(spark):
     v = spark.createDataFrame(rows, "vec_id long, v array<long>").repartition(3)
     got = voronoi.top_k(v, v.filter("vec_id = 0"), 5).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in got] == [(i, s) for s, i in sorted(((1000 * sum(e), i) for i, e in rows[30:]), key=lambda x: (-x[0], x[1]))[:5]]
+
+
+def test_chat_parts_are_read_back(spark):
+    text, image, named = ("text", "a <image 1> \\l b>\n", None, None), ("image", None, "ref", 7), ("odd <k> 2", None, "r", None)
+    rows = [(1, 0, "us<er", [text, image, text, named, image]), (1, 1, "assistant", [("text", "", None, None)]), (1, 2, "assistant", [(None, "x", None, None), ("text", "<", None, None)]), (2, 0, None, None)]
+    df = spark.createDataFrame(rows, f"conv_id long, turn int, role string, parts {chat.PARTS}")
+    got = {r.conv_id: [(t.role, [tuple(p) for p in t.parts]) for t in r.turns] for r in chat.format_conversations(df).select("conv_id", chat.read_parts(chat.F.col("formatted")).alias("turns")).collect()}
+    said = ("text", text[1], None)
+    assert got[1] == [("us<er", [said, ("image", None, 1), said, ("odd <k> 2", None, 2), ("image", None, 3)]), ("assistant", []), ("assistant", [("text", "x<", None)])]
+    assert got[2] == [("", [])]
+
+
+def test_long_pieces_in_packed_arrays(reference):
+    ranks = reference._mergeable_ranks
+    rng = random.Random(5)
+    for alphabet, n in (("abcdefghijklmnopqrstuvwxyz", 60_000), ("a", 30_000), ("éü中a", 20_000)):
+        piece = "".join(rng.choice(alphabet) for _ in range(n)).encode()
+        assert len(piece) >= bpe.LONG_PIECE and bpe.merge_piece(piece, ranks) == reference._core_bpe.encode_single_piece(piece)
