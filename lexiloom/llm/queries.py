@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from lexiloom.llm.bpe import encode_documents
 from lexiloom.llm.chat import format_conversations, read_loss_text, read_turns
 from lexiloom.llm.extraction import extract_main_text
+from lexiloom.llm.filter_audit import filter_audit
+from lexiloom.llm.lexical import ranked_search
 from lexiloom.llm.mixing import mix_sources
 from lexiloom.llm.neardup import near_duplicates
 from lexiloom.llm.privacy import find_personal_data
@@ -87,6 +89,14 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.filter("vec_id % 20 = 0"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("filter")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -100,6 +110,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_chat_formatting,
         op10_exact_top_k,
+        op12_filter_audit,
+        op13_ranked_search,
     )
 }
 
@@ -144,4 +156,37 @@ ORACLE_SQL: dict[str, str] = {
                    FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
              r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op12_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY 1),
+        f AS (SELECT part, doc_id, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic,
+                     [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t),
+                      regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails
+              FROM d LEFT JOIN l USING (doc_id)),
+        c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic, len(list_filter(fails, lambda x: x)) AS k FROM f GROUP BY 1, 2),
+        o AS (SELECT [a.x, b.x, c.x, d.x, e.x] AS p FROM range(1, 6) a(x), range(1, 6) b(x), range(1, 6) c(x), range(1, 6) d(x), range(1, 6) e(x)
+              WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        s AS (SELECT p, step, p[step] AS own, list_slice(p, 1, step - 1) AS earlier FROM o, range(1, 6) r(step)),
+        e AS (SELECT part, n, good, toxic, k, p, step, fails[own] AS own, len(list_filter(earlier, lambda i: fails[i])) > 0 AS gone FROM c, s)
+        SELECT part, array_to_string(list_transform(p, lambda i: substr('ABCDE', CAST(i AS INTEGER), 1)), '') AS filter_order, CAST(step AS INTEGER) AS step,
+               CAST(coalesce(sum(n) FILTER (WHERE NOT own AND NOT gone), 0) AS BIGINT) AS kept,
+               CAST(coalesce(sum(n) FILTER (WHERE own AND NOT gone), 0) AS BIGINT) AS removed,
+               CAST(coalesce(sum(n) FILTER (WHERE own AND gone), 0) AS BIGINT) AS redundant,
+               CAST(coalesce(sum(n) FILTER (WHERE own AND k = 1), 0) AS BIGINT) AS unique_fails,
+               CAST(coalesce(sum(good) FILTER (WHERE own AND NOT gone), 0) AS BIGINT) AS good_lost,
+               CAST(coalesce(sum(toxic) FILTER (WHERE own AND NOT gone), 0) AS BIGINT) AS toxic_lost,
+               CAST(coalesce(sum(n * (120 // greatest(k, 1))) FILTER (WHERE own), 0) AS BIGINT) AS shapley
+        FROM e GROUP BY part, p, step""",
+    "op13_ranked_search": r"""
+        WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        w AS MATERIALIZED (SELECT doc_id, r, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM d),
+        g AS (SELECT count(*) AS big_n, sum(len(ws)) AS big_l FROM w WHERE len(ws) > 0),
+        tf AS MATERIALIZED (SELECT doc_id, r, len(ws) AS n, u.term, count(*) AS tf FROM w, unnest(ws) AS u(term) GROUP BY ALL),
+        q AS (SELECT DISTINCT item_id, u.term FROM benchmark,
+              unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS u(term)),
+        df AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * (SELECT big_n FROM g) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf GROUP BY term),
+        s AS (SELECT item_id, r, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // big_l)))) AS BIGINT) AS score
+              FROM q JOIN tf USING (term) JOIN df USING (term), g GROUP BY 1, 2, 3),
+        k AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10""",
 }
