@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from lexiloom.llm import katz
 from lexiloom.llm.bpe import encode_documents
 from lexiloom.llm.chat import format_conversations, read_loss_text, read_turns
 from lexiloom.llm.extraction import extract_main_text
@@ -89,6 +90,12 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.filter("vec_id % 20 = 0"))
 
 
+def op11_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores are rounded to six decimals, so that the order of sums does not show."""
+    scored = katz.score_documents(_table(spark, sf_dir, "documents"))
+    return scored.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("filter")
 
@@ -110,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_chat_formatting,
         op10_exact_top_k,
+        op11_katz_scores,
         op12_filter_audit,
         op13_ranked_search,
     )
@@ -117,6 +125,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _ESCAPED = "replace(replace(replace({}, '\\', '\\b'), '<', '\\l'), '>', '\\g')"
 
+#: Katz's discounts of counts 1 to 5 from the list n of counts of counts 1 to 6.
+_KATZ = "((i + 1.0) * n[i + 1] / (1.0 * i * n[i]) - 6.0 * n[6] / n[1]) / (1 - 6.0 * n[6] / n[1])"
+_DISCOUNTS = f"list_transform(range(1, 6), lambda i: CASE WHEN n[1] = 0 OR n[i] = 0 OR 6.0 * n[6] = n[1] THEN 1.0 WHEN {_KATZ} > 0 AND {_KATZ} < 1 THEN {_KATZ} ELSE 1.0 END)"
+
 ORACLE_SQL: dict[str, str] = {
     "op3_near_duplicates": r"""
         WITH RECURSIVE w AS (
@@ -156,6 +168,27 @@ ORACLE_SQL: dict[str, str] = {
                    FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
              r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op11_katz_scores": r"""
+        WITH d AS (SELECT doc_id, coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS t,
+                          xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(str_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                              lambda a, x: list_reduce(list_concat([xor(a, x)], range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295) % 7 = 2 AS held FROM documents),
+        w AS MATERIALIZED (SELECT doc_id, held, list_append(regexp_extract_all(t, '[^\x20\x09-\x0D]+'), ' end') AS ws FROM d),
+        k AS MATERIALIZED (SELECT doc_id, held, CASE WHEN i = 1 THEN ' start' ELSE ws[i - 1] END AS b, ws[i] AS c FROM w, unnest(range(1, len(ws) + 1)) AS u(i)),
+        one AS MATERIALIZED (SELECT c, count(*) AS r FROM k WHERE NOT held GROUP BY 1),
+        two AS MATERIALIZED (SELECT b, c, count(*) AS r FROM k WHERE NOT held GROUP BY 1, 2),
+        g AS (SELECT sum(r) AS big_n, count(*) AS v, list_transform(range(1, 7), lambda i: len(list_filter(list(r), lambda x: x = i))) AS n FROM one),
+        h AS (SELECT list_transform(range(1, 7), lambda i: len(list_filter(list(r), lambda x: x = i))) AS n FROM two),
+        de AS (SELECT DISCOUNTS AS e FROM g),
+        dd AS (SELECT DISCOUNTS AS d FROM h),
+        p1 AS MATERIALIZED (SELECT c, r, r * (CASE WHEN r <= 5 THEN e[r] ELSE 1.0 END) / (big_n + 1) AS p FROM one, g, de),
+        unknown AS (SELECT 1 - sum(p) AS p FROM p1),
+        p2 AS MATERIALIZED (SELECT b, c, r * (CASE WHEN r <= 5 THEN d[r] ELSE 1.0 END) / (sum(r) OVER (PARTITION BY b) + 1) AS p FROM two, dd),
+        alpha AS MATERIALIZED (SELECT b, (1 - sum(p2.p)) / (1 - sum(p1.p)) AS a FROM p2 JOIN p1 USING (c) GROUP BY b),
+        s AS (SELECT doc_id, held, p1.r, log10((coalesce(p1.r, 0) + 1.0) / (big_n + v + 1)) AS base, log10(coalesce(p2.p, coalesce(a, 1.0) * coalesce(p1.p, unknown.p))) AS own
+              FROM k LEFT JOIN p2 USING (b, c) LEFT JOIN p1 USING (c) LEFT JOIN alpha USING (b), g, unknown)
+        SELECT doc_id, any_value(held) AS held_out, CAST(count(*) AS BIGINT) AS n_tokens, CAST(count(r) AS BIGINT) AS n_known, CAST((SELECT big_n FROM g) AS BIGINT) AS train_tokens,
+               round(sum(base), 6) AS base_score, round(sum(own), 6) AS score
+        FROM s GROUP BY doc_id""".replace("DISCOUNTS", _DISCOUNTS),
     "op12_filter_audit": r"""
         WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY 1),
