@@ -4,11 +4,11 @@ Sources share all words by weight; a source is clamped where its share exceeds `
 size, and the excess goes to the others by weight. The fixed point of these rounds is found at
 once: ordered by cap over weight, the clamped sources are a prefix, and running sums give the level.
 
-Each source is then repeated a whole number of times, plus a seeded part. Documents have a
-pseudo-random order within their source; those before a boundary are taken once more. The boundary comes
-from a histogram of words over slices of that order, so only one or two slices per source
-are ever sorted. At the boundary a bounded run of documents is offered the words that are left, in order,
-and each that still fits is taken.
+Each source is then repeated a whole number of times, plus a seeded part. From every size of document the part takes the
+same share of words, from the largest size down; what cannot be met in whole documents is carried on to the next smaller size, so
+that the smallest documents bring the total to its target. Which documents of a size are taken follows a pseudo-random order: those
+before a boundary, which is found from counts over 4,096 slices of that order, then over 4,096 slices of the slice it
+lies in, until about 64 documents are left to be ordered.
 """
 
 from __future__ import annotations
@@ -20,12 +20,12 @@ from lexiloom.llm import workspace
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MAX_EPOCHS = 3
-#: Slices of a source's order: about 64 documents each, at most this many.
-SLICES = 4096
-#: Documents at the boundary that are offered the last words.
-OFFERED = 128
-#: Sources up to which their table is sent to all executors.
-BROADCAST_SOURCES = 10_000
+#: Slices of an order, or of one of its slices, and documents that need no more slices.
+SLICES, FEW = 4096, 64
+#: Places of the order.
+PLACES = 1 << 52
+#: Rows up to which tables of sources, or of sizes of sources, are sent to all executors.
+BROADCAST_ROWS = 200_000
 
 
 def word_count(text: Column) -> Column:
@@ -38,8 +38,8 @@ def _same(a: str, b: str) -> Column:
 
 
 def source_plan(sizes: DataFrame, weights: tuple[float, ...], max_epochs: int) -> DataFrame:
-    """src, source_size, n_docs, target, whole and part (words of the last, partial repetition) of each
-    of ``sizes(src, source_size, n_docs)``. One row per source is ordered in one task, nothing more."""
+    """src, source_size, target, whole and part (words of the last, partial repetition) of each
+    of ``sizes(src, source_size)``. One row per source is ordered in one task, nothing more."""
     ordered = Window.orderBy(F.col("src").isNull(), F.col("src").cast("binary"))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(ordered) - 1, F.lit(len(weights))) + 1).cast("int"))
     cap = (F.col("source_size") * max_epochs).cast("double")
@@ -59,7 +59,58 @@ def source_plan(sizes: DataFrame, weights: tuple[float, ...], max_epochs: int) -
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_epochs))).otherwise(0).cast("long")
     table = table.withColumn("whole", whole)
     part = F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))
-    return table.select("src", "source_size", "n_docs", "target", "whole", part.alias("part"))
+    return table.select("src", "source_size", "target", "whole", part.alias("part"))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A materialized table, broadcast if it is counted to be small."""
+    return F.broadcast(df) if len(df.limit(BROADCAST_ROWS + 1).select(F.lit(1)).collect()) <= BROADCAST_ROWS else df
+
+
+def size_plan(groups: DataFrame) -> DataFrame:
+    """src, size, n, wanted: how many of the n documents of each size of ``groups(src, size, n, share)`` the part takes.
+
+    Sizes are gone through from the largest: each takes the share of its words and what is carried over, rounded to whole documents. What
+    is still missing then is filled from the largest size that fits, and at last by the smallest document left if that comes
+    nearer. A source's sizes, at most as many as its largest document has words, meet in one row.
+    """
+    sizes = groups.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("sizes"), F.first("share").alias("share"))
+    some = F.array().cast("array<struct<size:long,n:long,wanted:long>>")
+    entry = lambda d, n: F.array(F.struct(d["size"].alias("size"), d["n"].alias("n"), n.cast("long").alias("wanted")))
+
+    def diffuse(acc, d):
+        want = acc["left"] + F.col("share") * d["size"] * d["n"]
+        n = F.least(F.greatest(F.round(want / d["size"]), F.lit(0.0)), d["n"].cast("double"))
+        return F.struct((want - n * d["size"]).alias("left"), F.concat(acc["rows"], entry(d, n)).alias("rows"))
+
+    def fill(acc, d):
+        n = F.least(F.greatest(F.floor(acc["left"] / d["size"]), F.lit(0)), d["n"] - d["wanted"])
+        return F.struct((acc["left"] - n * d["size"]).alias("left"), F.concat(acc["rows"], entry(d, d["wanted"] + n)).alias("rows"))
+
+    start = lambda left: F.struct(left.alias("left"), some.alias("rows"))
+    plan = workspace.materialize(sizes.select("src", F.aggregate("sizes", start(F.lit(0.0)), diffuse).alias("got")), "diffused")
+    plan = workspace.materialize(plan.select("src", F.aggregate("got.rows", start(F.col("got.left")), fill).alias("got")), "filled")
+    least = F.array_min(F.transform(F.filter("got.rows", lambda d: d["wanted"] < d["n"]), lambda d: d["size"]))
+    rows = plan.select("src", F.col("got.left").alias("left"), least.alias("least"), F.explode("got.rows").alias("d"))
+    last = F.coalesce((F.col("d.size") == F.col("least")) & (F.col("d.size") < 2 * F.col("left")), F.lit(False)).cast("long")
+    return rows.select("src", "d.size", "d.n", (F.col("d.wanted") + last).alias("wanted"))
+
+
+def _boundaries(rows: DataFrame, plan: DataFrame, most: int) -> DataFrame:
+    """s, z, low, high, room: of the documents of source s and size z those before place low are taken, and room of those before high."""
+    state = plan.select(F.col("src").alias("s"), F.col("size").alias("z"), F.when(F.col("wanted") == F.col("n"), PLACES).otherwise(0).cast("long").alias("low"), F.lit(PLACES).alias("high"), F.col("wanted").alias("room"), (F.col("wanted").between(1, F.col("n") - 1)).alias("open"))
+    state = workspace.materialize(state, "places")
+    width = PLACES
+    while most > FEW and width > 1:
+        most, width = most // SLICES, width // SLICES
+        inside = rows.join(_small(state.filter("open")), _same("src", "s") & (F.col("size") == F.col("z"))).filter(F.col("u").between(F.col("low"), F.col("high") - 1))
+        counts = inside.groupBy("s", "z", F.expr(f"(u - low) div {width}").alias("slice")).agg(F.count(F.lit(1)).alias("k"), F.first("low").alias("low"), F.first("room").alias("room"))
+        before = F.sum("k").over(Window.partitionBy("s", "z").orderBy("slice")) - F.col("k")
+        edge = counts.withColumn("before", before).filter((F.col("before") < F.col("room")) & (F.col("room") <= F.col("before") + F.col("k")))
+        low = F.col("low") + F.col("slice") * width
+        edge = edge.select("s", "z", low.alias("low"), (low + width).alias("high"), (F.col("room") - F.col("before")).alias("room"), F.lit(True).alias("open"))
+        state = workspace.materialize(state.filter("not open").unionByName(edge), "places")
+    return state
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 17) -> DataFrame:
@@ -71,44 +122,23 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epoch
     Equal rows are separate documents. An empty table gives no rows; other columns are ignored.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("src"), word_count(F.col("text").cast("string")).alias("size"))
-    position = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(1 << 52)) / float(1 << 52)
-    table = workspace.materialize(base.withColumn("row", F.monotonically_increasing_id()).withColumn("u", position), "mix")
-    sizes = table.groupBy("src").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("n_docs"))
+    place = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(PLACES))
+    table = workspace.materialize(base.withColumn("row", F.monotonically_increasing_id()).withColumn("u", place), "mix")
+    groups = workspace.materialize(table.groupBy("src", "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    sizes = groups.groupBy("src").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     plan = workspace.materialize(source_plan(sizes, weights, max_epochs), "plan")
-    few = len(plan.limit(BROADCAST_SOURCES + 1).select(F.lit(1)).collect()) <= BROADCAST_SOURCES
-    small = F.broadcast if few else (lambda df: df)
-
-    slices = F.least(F.lit(SLICES), F.ceil(F.greatest(F.col("n_docs"), F.lit(1)) / 64)).cast("long")
-    plan = plan.withColumn("slices", slices).withColumnRenamed("src", "s")
-    rows = table.join(small(plan), _same("src", "s"), "left").drop("s").withColumn("slice", F.least(F.floor(F.col("u") * F.col("slices")), F.col("slices") - 1))
-    mass = rows.filter("size > 0 and part > 0").groupBy("src", "slice", "part").agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("src").orderBy("slice")
-    mass = mass.withColumn("before", F.sum("words").over(upto) - F.col("words"))
-    edge = mass.filter(F.col("before") <= F.col("part")).groupBy("src").agg(F.max(F.struct("slice", "before")).alias("e"), F.first("part").alias("part"))
-    edge = workspace.materialize(edge.select(F.col("src").alias("s"), F.col("e.slice").alias("edge"), (F.col("part") - F.col("e.before")).alias("room")), "edge")
-    marked = rows.join(small(edge), _same("src", "s"), "left").drop("s")
-    in_zone = F.coalesce((F.col("size") > 0) & F.col("slice").between(F.col("edge"), F.col("edge") + 1), F.lit(False))
-
-    zone = marked.filter(in_zone)
-    order = Window.partitionBy("src").orderBy("u", "size", "row")
-    zone = zone.withColumn("upto", F.sum("size").over(order)).withColumn("fits", F.col("upto") <= F.col("room"))
-    rest = zone.filter(~F.col("fits")).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= OFFERED)
-    used = zone.groupBy("src").agg((F.first("room") - F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0))).alias("left"))
-    offered = rest.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("k", "size", "row"))).alias("docs"))
-    offered = offered.join(used.withColumnRenamed("src", "s"), _same("src", "s")).drop("s")
-    start = F.struct(F.col("left").alias("left"), F.array().cast("array<long>").alias("rows"))
-    step = lambda acc, d: F.when(d["size"] <= acc["left"], F.struct((acc["left"] - d["size"]).alias("left"), F.concat(acc["rows"], F.array(d["row"])).alias("rows"))).otherwise(acc)
-    offered = offered.withColumn("got", F.aggregate("docs", start, step))
-    # the document that brings the total nearest to its target, even from above, goes last
-    nearer = F.filter("docs", lambda d: ~F.array_contains(F.col("got.rows"), d["row"]) & (d["size"] < 2 * F.col("got.left")))
-    last = F.array_min(F.transform(nearer, lambda d: F.struct(F.abs(d["size"] - F.col("got.left")).alias("off"), d["k"].alias("k"), d["row"].alias("row"))))
-    taken = F.when(last.isNull(), F.col("got.rows")).otherwise(F.concat(F.col("got.rows"), F.array(last["row"])))
-    late = offered.select(F.explode(taken).alias("late"))
-    zone = zone.join(late, zone["row"] == late["late"], "left").withColumn("extra", F.col("fits") | F.col("late").isNotNull())
-
-    plain = marked.filter(~in_zone).withColumn("extra", F.coalesce((F.col("size") > 0) & (F.col("slice") < F.col("edge")), F.lit(False)))
-    columns = ["doc_id", "size", "source_size", "target", "whole", "extra"]
-    out = plain.select(*columns).unionByName(zone.select(*columns))
+
+    parts = plan.filter("part > 0").select(F.col("src").alias("s"), (F.col("part") / F.col("source_size")).alias("share"))
+    wanted = workspace.materialize(size_plan(groups.filter("size > 0").join(_small(parts), _same("src", "s")).drop("s")), "wanted")
+    most = wanted.filter(F.col("wanted").between(1, F.col("n") - 1)).agg(F.max("n")).first()[0] or 0
+    bounds = _boundaries(table, wanted, most)
+
+    rows = table.join(_small(plan.select(F.col("src").alias("s"), "source_size", "target", "whole")), _same("src", "s"), "left").drop("s")
+    rows = rows.join(_small(bounds), _same("src", "s") & (F.col("size") == F.col("z")), "left").drop("s", "z")
+    edge = F.coalesce(F.col("open") & F.col("u").between(F.col("low"), F.col("high") - 1), F.lit(False))
+    order = Window.partitionBy("src", "size").orderBy("u", "row")
+    zone = rows.filter(edge).withColumn("extra", F.row_number().over(order) <= F.col("room"))
+    out = rows.filter(~edge).withColumn("extra", F.coalesce(F.col("u") < F.col("low"), F.lit(False))).unionByName(zone)
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("extra").cast("long")).otherwise(F.lit(0)).cast("long")
     out = out.withColumn("copies", copies)
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
