@@ -39,9 +39,10 @@ _ODD = _U(0x9E3779B97F4A7C15)
 #: The end of a text, and the mark before its first word.
 END, START = _U(0xE27D), _U(0x57A7)
 
-_ASKED = "p int, batch long, at long, c array<long>, runs array<int>, b array<long>, n array<int>"
-_PAIRS = "kind int, batch long, at long, ns array<int>, cs array<int>, runs array<int>, b long, n long, s double, " + ", ".join(f"t{r} long" for r in range(1, K + 2))
-_HELD = "kind int, batch long, at long, ids array<long>, sizes array<int>, tok array<int>, ns array<int>, cs array<int>, runs array<int>, alpha double"
+# arrays are packed into binary cells
+_ASKED = "p int, batch long, at long, c binary, runs binary, b binary, n binary"
+_PAIRS = "kind int, batch long, at long, ns binary, cs binary, runs binary, b long, n long, s double, " + ", ".join(f"t{r} long" for r in range(1, K + 2))
+_HELD = "kind int, batch long, at long, ids array<long>, sizes binary, tok binary, ns binary, cs binary, runs binary, alpha double"
 _SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -123,12 +124,18 @@ def _numbered(batches, parts: int, hot: np.ndarray):
             number += 1
 
 
-def _lists(values: np.ndarray, cuts: np.ndarray, kind) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values.astype(kind, copy=False)))
+def pack(values: np.ndarray) -> bytes:
+    """Numbers from 0 on in as few bytes each as the largest needs, after a byte that says how many."""
+    width = np.min_scalar_type(int(values.max()) if len(values) else 0).itemsize
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(x).view(np.int64)
+def unpack(cell: bytes) -> np.ndarray:
+    return np.frombuffer(cell, f"<u{cell[0]}", offset=1)
+
+
+def _packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    return pa.array([pack(values[i:j]) for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())
 
 
 def _ask(parts: int, hot: np.ndarray):
@@ -142,7 +149,7 @@ def _ask(parts: int, hot: np.ndarray):
             run = np.flatnonzero((np.diff(x.p, prepend=parts + 1) != 0) | (x.c != np.append(x.c[:1] + _U(1), x.c[:-1])))
             cuts, run_cuts = np.append(first, len(x.c)), np.append(np.searchsorted(run, first), len(run))
             columns = [pa.array(x.p[first].astype(np.int32)), pa.array(np.full(len(first), x.number)), pa.array(first)]
-            columns += [_lists(_signed(x.c[run]), run_cuts, np.int64), _lists(np.diff(np.append(run, len(x.c))), run_cuts, np.int32), _lists(_signed(x.b), cuts, np.int64), _lists(n, cuts, np.int32)]
+            columns += [_packed(x.c[run], run_cuts), _packed(np.diff(np.append(run, len(x.c))), run_cuts), _packed(x.b, cuts), _packed(n, cuts)]
             yield pa.RecordBatch.from_arrays(columns, names=["p", "batch", "at", "c", "runs", "b", "n"])
 
     return run
@@ -154,20 +161,25 @@ def _hold(parts: int, hot: np.ndarray):
     def run(batches):
         for x in _numbered(batches, parts, hot):
             ids, sizes, tok = x.part.column("doc_id"), np.diff(x.offsets), x.tok
-            one = lambda v, kind: _lists(v, np.array([0, len(v)]), kind)
             ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-            yield pa.RecordBatch.from_arrays([pa.array([x.number]), pa.array([len(x.c)]), ids, one(sizes, np.int32), one(tok, np.int32)], names=["batch", "at", "ids", "sizes", "tok"])
+            yield pa.RecordBatch.from_arrays([pa.array([x.number]), pa.array([len(x.c)]), ids, pa.array([pack(sizes)]), pa.array([pack(tok)])], names=["batch", "at", "ids", "sizes", "tok"])
 
     return run
 
 
 def _flat(table: pa.Table, name: str, kind=np.int64) -> np.ndarray:
-    return table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False)
+    """The numbers of all rows' cells, one after the other."""
+    return np.concatenate([np.zeros(0, kind), *(unpack(x).astype(kind) for x in table[name].to_pylist())])
+
+
+def _cuts(table: pa.Table, name: str) -> np.ndarray:
+    """Where each row's cell begins in ``_flat``, and where the last ends."""
+    return np.append(0, np.cumsum([len(unpack(x)) for x in table[name].to_pylist()]))
 
 
 def _rows(schema: str, size: int, **columns) -> pa.Table:
     """A table of ``schema`` with nulls in the columns not given."""
-    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
     fields = [f.split(" ") for f in schema.split(", ")]
     return pa.table({name: columns[name].cast(kinds[kind]) if name in columns else pa.nulls(size, kinds[kind]) for name, kind in fields})
 
@@ -177,7 +189,8 @@ def _count(words: np.ndarray, hot: np.ndarray, hot_counts: np.ndarray):
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("batch", "ascending"), ("at", "ascending")])
-        c, runs, b, n = _flat(table, "c"), _flat(table, "runs"), _flat(table, "b"), _flat(table, "n")
+        c, runs, b, n = _flat(table, "c", _U), _flat(table, "runs"), _flat(table, "b", _U), _flat(table, "n")
+        cuts = _cuts(table, "b")
         of_c, c_at = np.unique(c, return_inverse=True)
         of_b, b_at = np.unique(b, return_inverse=True)
         second = np.repeat(c_at, runs)
@@ -188,12 +201,11 @@ def _count(words: np.ndarray, hot: np.ndarray, hot_counts: np.ndarray):
         if often.any():
             order = np.argsort(hot)
             word[often] = hot_counts[order][np.searchsorted(hot[order], of_c[often])]
-        cuts = lambda name: np.append(0, np.cumsum(pa.compute.list_value_length(table[name]).to_numpy()))
-        answers = _rows(_PAIRS, table.num_rows, kind=pa.array(np.ones(table.num_rows, np.int32)), batch=table["batch"], at=table["at"], ns=_lists(seen[at], cuts("b"), np.int32), cs=_lists(word[c_at], cuts("c"), np.int32), runs=table["runs"])
+        answers = _rows(_PAIRS, table.num_rows, kind=pa.array(np.ones(table.num_rows, np.int32)), batch=table["batch"], at=table["at"], ns=_packed(seen[at], cuts), cs=_packed(word[c_at], _cuts(table, "c")), runs=table["runs"])
 
         none = np.flatnonzero(seen[at] == 0)
-        row = np.searchsorted(cuts("b"), none, side="right") - 1
-        unseen = _rows(_PAIRS, len(none), kind=pa.array(np.full(len(none), 2)), batch=table["batch"].take(pa.array(row)), at=pa.array(table["at"].to_numpy()[row] + none - cuts("b")[row]), b=pa.array(b[none]))
+        row = np.searchsorted(cuts, none, side="right") - 1
+        unseen = _rows(_PAIRS, len(none), kind=pa.array(np.full(len(none), 2)), batch=table["batch"].take(pa.array(row)), at=pa.array(table["at"].to_numpy()[row] + none - cuts[row]), b=pa.array(b[none].view(np.int64)))
 
         some = np.flatnonzero(seen)
         of, r = pair[some] % len(of_b), seen[some]
@@ -202,7 +214,7 @@ def _count(words: np.ndarray, hot: np.ndarray, hot_counts: np.ndarray):
         n_b = total(r)
         held = n_b > 0
         classes = {f"t{k}": pa.array(total(r == k)[held].astype(np.int64)) for k in range(1, K + 2)}
-        contexts = _rows(_PAIRS, int(held.sum()), kind=pa.array(np.full(int(held.sum()), 3)), b=pa.array(of_b[held]), n=pa.array(n_b[held].astype(np.int64)), s=pa.array(total(p)[held]), **classes)
+        contexts = _rows(_PAIRS, int(held.sum()), kind=pa.array(np.full(int(held.sum()), 3)), b=pa.array(of_b[held].view(np.int64)), n=pa.array(n_b[held].astype(np.int64)), s=pa.array(total(p)[held]), **classes)
         return pa.concat_tables([answers, unseen, contexts])
 
     return run
@@ -280,7 +292,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     parts = max(LEAST_PARTS, -(-tokens // PART_TOKENS))
 
     asked = rows.select("text", "held").mapInArrow(_ask(parts, hot.view(_U)), _ASKED)
-    pairs = workspace.materialize(asked.groupBy("p").applyInArrow(_count(words, hot, hot_counts), _PAIRS), "pairs")
+    pairs = workspace.materialize(asked.groupBy("p").applyInArrow(_count(words, hot.view(_U), hot_counts), _PAIRS), "pairs")
     sums = [F.sum(c).alias(c) for c in ("n", "s", *(f"t{r}" for r in range(1, K + 2)))]
     contexts = workspace.materialize(pairs.filter("kind = 3").groupBy("b").agg(*sums), "contexts")
     totals = contexts.agg(*[F.coalesce(F.sum(f"t{r}"), F.lit(0)) for r in range(1, K + 2)]).first()
@@ -289,7 +301,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     lost = sum((F.col(f"t{r}") * float(r * (1 - model.pairs[r])) for r in range(1, K + 1)), F.lit(0.0))
     alpha = ((lost + 1) / (F.col("n") + 1)) / (1 - F.col("s") / float(tokens + 1))
     unseen = pairs.filter("kind = 2").select("batch", "at", "b").join(contexts.select("b", alpha.alias("alpha")), "b", "left")
-    batches = rows.select("doc_id", "text").mapInArrow(_hold(parts, hot.view(_U)), "batch long, at long, ids array<long>, sizes array<int>, tok array<int>")
+    batches = rows.select("doc_id", "text").mapInArrow(_hold(parts, hot.view(_U)), "batch long, at long, ids array<long>, sizes binary, tok binary")
 
     names = [f.split(" ")[0] for f in _HELD.split(", ")]
     fit = lambda df, kind: df.withColumn("kind", F.lit(kind)).select(*[c if c in (*df.columns, "kind") else F.lit(None).cast(t).alias(c) for c, t in (f.split(" ") for f in _HELD.split(", "))])

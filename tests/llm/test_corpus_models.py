@@ -136,9 +136,14 @@ def test_katz_odd_rows(spark, odd, none):
     assert [(r.train_tokens, r.n_known, r.n_tokens, r.score, r.base_score) for r in only] == [(0, 0, 3, 0.0, 0.0)]
 
 
+def test_katz_packed_numbers():
+    for x in ([], [0], [3, 255], [256, 1], [70_000], [2**40, 0], [2**64 - 1, 7]):
+        assert katz.unpack(katz.pack(np.array(x, np.uint64))).tolist() == x
+
+
 def test_katz_refuses_other_batches():
-    t = katz._rows(katz._HELD, 1, kind=pa.array([0]), batch=pa.array([0]), at=pa.array([3]), ids=pa.array([[1]]), sizes=pa.array([[2]]), tok=pa.array([[0, 1]]))
-    a = katz._rows(katz._HELD, 1, kind=pa.array([1]), batch=pa.array([0]), at=pa.array([0]), ns=pa.array([[1, 1]]), cs=pa.array([[1, 1]]), runs=pa.array([[1, 1]]))
+    t = katz._rows(katz._HELD, 1, kind=pa.array([0]), batch=pa.array([0]), at=pa.array([3]), ids=pa.array([[1]]), sizes=pa.array([katz.pack(np.array([2]))]), tok=pa.array([katz.pack(np.array([0, 1]))]))
+    a = katz._rows(katz._HELD, 1, kind=pa.array([1]), batch=pa.array([0]), at=pa.array([0]), **{c: pa.array([katz.pack(np.array([1, 1]))]) for c in ("ns", "cs", "runs")})
     with pytest.raises(ValueError, match="not read as before"):
         katz._score(katz.Model(2, 2, 1, np.ones(6), np.ones(6)))(pa.concat_tables([t, a]))
 
