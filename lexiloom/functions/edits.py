@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
-# fixed values: keyboard rows, vowels of edits, costs of edit classes
-ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
-VOWELS = "aeiou"
+# fixed values: keyboard rows of both layouts, vowels of edits, costs of edit classes
+LAYOUTS = (("qwertyuiop", "asdfghjkl", "zxcvbnm"), ("йцукенгшщзхъ", "фывапролджэ", "ячсмитьбю"))
+VOWELS = "aeiou" + "аеёиоуыэюя"
 COSTS = {
     "RepeatedAccidentalCharacter": 0.35,
     "AdjacentTransposition": 0.75,
@@ -21,15 +21,20 @@ COSTS = {
 
 
 def key_neighbours() -> dict[str, str]:
-    """Keys left, right, above and below each key, by column number."""
+    """Keys left, right, above and below each key of a layout, by column number."""
     out = {}
-    for r, row in enumerate(ROWS):
-        for c, key in enumerate(row):
-            near = {ROWS[y][x] for y, x in ((r, c - 1), (r, c + 1), (r - 1, c), (r + 1, c)) if 0 <= y < len(ROWS) and 0 <= x < len(ROWS[y])}
-            out[key] = "".join(sorted(near))
+    for rows in LAYOUTS:
+        for r, row in enumerate(rows):
+            for c, key in enumerate(row):
+                near = {rows[y][x] for y, x in ((r, c - 1), (r, c + 1), (r - 1, c), (r + 1, c)) if 0 <= y < len(rows) and 0 <= x < len(rows[y])}
+                out[key] = "".join(sorted(near))
     return out
 
 
+#: Every key followed by each of its neighbours, between bars.
+NEIGHBOUR_PAIRS = "|" + "".join(f"{k}{c}|" for k, v in key_neighbours().items() for c in v)
+
+
 def _cut(w: Column, i: Column, drop: int, put: Column | None = None) -> Column:
     """w without ``drop`` characters after the first i, and with ``put`` in their place."""
     parts = [w.substr(F.lit(1), i), *([put] if put is not None else []), w.substr(i + 1 + drop, F.length(w))]
@@ -134,9 +139,7 @@ def classify_edit(observed: Column, source: Column) -> Column:
     n, m = F.length(observed), F.length(source)
     i = first_difference(observed, source)
     was, now = source.substr(i, F.lit(1)), observed.substr(i, F.lit(1))
-    near = F.lit(False)
-    for k, v in key_neighbours().items():
-        near = near | ((was == k) & now.isin(*v))
+    near = F.lit(NEIGHBOUR_PAIRS).contains(F.concat(F.lit("|"), was, now, F.lit("|")))
     vowels = was.isin(*VOWELS) & now.isin(*VOWELS)
     one = (n == m) & (hamming(observed, source) == 1)
     return (

@@ -71,14 +71,14 @@ def _unbeaten(band: str) -> Column:
     return F.filter(band, lambda s: ~F.exists(band, lambda o: (o["word"] != s["word"]) & clear_winner(o, s)))
 
 
-def classify_mutations(sources: DataFrame) -> DataFrame:
+def classify_mutations(sources: DataFrame, keep: bool = False) -> DataFrame:
     """token, n_sources, n_band, class, target: the target is the one source of a token's apply band that no other beats, if it beats
-    every other. The array of a token is bounded by its one-edit neighbours."""
+    every other. The array of a token is bounded by its one-edit neighbours. ``keep`` adds all its sources as an array."""
     kept = F.collect_list(F.when(F.col("in_band"), F.struct("word", "cost", "freq", "operation")))
-    found = apply_bands(sources).groupBy("token").agg(F.count(F.lit(1)).alias("n_sources"), F.count_if("in_band").alias("n_band"), kept.alias("band"))
+    found = apply_bands(sources).groupBy("token").agg(F.count(F.lit(1)).alias("n_sources"), F.count_if("in_band").alias("n_band"), kept.alias("band"), *([F.collect_list(F.struct("word", "operation", "cost", "freq")).alias("sources")] if keep else []))
     found = found.withColumn("unbeaten", _unbeaten("band")).withColumn("best", F.get("unbeaten", F.lit(0)))
     unique = (F.size("unbeaten") == 1) & F.forall("band", lambda s: (s["word"] == F.col("best.word")) | clear_winner(F.col("best"), s))
-    return found.select("token", "n_sources", "n_band", F.when(unique, "Unique").otherwise("Ambiguous").alias("class"), F.when(unique, F.col("best.word")).alias("target"))
+    return found.select("token", "n_sources", "n_band", F.when(unique, "Unique").otherwise("Ambiguous").alias("class"), F.when(unique, F.col("best.word")).alias("target"), *(["sources"] if keep else []))
 
 
 def skyline(sources: DataFrame) -> DataFrame:

@@ -107,6 +107,18 @@ def competes(w: Column, p: Column) -> Column:
     return (p["word"] != w["word"]) & (p["freq"] >= RIVAL_FREQ) & (p["cost"] <= w["cost"] + RIVAL_BAND)
 
 
+def has_rival(w: Column, sources: Column) -> Column:
+    """Whether a rule finds a rival of w among an array of sources."""
+
+    def beaten(p: Column) -> Column:
+        found = F.lit(False)
+        for rule in PEERS.values():
+            found = found | rule(w, p)
+        return competes(w, p) & found
+
+    return F.exists(sources, beaten)
+
+
 def rival_rules(sources: DataFrame, winners: DataFrame) -> DataFrame:
     """token, rule, n: how many rivals of a token's winner each rule finds. winners(token, target). An equi-join on the token; its
     sources are bounded by one-edit neighbours."""

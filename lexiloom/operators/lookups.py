@@ -40,6 +40,11 @@ def _map(values: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for x in chain.from_iterable(values.items())])
 
 
+def slip_map(language: str) -> Column:
+    """The common slips of a language and their words."""
+    return _map(COMMON_SLIPS[language])
+
+
 def token_language(token: Column) -> Column:
     """en or ru by the letters of the token alone; null if they are of both scripts, of others, or if there are none."""
     kind = T.script(F.regexp_replace(token, r"[^\p{L}]", ""))
@@ -48,7 +53,7 @@ def token_language(token: Column) -> Column:
 
 def common_slips(tokens: DataFrame, lexicon: DataFrame, language: str = "en") -> DataFrame:
     """token, word: tokens that are a common slip of the language whose word the lexicon has."""
-    found = tokens.select("token", F.try_element_at(_map(COMMON_SLIPS[language]), F.lower("token")).alias("word")).filter("word is not null")
+    found = tokens.select("token", F.try_element_at(slip_map(language), F.lower("token")).alias("word")).filter("word is not null")
     return found.join(lexicon.select("word"), "word", "left_semi").select("token", "word")
 
 

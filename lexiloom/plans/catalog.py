@@ -49,13 +49,13 @@ _EN = T.EN_KEYS.replace("'", "''")
 _RU = T.RU_KEYS.replace("'", "''")
 _RARE = "rare AS (SELECT word AS token FROM counts WHERE n < 5 AND length(word) >= 3), long AS (SELECT * FROM lex WHERE length(word) >= 2)"
 _NEAR = "near AS (SELECT token, word, freq, n FROM rare JOIN long ON abs(length(token) - length(word)) <= 1 AND token <> word AND damerau_levenshtein(token, word) = 1)"
-_ADJ = " OR ".join(f"(was = '{k}' AND strpos('{v}', now) > 0)" for k, v in E.key_neighbours().items())
+_ADJ = f"strpos('{E.NEIGHBOUR_PAIRS}', '|' || was || now || '|') > 0"
 _KIND = f"""kind AS (
     SELECT token, word, freq, CASE
         WHEN length(token) = length(word) + 1 AND len(list_filter(range(1, length(token)), lambda i: token[i] = token[i + 1] AND token[:i - 1] || token[i + 1:] = word)) > 0 THEN 'RepeatedAccidentalCharacter'
-        WHEN length(token) = length(word) AND levenshtein(token, word) = 2 THEN 'AdjacentTransposition'
+        WHEN length(token) = length(word) AND token[i + 1] <> word[i + 1] THEN 'AdjacentTransposition'
         WHEN length(token) = length(word) AND ({_ADJ}) THEN 'AdjacentKeySubstitution'
-        WHEN length(token) = length(word) AND strpos('aeiou', was) > 0 AND strpos('aeiou', now) > 0 THEN 'VowelSubstitution'
+        WHEN length(token) = length(word) AND strpos('{E.VOWELS}', was) > 0 AND strpos('{E.VOWELS}', now) > 0 THEN 'VowelSubstitution'
         WHEN length(token) = length(word) THEN 'GeneralSubstitution'
         WHEN length(token) > length(word) THEN 'ExtraCharacter' ELSE 'MissingCharacter' END AS operation
     FROM (SELECT *, token[i] AS now, word[i] AS was FROM (SELECT *, list_min(list_filter(range(1, length(token) + 1), lambda i: token[i] <> word[i])) AS i FROM near))),
