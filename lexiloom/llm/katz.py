@@ -31,9 +31,9 @@ from lexiloom.llm.textkernel import mix, slices, string_buffers, word_bounds, wo
 FOLDS, HELD_OUT = 7, 2
 #: Counts up to this are discounted.
 K = 5
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 6 << 20
 #: Training tokens of a part. Words with more than 1 / HOT of all tokens (fewer than HOT of them) are dealt by pairs.
-PART_TOKENS, LEAST_PARTS, HOT = 3_000_000, 8, 64
+PART_TOKENS, LEAST_PARTS, HOT = 1_500_000, 8, 64
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
 #: The end of a text, and the mark before its first word.
