@@ -20,7 +20,7 @@ from lexiloom.operators import lookups as K
 from lexiloom.operators import punctuation as P
 from lexiloom.operators import sessions as N
 from lexiloom.operators import spelling as L
-from lexiloom.plans import catalog
+from lexiloom.plans import catalog, forms, guarded, ranked, spelled  # noqa: F401  these add their queries to the catalog
 from lexiloom.plans.decisions import decide
 from lexiloom.operators import events as V
 from lexiloom.sources import tables as S
