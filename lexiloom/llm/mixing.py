@@ -90,8 +90,8 @@ def size_plan(groups: DataFrame) -> DataFrame:
     start = lambda left: F.struct(left.alias("left"), some.alias("rows"))
     plan = workspace.materialize(sizes.select("src", F.aggregate("sizes", start(F.lit(0.0)), diffuse).alias("got")), "diffused")
     plan = workspace.materialize(plan.select("src", F.aggregate("got.rows", start(F.col("got.left")), fill).alias("got")), "filled")
-    least = F.array_min(F.transform(F.filter("got.rows", lambda d: d["wanted"] < d["n"]), lambda d: d["size"]))
-    rows = plan.select("src", F.col("got.left").alias("left"), least.alias("least"), F.explode("got.rows").alias("d"))
+    rows = plan.select("src", F.col("got.left").alias("left"), F.explode("got.rows").alias("d"))
+    rows = rows.withColumn("least", F.min(F.when(F.col("d.wanted") < F.col("d.n"), F.col("d.size"))).over(Window.partitionBy("src")))
     last = F.coalesce((F.col("d.size") == F.col("least")) & (F.col("d.size") < 2 * F.col("left")), F.lit(False)).cast("long")
     return rows.select("src", "d.size", "d.n", (F.col("d.wanted") + last).alias("wanted"))
 
