@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.sources.shared import base_dir
+from lexiloom.sources.shared import stored
 
 #: Digests that one digest of the next level covers.
 CHUNK = 4096
 _OFFSET = 33  # of the partition in monotonically_increasing_id
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
-    path = f"{base_dir(spark)}/lexiloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def row_digest(columns: list[str]) -> Column:
     """SHA-256 of a row's values as strings; null is told apart from every string."""
     cell = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
@@ -33,8 +24,9 @@ def ranked(df: DataFrame, order: list[str]) -> DataFrame:
     Rows are dealt by range and sorted within partitions; a partition's first rank comes from the counts of those before it, one number
     a partition. Only rows that are equal in all columns can change places."""
     key = [F.col(c) for c in order] + [F.col("_digest")]
-    rows = df.withColumn("_digest", row_digest(df.columns)).repartitionByRange(*key).sortWithinPartitions(*key)
-    rows = _stored(rows.withColumn("_id", F.monotonically_increasing_id()), "ranked")
+    rows = stored(df.withColumn("_digest", row_digest(df.columns)), "rows")  # dealing by range reads the rows twice
+    rows = rows.repartitionByRange(*key).sortWithinPartitions(*key)
+    rows = stored(rows.withColumn("_id", F.monotonically_increasing_id()), "ranked")
     part = F.shiftright("_id", _OFFSET)
     counts = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_first"))
@@ -55,6 +47,6 @@ def fingerprint(df: DataFrame, order: list[str], chunk: int = CHUNK) -> DataFram
         n = -(-n // chunk)
         if n <= 1:
             break
-        level = _stored(level, "digests")
+        level = stored(level, "digests")
     found = level.agg(F.max("digest").alias("digest"))
     return found.select(F.lit(rows).cast("long").alias("rows"), F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("digest"))
