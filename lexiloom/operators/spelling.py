@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import edits as E
+from lexiloom.operators import candidates as C
+from lexiloom.sources.shared import spread, stored
 
 FARTHEST = 2
 
@@ -19,16 +21,29 @@ def near_distance(a: Column, b: Column) -> Column:
 
 def two_edit_candidates(tokens: DataFrame, lexicon: DataFrame, k: int = 16) -> DataFrame:
     """token, word, freq, distance, n, rank: the nearest words of each token within two edits, n of them, and the k most
-    frequent of these. tokens(token) must be distinct; lexicon(word, freq). Both sides meet on what is left of them after
-    up to two deletions, and meetings are then verified."""
-    once = lambda c: F.array_distinct(F.concat(F.array(c), E.deletions(c)))
-    keys = lambda df, c: df.select("*", F.explode(F.array_distinct(F.flatten(F.transform(once(F.col(c)), once)))).alias("key"))
-    close = F.abs(F.length("token") - F.length("word")) <= FARTHEST
-    met = keys(tokens.select("token"), "token").join(keys(lexicon.select("word", "freq"), "word"), "key").filter(close & (F.col("token") != F.col("word")))
-    met = met.select("token", "word", "freq").distinct().filter(F.levenshtein("token", "word") <= 2 * FARTHEST)
-    found = met.withColumn("distance", near_distance(F.col("token"), F.col("word")).cast("long")).filter(F.col("distance") <= FARTHEST)
+    frequent of these. tokens(token) must be distinct; lexicon(word, freq). Tokens with a word one edit away need no farther ones. The others meet
+    words on what is left of both after up to two deletions, two on one side at least: what is left after one deletion of both is still the same
+    after another. Meetings are verified where they happen, the costly test for swaps only where plain edits leave it open."""
+    tokens, lexicon = stored(tokens.select("token"), "tokens"), stored(lexicon.select("word", "freq"), "lexicon")
+    near = stored(C.one_edit_pairs(tokens, lexicon, ("freq",)), "near")
+    rest = tokens.join(near.select("token").distinct(), "token", "left_anti")
+
+    def keys(df: DataFrame, c: str) -> DataFrame:
+        once = F.array_distinct(E.deletions(F.col(c)))
+        left = (F.array(F.col(c)), once, F.array_distinct(F.flatten(F.transform(once, E.deletions))))
+        marked = lambda values, d: F.transform(values, lambda v: F.struct(F.lit(d).alias("d"), v.alias("key")))
+        made = [marked(x, d) for d, x in enumerate(left)]
+        return df.select("*", F.explode(F.concat(*made)).alias("s")).select(*df.columns, F.col("s.d").alias(f"{c}_d"), F.col("s.key").alias("key"))
+
+    met = keys(spread(rest, "token"), "token").join(keys(spread(lexicon, "word"), "word"), "key").filter((F.greatest("token_d", "word_d") == FARTHEST) & (F.col("token") != F.col("word")))
+    met = met.select("token", "word", "freq", F.levenshtein("token", "word", 2 * FARTHEST).alias("plain"))
+    # two swaps keep all letters, and are four plain edits; one swap and an edit are three
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    swaps = (F.col("plain") == 3) | ((F.col("plain") == 4) & (F.length("token") == F.length("word")) & (letters("token") == letters("word")))
+    met = met.filter((F.col("plain") == FARTHEST) | swaps).distinct()
+    far = met.filter((F.col("plain") == FARTHEST) | (near_distance(F.col("token"), F.col("word")) == FARTHEST))
+    found = near.withColumn("distance", F.lit(1).cast("long")).unionByName(far.select("token", "word", "freq", F.lit(FARTHEST).cast("long").alias("distance")))
     one = Window.partitionBy("token")
-    found = found.withColumn("least", F.min("distance").over(one)).filter("distance = least").drop("least")
     found = found.withColumn("n", F.count(F.lit(1)).over(one)).withColumn("rank", F.row_number().over(one.orderBy(F.desc("freq"), "word")).cast("long"))
     return found.filter(F.col("rank") <= k)
 
