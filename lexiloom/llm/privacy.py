@@ -1,9 +1,10 @@
 """Personal data: base patterns over whole texts, and spans that the sequence tagger adds.
 
-Every region around a digit, an at sign or a spelled-out one (``at`` and ``dot`` in brackets, ``dot`` as a word) is covered by
-overlapping windows; ``regions=False`` reads whole texts instead. Windows are decoded apart and reconciled over the region: each span
-is judged by the window that sees most context around it, then spans are taken best first
-without overlap. An added span must also look like its kind and lie clear of all base spans.
+Overlapping windows cover the whole of every text. They are decoded apart and reconciled over the text: each span is judged by the window
+that sees most context around it, then spans are taken best first without overlap. An added span must also look like its kind and lie
+clear of all base spans. What an added span must hold (nine digits, four numbers, or a whole address) is looked for in every window first: one
+that does not hold it cannot add a span, whatever the tagger says, and is not decoded. The spans are those of decoding
+all windows, which ``regions=False`` does.
 """
 
 from __future__ import annotations
@@ -25,8 +26,6 @@ _HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9]){15,}")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]+|[(\[]at[)\]]|\bdot\b", re.I)
-_AROUND = 40
 _ROWS = 256
 
 Span = tuple[str, int, int]
@@ -83,15 +82,14 @@ def _plausible(kind: str, s: str) -> bool:
     return 9 <= len(d) <= 15 and len(numbers) >= 2 and not re.search(r"[^\s0-9().+/-]", s)
 
 
-def _regions(text: str) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - _AROUND), min(len(text), m.end() + _AROUND)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+_SIGN = re.compile(r"[0-9@]|[(\[]at[)\]]|\sat\s", re.I)
+
+
+def may_hold(s: str) -> bool:
+    """False only if no part of s is ``_plausible`` as any kind: cards have 13 digits, telephone numbers nine, addresses of hosts four numbers."""
+    if _SIGN.search(s) is None:
+        return False
+    return len(_only_digits(s)) >= 9 or len(re.findall(r"[0-9]+", s)) >= 4 or _MAIL.search(s) is not None
 
 
 def _windows(a: int, b: int) -> list[tuple[int, int]]:
@@ -117,7 +115,7 @@ def _reconcile(text: str, base: list[Span], found: list[tuple[int, Span]]) -> li
 
 
 def find_spans(texts: list[str], model: dict, tagger_rows: int = _ROWS, regions: bool = True) -> list[tuple[list[Span], list[Span]]]:
-    """(base, all) spans of each text; all are ordered by kind, then start."""
+    """(base, all) spans of each text; all are ordered by kind, then start. ``regions`` leaves windows undecoded that cannot hold an added span."""
     base = [base_spans(t) for t in texts]
     found: list[list[tuple[int, Span]]] = [[] for _ in texts]
     queue: list[tuple[int, int, int, int, int]] = []
@@ -128,15 +126,15 @@ def find_spans(texts: list[str], model: dict, tagger_rows: int = _ROWS, regions:
             x[r, : e - s] = codes(texts[i][s:e])
         for (i, s, e, a, b), tags in zip(queue, decode(model, x), strict=True):
             for kind, p, q in tag_spans(tags[: e - s]):
-                # a window end inside a text region hides context; the region's own ends do not
+                # a window end inside a text hides context; the text's own ends do not
                 room = min(p if s > a else WINDOW, e - s - q if e < b else WINDOW)
                 found[i].append((room, (kind, s + p, s + q)))
         queue.clear()
 
     for i, text in enumerate(texts):
-        for a, b in _regions(text) if regions else [(0, len(text))]:
-            for s, e in _windows(a, b):
-                queue.append((i, s, e, a, b))
+        for s, e in _windows(0, len(text)):
+            if not regions or may_hold(text[s:e]):
+                queue.append((i, s, e, 0, len(text)))
                 if len(queue) == tagger_rows:
                     flush()
     if queue:

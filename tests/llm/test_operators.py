@@ -365,6 +365,14 @@ def test_regions_lose_no_span_of_whole_texts():
     assert len(found(whole) - found(near)) <= 0.05 * len(found(whole)) and found(whole)
 
 
+def test_undecoded_windows_hold_no_span():
+    rng = random.Random(79)
+    texts = [prose(rng.randint(20, 200), rng) + " " + tagger.labelled_window(rng)[0] + " write to maria at example.com " + prose(rng.randint(20, 200), rng) for _ in range(20)]
+    model = tagger.train()
+    assert privacy.find_spans(texts, model) == privacy.find_spans(texts, model, regions=False)
+    assert all(privacy.may_hold(x) for x in ("maria at example.com", "1.2.3.4", "+1 234 56789")) and not privacy.may_hold("12 of 345 at home")
+
+
 def test_weights_are_kept_in_the_shared_folder(spark, monkeypatch):
     first = privacy.saved_model(spark)
     monkeypatch.setattr(privacy, "train", None)
