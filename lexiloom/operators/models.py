@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
+from lexiloom.sources.shared import stored
 
 START = "^"
 
@@ -40,6 +41,22 @@ def continue_contexts(contexts: DataFrame, bi: DataFrame, tri: DataFrame) -> Dat
     return contexts.join(t, ["w1", "w2"], "left").join(b, "w2", "left").select("w1", "w2", F.coalesce("t_best", "b_best").alias("best"), F.when(F.col("t_best").isNotNull(), 3).when(F.col("b_best").isNotNull(), 2).cast("long").alias("order"))
 
 
+def continuations(documents: DataFrame, least: int) -> DataFrame:
+    """w1, w2, best, order for every pair of words in a row: as ``continue_contexts`` over the models of the same texts, in one pass.
+
+    The runs of three words, with none after a text's last word, give the counts of pairs, too: their sum over third words."""
+    words = documents.select(F.transform(T.words(F.col("text")), F.lower).alias("ws"))
+    runs = F.transform(F.slice("ws", 2, F.size("ws")), lambda w, i: F.struct(F.get("ws", i).alias("w1"), w.alias("w2"), F.get("ws", i + 2).alias("w3")))
+    tri = words.filter(F.size("ws") >= 2).select(F.explode(runs).alias("r")).select("r.*").groupBy("w1", "w2", "w3").agg(F.count(F.lit(1)).alias("n"))
+    known = F.col("w3").isNotNull()
+    best = F.min(F.when(known, F.struct((-F.col("n")).alias("m"), F.col("w3").alias("w"))))
+    pairs = tri.groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.sum(F.when(known, F.col("n"))).alias("total"), best.alias("b"))
+    pairs = stored(pairs.select("w1", "w2", "n", F.when(F.col("total") >= least, F.col("b.w")).alias("t_best")), "pairs")
+    bi = best_continuations(pairs, ["w1"], "w2", least).select(F.col("w1").alias("w2"), F.col("best").alias("b_best"))
+    order = F.when(F.col("t_best").isNotNull(), 3).when(F.col("b_best").isNotNull(), 2).cast("long").alias("order")
+    return pairs.join(bi, "w2", "left").select("w1", "w2", F.coalesce("t_best", "b_best").alias("best"), order)
+
+
 def prefix_counts(lexicon: DataFrame, longest: int = 10) -> DataFrame:
     """prefix, n: distinct words with each prefix of up to ``longest`` letters."""
     sizes = F.sequence(F.lit(1), F.least(F.length("word"), F.lit(longest)))
