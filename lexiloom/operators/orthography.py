@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import edits as E
 from lexiloom.functions import text as T
 from lexiloom.operators import candidates as C
+from lexiloom.sources.shared import spread, stored
 
 # fixed values: letters, consonants that are often doubled, consonants and vowels, spellings that are never right, vowels taken for one another, endings
 ALPHABET = "абвгдеёжзийклмнопрстуфхцчшщъыьэюя"
@@ -123,6 +124,10 @@ FAMILIES = {
 }
 
 
+#: The families without insertions.
+SHORT_FAMILIES = {f: x for f, x in FAMILIES.items() if f not in ("insertion", "shape")} | {"shape": lambda w: F.array_distinct(F.concat(swaps(w), E.repeat_cleanups(w)))}
+
+
 def variants(tokens: DataFrame, families: tuple[str, ...] = tuple(FAMILIES)) -> DataFrame:
     """token, family, variant: every distinct variant of each token, lower-cased, by family."""
     w = F.lower("token")
@@ -130,6 +135,15 @@ def variants(tokens: DataFrame, families: tuple[str, ...] = tuple(FAMILIES)) ->
     return rows.select("token", "f.family", F.explode("f.made").alias("variant"))
 
 
+def inserted(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """token, variant, freq: the words of ``words(word, freq)`` among the ``insertions`` of each token: those that leave the token when one of
+    their letters of the alphabet goes. The words' deletions meet the tokens, so that no insertion is written out."""
+    w = F.col("word")
+    cut = F.transform(F.filter(_starts(w), lambda i: F.lit(ALPHABET).contains(_at(w, i)) & (_at(w, i) != "")), lambda i: _join(w, i, 1, F.lit("")))
+    keys = words.select(w.alias("variant"), "freq", F.explode(F.array_distinct(cut)).alias("low"))
+    return tokens.select("token", F.lower("token").alias("low")).join(keys, "low").select("token", "variant", "freq")
+
+
 def _doubles(token: Column, v: Column) -> Column:
     """Whether v has a doubled consonant that the token lacks, alone or beside one soft sign more."""
     cut = F.transform(F.filter(_starts(v), lambda i: (_at(v, i) == _at(v, i + 1)) & _at(v, i).isin(*CONSONANTS)), lambda i: _join(v, i, 1, F.lit("")))
@@ -193,10 +207,17 @@ def corrections(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
 
     Known words, null tokens and those of fewer than three letters have none. A token with a spelling that is never right is left to the first family.
     """
-    words = C.sized(dictionary.select(T.lookup_key(F.col("word")).alias("word"), "freq").groupBy("word").agg(F.max("freq").alias("freq")))
+    words = C.sized(stored(dictionary.select(T.lookup_key(F.col("word")).alias("word"), "freq").groupBy("word").agg(F.max("freq").alias("freq")), "words"))
     rows = tokens.filter(F.length("token") >= 3).select("token", F.lower("token").alias("low")).distinct()
     open_ = rows.join(words.select(F.col("word").alias("low")), "low", "left_anti")
-    met = variants(open_.select("token")).join(words.withColumnRenamed("word", "variant"), "variant").withColumn("low", F.lower("token"))
+    open_ = stored(open_.select("token"), "open")
+    # insertions, a family and part of another, come from the words' side; the rest is written out and looked up
+    made = [F.struct(F.lit(f).alias("family"), x.alias("made")) for f, x in ((f, SHORT_FAMILIES[f](F.lower("token"))) for f in SHORT_FAMILIES)]
+    rest = spread(open_, "token").select("token", F.explode(F.array(*made)).alias("f")).select("token", "f.family", F.explode("f.made").alias("variant"))
+    rest = rest.join(words.withColumnRenamed("word", "variant"), "variant").select("token", "family", "variant", "freq")
+    longer = inserted(open_, words).select("token", F.explode(F.array(F.lit("insertion"), F.lit("shape"))).alias("family"), "variant", "freq")
+    # a swap or a cleanup has not the length of an insertion, so that no variant comes both ways
+    met = rest.unionByName(longer).withColumn("low", F.lower("token"))
     low, v = F.col("low"), F.col("variant")
     facts = F.struct((-F.col("freq")).alias("order"), v.alias("word"), "freq", F.when(F.col("family") == "vowel", _changes(low, v)).alias("changes"), F.when(F.col("family") == "structure", _signals(low, v)).alias("signals"),
         F.when(F.col("family") == "structure", _doubles(low, v) & _softens(low, v)).alias("both"))

@@ -10,6 +10,7 @@ from lexiloom.operators import orthography as O
 from lexiloom.plans import catalog as Q
 from lexiloom.plans.catalog import _query
 from lexiloom.sources import tables as S
+from lexiloom.sources.shared import stored
 
 
 def _french(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +74,7 @@ def orthography_variants(spark, sf_dir):
 @_query()
 def orthography_corrections(spark, sf_dir):
     """What the families make of words with one vowel taken for another, a letter doubled, or two swapped."""
-    lex = _french(spark, sf_dir).cache()
+    lex = stored(_french(spark, sf_dir), "french")
     w = F.col("word")
     made = F.array_distinct(F.concat(O.vowel_changes(w), O.doubled_consonants(w), O.swaps(w)))
     return O.corrections(lex.select(F.explode(made).alias("token")).distinct(), lex)
