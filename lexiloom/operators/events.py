@@ -36,14 +36,15 @@ def double_taps(events: DataFrame, gap_ms: int) -> DataFrame:
     return events.withColumn("gap_ms", gap).filter(F.col("gap_ms") <= gap_ms).select("event_id", "gap_ms")
 
 
-def language_votes(tokens: DataFrame, script: Column, frame: int = 8, before: bool = False) -> DataFrame:
-    """doc_id, pos, en, ru, dominant over the last ``frame`` tokens (those before a token, if ``before``): a lead of two, or a majority of three."""
+def language_votes(tokens: DataFrame, script: Column, frame: int = 8, before: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, pos, en, ru, dominant over the last ``frame`` tokens (those before a token, if ``before``): a lead of two, or a majority of three.
+    Columns ``keep`` of the tokens stay with them."""
     over = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(1 - frame - before, -int(before))
     t = tokens.withColumn("s", script)
     t = t.withColumn("en", F.count_if(F.col("s") == "Latin").over(over)).withColumn("ru", F.count_if(F.col("s") == "Cyrillic").over(over))
     en, ru = F.col("en"), F.col("ru")
     dominant = F.when(ru >= F.greatest(en + 2, F.lit(2)), "ru").when(en >= F.greatest(ru + 2, F.lit(2)), "en").when((ru > en) & (ru >= 3), "ru").when((en > ru) & (en >= 3), "en")
-    return t.select("doc_id", "pos", "en", "ru", dominant.alias("dominant"))
+    return t.select("doc_id", "pos", *keep, "en", "ru", dominant.alias("dominant"))
 
 
 def safety_state(context: DataFrame, excluded: DataFrame) -> DataFrame:
@@ -88,12 +89,13 @@ def match_snippets(requests: DataFrame, snippets: DataFrame) -> DataFrame:
 def context_layout(tokens: DataFrame, lexicon: DataFrame, boost: float = 0.12) -> DataFrame:
     """doc_id, pos, candidate, confidence: Cyrillic tokens of ``tokens(doc_id, pos, token)`` that are words of ``lexicon(word, freq)``
     on the other layout, where the tokens before them speak for English."""
-    votes = language_votes(tokens, T.script(F.col("token")), before=True)
-    asked = votes.filter("dominant = 'en' or (en >= 1 and ru = 0)").select("doc_id", "pos")
-    typed = tokens.filter(T.script(F.col("token")) == "Cyrillic").withColumn("candidate", T.to_english_layout(F.col("token")))
+    # the token stays with its votes, so that rows are dealt once, and only those that are asked for meet the lexicon
+    votes = language_votes(tokens.withColumn("script", T.script(F.col("token"))), F.col("script"), before=True, keep=("token", "script"))
+    asked = votes.filter("script = 'Cyrillic' and (dominant = 'en' or (en >= 1 and ru = 0))")
+    typed = asked.select("doc_id", "pos", T.to_english_layout(F.col("token")).alias("candidate"))
     found = typed.join(sized(lexicon.select(F.col("word").alias("key"), "freq")), F.lower("candidate") == F.col("key"))
     confidence = F.greatest(F.lit(0.0), F.least(F.lit(0.97), 0.78 + F.col("freq") * 0.18 + boost))
-    return found.join(asked, ["doc_id", "pos"]).select("doc_id", "pos", "candidate", confidence.alias("confidence"))
+    return found.select("doc_id", "pos", "candidate", confidence.alias("confidence"))
 
 
 def duplicate_snippets(snippets: DataFrame) -> DataFrame:
