@@ -24,7 +24,7 @@ def recovery(slips: DataFrame, lexicon: DataFrame, classify=C.classify_mutations
     """slip, outcome, n: whether the intended word is the unique target of its mutation."""
     known = lexicon.select(F.col("word").alias("known"))
     open_ = slips.select(F.col("mutation").alias("token")).distinct().join(C.sized(known), F.col("token") == F.col("known"), "left_anti")
-    found = classify(C.mutation_sources(C.one_edit_pairs(open_, lexicon), lexicon)).select("token", "class", "target")
+    found = classify(C.mutation_sources(C.one_edit_pairs(open_, lexicon, ("freq",)), lexicon)).select("token", "class", "target")
     out = slips.join(found, F.col("mutation") == F.col("token"), "left").join(C.sized(known), F.col("mutation") == F.col("known"), "left")
     outcome = (
         F.when(F.col("known").isNotNull(), "valid_word").when(F.col("class").isNull(), "no_source").when(F.col("class") == "Ambiguous", "ambiguous")

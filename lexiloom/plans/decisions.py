@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
 from lexiloom.operators import candidates as C
+from lexiloom.sources.shared import stored
 
 
 def decide(tokens: DataFrame, lexicon: DataFrame, apply_at: float = 0.70, classify=C.classify_mutations) -> DataFrame:
@@ -15,11 +16,14 @@ def decide(tokens: DataFrame, lexicon: DataFrame, apply_at: float = 0.70, classi
     In order: protected tokens and known words stay; a unique one-edit target that is frequent enough is applied; several
     near targets wait; tokens without a source stay.
     """
+    # stored: else the texts are read for each use, and tests for protected tokens run on every occurrence
+    lexicon, tokens = stored(lexicon.select("word", "freq"), "lexicon"), stored(tokens, "tokens")
     known = lexicon.select(F.col("word").alias("known"))
     low = tokens.withColumn("low", F.lower("token"))
     marked = low.join(C.sized(known), F.col("low") == F.col("known"), "left").withColumn("protected", T.is_protected(F.col("token")))
+    marked = stored(marked, "marked")
     open_ = marked.filter("not protected and known is null and length(token) >= 3").select(F.col("low").alias("token")).distinct()
-    found = classify(C.mutation_sources(C.one_edit_pairs(open_, lexicon), lexicon))
+    found = classify(C.mutation_sources(C.one_edit_pairs(open_, lexicon, ("freq",)), lexicon))
     found = found.join(C.sized(lexicon.select(F.col("word").alias("target"), F.col("freq").alias("f"))), "target", "left")
     out = marked.join(found.withColumnRenamed("token", "low"), "low", "left")
     decision = (
