@@ -11,8 +11,8 @@ follows a mark, its last token is an end.
 
 Every pair of the training texts is counted. Texts are read in batches of some megabytes; a batch knows its tokens by the numbers of its
 distinct pairs, and asks for each pair once, so that a frequent pair is one entry of a batch. Pairs are dealt by their second
-word (frequent second words by the pair), counted there over all batches, and the counts go back to the batches that asked. Each
-part also sums what its words add to the backoff weights of their contexts. Weights are looked up, by a shuffled join, for unseen pairs only.
+word (a word of many tokens to several parts, by the first word), counted there over all batches, and the counts go back to the
+batches that asked. Each part also sums what its words add to the backoff weights of their contexts. Weights are looked up, by a shuffled join, for unseen pairs only.
 """
 
 from __future__ import annotations
@@ -32,8 +32,9 @@ FOLDS, HELD_OUT = 7, 2
 #: Counts up to this are discounted.
 K = 5
 BATCH_BYTES = 6 << 20
-#: Training tokens of a part. Words with more than 1 / HOT of all tokens (fewer than HOT of them) are dealt by pairs.
-PART_TOKENS, LEAST_PARTS, HOT = 1_500_000, 8, 64
+#: Training tokens of a part. A word with more than 1 / SPLIT of these is dealt to a part for each such share of its tokens, so that
+#: what one word brings to a part does not grow with the input. Fewer than SPLIT words a part are split.
+PART_TOKENS, LEAST_PARTS, SPLIT = 1_500_000, 8, 4
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
 #: The end of a text, and the mark before its first word.
@@ -90,6 +91,50 @@ def _words(batches):
             yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n.astype(np.int64))], names=["w", "n"])
 
 
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and each value's number among them; as ``np.unique``, in half the memory."""
+    order = np.argsort(values)
+    ranked = values[order]
+    new = np.ones(len(values), bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    distinct = ranked[new]
+    del ranked
+    number = np.cumsum(new, dtype=np.uint32)
+    number -= np.uint32(1)
+    out = np.empty_like(number)
+    out[order] = number
+    return distinct, out
+
+
+@dataclass
+class Hot:
+    """The words that are dealt to several parts, in order, their training counts, and the number of shares of each."""
+
+    words: np.ndarray
+    counts: np.ndarray
+    shares: np.ndarray
+
+    def of(self, words: np.ndarray, values: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """The values of those of ``words`` that are hot, and what ``other`` holds for the rest."""
+        if not len(self.words):
+            return other
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, values[at], other)
+
+
+def hot_words(words: list[int], counts: list[int], parts: int) -> Hot:
+    """``words`` as signed numbers, with their training counts."""
+    w, n = np.array(words, np.int64).view(_U), np.array(counts, np.int64)
+    order = np.argsort(w)
+    return Hot(w[order], n[order], np.minimum(n[order] // (PART_TOKENS // SPLIT) + 1, parts).astype(_U))
+
+
+def dealt(c: np.ndarray, b: np.ndarray, parts: int, hot: Hot) -> np.ndarray:
+    """The part that counts each pair of second words ``c`` and first words ``b``."""
+    share = mix(b) % hot.of(c, hot.shares, np.ones(len(c), _U))
+    return (np.where(share > 0, mix(c + share * _ODD), c) % _U(parts)).astype(np.uint32)
+
+
 @dataclass
 class Batch:
     """A batch of texts: ``tok`` numbers its tokens' pairs in the order in which they are asked for, by part, second word, first word."""
@@ -103,24 +148,35 @@ class Batch:
     b: np.ndarray
 
 
-def _numbered(batches, parts: int, hot: np.ndarray):
-    """The same batches whenever the same rows are read."""
+def _batch(number: int, part: pa.RecordBatch, parts: int, hot: Hot) -> Batch:
+    c, offsets = _tokens(part)
+    vocabulary, ci = numbered(c)
+    del c
+    bi = np.empty_like(ci)
+    bi[1:] = ci[:-1]
+    bi[offsets[:-1]] = len(vocabulary)
+    key = ci * _U(len(vocabulary) + 1)
+    key += bi
+    del ci, bi
+    pair, tok = numbered(key)
+    del key
+    tc, tb = np.divmod(pair, _U(len(vocabulary) + 1))
+    del pair
+    c, b = vocabulary[tc], np.append(vocabulary, START)[tb]
+    del tc, tb
+    p = dealt(c, b, parts, hot)
+    order = np.argsort(p, kind="stable")
+    place = np.empty(len(order), np.uint32)
+    place[order] = np.arange(len(order), dtype=np.uint32)
+    return Batch(number, part, offsets, place[tok], p[order], c[order], b[order])
+
+
+def _numbered(batches, parts: int, hot: Hot):
+    """The same batches whenever the same rows are read. None is kept here while the next is made."""
     number = TaskContext.get().partitionId() << 32
     for batch in batches:
         for part in slices(batch, limit=BATCH_BYTES):
-            c, offsets = _tokens(part)
-            vocabulary, ci = np.unique(c, return_inverse=True)
-            bi = np.empty_like(ci)
-            bi[1:] = ci[:-1]
-            bi[offsets[:-1]] = len(vocabulary)
-            pair, tok = np.unique(ci * (len(vocabulary) + 1) + bi, return_inverse=True)
-            tc, tb = np.divmod(pair, len(vocabulary) + 1)
-            c, b = vocabulary[tc], np.append(vocabulary, START)[tb]
-            p = (np.where(np.isin(vocabulary, hot)[tc], mix(c * _ODD + b), c) % _U(parts)).astype(np.uint32)
-            order = np.argsort(p, kind="stable")
-            place = np.empty_like(order)
-            place[order] = np.arange(len(order))
-            yield Batch(number, part, offsets, place[tok], p[order], c[order], b[order])
+            yield _batch(number, part, parts, hot)
             number += 1
 
 
@@ -130,51 +186,54 @@ def pack(values: np.ndarray) -> bytes:
     return bytes([width]) + values.astype(f"<u{width}").tobytes()
 
 
-def unpack(cell: bytes) -> np.ndarray:
-    return np.frombuffer(cell, f"<u{cell[0]}", offset=1)
+def unpack(cell: bytes | pa.Buffer) -> np.ndarray:
+    """The numbers of a cell, which stay where they are."""
+    return np.frombuffer(cell, f"<u{memoryview(cell)[0]}", offset=1)
 
 
 def _packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.array([pack(values[i:j]) for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())
 
 
-def _ask(parts: int, hot: np.ndarray):
-    """A row for each batch and part: the second words, how many pairs each has, the first words, and training counts."""
+def _asked(x: Batch, parts: int) -> pa.RecordBatch:
+    """A row for each part: the second words, how many pairs each has, the first words, and training counts."""
+    counts = np.repeat(~x.part.column("held").to_numpy(zero_copy_only=False), np.diff(x.offsets))
+    n = np.bincount(x.tok[counts], minlength=len(x.c))
+    first = np.flatnonzero(np.diff(x.p, prepend=parts + 1))
+    run = np.flatnonzero((np.diff(x.p, prepend=parts + 1) != 0) | (x.c != np.append(x.c[:1] + _U(1), x.c[:-1])))
+    cuts, run_cuts = np.append(first, len(x.c)), np.append(np.searchsorted(run, first), len(run))
+    columns = [pa.array(x.p[first].astype(np.int32)), pa.array(np.full(len(first), x.number)), pa.array(first)]
+    columns += [_packed(x.c[run], run_cuts), _packed(np.diff(np.append(run, len(x.c))), run_cuts), _packed(x.b, cuts), _packed(n, cuts)]
+    return pa.RecordBatch.from_arrays(columns, names=["p", "batch", "at", "c", "runs", "b", "n"])
 
-    def run(batches):
-        for x in _numbered(batches, parts, hot):
-            counts = np.repeat(~x.part.column("held").to_numpy(zero_copy_only=False), np.diff(x.offsets))
-            n = np.bincount(x.tok[counts], minlength=len(x.c))
-            first = np.flatnonzero(np.diff(x.p, prepend=parts + 1))
-            run = np.flatnonzero((np.diff(x.p, prepend=parts + 1) != 0) | (x.c != np.append(x.c[:1] + _U(1), x.c[:-1])))
-            cuts, run_cuts = np.append(first, len(x.c)), np.append(np.searchsorted(run, first), len(run))
-            columns = [pa.array(x.p[first].astype(np.int32)), pa.array(np.full(len(first), x.number)), pa.array(first)]
-            columns += [_packed(x.c[run], run_cuts), _packed(np.diff(np.append(run, len(x.c))), run_cuts), _packed(x.b, cuts), _packed(n, cuts)]
-            yield pa.RecordBatch.from_arrays(columns, names=["p", "batch", "at", "c", "runs", "b", "n"])
 
-    return run
+def _held(x: Batch) -> pa.RecordBatch:
+    """A row: the texts' ids and sizes, and the tokens by number."""
+    ids = x.part.column("doc_id")
+    ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+    return pa.RecordBatch.from_arrays([pa.array([x.number]), pa.array([len(x.c)]), ids, pa.array([pack(np.diff(x.offsets))]), pa.array([pack(x.tok)])], names=["batch", "at", "ids", "sizes", "tok"])
 
 
-def _hold(parts: int, hot: np.ndarray):
-    """A row for each batch: its texts' ids and sizes, and its tokens by number."""
+def _ask(parts: int, hot: Hot):
+    return lambda batches: map(lambda x: _asked(x, parts), _numbered(batches, parts, hot))
 
-    def run(batches):
-        for x in _numbered(batches, parts, hot):
-            ids, sizes, tok = x.part.column("doc_id"), np.diff(x.offsets), x.tok
-            ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-            yield pa.RecordBatch.from_arrays([pa.array([x.number]), pa.array([len(x.c)]), ids, pa.array([pack(sizes)]), pa.array([pack(tok)])], names=["batch", "at", "ids", "sizes", "tok"])
 
-    return run
+def _hold(parts: int, hot: Hot):
+    return lambda batches: map(_held, _numbered(batches, parts, hot))
+
+
+def _cells(table: pa.Table, name: str) -> list[np.ndarray]:
+    return [unpack(x.as_buffer()) for x in table[name]]
 
 
 def _flat(table: pa.Table, name: str, kind=np.int64) -> np.ndarray:
     """The numbers of all rows' cells, one after the other."""
-    return np.concatenate([np.zeros(0, kind), *(unpack(x).astype(kind) for x in table[name].to_pylist())])
+    return np.concatenate([np.zeros(0, kind), *_cells(table, name)], dtype=kind, casting="unsafe")
 
 
 def _cuts(table: pa.Table, name: str) -> np.ndarray:
     """Where each row's cell begins in ``_flat``, and where the last ends."""
-    return np.append(0, np.cumsum([len(unpack(x)) for x in table[name].to_pylist()]))
+    return np.append(0, np.cumsum([len(x) for x in _cells(table, name)]))
 
 
 def _rows(schema: str, size: int, **columns) -> pa.Table:
@@ -184,42 +243,48 @@ def _rows(schema: str, size: int, **columns) -> pa.Table:
     return pa.table({name: columns[name].cast(kinds[kind]) if name in columns else pa.nulls(size, kinds[kind]) for name, kind in fields})
 
 
-def _count(words: np.ndarray, hot: np.ndarray, hot_counts: np.ndarray):
+def _count(words: np.ndarray, hot: Hot):
     """One part: counts for all who asked (kind 1), the unseen pairs (kind 2), and sums of contexts (kind 3)."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("batch", "ascending"), ("at", "ascending")])
-        c, runs, b, n = _flat(table, "c", _U), _flat(table, "runs"), _flat(table, "b", _U), _flat(table, "n")
         cuts = _cuts(table, "b")
-        of_c, c_at = np.unique(c, return_inverse=True)
-        of_b, b_at = np.unique(b, return_inverse=True)
-        second = np.repeat(c_at, runs)
-        pair, at = np.unique(second * len(of_b) + b_at, return_inverse=True)
+        of_c, c_at = numbered(_flat(table, "c", _U))
+        of_b, b_at = numbered(_flat(table, "b", _U))
+        second = np.repeat(c_at, _flat(table, "runs"))
+        key = second * _U(len(of_b))
+        key += b_at
+        pair, at = numbered(key)
+        del key
+        n = _flat(table, "n", float)
         seen = np.bincount(at, weights=n, minlength=len(pair)).astype(np.int64)
-        word = np.bincount(second, weights=n, minlength=len(of_c)).astype(np.int64)
-        often = np.isin(of_c, hot)
-        if often.any():
-            order = np.argsort(hot)
-            word[often] = hot_counts[order][np.searchsorted(hot[order], of_c[often])]
-        answers = _rows(_PAIRS, table.num_rows, kind=pa.array(np.ones(table.num_rows, np.int32)), batch=table["batch"], at=table["at"], ns=_packed(seen[at], cuts), cs=_packed(word[c_at], _cuts(table, "c")), runs=table["runs"])
-
-        none = np.flatnonzero(seen[at] == 0)
+        word = hot.of(of_c, hot.counts, np.bincount(second, weights=n, minlength=len(of_c)).astype(np.int64))
+        del n, second
+        found = seen[at]
+        del at
+        answers = _rows(_PAIRS, table.num_rows, kind=pa.array(np.ones(table.num_rows, np.int32)), batch=table["batch"], at=table["at"], ns=_packed(found, cuts), cs=_packed(word[c_at], _cuts(table, "c")), runs=table["runs"])
+
+        none = np.flatnonzero(found == 0)
+        del found
         row = np.searchsorted(cuts, none, side="right") - 1
-        unseen = _rows(_PAIRS, len(none), kind=pa.array(np.full(len(none), 2)), batch=table["batch"].take(pa.array(row)), at=pa.array(table["at"].to_numpy()[row] + none - cuts[row]), b=pa.array(b[none].view(np.int64)))
-
-        some = np.flatnonzero(seen)
-        of, r = pair[some] % len(of_b), seen[some]
-        p = discounted(word, words)[pair[some] // len(of_b)]
-        total = lambda w: np.bincount(of, weights=w, minlength=len(of_b))
-        n_b = total(r)
-        held = n_b > 0
-        classes = {f"t{k}": pa.array(total(r == k)[held].astype(np.int64)) for k in range(1, K + 2)}
-        contexts = _rows(_PAIRS, int(held.sum()), kind=pa.array(np.full(int(held.sum()), 3)), b=pa.array(of_b[held].view(np.int64)), n=pa.array(n_b[held].astype(np.int64)), s=pa.array(total(p)[held]), **classes)
-        return pa.concat_tables([answers, unseen, contexts])
+        unseen = _rows(_PAIRS, len(none), kind=pa.array(np.full(len(none), 2)), batch=table["batch"].take(pa.array(row)), at=pa.array(table["at"].to_numpy()[row] + none - cuts[row]), b=pa.array(of_b[b_at[none]].view(np.int64)))
+        del b_at, none, row
+        return pa.concat_tables([answers, unseen, _contexts(of_b, pair, seen, discounted(word, words))])
 
     return run
 
 
+def _contexts(of_b: np.ndarray, pair: np.ndarray, seen: np.ndarray, word: np.ndarray) -> pa.Table:
+    """Sums over the seen pairs of each first word; ``pair`` numbers second words, whose discounted counts are ``word``, and first words."""
+    second, first = np.divmod(pair[seen > 0], _U(len(of_b)))
+    r, of, p = seen[seen > 0], first.astype(np.int64), word[second]
+    del second, first
+    total = lambda w: np.bincount(of, weights=w, minlength=len(of_b))
+    n_b = total(r)
+    held = n_b > 0
+    classes = {f"t{k}": pa.array(total(r == k)[held].astype(np.int64)) for k in range(1, K + 2)}
+    return _rows(_PAIRS, int(held.sum()), kind=pa.array(np.full(int(held.sum()), 3)), b=pa.array(of_b[held].view(np.int64)), n=pa.array(n_b[held].astype(np.int64)), s=pa.array(total(p)[held]), **classes)
+
+
 @dataclass
 class Model:
     """Training tokens and distinct words, training texts, and the discounts of words and pairs."""
@@ -286,13 +351,12 @@ def score_documents(docs: DataFrame) -> DataFrame:
     tokens, distinct, texts, *counts = [int(x) for x in facts]
     words = good_turing(counts)
     known = tokens - sum(r * n * (1 - words[r]) for r, n in zip(range(1, K + 1), counts))
-    frequent = unigrams.filter(F.col("n") * HOT > tokens).select("w", "n").collect()  # fewer than HOT rows
-    hot = np.array([r["w"] for r in frequent], np.int64)
-    hot_counts = np.array([r["n"] for r in frequent], np.int64)
     parts = max(LEAST_PARTS, -(-tokens // PART_TOKENS))
+    frequent = unigrams.filter(F.col("n") * SPLIT > PART_TOKENS).select("w", "n").collect()  # fewer than SPLIT rows a part
+    hot = hot_words([r["w"] for r in frequent], [r["n"] for r in frequent], parts)
 
-    asked = rows.select("text", "held").mapInArrow(_ask(parts, hot.view(_U)), _ASKED)
-    pairs = workspace.materialize(asked.groupBy("p").applyInArrow(_count(words, hot.view(_U), hot_counts), _PAIRS), "pairs")
+    asked = rows.select("text", "held").mapInArrow(_ask(parts, hot), _ASKED)
+    pairs = workspace.materialize(asked.groupBy("p").applyInArrow(_count(words, hot), _PAIRS), "pairs")
     sums = [F.sum(c).alias(c) for c in ("n", "s", *(f"t{r}" for r in range(1, K + 2)))]
     contexts = workspace.materialize(pairs.filter("kind = 3").groupBy("b").agg(*sums), "contexts")
     totals = contexts.agg(*[F.coalesce(F.sum(f"t{r}"), F.lit(0)) for r in range(1, K + 2)]).first()
@@ -301,7 +365,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     lost = sum((F.col(f"t{r}") * float(r * (1 - model.pairs[r])) for r in range(1, K + 1)), F.lit(0.0))
     alpha = ((lost + 1) / (F.col("n") + 1)) / (1 - F.col("s") / float(tokens + 1))
     unseen = pairs.filter("kind = 2").select("batch", "at", "b").join(contexts.select("b", alpha.alias("alpha")), "b", "left")
-    batches = rows.select("doc_id", "text").mapInArrow(_hold(parts, hot.view(_U)), "batch long, at long, ids array<long>, sizes binary, tok binary")
+    batches = rows.select("doc_id", "text").mapInArrow(_hold(parts, hot), "batch long, at long, ids array<long>, sizes binary, tok binary")
 
     names = [f.split(" ")[0] for f in _HELD.split(", ")]
     fit = lambda df, kind: df.withColumn("kind", F.lit(kind)).select(*[c if c in (*df.columns, "kind") else F.lit(None).cast(t).alias(c) for c, t in (f.split(" ") for f in _HELD.split(", "))])

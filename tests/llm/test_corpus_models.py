@@ -4,6 +4,8 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
+import types
 import zlib
 from collections import Counter, defaultdict
 
@@ -128,6 +130,52 @@ def test_katz_frequent_words_and_parts(spark, monkeypatch):
     check_katz(df.repartition(5), rows)
 
 
+def katz_batches(texts, rows, monkeypatch):
+    """Record batches of ``rows`` texts, as a task reads them."""
+    monkeypatch.setattr(katz.TaskContext, "get", lambda: types.SimpleNamespace(partitionId=lambda: 0))
+    for i in range(0, len(texts), rows):
+        some = texts[i : i + rows]
+        yield pa.RecordBatch.from_pydict({"doc_id": list(range(i, i + len(some))), "text": some, "held": [False] * len(some)})
+
+
+def test_katz_memory_of_batches(monkeypatch):
+    """One batch's arrays are let go before the next is made: at most 80 bytes a token at any time."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, rng.zipf(1.2, 1000) % 200_000)) for _ in range(3600)]
+    most = 1000 * max(b.num_rows for x in katz_batches(texts, 1200, monkeypatch) for b in katz.slices(x, limit=katz.BATCH_BYTES))
+    for step in (katz._ask, katz._hold):
+        list(step(20, katz.hot_words([], [], 20))(katz_batches(texts[:1], 1, monkeypatch)))  # tables of powers
+        batches = iter(list(katz_batches(texts, 1200, monkeypatch)))
+        tracemalloc.start()
+        try:
+            n = sum(r.num_rows > 0 for r in step(20, katz.hot_words([], [], 20))(batches))
+            peak = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        assert n > 2 and peak < 80 * most, (peak, most)
+
+
+def test_katz_parts_are_bounded(monkeypatch):
+    """A word with 1/80 of all tokens, many times what a part should hold, is dealt to several parts."""
+    monkeypatch.setattr(katz, "PART_TOKENS", 1000)
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"{'often' if i % 80 == 79 else x}" for i, x in enumerate(rng.integers(0, 10**9, 4000))) for _ in range(100)]
+    tokens = [t for x in katz_batches(texts, 10, monkeypatch) for t in katz._tokens(x)[0].view(np.int64)]
+    counts = Counter(tokens)
+    parts = -(-len(tokens) // katz.PART_TOKENS)
+    frequent = [w for w, n in counts.items() if n * katz.SPLIT > katz.PART_TOKENS]
+    hot = katz.hot_words(frequent, [counts[w] for w in frequent], parts)
+    assert len(frequent) == 1 and counts[frequent[0]] == 5000
+    asked, where = Counter(), defaultdict(set)
+    for r in katz._ask(parts, hot)(katz_batches(texts, 10, monkeypatch)):
+        for p, c, runs, b in zip(*(r.column(k).to_pylist() for k in ("p", "c", "runs", "b"))):
+            asked[p] += len(katz.unpack(b))
+            for x, first in zip(np.repeat(katz.unpack(c), katz.unpack(runs).astype(int)), katz.unpack(b)):
+                where[x, first].add(p)
+    assert max(asked.values()) < 2 * katz.PART_TOKENS
+    assert all(len(p) == 1 for p in where.values())  # a pair is always counted in one part
+
+
 def test_katz_odd_rows(spark, odd, none):
     check_katz(odd, [(r[0], r[1]) for r in odd_rows()])
     assert katz.score_documents(none).collect() == []
