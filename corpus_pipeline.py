@@ -36,7 +36,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest doc_id (any one of rows that share it). Wordless texts and null ids all stay."""
-    found = near_duplicates(docs)
+    found = workspace.materialize(near_duplicates(docs).select("doc_id", "n_shingles", "kept"), "verdicts")
     gone = found.filter("not kept").select(F.col("doc_id").alias("_lx_id")).distinct()
     again = found.filter("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.col("doc_id").alias("_lx_id"))
     again = workspace.materialize(again, "again")
@@ -54,6 +54,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row as often as the mix takes it; rows that it takes no words from go."""
     taken = mix_sources(docs).filter("copies > 0").groupBy("doc_id", "size").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("rows"))
     taken = taken.select(F.col("doc_id").alias("_lx_id"), F.col("size").alias("_lx_size"), F.col("n").alias("_lx_n"), F.col("rows").alias("_lx_rows"))
+    taken = workspace.materialize(taken, "taken")
     once, shared = taken.filter("_lx_rows = 1"), workspace.materialize(taken.filter("_lx_rows > 1"), "shared_ids")
     same = _id().eqNullSafe(F.col("_lx_id")) & (word_count(F.col("text").cast("string")) == F.col("_lx_size"))
     repeat = lambda df: df.withColumn("_lx_copy", F.explode(F.sequence(F.lit(1), F.col("_lx_n").cast("int")))).select(*docs.columns)

@@ -11,13 +11,13 @@ from lexiloom.llm import workspace
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return both.filter("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = down.join(least.hint("merge"), "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b")))
 
 
@@ -25,17 +25,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges(a, b)``; component is the smallest node reachable.
 
     Each round is two joins on distinct edges and is written to the shared folder, so a lost
-    executor costs one round. Hubs are aggregated before they are shuffled, and skewed joins are
+    executor costs one round; it is counted as it is written, and its joins are merged, so that the driver holds no table of any round.
+    Hubs are aggregated before they are shuffled, and skewed joins are
     left to adaptive execution. Rows with a = b or a null end are ignored; no edges give no rows.
     """
-    edges = workspace.materialize(edges.select("a", "b").filter("a != b").distinct(), "edges")
-    mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    before = mark(edges)
+    mark = F.count(F.lit(1)).alias("edges"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")
+    edges, before = workspace.observed(edges.select("a", "b").filter("a != b").distinct(), "edges", *mark)
     for _ in range(max_rounds):
-        if not before[0]:
+        if not before["edges"]:
             break
-        after = workspace.materialize(_small_star(_large_star(edges).distinct()).filter("a != b").distinct(), "edges")
-        now = mark(after)
+        after, now = workspace.observed(_small_star(_large_star(edges).distinct()).filter("a != b").distinct(), "edges", *mark)
         workspace.drop(edges)
         edges = after
         if now == before:

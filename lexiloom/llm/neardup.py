@@ -120,8 +120,8 @@ def _close(sa: str, sb: str, na: str, nb: str, threshold: int):
 
 def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """id and shingles of the documents in ids(doc_id)."""
-    ids = workspace.materialize(ids.distinct(), "ids")
-    few = ids.count() <= BROADCAST_IDS
+    ids, seen = workspace.observed(ids.distinct(), "ids", F.count(F.lit(1)).alias("n"))
+    few = seen["n"] <= BROADCAST_IDS
     texts = _rows(docs).filter("doc_id is not null").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     return workspace.materialize(texts.mapInArrow(_full_sets, "id long, shingles array<long>"), "sets")
 
@@ -159,8 +159,8 @@ def block_links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.nd
 def _dealt(rows: DataFrame, plan: DataFrame, side: int) -> DataFrame:
     """rows(key, rep, ...) in the blocks (i, j) of their bucket, by plan(key, n0, n1) of the buckets with several: a row of side 0 is in one
     i and every j, one of side 1 in one j and every i."""
-    plan = workspace.materialize(plan, "plan")
-    few = plan.count() <= BROADCAST_BUCKETS
+    plan, seen = workspace.observed(plan, "plan", F.count(F.lit(1)).alias("n"))
+    few = seen["n"] <= BROADCAST_BUCKETS
     rows = rows.join(F.broadcast(plan) if few else plan, "key", "left").fillna(1, ["n0", "n1"])
     own = F.pmod(F.xxhash64("rep"), F.col(f"n{side}")).cast("int")
     every = F.explode(F.sequence(F.lit(0), (F.col(f"n{1 - side}") - 1).cast("int")))

@@ -154,11 +154,12 @@ def _regular(cov: np.ndarray) -> np.ndarray:
     return out
 
 
-def _row(grp: str, k: float, mean: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"g": [grp], "k": [float(k)], "mean": [np.round(mean, 9).tolist()], "cov": [np.round(cov.ravel(), 9).tolist()]})
+def _row(grp: str, k: float, mean: np.ndarray, cov: np.ndarray, before: float = 0.0) -> pd.DataFrame:
+    return pd.DataFrame({"g": [grp], "k": [float(k)], "mean": [np.round(mean, 9).tolist()], "cov": [np.round(cov.ravel(), 9).tolist()], "before": [float(before)]})
 
 
-_FIT = "g string, k double, mean array<double>, cov array<double>"
+#: before: the log determinant of the estimate that a step started from.
+_FIT = "g string, k double, mean array<double>, cov array<double>, before double"
 
 
 def fit_sample(x: np.ndarray, starts: int = 20, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -204,33 +205,38 @@ def _concentrate(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("bin")
     count = pdf["n"].to_numpy(float)
     mean, cov = _moments(pdf, int(np.searchsorted(np.cumsum(count), COVERAGE * count.sum())) + 1)
-    return _row(pdf["g"].iloc[0], count.sum(), mean, cov * consistency(COVERAGE))
+    return _row(pdf["g"].iloc[0], count.sum(), mean, cov * consistency(COVERAGE), pdf["det"].iloc[0])
 
 
 def _reweight(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("bin")
     limit = math.floor(math.log(chi2_quantile(WITHIN, P) + 1e-6) * _BINS)
     mean, cov = _moments(pdf, max(1, int((pdf["bin"] <= limit).sum())))
-    return _row(pdf["g"].iloc[0], pdf["n"].sum(), mean, cov * consistency(WITHIN))
+    return _row(pdf["g"].iloc[0], pdf["n"].sum(), mean, cov * consistency(WITHIN), pdf["det"].iloc[0])
 
 
-def _drawn(fit: DataFrame, plain: np.ndarray) -> DataFrame:
-    """g, mean, inv, det: the estimates drawn to that of all rows, that one to the plain covariance; inverted."""
-    whole = fit.filter("g = '*'").first()
-    weight = whole.k / (whole.k + SHRINK) if whole else 0.0
-    centre = np.array(whole.mean) if whole else np.zeros(P)
-    spread = weight * np.array(whole.cov).reshape(P, P) + (1 - weight) * plain if whole else plain
+def _drawn(fit: DataFrame, name: str, plain: np.ndarray) -> tuple[DataFrame, float]:
+    """g, mean, inv, det: the estimates drawn to that of all rows, that one to the plain covariance; inverted.
+    And the largest change of a log determinant in the step that made them."""
+    parts = {"k": F.col("k")} | {f"mean{i}": F.get("mean", F.lit(i)) for i in range(P)} | {f"cov{i}": F.get("cov", F.lit(i)) for i in range(P * P)}
+    fit, whole = workspace.observed(fit, name, *[F.max(F.when(F.col("g") == "*", x)).alias(n) for n, x in parts.items()])
+    some = whole["k"] is not None
+    weight = whole["k"] / (whole["k"] + SHRINK) if some else 0.0
+    centre = np.array([whole[f"mean{i}"] for i in range(P)]) if some else np.zeros(P)
+    spread = weight * np.array([whole[f"cov{i}"] for i in range(P * P)]).reshape(P, P) + (1 - weight) * plain if some else plain
 
     def run(frames):
         for pdf in frames:
             out = []
-            for g, k, mean, cov in zip(pdf["g"], pdf["k"], pdf["mean"], pdf["cov"], strict=True):
+            for g, k, mean, cov, before in zip(pdf["g"], pdf["k"], pdf["mean"], pdf["cov"], pdf["before"], strict=True):
                 w = k / (k + SHRINK) if g != "*" else 0.0
                 full = _regular(w * np.array(cov).reshape(P, P) + (1 - w) * spread)
-                out.append((g, np.round(w * np.array(mean) + (1 - w) * centre, 9).tolist(), np.round(np.linalg.inv(full).ravel(), 9).tolist(), round(float(np.linalg.slogdet(full)[1]), 9)))
-            yield pd.DataFrame(out, columns=["g", "mean", "inv", "det"])
+                out.append((g, np.round(w * np.array(mean) + (1 - w) * centre, 9).tolist(), np.round(np.linalg.inv(full).ravel(), 9).tolist(), round(float(np.linalg.slogdet(full)[1]), 9), before))
+            yield pd.DataFrame(out, columns=["g", "mean", "inv", "det", "before"])
 
-    return workspace.materialize(fit.mapInPandas(run, "g string, mean array<double>, inv array<double>, det double"), "fit")
+    drawn = fit.mapInPandas(run, "g string, mean array<double>, inv array<double>, det double, before double")
+    drawn, seen = workspace.observed(drawn, "fit", F.max(F.abs(F.col("det") - F.col("before"))).alias("change"))
+    return drawn.drop("before"), seen["change"] or 0.0
 
 
 def _distance():
@@ -255,28 +261,26 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     sizes = usable.groupBy("g").agg(F.count(F.lit(1)).alias("k"))
     placed = usable.join(levels, "g").join(sizes, "g").select("doc_id", "g", "k", *[x.alias(f"x{i}") for i, x in enumerate(_features())])
     placed = workspace.materialize(placed, "placed")
-    total = placed.count()
     columns = [f"x{i}" for i in range(P)]
-    both = placed.unionByName(placed.withColumns({"g": F.lit("*"), "k": F.lit(total).cast("long")}))
     sums = [F.count(F.lit(1)).alias("n")] + [F.sum(c).alias(f"s{i}") for i, c in enumerate(columns)]
     sums += [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i in range(P) for j in range(i, P)]
-    plain = _moments(placed.agg(*sums).fillna(0).toPandas(), 1)[1]
+    whole = placed.agg(*sums).fillna(0).toPandas()
+    plain = _moments(whole, 1)[1]
+    both = placed.unionByName(placed.withColumns({"g": F.lit("*"), "k": F.lit(int(whole["n"].iloc[0])).cast("long")}))
     u = F.col("u") * F.col("k") < SEED_ROWS
     unit = F.pmod(F.xxhash64("doc_id", *columns), F.lit(1 << 40)) / float(1 << 40)
-    fit = _drawn(workspace.materialize(both.withColumn("u", unit).filter(u).groupBy("g").applyInPandas(_start, _FIT), "starts"), plain)
+    fit, _ = _drawn(both.withColumn("u", unit).filter(u).groupBy("g").applyInPandas(_start, _FIT), "starts", plain)
 
-    def step(fit: DataFrame, make) -> DataFrame:
+    def step(fit: DataFrame, make) -> tuple[DataFrame, float]:
         binned = both.join(fit, "g").withColumn("bin", F.floor(F.log(_distance() + 1e-6) * _BINS))
-        return _drawn(workspace.materialize(binned.groupBy("g", "bin").agg(*sums).groupBy("g").applyInPandas(make, _FIT), "moments"), plain)
+        return _drawn(binned.groupBy("g", "bin").agg(*sums, F.max("det").alias("det")).groupBy("g").applyInPandas(make, _FIT), "moments", plain)
 
     for _ in range(STEPS):
-        after = step(fit, _concentrate)
-        change = after.join(fit.select("g", F.col("det").alias("before")), "g").agg(F.max(F.abs(F.col("det") - F.col("before")))).first()[0]
-        fit = after
-        if (change or 0) < SETTLED:
+        fit, change = step(fit, _concentrate)
+        if change < SETTLED:
             break
     for _ in range(REWEIGHTS):
-        fit = step(fit, _reweight)
+        fit, _ = step(fit, _reweight)
     use = table.join(levels.withColumnRenamed("g", "grp"), "grp", "left").join(fit.withColumnRenamed("g", "grp"), "grp", "left")
     use = use.withColumns({f"x{i}": x for i, x in enumerate(_features())}).withColumn("distance", _distance())
     near = F.col("distance").isNull() | (F.col("distance") <= chi2_quantile(1 - TAIL, P))

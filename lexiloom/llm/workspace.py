@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 from lexiloom.sources.shared import base_dir, ship, write_bytes
 
-__all__ = ["base_dir", "drop", "materialize", "new_path", "read_bytes", "ship", "write_bytes"]
+__all__ = ["base_dir", "drop", "materialize", "new_path", "observed", "read_bytes", "ship", "write_bytes"]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -24,6 +24,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, dict]:
+    """``materialize``, and aggregates over the rows (by alias) that are taken while they are written, without a query of their own."""
+    seen = Observation()
+    table = materialize(df.observe(seen, *metrics), name)
+    return table, seen.get
+
+
 def read_bytes(spark: SparkSession, path: str) -> bytes | None:
     """A small file of the shared folder; None if it is not there."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

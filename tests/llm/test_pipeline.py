@@ -6,7 +6,8 @@ import corpus_pipeline as cp
 import pytest
 from test_operators import DOC, change, classes, odd_rows, plain_spans, prose
 
-from lexiloom.llm import mixing, quality
+from lexiloom.llm import mixing, quality, workspace
+from lexiloom.llm.components import connected_components
 
 
 def rows(seed=1):
@@ -70,3 +71,39 @@ def test_odd_rows_pass_every_stage(spark):
 def test_run(spark, docs, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert cp.run(spark, str(tmp_path)).count() > 100
+
+
+def queries_and_tables(spark, monkeypatch, run):
+    """How many queries run() has Spark execute, and how many of them write an intermediate table."""
+
+    def number():
+        spark.range(1).count()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return spark._jsparkSession.sharedState().statusStore().executionsList().last().executionId()
+
+    written, write = [], workspace.materialize
+    monkeypatch.setattr(workspace, "materialize", lambda df, name: (written.append(name), write(df, name))[1])
+    first = number()
+    run()
+    queries = number() - first - 1
+    monkeypatch.setattr(workspace, "materialize", write)
+    return queries, len(written)
+
+
+def test_components_ask_nothing_beside_their_rounds(spark, monkeypatch):
+    """The driver keeps every query that ran and its plan; counts of a round come with its writing."""
+    edges = workspace.materialize(spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long"), "chain")
+    queries, tables = queries_and_tables(spark, monkeypatch, lambda: connected_components(edges))
+    assert queries == tables > 2
+    assert {(r.node, r.component) for r in connected_components(edges).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
+    none = edges.filter("a < 0")
+    assert queries_and_tables(spark, monkeypatch, lambda: connected_components(none)) == (1, 1) and connected_components(none).count() == 0
+
+
+def test_a_step_of_the_estimate_is_two_queries(spark, docs, monkeypatch):
+    monkeypatch.setattr(quality, "SETTLED", -1.0)  # all steps run
+    took = []
+    for steps in (1, 3):
+        monkeypatch.setattr(quality, "STEPS", steps)
+        took.append(queries_and_tables(spark, monkeypatch, lambda: quality.quality_rules(docs)))
+    assert took[1][0] - took[0][0] == took[1][1] - took[0][1] == 4
