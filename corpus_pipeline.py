@@ -8,12 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import workspace
+from lexiloom.llm import neardup, workspace
 from lexiloom.llm.bpe import encode_documents
-from lexiloom.llm.mixing import mix_sources, word_count
+from lexiloom.llm.mixing import mixed_rows
 from lexiloom.llm.neardup import near_duplicates
 from lexiloom.llm.privacy import find_personal_data
 from lexiloom.llm.quality import quality_rules
@@ -37,11 +37,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest doc_id (any one of rows that share it). Wordless texts and null ids all stay."""
     found = workspace.materialize(near_duplicates(docs).select("doc_id", "n_shingles", "kept"), "verdicts")
-    gone = found.filter("not kept").select(F.col("doc_id").alias("_lx_id")).distinct()
-    again = found.filter("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.col("doc_id").alias("_lx_id"))
-    again = workspace.materialize(again, "again")
-    left = docs.join(gone.unionByName(again), _id() == F.col("_lx_id"), "left_anti")
-    once = docs.join(again, _id() == F.col("_lx_id"), "left_semi").dropDuplicates(["doc_id"])
+    gone = found.filter("not kept").select(F.col("doc_id").alias("_lx_id"), F.lit(False).alias("_lx_again")).distinct()
+    again = found.filter("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    again = again.select(F.col("doc_id").alias("_lx_id"), F.lit(True).alias("_lx_again"))
+    aside, seen = workspace.observed(gone.unionByName(again), "aside", F.count(F.lit(1)).alias("n"), F.count_if("_lx_again").alias("again"))
+    # few ids go to where the texts lie; beyond, texts are shuffled by id once more
+    sent = lambda ids: F.broadcast(ids) if seen["n"] <= neardup.BROADCAST_IDS else ids
+    left = docs.join(sent(aside), _id() == F.col("_lx_id"), "left_anti")
+    if not seen["again"]:
+        return left
+    once = docs.join(sent(aside.filter("_lx_again")), _id() == F.col("_lx_id"), "left_semi").dropDuplicates(["doc_id"])
     return left.unionByName(once)
 
 
@@ -52,17 +57,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row as often as the mix takes it; rows that it takes no words from go."""
-    taken = mix_sources(docs).filter("copies > 0").groupBy("doc_id", "size").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("rows"))
-    taken = taken.select(F.col("doc_id").alias("_lx_id"), F.col("size").alias("_lx_size"), F.col("n").alias("_lx_n"), F.col("rows").alias("_lx_rows"))
-    taken = workspace.materialize(taken, "taken")
-    once, shared = taken.filter("_lx_rows = 1"), workspace.materialize(taken.filter("_lx_rows > 1"), "shared_ids")
-    same = _id().eqNullSafe(F.col("_lx_id")) & (word_count(F.col("text").cast("string")) == F.col("_lx_size"))
-    repeat = lambda df: df.withColumn("_lx_copy", F.explode(F.sequence(F.lit(1), F.col("_lx_n").cast("int")))).select(*docs.columns)
-    # of k rows with one doc_id and size that are taken n times in all, each is taken n // k times and the first n % k once more
-    order = Window.partitionBy("_lx_id", "_lx_size").orderBy("text")
-    more = docs.join(shared, same).withColumn("_lx_number", F.row_number().over(order))
-    share = F.floor(F.col("_lx_n") / F.col("_lx_rows")) + (F.col("_lx_number") <= F.col("_lx_n") % F.col("_lx_rows")).cast("long")
-    return repeat(docs.join(once, same)).unionByName(repeat(more.withColumn("_lx_n", share).filter("_lx_n > 0")))
+    return mixed_rows(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -113,17 +113,16 @@ def _boundaries(rows: DataFrame, plan: DataFrame, most: int) -> DataFrame:
     return state
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 17) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies for every row of ``docs(doc_id, text, source, ...)``.
+def _placed(docs: DataFrame, seed: int) -> DataFrame:
+    """The rows of docs, and _lx_src, _lx_size and _lx_u: their source, their words, and their place in the pseudo-random order."""
+    out = docs.withColumns({"_lx_src": F.col("source").cast("string"), "_lx_size": word_count(F.col("text").cast("string"))})
+    return out.withColumn("_lx_u", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), "_lx_size"), F.lit(PLACES)))
 
-    Sources in code point order, null last, have the weights in turn. taken = copies * size words.
-    copies differs by one at most within a source, never exceeds max_epochs, and is the same in every
-    run. Null and wordless texts have size 0, and take nothing; a source without words has target 0.
-    Equal rows are separate documents. An empty table gives no rows; other columns are ignored.
-    """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("src"), word_count(F.col("text").cast("string")).alias("size"))
-    place = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(PLACES))
-    table = workspace.materialize(base.withColumn("row", F.monotonically_increasing_id()).withColumn("u", place), "mix")
+
+def _planned(docs: DataFrame, weights: tuple[float, ...], max_epochs: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of docs without their texts, the plan of its sources, and the boundaries of the sizes of each source."""
+    base = _placed(docs, seed).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_lx_src").alias("src"), F.col("_lx_size").alias("size"), F.monotonically_increasing_id().alias("row"), F.col("_lx_u").alias("u"))
+    table = workspace.materialize(base, "mix")
     groups = workspace.materialize(table.groupBy("src", "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
     sizes = groups.groupBy("src").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     plan = workspace.materialize(source_plan(sizes, weights, max_epochs), "plan")
@@ -131,8 +130,18 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epoch
     parts = plan.filter("part > 0").select(F.col("src").alias("s"), (F.col("part") / F.col("source_size")).alias("share"))
     wanted = workspace.materialize(size_plan(groups.filter("size > 0").join(_small(parts), _same("src", "s")).drop("s")), "wanted")
     most = wanted.filter(F.col("wanted").between(1, F.col("n") - 1)).agg(F.max("n")).first()[0] or 0
-    bounds = _boundaries(table, wanted, most)
+    return table, plan, _boundaries(table, wanted, most)
+
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 17) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies for every row of ``docs(doc_id, text, source, ...)``.
 
+    Sources in code point order, null last, have the weights in turn. taken = copies * size words.
+    copies differs by one at most within a source, never exceeds max_epochs, and is the same in every
+    run. Null and wordless texts have size 0, and take nothing; a source without words has target 0.
+    Equal rows are separate documents. An empty table gives no rows; other columns are ignored.
+    """
+    table, plan, bounds = _planned(docs, weights, max_epochs, seed)
     rows = table.join(_small(plan.select(F.col("src").alias("s"), "source_size", "target", "whole")), _same("src", "s"), "left").drop("s")
     rows = rows.join(_small(bounds), _same("src", "s") & (F.col("size") == F.col("z")), "left").drop("s", "z")
     edge = F.coalesce(F.col("open") & F.col("u").between(F.col("low"), F.col("high") - 1), F.lit(False))
@@ -142,3 +151,36 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epoch
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("extra").cast("long")).otherwise(F.lit(0)).cast("long")
     out = out.withColumn("copies", copies)
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def _cuts(table: DataFrame, bounds: DataFrame) -> DataFrame:
+    """s, z, low, room: of the documents of source s and size z those before place low are taken, and room of several that lie at it."""
+    inside = table.join(_small(bounds.filter("open")), _same("src", "s") & (F.col("size") == F.col("z"))).filter(F.col("u").between(F.col("low"), F.col("high") - 1))
+    counts = inside.groupBy("s", "z", "u").agg(F.count(F.lit(1)).alias("k"), F.first("room").alias("room"))
+    left = F.col("room") - (F.sum("k").over(Window.partitionBy("s", "z").orderBy("u")) - F.col("k"))
+    edge = counts.withColumn("left", left).filter(F.col("left").between(1, F.col("k")))
+    all_ = F.col("left") == F.col("k")
+    edge = edge.select("s", "z", (F.col("u") + all_.cast("long")).alias("low"), F.when(all_, 0).otherwise(F.col("left")).alias("room"))
+    return bounds.filter("not open").select("s", "z", "low", F.lit(0).cast("long").alias("room")).unionByName(edge)
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 17) -> DataFrame:
+    """Every row of ``docs``, as it is, as often as ``mix_sources`` takes it.
+
+    Where a source's size is cut is looked up by source and size, so that a row is judged where it lies and texts are not shuffled (but
+    beyond BROADCAST_ROWS sizes of sources). Of rows that share source, size and place (so, doc_id) at the cut, the first by text are taken.
+    """
+    table, plan, bounds = _planned(docs, weights, max_epochs, seed)
+    cuts, seen = workspace.observed(_cuts(table, bounds), "cuts", F.count_if(F.col("room") > 0).alias("shared"))
+    rows = _placed(docs, seed)
+    rows = rows.join(_small(plan.select(F.col("src").alias("_lx_s"), F.col("whole").alias("_lx_whole"))), _same("_lx_src", "_lx_s"), "left").drop("_lx_s")
+    rows = rows.join(_small(cuts.toDF("_lx_s", "_lx_z", "_lx_low", "_lx_room")), _same("_lx_src", "_lx_s") & (F.col("_lx_size") == F.col("_lx_z")), "left")
+    before = F.coalesce(F.col("_lx_u") < F.col("_lx_low"), F.lit(False))
+    out = rows.withColumn("_lx_extra", before)
+    if seen["shared"]:
+        at = F.coalesce((F.col("_lx_u") == F.col("_lx_low")) & (F.col("_lx_room") > 0), F.lit(False))
+        order = Window.partitionBy("_lx_src", "_lx_size", "_lx_u").orderBy(F.col("doc_id").cast("long"), "text")
+        out = out.filter(~at).unionByName(rows.filter(at).withColumn("_lx_extra", F.row_number().over(order) <= F.col("_lx_room")))
+    copies = F.when(F.col("_lx_size") > 0, F.col("_lx_whole") + F.col("_lx_extra").cast("long")).otherwise(F.lit(0)).cast("int")
+    out = out.withColumn("_lx_copies", copies).filter("_lx_copies > 0")
+    return out.withColumn("_lx_copy", F.explode(F.sequence(F.lit(1), F.col("_lx_copies")))).select(*docs.columns)

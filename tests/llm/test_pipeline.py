@@ -1,12 +1,13 @@
 """The pipeline's stages, each on its own input, against plain versions."""
 
 import random
+from collections import Counter
 
 import corpus_pipeline as cp
 import pytest
 from test_operators import DOC, change, classes, odd_rows, plain_spans, prose
 
-from lexiloom.llm import mixing, quality, workspace
+from lexiloom.llm import mixing, neardup, quality, workspace
 from lexiloom.llm.components import connected_components
 
 
@@ -107,3 +108,55 @@ def test_a_step_of_the_estimate_is_two_queries(spark, docs, monkeypatch):
         monkeypatch.setattr(quality, "STEPS", steps)
         took.append(queries_and_tables(spark, monkeypatch, lambda: quality.quality_rules(docs)))
     assert took[1][0] - took[0][0] == took[1][1] - took[0][1] == 4
+
+
+def test_texts_stay_where_they_lie(spark, docs):
+    """Verdicts and copies go to the texts, also where Spark itself would not broadcast a table; so the shuffle grows with the ids, not in a step."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for stage in (cp.dedup, cp.mixing):
+            plan = stage(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+            assert "Broadcast" in plan and "Exchange hashpartitioning" not in plan, plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def shared_rows():
+    """Rows that share doc_id, size and place: in one source, in two sources, and with a null id; source sizes differ."""
+    rng = random.Random(5)
+    out = [(7, prose(10, rng), "a") for _ in range(9)] + [(7, prose(10, rng), "b") for _ in range(4)] + [(None, prose(12, rng), s) for s in "bcccc"]
+    out += [(i, prose(10, rng), s) for i, s in enumerate("aabbbcccc" * 4, 100)] + [(300 + i, prose(25, rng), None) for i in range(60)] + [(400, None, "a"), (401, " ", "c")]
+    return [(d, t, "en", s, len(t or "")) for d, t, s in out]
+
+
+def mixed(spark, docs):
+    return Counter((r.doc_id, r.text, r.source) for r in cp.mixing(spark, docs, "").collect())
+
+
+def test_mixing_of_rows_that_share_an_id(spark):
+    docs = spark.createDataFrame(shared_rows(), COLUMNS)
+    size = Counter()
+    for _, t, _, s, _ in shared_rows():
+        size[s] += len((t or "").split())
+    assert len(set(size.values())) == len(size)
+    want = Counter()
+    for r in mixing.mix_sources(docs).collect():
+        want[r.doc_id, r.size, r.source_size] += r.copies
+    got = Counter()
+    taken = mixed(spark, docs)
+    for (d, t, s), n in taken.items():
+        got[d, len(t.split()), size[s]] += n
+    assert got == +want
+    assert mixed(spark, docs.repartition(7)) == taken
+    own = sorted(t for d, t, _, s, _ in shared_rows() if d == 7 and s == "a")
+    copies = [taken[7, t, "a"] for t in own]
+    assert copies == sorted(copies, reverse=True) and copies[0] - copies[-1] == 1  # the cut lies among them
+
+
+def test_stages_beyond_their_broadcasts(spark, docs, monkeypatch):
+    shared = docs.unionByName(docs.filter("doc_id < 5")).unionByName(spark.createDataFrame(shared_rows(), COLUMNS)).cache()
+    run = lambda: (mixed(spark, shared), Counter(r.doc_id for r in cp.dedup(spark, shared, "").collect()))
+    few = run()
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    assert run() == few
