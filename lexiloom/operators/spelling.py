@@ -26,7 +26,7 @@ def two_edit_candidates(tokens: DataFrame, lexicon: DataFrame, k: int = 16) -> D
     after another. Meetings are verified where they happen, the costly test for swaps only where plain edits leave it open."""
     tokens, lexicon = stored(tokens.select("token"), "tokens"), stored(lexicon.select("word", "freq"), "lexicon")
     near = stored(C.one_edit_pairs(tokens, lexicon, ("freq",)), "near")
-    rest = tokens.join(near.select("token").distinct(), "token", "left_anti")
+    rest = tokens.join(C.merged(near.select("token").distinct()), "token", "left_anti")
 
     def keys(df: DataFrame, c: str) -> DataFrame:
         once = F.array_distinct(E.deletions(F.col(c)))
@@ -35,7 +35,7 @@ def two_edit_candidates(tokens: DataFrame, lexicon: DataFrame, k: int = 16) -> D
         made = [marked(x, d) for d, x in enumerate(left)]
         return df.select("*", F.explode(F.concat(*made)).alias("s")).select(*df.columns, F.col("s.d").alias(f"{c}_d"), F.col("s.key").alias("key"))
 
-    met = keys(spread(rest, "token"), "token").join(keys(spread(lexicon, "word"), "word"), "key").filter((F.greatest("token_d", "word_d") == FARTHEST) & (F.col("token") != F.col("word")))
+    met = keys(spread(rest, "token"), "token").join(C.merged(keys(spread(lexicon, "word"), "word")), "key").filter((F.greatest("token_d", "word_d") == FARTHEST) & (F.col("token") != F.col("word")))
     met = met.select("token", "word", "freq", F.levenshtein("token", "word", 2 * FARTHEST).alias("plain"))
     # two swaps keep all letters, and are four plain edits; one swap and an edit are three
     letters = lambda c: F.array_sort(F.split(c, ""))
