@@ -75,9 +75,9 @@ def suggestions(tokens: DataFrame, lexicon: DataFrame, k: int = 8, q: int = 3, p
     """token, word, rank: up to k words for each token: those one edit away, or, for tokens without any, those that overlap with it, largest overlap
     first; then by frequency and word."""
     tokens, lexicon = stored(tokens.select("token").distinct(), "tokens"), stored(lexicon.select("word", "freq"), "lexicon")
-    near = stored(C.one_edit_pairs(tokens, lexicon), "near")
-    rest = tokens.join(near.select("token").distinct(), "token", "left_anti")
+    near = stored(C.one_edit_pairs(tokens, lexicon, ("freq",)), "near")
+    rest = tokens.join(C.merged(near.select("token").distinct()), "token", "left_anti")
     near = near.withColumns({"shared": F.lit(1).cast("long"), "total": F.lit(1).cast("long")})
-    found = near.unionByName(overlap_join(rest, lexicon, q, percent)).join(C.sized(lexicon), "word")
+    found = near.unionByName(overlap_join(rest, lexicon, q, percent).join(C.merged(lexicon), "word"))
     order = Window.partitionBy("token").orderBy(F.desc(F.col("shared") / F.col("total")), F.desc("freq"), "word")
     return found.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k).select("token", "word", "rank")
